@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_contamination
 from .mix import mix_sources
+from .secrets import scan_secrets
 from .token_counts import attribute_lines
 from .token_files import read_token_files, write_token_files
 
@@ -16,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,6 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_entropy_mix": op3_entropy_mix,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
