@@ -37,6 +37,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,19 +50,27 @@ from .store import fresh_path, open_fs, read_bytes, write_bytes
 from .words import mix, pieces
 
 _PIECE = re.compile(r"[^ \t-\r]+")
-_CACHE_MOST = 400_000
+_CONTROLS = re.compile(r"[\x1c-\x1f]")
+_CACHE_MOST = 800_000
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Ids of texts as bytes, through a bounded cache of white-space-delimited pieces."""
+    """Ids of texts as bytes, through a bounded cache of white-space-delimited pieces.
+
+    Lower-casing ASCII first changes nothing for a tokenizer that lower-cases (texts
+    with a special token's opening are left as they are). A full stop or comma after
+    a word of ASCII letters is a word of its own, so it need not be learnt anew.
+    """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(f"<u{width}")
+        self.code = "H" if width == 2 else "I"
         self.cache: dict[str, bytes] = {}
+        self.marks = {m: self._whole([m])[0] for m in ".,"}
+        self.lowers = self._whole(["Aa"]) == self._whole(["aa"])
 
     @classmethod
     def of(cls, path: str, width: int) -> PieceEncoder:
@@ -70,17 +79,33 @@ class PieceEncoder:
             _encoders[path, width] = cls(path, width)
         return _encoders[path, width]
 
+    def _whole(self, some: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        cache = self.cache
+        marked = [p for p in new if p[-1] in self.marks and p[:-1].isascii() and p[:-1].isalpha()]
+        later = set(marked)
+        some = [p for p in new if p not in later] + [p for p in {p[:-1] for p in marked}.difference(new) if p not in cache]
+        for at in range(0, len(some), 5000):
+            part = some[at : at + 5000]
+            cache.update(zip(part, self._whole(part), strict=True))
+        for p in marked:
+            cache[p] = cache[p[:-1]] + self.marks[p[-1]]
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text:
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        # str.split() and the tokenizer differ in these four characters only.
+        return _PIECE.findall(text) if _CONTROLS.search(text) else text.split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_PIECE.findall(t or "") for t in texts]
+        split = [self._pieces(t or "") for t in texts]
         if len(self.cache) > _CACHE_MOST:
             self.cache.clear()
         cache = self.cache
-        new = list({p for ps in split for p in ps if p not in cache})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([cache[p] for p in ps]) for ps in split]
+        self._learn([p for p in set().union(*split) if p not in cache])
+        return [b"".join(map(cache.__getitem__, ps)) for ps in split]
 
 
 def id_width(path: str) -> int:
