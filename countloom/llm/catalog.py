@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import tagger, weak_labels
 from .decontaminate import find_contamination
 from .mix import mix_sources
 from .secrets import scan_secrets
@@ -21,6 +22,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = tagger.fit(*tagger.training_sample(docs, _read(spark, sf_dir, "labels")))
+    scored = tagger.score_toxicity(docs, model)
+    return scored.select("doc_id", (tagger.fold() == 0).alias("held_out"), "score", "predicted", "n_toxic")
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +46,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, base)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return weak_labels.score_quality(docs, weak_labels.fit(docs))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -45,9 +58,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_entropy_mix": op3_entropy_mix,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
