@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import tagger, weak_labels
+from . import ann, tagger, weak_labels
 from .decontaminate import find_contamination
 from .mix import mix_sources
 from .secrets import scan_secrets
@@ -33,6 +34,11 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_entropy_mix": op3_entropy_mix,
+    "op5_ivfpq": op5_ivfpq,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
