@@ -35,6 +35,8 @@ from .words import pieces, word_counts
 CYCLE = (5.0, 2.0, 1.0)
 MOST = 3.0
 BINS = 2048
+#: A row of a by-source table is under 100 bytes, so a broadcast one is under 10 MB.
+BROADCAST_SOURCES = 100_000
 
 
 def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -58,7 +60,7 @@ def cycle_weights(per: DataFrame) -> DataFrame:
     """
     parts = max(1, min(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
     ranged = materialise(per.repartitionByRange(parts, F.col("source").isNull(), F.col("source")).withColumn("_part", F.spark_partition_id()), "sources")
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    counts = _counts(ranged)
     lead = F.element_at(F.array(*[F.lit(sum(n for p, n in counts.items() if p < i)) for i in range(parts)]), F.col("_part") + 1)
     w = W.partitionBy("_part").orderBy(F.col("source").isNull(), F.col("source"))
     rank = F.row_number().over(w) - 1 + lead
@@ -66,6 +68,11 @@ def cycle_weights(per: DataFrame) -> DataFrame:
     return ranged.withColumn("weight", weight).drop("_part")
 
 
+def _counts(ranged: DataFrame) -> dict[int, int]:
+    """Sources by range, at most 64 rows."""
+    return {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+
+
 def allot(weighted: DataFrame, total: float | None = None, most: float = MOST) -> DataFrame:
     """Adds target: shares of the total by weight, none above ``most`` times its size.
 
@@ -95,7 +102,7 @@ def newton_dual(size: Column, target: Column, rounds: int = 60) -> Column:
 
 def _bins(rows: DataFrame, plan: DataFrame, width: float) -> DataFrame:
     """Cuts [_lo, _lo + width) of the hash into BINS; (key, _lo, _need) move into the bin that the need ends in."""
-    inside = rows.join(plan.select("_key", "_lo", "_need"), "_key").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_lo") + width))
+    inside = rows.join(plan, "_key").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_lo") + width))
     hist = inside.groupBy("_key", "_lo", "_need", F.floor((F.col("_u") - F.col("_lo")) / (width / BINS)).cast("int").alias("_bin")).agg(F.sum("_tokens").alias("_t"))
     w = W.partitionBy("_key").orderBy("_bin")
     upto = hist.withColumn("_before", F.sum("_t").over(w) - F.col("_t")).where(F.col("_before") <= F.col("_need"))
@@ -115,20 +122,22 @@ def mix_sources(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFr
     plan = allot(per, most=most).withColumn("rate", F.round(F.coalesce(F.exp(newton_dual(F.col("source_size"), F.col("target"))), F.lit(0.0)), 12))
     plan = plan.withColumn("_whole", F.floor(F.least("rate", F.lit(most)))).withColumn("_need", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))).withColumn("_lo", F.lit(0.0))
     plan = materialise(plan, "plan")
-    cut = _bins(rows, plan, 1.0)
-    cut = _bins(rows, cut, 1.0 / BINS)
+    # By-source tables go to the rows while they are few; beyond, rows are shuffled to them.
+    near = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda x: x
+    cut = _bins(rows, near(plan.select("_key", "_lo", "_need")), 1.0)
+    cut = _bins(rows, near(cut), 1.0 / BINS)
     plan = plan.select("_key", "source_size", "target", "rate", "_whole").join(cut.select("_key", F.col("_lo").alias("_cut")), "_key", "left")
-    got = rows.join(plan, "_key").withColumn("copies", F.least(F.lit(int(most)), F.col("_whole") + (F.col("_u") < F.coalesce("_cut", F.lit(0.0))).cast("int")).cast("int"))
+    got = rows.join(near(plan), "_key").withColumn("copies", F.least(F.lit(int(most)), F.col("_whole") + (F.col("_u") < F.coalesce("_cut", F.lit(0.0))).cast("int")).cast("int"))
     got = materialise(got, "copies")
     for _ in range(repairs):
         # By source, the one row whose move by one copy brings the sum nearest to its target.
         off = got.groupBy("_key").agg((F.first("target") - F.sum(F.col("copies") * F.col("_tokens"))).alias("_off"))
-        tried = got.join(off, "_key").where((F.col("_tokens") > 0) & F.when(F.col("_off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
+        tried = got.join(near(off), "_key").where((F.col("_tokens") > 0) & F.when(F.col("_off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
         after = F.abs(F.abs("_off") - F.col("_tokens"))
         best = tried.where(after < F.abs("_off")).groupBy("_key").agg(F.min(F.struct(after.alias("a"), "_u", "doc_id", "size", F.signum("_off").cast("int").alias("d"))).alias("b"))
         moved = best.select("_key", F.col("b._u").alias("_u"), F.col("b.doc_id").alias("_id"), F.col("b.size").alias("_size"), F.col("b.d").alias("_d"))
         got = materialise(
-            got.alias("g").join(moved.alias("m"), "_key", "left").select(*[F.col(f"g.{c}") for c in got.columns if c != "copies"], (F.col("copies") + F.when((F.col("g._u") == F.col("m._u")) & F.col("g.doc_id").eqNullSafe(F.col("m._id")) & (F.col("g.size") == F.col("m._size")), F.col("_d")).otherwise(0)).alias("copies")),
+            got.alias("g").join(near(moved).alias("m"), "_key", "left").select(*[F.col(f"g.{c}") for c in got.columns if c != "copies"], (F.col("copies") + F.when((F.col("g._u") == F.col("m._u")) & F.col("g.doc_id").eqNullSafe(F.col("m._id")) & (F.col("g.size") == F.col("m._size")), F.col("_d")).otherwise(0)).alias("copies")),
             "copies",
         )
     return got.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies", "rate")
