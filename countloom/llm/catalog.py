@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, tagger, weak_labels
+from . import ann, lm, tagger, weak_labels
 from .decontaminate import find_contamination
 from .mix import mix_sources
 from .secrets import scan_secrets
@@ -39,6 +39,11 @@ def op5_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score_documents(docs, lm.train(docs))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_entropy_mix": op3_entropy_mix,
     "op5_ivfpq": op5_ivfpq,
+    "op6_ngram_trie": op6_ngram_trie,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
