@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, tagger, weak_labels
+from . import ann, lm, near_dups, tagger, weak_labels
 from .decontaminate import find_contamination
 from .mix import mix_sources
 from .secrets import scan_secrets
@@ -34,6 +34,10 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op5_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_entropy_mix": op3_entropy_mix,
+    "op4_near_dups": op4_near_dups,
     "op5_ivfpq": op5_ivfpq,
     "op6_ngram_trie": op6_ngram_trie,
     "op7_token_counts": op7_token_counts,
