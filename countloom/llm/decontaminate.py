@@ -127,6 +127,21 @@ def _occurrences(w, x: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found_s), np.concatenate(found_v)) if found_s else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _hits(column: pa.Array, uris: list[str]):
+    """(words, whether each is hit, items by row)."""
+    w = words(column, ALNUM)
+    edges = np.zeros(len(w.hash) + 1, np.int64)
+    items: list[set[str]] = [set() for _ in range(len(column))]
+    for uri in uris:
+        x = _load(uri)
+        s, win = _occurrences(w, x)
+        np.add.at(edges, s, 1)
+        np.add.at(edges, s + x["size"][win], -1)
+        for r, v in set(zip(w.row[s].tolist(), win.tolist(), strict=True)):
+            items[r].update(x["names"][x["members"][x["first"][v] : x["first"][v + 1]]])
+    return w, np.cumsum(edges[:-1]) > 0, items
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 2_000_000) -> DataFrame:
     """One row per document row: counts, items and hit word spans (word numbers, end exclusive).
 
@@ -136,19 +151,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            w = words(b.column("text"), ALNUM)
-            edges = np.zeros(len(w.hash) + 1, np.int64)
-            items: list[set[str]] = [set() for _ in range(b.num_rows)]
-            for uri in uris:
-                x = _load(uri)
-                s, win = _occurrences(w, x)
-                np.add.at(edges, s, 1)
-                np.add.at(edges, s + x["size"][win], -1)
-                for r, v in set(zip(w.row[s].tolist(), win.tolist(), strict=True)):
-                    items[r].update(x["names"][x["members"][x["first"][v] : x["first"][v + 1]]])
-            inside = np.cumsum(edges[:-1]) > 0
-            n_hit = np.bincount(w.row[inside], minlength=b.num_rows)
-            n_words = np.diff(w.first)
+            w, inside, items = _hits(b.column("text"), uris)
+            n_hit, n_words = np.bincount(w.row[inside], minlength=b.num_rows), np.diff(w.first)
             names = [sorted(x) for x in items]
             # A window lies within its row, so spans of neighbouring rows must not be joined.
             opens, closes = inside.copy(), inside.copy()
@@ -164,10 +168,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array((n_hit > 0) & (share * n_hit >= n_words)),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array((n_hit > 0) & (share * n_hit >= n_words)),
                     pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 2_000_000) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated."""
+    uris = build_index(benchmark, window, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            w, inside, _ = _hits(b.column("text"), uris)
+            n_hit = np.bincount(w.row[inside], minlength=b.num_rows)
+            yield b.filter(pa.array((n_hit == 0) | (share * n_hit < np.diff(w.first))))
+
+    return docs.mapInArrow(run, docs.schema)

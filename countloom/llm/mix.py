@@ -37,18 +37,20 @@ MOST = 3.0
 BINS = 2048
 #: A row of a by-source table is under 100 bytes, so a broadcast one is under 10 MB.
 BROADCAST_SOURCES = 100_000
+#: Decisions up to which they are sent to the texts instead of shuffling these (some 50 bytes a row).
+BROADCAST_DECISIONS = 200_000
 
 
-def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and size: words of the text (null: 0)."""
+def word_sizes(docs: DataFrame, *keep: str, name: str = "size") -> DataFrame:
+    """The columns ``keep`` and one more: words of the text (null: 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             kept = [b.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(word_counts(b.column("text")), pa.int64())], [*keep, "size"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(word_counts(b.column("text")), pa.int64())], [*keep, name])
 
-    fields = docs.select(*keep).schema
-    return docs.select(*keep, "text").mapInArrow(run, fields.add("size", T.LongType()))
+    fields = [docs.schema[k] for k in keep]
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 def cycle_weights(per: DataFrame) -> DataFrame:
@@ -112,6 +114,22 @@ def _bins(rows: DataFrame, plan: DataFrame, width: float) -> DataFrame:
 
 def mix_sources(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, rate), one row per document row."""
+    got = _decide(docs, most, repairs)
+    return got.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies", "rate")
+
+
+def copy_documents(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFrame:
+    """The documents, with all their columns, as often as the mix takes them."""
+    columns = docs.columns
+    got = _decide(docs, most, repairs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies")
+    near = F.broadcast(got) if got.count() <= BROADCAST_DECISIONS else got
+    sized = word_sizes(docs, *columns, name="_size")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    return sized.join(near, same).withColumn("_each", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+
+
+def _decide(docs: DataFrame, most: float, repairs: int) -> DataFrame:
+    """(doc_id, source, size, count, copies and more) by distinct row."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     counted = word_sizes(docs, "doc_id", "source").groupBy("doc_id", "source", "size").count()
     rows = materialise(
@@ -140,4 +158,4 @@ def mix_sources(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFr
             got.alias("g").join(near(moved).alias("m"), "_key", "left").select(*[F.col(f"g.{c}") for c in got.columns if c != "copies"], (F.col("copies") + F.when((F.col("g._u") == F.col("m._u")) & F.col("g.doc_id").eqNullSafe(F.col("m._id")) & (F.col("g.size") == F.col("m._size")), F.col("_d")).otherwise(0)).alias("copies")),
             "copies",
         )
-    return got.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies", "rate")
+    return got
