@@ -153,11 +153,14 @@ def search(
             upto = np.cumsum(held[far], 1)
             n = np.maximum(least, (upto < rerank).sum(1) + 1).clip(max=len(book.coarse))
             row = np.repeat(np.arange(len(v)), n)
+            # The nearer a cell, the more of its vectors may be among the best; all lists of a query together are a few times ``rerank``.
+            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            take = np.maximum(np.ceil(2 * rerank / n[row]), np.ceil(rerank / (2.0 + 2.0 * rank))).astype(np.int32)
             cell = np.concatenate([f[:m] for f, m in zip(far, n, strict=True)])
             keep = held[cell] > 0
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(row[keep])), b.column("v").take(pa.array(row[keep])), pa.array(cell[keep].astype(np.int32))], ["query_id", "q", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(row[keep])), b.column("v").take(pa.array(row[keep])), pa.array(cell[keep].astype(np.int32)), pa.array(take[keep])], ["query_id", "q", "cell", "take"])
 
-    routed = materialise(asked.mapInArrow(route, "query_id bigint, q array<double>, cell int"), "routes")
+    routed = materialise(asked.mapInArrow(route, "query_id bigint, q array<double>, cell int, take int"), "routes")
     wanted = np.zeros(len(book.coarse), np.int64)
     for r in routed.groupBy("cell").count().collect():
         wanted[r["cell"]] = r["count"]
@@ -166,7 +169,7 @@ def search(
     part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     codes = index.join(blocks, "cell").withColumn("b", part("vec_id", "nb")).withColumn("qb", each("nq")).select("cell", "b", "qb", "vec_id", "code")
-    probing = routed.join(blocks, "cell").withColumn("qb", part("query_id", "nq")).withColumn("b", each("nb")).select("cell", "b", "qb", "query_id", "q")
+    probing = routed.join(blocks, "cell").withColumn("qb", part("query_id", "nq")).withColumn("b", each("nb")).select("cell", "b", "qb", "query_id", "q", "take")
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -177,9 +180,9 @@ def search(
             for a in range(0, len(right), step):
                 some = right.iloc[a : a + step]
                 d = book.distances(np.stack(some["q"].to_numpy()), cell, c)
-                for q, row in zip(some["query_id"].to_numpy(), d, strict=True):
+                for q, k_, row in zip(some["query_id"].to_numpy(), some["take"].to_numpy(), d, strict=True):
                     row[ids == q] = np.inf
-                    at = _smallest(row, ids, min(rerank, len(ids)))
+                    at = _smallest(row, ids, min(k_, len(ids)))
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "near": row[at]}))
         got = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
         return got[np.isfinite(got["near"])] if len(got) else got
