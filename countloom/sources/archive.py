@@ -1,0 +1,123 @@
+"""Framed streams, deterministic archives and their ledgers, as rows of bytes."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import json
+import re
+import struct
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+MAGIC = b"CLF1"
+EPOCH = (1980, 1, 1, 0, 0, 0)
+_UNSAFE = re.compile(r"^/|(^|/)\.\.(/|$)|\\|:")
+
+
+def frame(members: dict[str, bytes]) -> bytes:
+    """Named streams in one, in name order."""
+    out = [MAGIC, struct.pack("<I", len(members))]
+    for name in sorted(members):
+        raw = name.encode()
+        out += [struct.pack("<HQ", len(raw), len(members[name])), raw, members[name]]
+    return b"".join(out)
+
+
+def unframe(blob: bytes) -> dict[str, bytes]:
+    """Refuses bad magic, truncation, disorder, repeats and trailing bytes."""
+    if blob[:4] != MAGIC or len(blob) < 8:
+        raise ValueError("not a frame")
+    n, at, out, last = struct.unpack_from("<I", blob, 4)[0], 8, {}, None
+    for _ in range(n):
+        if at + 10 > len(blob):
+            raise ValueError("truncated frame")
+        k, size = struct.unpack_from("<HQ", blob, at)
+        at += 10
+        if at + k + size > len(blob):
+            raise ValueError("truncated frame")
+        name = blob[at : at + k].decode()
+        if last is not None and name <= last:
+            raise ValueError("members out of order")
+        out[name], last = blob[at + k : at + k + size], name
+        at += k + size
+    if at != len(blob):
+        raise ValueError("trailing bytes")
+    return out
+
+
+def write_archive(members: dict[str, bytes], schema: str) -> bytes:
+    """A stored ZIP whose bytes depend on nothing but its members; a manifest names their sizes and digests."""
+    if bad := [n for n in members if _UNSAFE.search(n) or n in ("", "manifest.json")]:
+        raise ValueError(f"unsafe names {bad}")
+    manifest = {"schema": schema, "members": {n: {"bytes": len(b), "sha256": hashlib.sha256(b).hexdigest()} for n, b in members.items()}}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in sorted({**members, "manifest.json": (json.dumps(manifest, sort_keys=True, separators=(",", ":")) + "\n").encode()}.items()):
+            z.writestr(zipfile.ZipInfo(name, EPOCH), data)
+    return out.getvalue()
+
+
+def read_archive(blob: bytes, schemas: tuple[str, ...]) -> dict[str, bytes]:
+    """Members after all checks: stored, set, sizes, digests and schema."""
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        infos = z.infolist()
+        if len({i.filename for i in infos}) != len(infos) or any(i.compress_type != zipfile.ZIP_STORED for i in infos):
+            raise ValueError("members")
+        data = {i.filename: z.read(i) for i in infos}
+    manifest = json.loads(data.pop("manifest.json", b"null"))
+    if not isinstance(manifest, dict) or manifest.get("schema") not in schemas or set(manifest["members"]) != set(data):
+        raise ValueError("manifest")
+    for name, want in manifest["members"].items():
+        if len(data[name]) != want["bytes"] or hashlib.sha256(data[name]).hexdigest() != want["sha256"]:
+            raise ValueError(f"member {name}")
+    return data
+
+
+MEMBERS = "archive_id string, member string, bytes bigint, sha256 string, payload binary"
+
+
+def members_of(archives: DataFrame, schemas: tuple[str, ...] = ("countloom-v1",)) -> DataFrame:
+    """(archive_id, payload) to member rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, blob in zip(p["archive_id"], p["payload"], strict=True):
+                data = read_archive(bytes(blob), schemas)
+                yield pd.DataFrame([(name, k, len(v), hashlib.sha256(v).hexdigest(), v) for k, v in sorted(data.items())], columns=["archive_id", "member", "bytes", "sha256", "payload"])
+
+    return archives.select("archive_id", "payload").mapInPandas(run, MEMBERS)
+
+
+def read_archives(spark: SparkSession, glob: str) -> DataFrame:
+    """(archive_id, payload) of archive files; the id is the path."""
+    return spark.read.format("binaryFile").load(glob).selectExpr("path AS archive_id", "content AS payload")
+
+
+def round_trip(m) -> DataFrame:
+    """(archive_id, members, inside, total, framing, exact): each sample written as an archive and decoded from it alone."""
+    import numpy as np
+
+    from ..operators import coder
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = coder.Sample(rows)
+        model = rows[~rows["kind"].isin(["cell"])]
+        tables = {f"model/{k}.i64": d.sort_values(["a", "b"])[["a", "b", "c"]].to_numpy("<i8").tobytes() for k, d in model.groupby("kind")}
+        a, b = s.encode_support()[0], s.encode_values()[0]
+        blob = write_archive({"support.rans": a, "values.rans": b, "digest.txt": s.digest().encode(), **tables}, "countloom-v1")
+        data = read_archive(blob, ("countloom-v1",))
+        # Decoding sees the archive only.
+        back = pd.concat([pd.DataFrame(np.frombuffer(v, "<i8").reshape(-1, 3), columns=["a", "b", "c"]).assign(kind=k[6:-4]) for k, v in data.items() if k.startswith("model/")])
+        d = coder.Sample(back)
+        got = d.decode_values(data["values.rans"], d.decode_support(data["support.rans"]))
+        cells = pd.concat([pd.DataFrame({"a": i, "b": g, "c": v, "kind": "cell"}) for i, (g, v) in enumerate(got) if len(g)])
+        exact = coder.Sample(pd.concat([back, cells])).digest().encode() == data["digest.txt"]
+        inside = sum(map(len, data.values()))
+        again = write_archive({**data}, "countloom-v1") == blob
+        return pd.DataFrame({"archive_id": [rows["sample_id"].iloc[0]], "members": [len(data)], "inside": [inside], "total": [len(blob)], "framing": [len(blob) - inside], "exact": [bool(exact)], "same_bytes": [again]})
+
+    return coder.tagged(m).groupBy("sample_id").applyInPandas(run, "archive_id string, members bigint, inside bigint, total bigint, framing bigint, exact boolean, same_bytes boolean")
