@@ -2,7 +2,7 @@
 
 Tokens (lower-cased words) form chains, cut at line ends and at ``.``, ``!`` or
 ``?``. Two states; emissions are sums of hashed feature weights (the word, its
-prefixes of 3 to 5 bytes, its last 3 bytes); transitions are a 2 x 2 table. As
+prefixes of 3 to 5 bytes, its last 3 bytes, a constant); transitions are a 2 x 2 table. As
 only documents carry labels, token labels are made from them: a token of a toxic
 document is toxic if its word, or one of its prefixes, stands in toxic training
 documents almost only, and in many surroundings. The chain is then fitted to those tokens (AdaGrad on the
@@ -60,7 +60,8 @@ def _affix(w, kind: str, k: int) -> np.ndarray:
 
 def features(w) -> np.ndarray:
     """Hashed feature ids, a row for each word."""
-    cols = [w.hash, *(_affix(w, kind, k) for kind, k in AFFIXES)]
+    # The last column is the same for all: how likely a token is to be toxic before anything is known of it.
+    cols = [w.hash, *(_affix(w, kind, k) for kind, k in AFFIXES), np.zeros(len(w.hash), np.uint64)]
     return np.stack([(mix(c ^ np.uint64(0x1000193 * (i + 1))) >> np.uint64(64 - BITS)).astype(np.int32) for i, c in enumerate(cols)], 1)
 
 
