@@ -114,8 +114,8 @@ def round_trip(m) -> DataFrame:
         back = pd.concat([pd.DataFrame(np.frombuffer(v, "<i8").reshape(-1, 3), columns=["a", "b", "c"]).assign(kind=k[6:-4]) for k, v in data.items() if k.startswith("model/")])
         d = coder.Sample(back)
         got = d.decode_values(data["values.rans"], d.decode_support(data["support.rans"]))
-        cells = pd.concat([pd.DataFrame({"a": i, "b": g, "c": v, "kind": "cell"}) for i, (g, v) in enumerate(got) if len(g)])
-        exact = coder.Sample(pd.concat([back, cells])).digest().encode() == data["digest.txt"]
+        cells = [pd.DataFrame({"a": i, "b": g, "c": v, "kind": "cell"}) for i, (g, v) in enumerate(got) if len(g)]
+        exact = coder.Sample(pd.concat([back, *cells])).digest().encode() == data["digest.txt"]
         inside = sum(map(len, data.values()))
         again = write_archive({**data}, "countloom-v1") == blob
         return pd.DataFrame({"archive_id": [rows["sample_id"].iloc[0]], "members": [len(data)], "inside": [inside], "total": [len(blob)], "framing": [len(blob) - inside], "exact": [bool(exact)], "same_bytes": [again]})
