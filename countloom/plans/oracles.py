@@ -337,3 +337,39 @@ ORACLE: dict[str, str] = {
     "f_scalars": "WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey * 37 + 2 AS BIGINT) AS v, CAST(p_partkey % 4095 + 1 AS BIGINT) AS q, CAST(p_partkey * 977 % 195360042 + 22 AS BIGINT) AS odds FROM part) SELECT k, CAST(floor(log2(v - 1)) AS BIGINT) AS mag, v - 1 - (CAST(1 AS BIGINT) << CAST(floor(log2(v - 1)) AS INT)) AS rem, v AS back, CAST(" + _bucket("q") + " AS BIGINT) AS bucket, CAST(" + _q_of("q", "odds") + " AS BIGINT) AS q, CAST(CASE WHEN k % 40 < 6 THEN 7 WHEN k % 500 = 0 THEN 0 WHEN k % 500 < 12 THEN 1 WHEN k % 500 < 24 THEN 2 WHEN k % 500 < 48 THEN 3 WHEN k % 500 < 96 THEN 4 WHEN k % 500 < 384 THEN 5 ELSE 6 END AS BIGINT) AS ctx, CAST(floor(k / CAST(4 AS DOUBLE) + 0.5) AS BIGINT) AS half, CAST(CASE WHEN k % 11 = 0 THEN 0 " + " ".join(f"WHEN k * 3 <= CAST({u!r} AS DOUBLE) * (k % 11) THEN {i}" for i, u in enumerate(_tail_bounds(32))) + " ELSE 31 END AS BIGINT) AS grp FROM p",
     "f_code_inverse": "SELECT DISTINCT CAST(p_partkey % 33 AS BIGINT) AS k, CAST(p_partkey % 7 AS BIGINT) AS rem, CASE WHEN (CAST(1 AS BIGINT) << CAST(p_partkey % 33 AS INT)) + p_partkey % 7 + 1 <= 4294967295 THEN (CAST(1 AS BIGINT) << CAST(p_partkey % 33 AS INT)) + CAST(p_partkey % 7 AS BIGINT) + 1 END AS v FROM part",
 }
+
+
+def _start(width: int) -> str:
+    return CONTEXT.replace("n.i < 6", f"n.i < {width}")
+
+
+def _narrow(n: int) -> str:
+    model = _profiles() + (NSUM if n else PLAIN_SUM) + (_events(_start(n)) if n else _events("7")) + VSTAT + VODDS + _pooled() + BASE + _centres() + _tails() + VCDF + VBITS
+    body = _w(QUANTITY + (_graph(n) if n else "") + model, _out("vbits", "sample_id:s bits=singleton_bits+magnitude_bits+raw_bits:d"))
+    return f"SELECT *, CAST({n} AS BIGINT) AS neighbours FROM ({body})"
+
+
+PREFIX = """,
+graph AS (SELECT a.sample_id, a.i, b.i AS j FROM spots a JOIN spots b ON b.sample_id = a.sample_id AND b.i < a.i AND b.i >= a.i - 6)"""
+MOVED = QUANTITY.replace("counts AS", "counts0 AS").replace("spots AS", "spots0 AS") + """,
+ord AS (SELECT sample_id, i, row_number() OVER (PARTITION BY sample_id ORDER BY x, y, spot_id, i) - 1 AS place FROM spots0),
+counts AS (SELECT c.sample_id, o.place AS i, c.g, c.v FROM counts0 c JOIN ord o ON o.sample_id = c.sample_id AND o.i = c.i),
+spots AS (SELECT s0.sample_id, o.place AS i, spot_id, x, y FROM spots0 s0 JOIN ord o ON o.sample_id = s0.sample_id AND o.i = s0.i)"""
+MOVED = MOVED.replace("FROM spots GROUP BY 1)", "FROM spots0 GROUP BY 1)")
+SUM_BITS = "(SELECT sample_id, sum(bits) AS bits FROM {s} GROUP BY 1)"
+
+ORACLE |= {
+    "m13_graph_arms": " UNION ALL ".join(
+        f"SELECT *, '{name}' AS arm FROM ({_w(QUANTITY + body, _out(SUM_BITS.format(s=s), 'sample_id:s bits:d'))})"
+        for name, body, s in (("gene", MARG + PLAIN_BITS, "pbits"), ("prefix", PREFIX + MARG + KK + CELLS + SUPPORT_ODDS + SBITS, "sbits"), ("spatial", SUPPORT, "sbits"))
+    ),
+    "m17_value_width_arms": " UNION ALL ".join(_narrow(n) for n in (0, 2, 4, 6)),
+    "m18_order_arms": " UNION ALL ".join(
+        f"SELECT sample_id, '{name}' AS arm, bits, CAST({paid} * (SELECT count(*) FROM supplier) AS BIGINT) AS order_bits FROM ({_w(body + SUPPORT, _out(SUM_BITS.format(s='sbits'), 'sample_id:s bits:d'))})" for name, body, paid in (("original", QUANTITY, 0), ("canonical", MOVED, 32))
+    ),
+    "m12_exceptions": f"SELECT sample_id, count(*) FILTER (WHERE exception) AS exceptions, count(*) AS genes FROM ({ORACLE['a11_exception_bound']}) GROUP BY 1",
+    "c6_ledger_variants": MEMBERS + "SELECT scheme, category, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT archive_id) AS archives FROM (SELECT *, 'coarse' AS scheme, CASE member WHEN 'm1' THEN 'payload' WHEN 'm2' THEN 'payload' WHEN 'm3' THEN 'model' WHEN 'm4' THEN 'model' ELSE 'other' END AS category FROM a UNION ALL SELECT *, 'fine', CASE WHEN member = 'm7' THEN 'other' ELSE replace(member, 'm', 'c') END FROM a UNION ALL SELECT *, 'two', CASE WHEN member IN ('m2', 'm4', 'm6') THEN 'even' ELSE 'odd' END FROM a) GROUP BY 1, 2",
+    "c7_fees": RESULTS + "SELECT arm, CAST(sum(total_bytes) AS BIGINT) AS total, CAST(sum(model) + sum(framing) AS BIGINT) AS fees FROM ok GROUP BY 1",
+    "c14_fixed_members": MEMBERS + "SELECT DISTINCT archive_id FROM j WHERE x IS NULL OR y IS NULL OR x <> y",
+    "u1_union": RESULTS + "SELECT sample_id, arm, CAST(total_bytes AS BIGINT) AS total_bytes, CAST(NULL AS BIGINT) AS n_lines FROM r WHERE arm = 'L1' UNION ALL SELECT sample_id, arm, NULL, n_lines FROM r WHERE arm = 'L2'",
+}

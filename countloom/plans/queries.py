@@ -152,6 +152,74 @@ def module_arms(spark: SparkSession, d: str) -> DataFrame:
     return tidy(out)
 
 
+def value_width_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Value code length with 0, 2, 4 and 6 neighbours in the sum; support is left alone.
+
+    A row counts as started once it has that many neighbours, so that narrower sums
+    are not charged for a longer start.
+    """
+    m = from_tables(spark, d)
+    wide = graph.causal_neighbours(m.spots)
+    out = None
+    for n in (0, 2, 4, 6):
+        v = values.value_bits(m, wide.where(F.col("r") <= n) if n else None, 8, n)
+        x = v.groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("bits")).withColumn("neighbours", F.lit(n))
+        out = x if out is None else out.unionByName(x)
+    return tidy(out)
+
+
+def order_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Support code length in the given row order and in canonical order, where the order itself costs 32 bits a row."""
+    m = from_tables(spark, d)
+    order = layout.canonical_order(m)
+    move = lambda df: df.join(order, ["sample_id", "i"]).drop("i").withColumnRenamed("place", "i")
+    moved = CountMatrix(move(m.counts), move(m.spots), m.genes)
+    out = None
+    for name, x, paid in (("original", m, 0), ("canonical", moved, 32)):
+        bits = support.support_bits(x, graph.causal_neighbours(x.spots)).groupBy("sample_id").agg(F.sum("bits").alias("bits"))
+        rows = support.rows_per_sample(x)
+        y = bits.join(rows, "sample_id").select("sample_id", F.lit(name).alias("arm"), "bits", (F.col("n") * paid).alias("order_bits"))
+        out = y if out is None else out.unionByName(y)
+    return tidy(out)
+
+
+def graph_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Support code length by kind of graph: none, previous rows, nearest rows."""
+    m = from_tables(spark, d)
+    out = None
+    for name, g in (("gene", None), ("prefix", graph.previous_rows(m.spots)), ("spatial", graph.causal_neighbours(m.spots))):
+        x = support.support_bits(m, g).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("arm", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    return tidy(out)
+
+
+def shuffled_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Control: value code length with genes' groups permuted (NumPy's generator, seed 11)."""
+    import numpy as np
+    import pandas as pd
+
+    m = from_tables(spark, d)
+    prof = values.profiles(m)
+    n = m.genes.count()  # at most the cap on columns
+    if n > matrix.MAX_DIM:
+        raise ValueError("too many columns")
+    moves = spark.createDataFrame(pd.DataFrame({"g": np.arange(n), "source": np.random.default_rng(11).permutation(n)}))
+    groups = prof.select("sample_id", F.col("g").alias("source"), F.col("grp").alias("moved"))
+    mixed = prof.join(moves, "g").join(groups, ["sample_id", "source"]).select("sample_id", "g", "n", "a", "tail_sum", F.col("moved").alias("grp"), "q")
+    return tidy(values.pooled(m, mixed).groupBy("sample_id", "b").agg(F.sum("c").alias("tails")))
+
+
+def ledger_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger under three schemes of categories, from one table of members."""
+    m = members(spark, d, "a")
+    schemes = {"coarse": {"m1": "payload", "m2": "payload", "m3": "model", "m4": "model"}, "fine": {f"m{i}": f"c{i}" for i in range(1, 7)}, "two": {f"m{i}": "even" if i % 2 == 0 else "odd" for i in range(1, 8)}}
+    rows = [(s, k, v) for s, x in schemes.items() for k, v in x.items()]
+    cats = spark.createDataFrame(rows, "scheme string, member string, category string")
+    names = spark.createDataFrame([(s,) for s in schemes], "scheme string")
+    each = m.crossJoin(F.broadcast(names)).join(F.broadcast(cats), ["scheme", "member"], "left")
+    return tidy(each.groupBy("scheme", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("bytes").alias("bytes"), F.countDistinct("archive_id").alias("archives")))
+
+
 def _pair(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, d: tidy(f(members(spark, d, "a"), members(spark, d, "b")))
 
@@ -231,6 +299,11 @@ QUERIES: dict[str, Query] = {
     "m16_bucket_arms": bucket_arms,
     "j2_width_arms": width_arms,
     "m19_module_arms": module_arms,
+    "m13_graph_arms": graph_arms,
+    "m17_value_width_arms": value_width_arms,
+    "m18_order_arms": order_arms,
+    "m20_shuffled_groups": shuffled_groups,
+    "m12_exceptions": _values(lambda m, p, e: values.exception_bound(p, values.centres(p), values.value_odds(e)).groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes"))),
     "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_rates(values.profiles(from_tables(s, d)).where("sample_id = 'N'").select("g", "n", "a"), 4)),
     "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),
     "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
@@ -268,6 +341,10 @@ QUERIES: dict[str, Query] = {
     "j16_outstanding": lambda s, d: tidy(cohort.outstanding((r := results(s, d)).select("sample_id", "arm"), cohort.good(r))),
     "u2_member_sets": _pair(layout.member_sets),
     "c5_ledger": lambda s, d: tidy(_ledger(s, d)[0]),
+    "c6_ledger_variants": ledger_variants,
+    "c7_fees": _results(lambda r: cohort.good(r).groupBy("arm").agg(F.sum("total_bytes").alias("total"), (F.sum("model") + F.sum("framing")).alias("fees"))),
+    "c14_fixed_members": _pair(lambda a, b: cohort.member_difference(a, b).where("added + removed + changed > 0").select("archive_id")),
+    "u1_union": _results(lambda r: r.where("arm = 'L1'").select("sample_id", "arm", "total_bytes").unionByName(r.where("arm = 'L2'").select("sample_id", "arm", "n_lines"), allowMissingColumns=True)),
     "c22_conservation": lambda s, d: tidy(cohort.conservation_faults((x := _ledger(s, d))[0].where("not (category = 'graph' and archive_id % 6 = 0)"), x[1])),
     "c12_coverage_audit": _results(lambda r: cohort.coverage_audit(r.where("n_lines % 3 <> 0"), 7)),
     "c15_recompute_audit": _results(lambda r: cohort.recompute_audit(r.withColumn("bpc", F.col("total_bytes") * 8 / F.col("n_counts") + F.when(F.col("n_lines") % 5 == 0, 1e-6).otherwise(0.0)))),
