@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 Q12 = 4096
 #: Left-closed edges of the support buckets (8 buckets).
 BUCKET_EDGES = (1, 4, 16, 64, 256, 1024, 2048, 3072)
-#: Edges for other numbers of buckets.
+#: Edges for other numbers of buckets; 32 halves each of the 16.
 BUCKET_FAMILY = {
     1: (1,),
     2: (1, 256),
     4: (1, 16, 256, 2048),
     8: BUCKET_EDGES,
+    16: (1, 2, 4, 10, 16, 40, 64, 160, 256, 640, 1024, 1536, 2048, 2560, 3072, 3584),
 }
 #: Mean tail sizes that bound the eight tail-scale groups.
 TAIL_BOUNDS = (1.0, 2.0, 4.0, 8.0, 16.0, 64.0, 256.0)
@@ -31,6 +32,14 @@ STARTUP = 7
 U32 = 4294967295
 
 
+def halved(edges: tuple[int, ...], top: int = Q12) -> tuple[int, ...]:
+    """Edges with the middle of every bucket added, where it is a new one."""
+    return tuple(sorted({*edges, *((a + b) // 2 for a, b in zip(edges, (*edges[1:], top), strict=True))}))
+
+
+BUCKET_FAMILY[32] = halved(BUCKET_FAMILY[16])
+
+
 def div(a: Column, b: Column) -> Column:
     """Integer quotient of non-negative integers (the quotient of doubles would not be exact)."""
     return F.call_function("div", a, b)

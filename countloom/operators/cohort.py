@@ -46,7 +46,7 @@ def paired_summary(results: DataFrame, base: str) -> DataFrame:
         F.min_by("sample_id", F.struct("delta", "sample_id")).alias("best"),
     )
     # An arm has one row in ``first``: leave-one-out subtracts a sample from its sums.
-    without = p.select("arm", F.col("bytes").alias("x"), F.col("base_bytes").alias("y")).join(F.broadcast(first.select("arm", "n", "base_total", "total")), "arm").where("n > 1")
+    without = p.select("arm", F.col("bytes").alias("x"), F.col("base_bytes").alias("y")).join(first.select("arm", "n", "base_total", "total"), "arm").where("n > 1")
     rest = F.lit(100.0) * ((F.col("total") - F.col("x")) - (F.col("base_total") - F.col("y"))) / (F.col("base_total") - F.col("y"))
     loo = without.groupBy("arm").agg(F.min(rest).alias("loo_low"), F.max(rest).alias("loo_high"))
     return first.withColumn("pooled", F.lit(100.0) * (F.col("total") - F.col("base_total")) / F.col("base_total")).join(loo, "arm", "left")
@@ -112,6 +112,8 @@ def quota(cohort: DataFrame, target: int, strata: list[str], key: Column) -> Dat
     sized = cohort.groupBy(*strata).agg(F.count("*").alias("c"))
     both = sized.agg(F.sum("c").alias("total"), F.count("*").alias("n")).first()
     total, n = both["total"] or 0, both["n"]
+    if n > target or target > total:
+        raise ValueError("the target holds neither one of each stratum nor only members there are")
     seats = sized.where("c > 1").select(*strata, "c", F.explode(F.sequence(F.lit(1), F.col("c") - 1)).alias("q"))
     deficit = F.lit(target).cast("bigint") * F.col("c") - F.col("q") * total
     # Only seats that could be among the first target - n: the global head, by a top-k.
@@ -222,29 +224,33 @@ def legacy(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "arm", F.coalesce("bytes_v2", "bytes_v1").alias("bytes"), F.when(F.col("bytes_v2").isNotNull(), 2).when(F.col("bytes_v1").isNotNull(), 1).alias("schema"))
 
 
+DOORS = ("data", "code", "environment", "preregistration")
+
+
 def gate(doors: DataFrame) -> DataFrame:
-    """passed if all doors are, blocked if one failed, else pending."""
-    return doors.groupBy("release").agg(F.when(F.bool_and(F.col("state") == "pass"), "passed").when(F.bool_or(F.col("state") == "fail"), "blocked").otherwise("pending").alias("status"))
+    """(release, status): pending while the data door waits, blocked while another does or is missing, else passed."""
+    ok = lambda d: F.coalesce(F.bool_or((F.col("door") == d) & (F.col("state") == "passed")), F.lit(False))
+    others = ok(DOORS[1]) & ok(DOORS[2]) & ok(DOORS[3])
+    return doors.groupBy("release").agg(F.when(~ok(DOORS[0]), "pending").when(~others, "blocked").otherwise("passed").alias("status"))
 
 
-# Patterns in order; the first that matches names the outcome.
+# Patterns of messages in order; the first that matches names the outcome.
 OUTCOMES = (
-    ("timeout", r"(?i)time(d)? ?out"),
-    ("memory", r"(?i)memory|killed|oom"),
-    ("disk", r"(?i)no space|disk"),
-    ("capacity", r"(?i)cap|exceeds|limit"),
-    ("invalid_input", r"(?i)invalid|range|non-integral"),
-    ("mismatch", r"(?i)mismatch|differs"),
-    ("missing", r"(?i)not found|missing"),
-    ("native_crash", r"(?i)segfault|exit code -\d+|access violation"),
+    (r"(?i)access violation|Fatal Python error: Aborted|returncode.*3221225477", "native_runtime_crash"),
+    (r"duplicate decoded index", "ivcsc_native_duplicate_index"),
+    (r"Invalid index width", "ivcsc_native_index_width"),
+    (r"(?i)dict_keyiterator|list_iterator.*not callable|anndata.*zarr|zarr.*import", "python_package_compatibility"),
+    (r"SystemError\('error return without exception set'\)", "python_extension_nonzero"),
 )
 
 
-def outcome(message: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in OUTCOMES:
-        out = out.when(message.rlike(pattern), F.lit(name))
-    return out.otherwise(F.lit("other"))
+def outcome(status: Column, method: Column, message: Column) -> Column:
+    """Why a run ended as it did; a crash of the shared method is its own outcome."""
+    out = F.when(status.isin("pending_adapter", "success"), status)
+    for pattern, name in OUTCOMES:
+        own = F.when(method == "Shared", "shared_numba_runtime_crash").otherwise(name) if name == "native_runtime_crash" else F.lit(name)
+        out = out.when(message.rlike(pattern), own)
+    return out.otherwise("unclassified_nonzero_exit")
 
 
 def safe_name(name: Column) -> Column:

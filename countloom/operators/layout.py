@@ -30,7 +30,7 @@ def decode_labels(spark: SparkSession, d: str) -> DataFrame:
     """Coded labels to text by a dictionary; a code beyond it is a fault."""
     codes = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 50 == 0, 100).otherwise(0)).alias("code"))
     names = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
-    return codes.join(F.broadcast(names), "code", "left").select(F.col("c_custkey").alias("pos"), "label", F.col("label").isNull().alias("fault"))
+    return codes.join(names, "code", "left").select(F.col("c_custkey").alias("pos"), "label", F.col("label").isNull().alias("fault"))
 
 
 def axis_lengths(m: CountMatrix) -> DataFrame:
@@ -69,13 +69,17 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 def doors(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.groupBy((F.col("o_orderkey") % 20).alias("release"), (F.col("o_orderkey") % 4).alias("door")).agg(F.min("o_orderkey").alias("k")).select("release", "door", F.when(F.col("k") % 9 == 0, "fail").when(F.col("k") % 9 == 1, "wait").otherwise("pass").alias("state"))
+    door = F.element_at(F.array(*[F.lit(x) for x in ("data", "code", "environment", "preregistration")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.groupBy((F.col("o_orderkey") % 37).alias("release"), door.alias("door")).agg(F.min("o_orderkey").alias("k")).select("release", "door", F.when(F.col("k") % 5 == 0, "pending").otherwise("passed").alias("state"))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
+    """(status, method, message)."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    said = ("timed out after 1800 s", "worker killed: out of memory", "no space left", "matrix exceeds cap", "invalid count range", "hash mismatch", "file not found", "exit code -11", "unknown", "Timeout")
-    return o.select(F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("o_orderkey") % len(said) + 1).cast("int")).alias("message"))
+    said = ("access violation at 0x0", "duplicate decoded index 3", "Invalid index width", "anndata needs zarr", "SystemError('error return without exception set')", "ACCESS VIOLATION", "returncode: 3221225477", "exit 1")
+    k = F.col("o_orderkey")
+    message = F.element_at(F.array(*[F.lit(x) for x in said]), (k % len(said) + 1).cast("int"))
+    return o.select(F.when(k % 11 == 0, "success").when(k % 13 == 0, "pending_adapter").otherwise("failed").alias("status"), F.when(k % 3 == 0, "Shared").otherwise("other").alias("method"), message.alias("message"))
 
 
 def sample_profile(m: CountMatrix) -> DataFrame:

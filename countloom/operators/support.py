@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BUCKET_EDGES, Q12, bucket, clamp_q, half_up, odds_to_q
-from ..sources.matrix import CountMatrix
+from ..sources.matrix import CountMatrix, per_sample
 
 
 def rows_per_sample(m: CountMatrix) -> DataFrame:
@@ -21,7 +21,7 @@ def rows_per_sample(m: CountMatrix) -> DataFrame:
 def gene_marginals(m: CountMatrix, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
     """(sample_id, g, ones, q0, b) for every gene of every sample, absent ones too."""
     ones = m.counts.groupBy("sample_id", "g").agg(F.count("*").alias("ones"))
-    all_ = m.genes.select("g").join(F.broadcast(rows_per_sample(m))).join(ones, ["sample_id", "g"], "left").withColumn("ones", F.coalesce("ones", F.lit(0)))
+    all_ = m.genes.select("g").join(per_sample(rows_per_sample(m))).join(ones, ["sample_id", "g"], "left").withColumn("ones", F.coalesce("ones", F.lit(0)))
     p = (F.col("ones") + F.lit(0.5)) / (F.col("n") + F.lit(1.0))
     q0 = clamp_q(half_up(p * Q12))
     return all_.select("sample_id", "g", "n", "ones", q0.alias("q0")).withColumn("b", bucket(F.col("q0"), edges))
@@ -48,16 +48,17 @@ def gene_context_counts(m: CountMatrix, graph: DataFrame, width: int = 6) -> Dat
     """(sample_id, g, k, n, y): cells past the start by gene and positive neighbours, k = 0 as the complement."""
     cells = enumerated_cells(m, graph, width).groupBy("sample_id", "g", "k").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     late = rows_per_sample(m).select("sample_id", F.greatest(F.col("n") - width, F.lit(0)).alias("late"))
-    whole = m.genes.select("g").join(F.broadcast(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
+    whole = m.genes.select("g").join(per_sample(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
     # Cells enumerated elsewhere leave the complement.
     less = cells.select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), (-F.col("n")).alias("n"), F.lit(0).cast("bigint").alias("y"))
     return whole.unionByName(less).unionByName(cells).groupBy("sample_id", "g", "k").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")
 
 
-def sufficient_statistics(m: CountMatrix, graph: DataFrame, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
-    """(sample_id, b, k, q, n, y)."""
+def sufficient_statistics(m: CountMatrix, graph: DataFrame, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES, late: DataFrame | None = None) -> DataFrame:
+    """(sample_id, b, k, q, n, y). late: gene_context_counts, if at hand."""
     genes = gene_marginals(m, edges).select("sample_id", "g", "b", F.col("q0").alias("q"))
-    return gene_context_counts(m, graph, width).join(genes, ["sample_id", "g"]).groupBy("sample_id", "b", "k", "q").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    late = late if late is not None else gene_context_counts(m, graph, width)
+    return late.join(genes, ["sample_id", "g"]).groupBy("sample_id", "b", "k", "q").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
 
 
 def fit_odds(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -120,7 +121,7 @@ def bits(q: Column) -> Column:
     return F.lit(12.0) - F.log2(q)
 
 
-def support_bits(m: CountMatrix, graph: DataFrame | None, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES, odds: DataFrame | None = None) -> DataFrame:
+def support_bits(m: CountMatrix, graph: DataFrame | None, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES, late: DataFrame | None = None) -> DataFrame:
     """(sample_id, g, bits): code length of a gene's whole support.
 
     Without a graph every cell costs by the gene's marginal alone. Rows at the start,
@@ -130,8 +131,8 @@ def support_bits(m: CountMatrix, graph: DataFrame | None, width: int = 6, edges:
     cost = lambda q, y, n: y * bits(q) + (n - y) * bits(F.lit(Q12) - q)
     if graph is None or width == 0:
         return genes.select("sample_id", "g", cost(F.col("q0"), F.col("ones"), F.col("n")).alias("bits"))
-    odds = odds if odds is not None else support_odds(m, graph, width, edges)
-    late = gene_context_counts(m, graph, width)
+    late = late if late is not None else gene_context_counts(m, graph, width)
+    odds = fit_odds(sufficient_statistics(m, graph, width, edges, late), ["sample_id", "b", "k"])
     full = all_odds(odds, rows_per_sample(m).select("sample_id"), len(edges), width)
     coded = late.withColumnRenamed("n", "cells").join(genes.select("sample_id", "g", "q0", "b"), ["sample_id", "g"]).join(full, ["sample_id", "b", "k"])
     past = coded.select("sample_id", "g", cost(odds_to_q(F.col("q0"), F.col("odds")), F.col("y"), F.col("cells")).alias("bits"))

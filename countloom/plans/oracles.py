@@ -223,7 +223,7 @@ a AS (SELECT archive_id, member, bytes, sha256(member || ':' || CAST(q AS VARCHA
 b AS (SELECT archive_id, member, bytes, sha256(member || ':' || CAST(q AS VARCHAR) || ':' || CASE WHEN q % 5 = 0 THEN 'b' ELSE '' END) AS sha256 FROM m0 WHERE q % 7 <> 0),
 j AS (SELECT coalesce(a.archive_id, b.archive_id) AS archive_id, coalesce(a.member, b.member) AS member, a.bytes AS want, b.bytes AS have, a.sha256 AS x, b.sha256 AS y FROM a FULL JOIN b ON a.archive_id = b.archive_id AND a.member = b.member)
 """
-PEOPLE = "WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS species, CAST(c_nationkey AS BIGINT) AS organ, CAST(c_acctbal AS DOUBLE) AS balance FROM customer)\n"
+PEOPLE = "WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS species, CAST(c_nationkey % 5 AS BIGINT) AS organ, CAST(c_acctbal AS DOUBLE) AS balance FROM customer)\n"
 LEDGER = """, led AS (SELECT archive_id, CASE member WHEN 'm1' THEN 'payload' WHEN 'm2' THEN 'payload' WHEN 'm3' THEN 'model' WHEN 'm4' THEN 'graph' WHEN 'm5' THEN 'identity' WHEN 'm6' THEN 'manifest' ELSE 'other' END AS category, sum(bytes) AS bytes FROM a GROUP BY 1, 2
   UNION ALL SELECT archive_id, 'framing', count(*) * 3 FROM a GROUP BY 1), tot AS (SELECT archive_id, sum(bytes) + count(*) * 3 AS total FROM a GROUP BY 1)
 """
@@ -234,6 +234,10 @@ def _m(final: str, spec: str, *parts: str, base: str = QUANTITY) -> str:
     return _w(base + "".join(parts), _out(f"({final})", spec))
 
 
+SIXTEEN = (1, 2, 4, 10, 16, 40, 64, 160, 256, 640, 1024, 1536, 2048, 2560, 3072, 3584)
+EDGES = {1: (1,), 2: (1, 256), 4: (1, 16, 256, 2048), 8: (1, 4, 16, 64, 256, 1024, 2048, 3072), 16: SIXTEEN, 32: tuple(sorted({x for i, a in enumerate(SIXTEEN) for x in (a, (a + (SIXTEEN + (4096,))[i + 1]) // 2)}))}
+
+
 ORACLE: dict[str, str] = {
     "io5_compressed_to_cells": _m("SELECT i, g, v FROM counts WHERE sample_id = 'N'", "i:i g:i v:i"),
     "io8_compressed_rows": _m("SELECT sp.sample_id, sp.i, sum(count(c.v)) OVER w - count(c.v) AS ptr_lo, sum(count(c.v)) OVER w AS ptr_hi, coalesce(string_agg(CAST(c.g AS VARCHAR), ',' ORDER BY c.g), '') AS minors, coalesce(string_agg(CAST(c.v AS VARCHAR), ',' ORDER BY c.g), '') AS vals FROM spots sp LEFT JOIN counts c ON c.sample_id = sp.sample_id AND c.i = sp.i GROUP BY 1, 2 WINDOW w AS (PARTITION BY sp.sample_id ORDER BY sp.i)", "sample_id:s i:i ptr_lo:i ptr_hi:i minors:s vals:s"),
@@ -246,8 +250,8 @@ ORACLE: dict[str, str] = {
     "p5_graph_faults": _m("SELECT sample_id, i FROM spots WHERE i >= 2 AND i % 9 = 0", "sample_id:s i:i"),
     "p7_exact_compare": _w(QUANTITY + ", tens AS (SELECT * FROM (SELECT l_returnflag AS sample_id, i, g, CAST(sum(floor(l_quantity / 10)) AS BIGINT) AS v FROM lineitem JOIN s ON l_suppkey = s_suppkey JOIN gn ON l_partkey = p_partkey GROUP BY 1, 2, 3) WHERE v > 0)", _out("(SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, count(*) FILTER (WHERE a.v = b.v) AS equal, count(*) FILTER (WHERE a.v <> b.v) AS changed, count(*) FILTER (WHERE b.v IS NULL) AS only_a, count(*) FILTER (WHERE a.v IS NULL) AS only_b FROM counts a FULL JOIN tens b ON a.sample_id = b.sample_id AND a.i = b.i AND a.g = b.g GROUP BY 1)", "sample_id:s equal:i changed:i only_a:i only_b:i identical=changed+only_a+only_b=0:b").replace("CAST(changed+only_a+only_b=0 AS BOOLEAN) AS identical", "changed + only_a + only_b = 0 AS identical")),
     "p9_safe_names": "SELECT CAST(p_partkey AS BIGINT) AS k, CASE p_partkey % 5 WHEN 0 THEN '/' WHEN 1 THEN '../' WHEN 2 THEN 'a\\b' WHEN 3 THEN 'c:' ELSE 'dir/' END || CAST(p_partkey AS VARCHAR) || '.bin' AS name, p_partkey % 5 = 4 AS safe FROM part",
-    "p10_release_gate": "SELECT CAST(release AS BIGINT) AS release, CASE WHEN bool_and(k % 9 > 1) THEN 'passed' WHEN bool_or(k % 9 = 0) THEN 'blocked' ELSE 'pending' END AS status FROM (SELECT o_orderkey % 20 AS release, o_orderkey % 4 AS door, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1",
-    "p12_failure_outcomes": "SELECT CASE o_orderkey % 10 WHEN 0 THEN 'timeout' WHEN 9 THEN 'timeout' WHEN 1 THEN 'memory' WHEN 2 THEN 'disk' WHEN 3 THEN 'capacity' WHEN 4 THEN 'invalid_input' WHEN 5 THEN 'mismatch' WHEN 6 THEN 'missing' WHEN 7 THEN 'native_crash' ELSE 'other' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
+    "p10_release_gate": "SELECT CAST(release AS BIGINT) AS release, CASE WHEN min(CASE WHEN door = 0 THEN ok ELSE 1 END) = 0 OR count(*) FILTER (WHERE door = 0) = 0 THEN 'pending' WHEN min(ok) = 0 OR count(*) < 4 THEN 'blocked' ELSE 'passed' END AS status FROM (SELECT o_orderkey % 37 AS release, o_orderkey % 4 AS door, CASE WHEN min(o_orderkey) % 5 = 0 THEN 0 ELSE 1 END AS ok FROM orders GROUP BY 1, 2) GROUP BY 1",
+    "p12_failure_outcomes": "SELECT CASE WHEN k % 11 = 0 THEN 'success' WHEN k % 13 = 0 THEN 'pending_adapter' WHEN k % 8 IN (0, 5, 6) THEN CASE WHEN k % 3 = 0 THEN 'shared_numba_runtime_crash' ELSE 'native_runtime_crash' END WHEN k % 8 = 1 THEN 'ivcsc_native_duplicate_index' WHEN k % 8 = 2 THEN 'ivcsc_native_index_width' WHEN k % 8 = 3 THEN 'python_package_compatibility' WHEN k % 8 = 4 THEN 'python_extension_nonzero' ELSE 'unclassified_nonzero_exit' END AS outcome, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1",
     "canonical_counts": _m("SELECT sample_id, i, g, v FROM counts", "sample_id:s i:i g:i v:i", base=TENS),
     "j1_causal_neighbours": _m("SELECT * FROM graph", "sample_id:s i:i r:i j:i", GRAPH),
     "j2_wide_neighbours": _m("SELECT * FROM graph", "sample_id:s i:i r:i j:i", _graph(12)),
@@ -285,7 +289,7 @@ ORACLE: dict[str, str] = {
     "a24_sample_profile": _m("SELECT c.sample_id, count(*) AS nnz, count(*) / CAST(any_value(n.n) * (SELECT count(*) FROM gn) AS DOUBLE) AS density, avg(CASE WHEN v = 1 THEN 1 ELSE 0 END) AS ones, avg(CASE WHEN v <= 3 THEN 1 ELSE 0 END) AS upto3, max(v) AS most FROM counts c JOIN nrow n USING (sample_id) GROUP BY 1", "sample_id:s nnz:i density:d ones:d upto3:d most:i"),
     "m10_code_length_k32": _w(QUANTITY + SUPPORT + _value_model(32), _out(TOTALS.format(s="sbits"), TOTAL_SPEC)),
     "m15_context_arms": " UNION ALL ".join(_arm(f"S{s}V{v}", QUANTITY + (SUPPORT if s else GRAPH + MARG + PLAIN_BITS) + _value_model(8, bool(v)), "sbits" if s else "pbits") for s in (0, 1) for v in (0, 1)),
-    "m16_bucket_arms": " UNION ALL ".join(_bucket_arm(n, e) for n, e in {1: (1,), 2: (1, 256), 4: (1, 16, 256, 2048), 8: (1, 4, 16, 64, 256, 1024, 2048, 3072)}.items()),
+    "m16_bucket_arms": " UNION ALL ".join(_bucket_arm(n, e) for n, e in EDGES.items()),
     "j2_width_arms": " UNION ALL ".join(_width_arm(n) for n in (0, 2, 4, 6, 8)),
     "m19_module_arms": " UNION ALL ".join(
         [

@@ -85,7 +85,7 @@ def members(spark: SparkSession, d: str, salt: str) -> DataFrame:
 def people(spark: SparkSession, d: str) -> DataFrame:
     """The customers as a cohort to select from."""
     c = spark.read.parquet(f"{d}/customer.parquet")
-    return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("species"), F.col("c_nationkey").cast("bigint").alias("organ"), F.col("c_acctbal").cast("double").alias("balance"))
+    return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("species"), (F.col("c_nationkey") % 5).cast("bigint").alias("organ"), F.col("c_acctbal").cast("double").alias("balance"))
 
 
 def _total_bits(m: CountMatrix, g: DataFrame | None, k: int = 32, width: int = 6, edges: tuple[int, ...] = fixed.BUCKET_EDGES, value_graph: DataFrame | None | bool = True, shared: bool = True) -> DataFrame:
@@ -111,12 +111,13 @@ def context_arms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Support code length with 1, 2, 4 and 8 buckets."""
+    """Support code length with 1, 2, 4, 8, 16 and 32 buckets."""
     m = from_tables(spark, d)
     g = graph.causal_neighbours(m.spots)
     out = None
+    late = support.gene_context_counts(m, g).persist()  # the same for all numbers of buckets
     for n, edges in fixed.BUCKET_FAMILY.items():
-        x = support.support_bits(m, g, 6, edges).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("buckets", F.lit(n))
+        x = support.support_bits(m, g, 6, edges, late).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("buckets", F.lit(n))
         out = x if out is None else out.unionByName(x)
     return tidy(out)
 
@@ -258,7 +259,7 @@ QUERIES: dict[str, Query] = {
     "p7_exact_compare": lambda s, d: tidy(layout.compare(from_tables(s, d, "quantity").counts, from_tables(s, d, "tens").counts)),
     "p9_safe_names": lambda s, d: tidy(layout.names(s, d).withColumn("safe", cohort.safe_name(F.col("name")))),
     "p10_release_gate": lambda s, d: tidy(cohort.gate(layout.doors(s, d))),
-    "p12_failure_outcomes": lambda s, d: tidy(layout.messages(s, d).withColumn("outcome", cohort.outcome(F.col("message"))).groupBy("outcome").agg(F.count("*").alias("n"))),
+    "p12_failure_outcomes": lambda s, d: tidy(layout.messages(s, d).withColumn("outcome", cohort.outcome(F.col("status"), F.col("method"), F.col("message"))).groupBy("outcome").agg(F.count("*").alias("n"))),
     "canonical_counts": _matrix(lambda m: m.counts, "tens"),
     # graphs
     "j1_causal_neighbours": _graph(lambda m, g: g.select("sample_id", "i", "r", "j")),

@@ -25,6 +25,19 @@ class CountMatrix:
     genes: DataFrame
 
 
+MAX_SAMPLES = 1_000_000
+
+
+def per_sample(df: DataFrame) -> DataFrame:
+    """A table of one row a sample, to be combined with every gene: broadcast, behind a check of its size.
+
+    A row is under 50 bytes, so what is sent is under 50 MB.
+    """
+    n = F.count("*").over(W.partitionBy(F.lit(0)))
+    guarded = df.limit(MAX_SAMPLES + 1).withColumn("_n", n).where(F.when(F.col("_n") > MAX_SAMPLES, F.raise_error(F.lit("more samples than can be sent to every task")).cast("boolean")).otherwise(True))
+    return F.broadcast(guarded.drop("_n"))
+
+
 def ordinals(df: DataFrame, key: str, name: str) -> DataFrame:
     """Adds the 0-based position of each row in ``key`` order (keys are distinct).
 
