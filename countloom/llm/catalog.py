@@ -11,11 +11,13 @@ from . import ann, lm, near_dups, tagger, weak_labels
 from .decontaminate import find_contamination
 from .mix import mix_sources
 from .secrets import scan_secrets
+from .store import small_batches
 from .token_counts import attribute_lines
 from .token_files import read_token_files, write_token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

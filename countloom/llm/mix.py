@@ -121,11 +121,11 @@ def mix_sources(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFr
 def copy_documents(docs: DataFrame, most: float = MOST, repairs: int = 3) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them."""
     columns = docs.columns
-    got = _decide(docs, most, repairs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies")
+    got = _decide(docs, most, repairs).where("copies > 0").select(F.col("doc_id").alias("_countloom_id"), F.col("source").alias("_countloom_source"), F.col("size").alias("_countloom_words"), F.col("copies").alias("_countloom_copies"))
     near = F.broadcast(got) if got.count() <= BROADCAST_DECISIONS else got
-    sized = word_sizes(docs, *columns, name="_size")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    return sized.join(near, same).withColumn("_each", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    sized = word_sizes(docs, *columns, name="_countloom_size")
+    same = F.col("doc_id").eqNullSafe(F.col("_countloom_id")) & F.col("source").eqNullSafe(F.col("_countloom_source")) & (F.col("_countloom_size") == F.col("_countloom_words"))
+    return sized.join(near, same).withColumn("_countloom_each", F.explode(F.sequence(F.lit(1), "_countloom_copies"))).select(*columns)
 
 
 def _decide(docs: DataFrame, most: float, repairs: int) -> DataFrame:

@@ -7,7 +7,7 @@ is a word byte), so bytes give the same words as characters do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 _CHUNK = 1 << 18
 
+# Freed batches go back to the system instead of staying in a pool of each worker.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes that are not white space: [^\x20\x09-\x0D]
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -74,8 +77,21 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of text, one row at least."""
+#: What operators keep in a worker process between tasks: name, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    _kept[owner] = drop
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text, one row at least.
+
+    A worker serves many tasks; what another operator than ``owner`` has kept in it goes.
+    """
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
     for b in batches:
         if not b.num_rows:
             continue
