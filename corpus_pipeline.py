@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm import decontaminate, mix, near_dups, token_files, weak_labels
-from countloom.llm.store import materialise
+from countloom.llm.store import materialise, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+def _bounded(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _bounded(f)) for f in (quality, near_duplicates, decontamination, mixing, tokens)]
 
 #: SQL can express neither the fitted models nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
