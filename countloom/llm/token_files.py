@@ -34,6 +34,7 @@ from __future__ import annotations
 import bisect
 import io
 import json
+import os
 import re
 import uuid
 import zlib
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import fresh_path, open_fs, read_bytes, write_bytes
-from .words import mix, pieces
+from .words import keep, mix, pieces
 
 _PIECE = re.compile(r"[^ \t-\r]+")
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
@@ -55,12 +56,23 @@ _CACHE_MOST = 800_000
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
+def _byte_chars() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones as themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class PieceEncoder:
     """Ids of texts as bytes, through a bounded cache of white-space-delimited pieces.
 
     Lower-casing ASCII first changes nothing for a tokenizer that lower-cases (texts
     with a special token's opening are left as they are). A full stop or comma after
-    a word of ASCII letters is a word of its own, so it need not be learnt anew.
+    a word of letters is a word of its own, so it need not be learnt anew, and a
+    lower-case Latin word goes to the library's model directly.
     """
 
     def __init__(self, path: str, width: int):
@@ -71,22 +83,34 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         self.marks = {m: self._whole([m])[0] for m in ".,"}
         self.lowers = self._whole(["Aa"]) == self._whole(["aa"])
+        tries = ["a", "the", "été", "übergröße", "ñandú", "ærø", "œuvre", "ÿ"]
+        self.direct = self.lowers and [self._word(t) for t in tries] == self._whole(tries)
 
     @classmethod
     def of(cls, path: str, width: int) -> PieceEncoder:
         """One for each worker process."""
+        keep("tokens", _encoders.clear)
         if (path, width) not in _encoders:
             _encoders[path, width] = cls(path, width)
         return _encoders[path, width]
 
+    def _word(self, word: str) -> bytes:
+        """Of one lower-case Latin word, by the library's model alone: nothing is left to normalise or to cut."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+
     def _whole(self, some: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         cache = self.cache
-        marked = [p for p in new if p[-1] in self.marks and p[:-1].isascii() and p[:-1].isalpha()]
+        marked = [p for p in new if p[-1] in self.marks and p[:-1].isalpha() and p[:-1].lower().isalpha()]
         later = set(marked)
         some = [p for p in new if p not in later] + [p for p in {p[:-1] for p in marked}.difference(new) if p not in cache]
+        if self.direct:
+            plain = [p for p in some if p.isalpha() and (p.isascii() or max(p) <= "\u024f") and p == p.lower()]
+            cache.update(zip(plain, map(self._word, plain), strict=True))
+            some = set(some).difference(plain)
+        some = list(some)
         for at in range(0, len(some), 5000):
             part = some[at : at + 5000]
             cache.update(zip(part, self._whole(part), strict=True))
@@ -104,7 +128,7 @@ class PieceEncoder:
         if len(self.cache) > _CACHE_MOST:
             self.cache.clear()
         cache = self.cache
-        self._learn([p for p in set().union(*split) if p not in cache])
+        self._learn(set().union(*split).difference(cache))
         return [b"".join(map(cache.__getitem__, ps)) for ps in split]
 
 
@@ -189,7 +213,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bas
         where.create_dir(path.rsplit("/", 1)[0], recursive=True)
         part = f"{path}.{uuid.uuid4().hex}.part"
         with where.open_output_stream(part) as out:
-            for b in pieces(batches, "text"):
+            for b in pieces(batches, "text", owner="tokens"):
                 encoded = [x + end for x in encoder.encode(b.column("text").to_pylist())]
                 key = b.column("doc_id").cast(pa.int64())
                 keys.append(key.fill_null(0).to_numpy(zero_copy_only=False))
