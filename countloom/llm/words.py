@@ -16,9 +16,6 @@ import pyarrow.compute as pc
 
 _CHUNK = 1 << 18
 
-# Freed batches go back to the system instead of staying in a pool of each worker.
-pa.set_memory_pool(pa.system_memory_pool())
-
 #: Bytes that are not white space: [^\x20\x09-\x0D]
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
