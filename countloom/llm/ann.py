@@ -5,7 +5,11 @@ nearest centroid's cell as its residual's product code (one byte for each group
 of dimensions). A query looks into its nearest cells: per cell, a table of the
 squared distances from its residual to all codewords turns codes into distances
 (asymmetric: the query is not quantised). The best ``rerank`` of all its cells
-are compared exactly, on the original vectors in double precision.
+are compared exactly, on the original vectors in double precision. Codes tie or
+mislead where vectors lie closer together than codewords do, so the k-th of these
+distances is only a bound: every original vector of the query's cells is then held
+against it, and the k nearest of those within it are the result. What a query does
+not find lies in the cells it does not look into.
 
 ``probes`` is the share of cells a query looks into. Vectors that fill all
 directions alike, as noise on a sphere does, need a large one for a high recall
@@ -110,6 +114,29 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], d[at]))[:k]]
 
 
+def _within(x: np.ndarray, ids: np.ndarray, q: np.ndarray, asking: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the vector, distance): each query's k nearest no farther than its bound, ties to the smaller id."""
+    xx, qq = (x**2).sum(1), (q**2).sum(1)
+    slack = 1e-12 * (xx.max() + qq)  # the product is not as exact as the sum of squares below
+    rough = xx + qq[:, None] - 2 * q @ x.T
+    rough[asking[:, None] == ids] = np.inf
+    some = ~(rough > (bound**2 + slack)[:, None]) & (asking[:, None] != ids)
+    for r in np.flatnonzero(some.sum(1) > k):
+        some[r] &= ~(rough[r] > np.partition(rough[r], k - 1)[k - 1] + 2 * slack[r])
+    at, near = np.nonzero(some)
+    total = np.zeros(len(at))
+    for a in range(0, len(at), 100_000):  # term by term, as the engine adds
+        i, j = at[a : a + 100_000], near[a : a + 100_000]
+        for c in range(x.shape[1]):
+            total[a : a + 100_000] += (x[j, c] - q[i, c]) ** 2
+    score = np.sqrt(total)
+    ok = np.flatnonzero(score <= bound[at])
+    ok = ok[np.lexsort((ids[near[ok]], score[ok], at[ok]))]
+    n = np.bincount(at[ok], minlength=len(q))
+    ok = ok[np.arange(len(ok)) - np.repeat(np.cumsum(n) - n, n) < k]
+    return at[ok], near[ok], score[ok]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
     cells: int = 2048, probes: float = 0.6, rerank: int = 400, sample: int = 40_000, block: int = 50_000, query_block: int = 2_000,
@@ -158,9 +185,11 @@ def search(
             take = np.maximum(np.ceil(2 * rerank / n[row]), np.ceil(rerank / (2.0 + 2.0 * rank))).astype(np.int32)
             cell = np.concatenate([f[:m] for f, m in zip(far, n, strict=True)])
             keep = held[cell] > 0
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(row[keep])), b.column("v").take(pa.array(row[keep])), pa.array(cell[keep].astype(np.int32)), pa.array(take[keep])], ["query_id", "q", "cell", "take"])
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), b.column("v").take(row), pa.array(cell[keep].astype(np.int32)), pa.array(take[keep]), b.column("bound").take(row)], ["query_id", "q", "cell", "take", "bound"])
 
-    routed = materialise(asked.mapInArrow(route, "query_id bigint, q array<double>, cell int, take int"), "routes")
+    routes = "query_id bigint, q array<double>, cell int, take int, bound double"
+    routed = materialise(asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(route, routes).drop("bound"), "routes")
     wanted = np.zeros(len(book.coarse), np.int64)
     for r in routed.groupBy("cell").count().collect():
         wanted[r["cell"]] = r["count"]
@@ -169,7 +198,8 @@ def search(
     part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     codes = index.join(blocks, "cell").withColumn("b", part("vec_id", "nb")).withColumn("qb", each("nq")).select("cell", "b", "qb", "vec_id", "code")
-    probing = routed.join(blocks, "cell").withColumn("qb", part("query_id", "nq")).withColumn("b", each("nb")).select("cell", "b", "qb", "query_id", "q", "take")
+    dealt = lambda r: r.join(blocks, "cell").withColumn("qb", part("query_id", "nq")).withColumn("b", each("nb")).drop("nb", "nq")
+    probing = dealt(routed)
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -192,4 +222,29 @@ def search(
     pairs = best.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
     ranked = pairs.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(_nearest(v, book.coarse).astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "cell", "raw"])
+
+    def within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, x = left["vec_id"].to_numpy(), np.frombuffer(b"".join(left["raw"])).reshape(len(left), dims)
+            step = max(1, 4_000_000 // len(x))
+            for a in range(0, len(right), step):
+                some = right.iloc[a : a + step]
+                asking = some["query_id"].to_numpy()
+                at, near, score = _within(x, ids, np.stack(some["q"].to_numpy()), asking, some["bound"].to_numpy(), k)
+                out.append(pd.DataFrame({"query_id": asking[at], "vec_id": ids[near], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    originals = base.mapInArrow(place, "vec_id bigint, cell int, raw binary").join(blocks, "cell").withColumn("b", part("vec_id", "nb")).withColumn("qb", each("nq")).select("cell", "b", "qb", "vec_id", "raw")
+    bounded = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    again = materialise(bounded.mapInArrow(route, routes).drop("take"), "bounded")
+    kept = originals.groupBy("cell", "b", "qb").cogroup(dealt(again).groupBy("cell", "b", "qb")).applyInPandas(within, "query_id bigint, vec_id bigint, score double")
+    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

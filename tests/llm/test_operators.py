@@ -294,6 +294,24 @@ def test_neighbours_recall_and_order(spark):
     assert ann.search(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    """Thousands of near copies share their codes; a query among them still gets its true neighbours."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(24_000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    x[22_000:] = x[0] + 2e-3 * rng.normal(size=(2_000, 64))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = collections.defaultdict(set)
+    for r in ann.search(df, df.where("vec_id >= 22000 and vec_id % 100 = 0"), sample=2_000).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(found & set(np.argsort(dist, kind="stable")[:10].tolist()))
+    assert len(got) == 20 and hits >= 0.99 * 200, hits
+
+
 # 6
 
 
