@@ -1,10 +1,11 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds the count of every training word (a 64-bit hash stands for a word);
-levels 2 and 3 hold n-grams of frequent words. A frequent word has at least
-``share`` of all tokens, so there are at most 1/share of them (their table is
-that small whatever the corpus is); other words end a context. N-grams seen fewer
-than ``least`` times are pruned, their mass goes to the back-off.
+Level 1 holds the count of every training word (a 64-bit hash stands for a word),
+and a word's place in it is its number; levels 2 and 3 hold n-grams of all words.
+N-grams seen fewer than ``least`` times are pruned, their mass goes to the
+back-off. Trigrams are counted where both their bigrams were kept, which all have
+that are seen ``least`` times. Numbers of words with at least ``share`` of all
+tokens, at most 1/share of them, are kept at hand to save searches for them.
 
 The model is interpolated absolute discounting, P(w|h) = (c(hw) - d)/c(h) +
 g(h) P(w|h'), where g(h) is what the kept n-grams leave, down to the add-one
@@ -166,6 +167,7 @@ def _map(base: str, shard: int, names: tuple[str, ...]) -> dict[str, np.ndarray]
 _EF = ("shape", "low", "high", "ones")
 _LEVEL1 = (*_EF, "count")
 _LEVEL = (*_EF, "prob", "ptr_shape", "ptr_low", "ptr_high", "ptr_ones", "left", "parents")
+_LEVEL2 = (*_LEVEL, "seen")
 
 
 def _find(level: Shards, keys: np.ndarray, names: tuple[str, ...], value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +188,20 @@ def _find(level: Shards, keys: np.ndarray, names: tuple[str, ...], value: str) -
     return node, out
 
 
+def _at(level: Shards, nodes: np.ndarray, names: tuple[str, ...], value: str = "") -> np.ndarray:
+    """A value of nodes in any order, or their keys."""
+    some, back = np.unique(nodes, return_inverse=True)
+    out = np.zeros(len(some), np.int64)
+    cut = np.append(np.searchsorted(some, level.before), len(some))
+    for s in range(len(level.before)):
+        a, b = cut[s], cut[s + 1]
+        if a < b:
+            x = _map(level.base, int(level.number[s]), names)
+            i = some[a:b] - level.before[s]
+            out[a:b] = x[value][i] if value else x["_keys"].access(i)
+    return out[back]
+
+
 def _left(level: Shards, parents: np.ndarray) -> np.ndarray:
     """Quantised log10 of what ascending parents leave to their back-off (0: all)."""
     out = np.zeros(len(parents), np.int64)
@@ -206,6 +222,7 @@ class Model:
     tokens: int = 0
     vocabulary: int = 0
     word: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # keys of frequent words, ascending
+    node: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # their numbers
     count: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     level1: Shards | None = None
     level2: Shards | None = None
@@ -214,12 +231,23 @@ class Model:
     def p1(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (self.tokens + self.vocabulary + 1.0))
 
-    def ids(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of frequent words, else -1."""
-        if not len(self.word):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.word, keys), len(self.word) - 1)
-        return np.where(self.word[at] == keys, at, -1)
+    def ids(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of words; -1 and 0 of words that are not in level 1."""
+        if self.level1 is None:
+            return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        some, back = np.unique(keys, return_inverse=True)
+        node, count = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
+        if len(self.word):
+            at = np.minimum(np.searchsorted(self.word, some), len(self.word) - 1)
+            own = self.word[at] == some
+            node[own], count[own] = self.node[at[own]], self.count[at[own]]
+        rest = np.flatnonzero(node < 0)
+        node[rest], count[rest] = _find(self.level1, some[rest], _LEVEL1, "count")
+        return node[back], count[back]
+
+    @property
+    def end(self) -> int:
+        return int(self.ids(np.array([int(END >> np.uint64(1))]))[0][0])
 
 
 def _sorted_shards(rows: DataFrame, by: list[str], within: list[str], write, base: str) -> Shards:
@@ -281,83 +309,90 @@ def train(docs: DataFrame, share: float = SHARE, least: int = LEAST, discount: f
             for shard in b.column("shard").to_pylist():
                 x = _map(at1, shard, _LEVEL1)
                 at = np.flatnonzero(x["count"] >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(x["_keys"].access(at), pa.int64()), pa.array(x["count"][at].astype(np.int64))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["_keys"].access(at), pa.int64()), pa.array(at + before[shard]), pa.array(x["count"][at].astype(np.int64))], ["key", "node", "n"])
 
-    named = spark.createDataFrame([(int(s),) for s in model.level1.number], "shard bigint").repartition(min(len(lines), 64), "shard").mapInArrow(frequent, "key bigint, n bigint")
+    before = dict(zip(model.level1.number.tolist(), model.level1.before.tolist(), strict=True))
+    named = spark.createDataFrame([(int(s),) for s in model.level1.number], "shard bigint").repartition(min(len(lines), 64), "shard").mapInArrow(frequent, "key bigint, node bigint, n bigint")
     top = sorted(named.collect())  # at most 1/share rows
-    model.word, model.count = np.array([r["key"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
-    words_ = len(model.word)
-    if not words_:
-        return model
-    small = Model(model.tokens, model.vocabulary, model.word, model.count)
-
-    def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = Combiner(), Combiner()
-
-        def leave(order: int, c: Combiner) -> pa.RecordBatch:
-            k, n = c.take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int8)), pa.array(k), pa.array(n)], ["order", "key", "n"])
-
-        end = int(small.ids(np.array([int(END >> np.uint64(1))]))[0])
-        for keys, first in _training(batches):
-            w = small.ids(keys)
-            u, v = contexts(w, first, end)
-            ok = (w >= 0) & (v >= 0)
-            if two.add((v * words_ + w)[ok]):
-                yield leave(2, two)
-            ok &= u >= 0
-            if three.add(((u * words_ + v) * words_ + w)[ok]):
-                yield leave(3, three)
-        yield leave(2, two)
-        yield leave(3, three)
-
-    grams = docs.select("doc_id", "text").mapInArrow(ngrams, "order tinyint, key bigint, n bigint").groupBy("order", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    grams = materialise(grams, "ngrams")
-    exact = F.expr(f"key div {words_}L")  # the context; a quotient of doubles would not be exact
+    model.word, model.node, model.count = (np.array([r[c] for r in top], np.int64) for c in ("key", "node", "n"))
+    words_ = model.vocabulary
+    if words_ >= 3 << 30:
+        raise ValueError("too many words for 63-bit keys of bigrams")
+    small = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, model.level1)
+
+    def counted_keys(keys_of) -> DataFrame:
+        """Keys seen often enough, with their counts and contexts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = Combiner()
+            for keys, first in _training(batches):
+                if c.add(keys_of(keys, first)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
+
+        grams = docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        # The context is an integer quotient; one of doubles would not be exact.
+        return materialise(grams, "ngrams").select("key", "n", F.expr(f"key div {words_}L").alias("ctx"))
+
+    def bigrams(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+        w = small.ids(keys)[0]
+        return contexts(w, first, small.end) * words_ + w
 
     def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _columns(batches)
         if x:
             shard, v, w = TaskContext.get().partitionId(), x["ctx"], x["key"] % words_
-            taken, total = x["n"] - discount, small.count[v].astype(np.float64)
+            taken, total = x["n"] - discount, _at(small.level1, v, _LEVEL1, "count").astype(np.float64)
             kept = np.bincount(v - v[0], taken)[v - v[0]]
-            p = taken / total + (1 - kept / total) * 10 ** small.p1(small.count[w])
+            p = taken / total + (1 - kept / total) * 10 ** small.p1(_at(small.level1, w, _LEVEL1, "count"))
             _save(at2, shard, _level_arrays(v, w, words_, encode_log(np.log10(p)), taken, total) | {"seen": x["n"]})
             yield _line(shard, int(x["key"][0]), len(v))
 
-    model.level2 = _sorted_shards(grams.where("order = 2").select("key", "n", exact.alias("ctx")), ["ctx"], ["key"], level2, at2)
-    two = Model(model.tokens, model.vocabulary, model.word, model.count, None, model.level2)
+    model.level2 = _sorted_shards(counted_keys(bigrams), ["ctx"], ["key"], level2, at2)
+    if int(model.level2.size.sum()) * words_ >= 1 << 63:
+        raise ValueError("too many bigrams for 63-bit keys of trigrams")
+    two = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, model.level1, model.level2)
+
+    def trigrams(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+        w = two.ids(keys)[0]
+        key, back = np.unique(contexts(w, first, two.end) * words_ + w, return_inverse=True)
+        node = _find(two.level2, key, _LEVEL2, "seen")[0][back]
+        parent = before_each(node, first)
+        ok = (parent >= 0) & (node >= 0)
+        return parent[ok] * words_ + w[ok]
 
     def level3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _columns(batches)
         if x:
-            shard, uv, w = TaskContext.get().partitionId(), x["ctx"], x["key"] % words_
-            some, at = np.unique(uv, return_inverse=True)
-            parent, seen = _find(two.level2, some, (*_LEVEL, "seen"), "seen")
-            v = uv % words_
-            low = _bigram(two, v, w, two.p1(two.count[w]))[0]
-            taken, total = x["n"] - discount, seen[at].astype(np.float64)
+            shard, parent, w = TaskContext.get().partitionId(), x["ctx"], x["key"] % words_
+            some, at = np.unique(parent, return_inverse=True)
+            v = _at(two.level2, some, _LEVEL2)[at] % words_
+            low = _bigram(two, v, w, two.p1(_at(two.level1, w, _LEVEL1, "count")))[0]
+            taken, total = x["n"] - discount, _at(two.level2, some, _LEVEL2, "seen")[at].astype(np.float64)
             kept = np.bincount(at, taken)[at]
             p = taken / total + (1 - kept / total) * 10**low
-            _save(at3, shard, _level_arrays(parent[at], w, words_, encode_log(np.log10(p)), taken, total))
-            yield _line(shard, int(parent[at[0]] * words_ + w[0]), len(w))
+            _save(at3, shard, _level_arrays(parent, w, words_, encode_log(np.log10(p)), taken, total))
+            yield _line(shard, int(x["key"][0]), len(w))
 
-    model.level3 = _sorted_shards(grams.where("order = 3").select("key", "n", exact.alias("ctx")), ["ctx"], ["key"], level3, at3)
+    model.level3 = _sorted_shards(counted_keys(trigrams), ["ctx"], ["key"], level3, at3)
     return model
 
 
-def contexts(w: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words two and one before each token; the end stands before the first."""
-    v = np.concatenate([[end], w[:-1]])
-    v[first[:-1]] = end
-    u = np.concatenate([[end], v[:-1]])
-    u[first[:-1]] = -1  # one context word before a document is enough
-    return u, v
+def before_each(x: np.ndarray, first: np.ndarray, start: int = -1) -> np.ndarray:
+    """What stands before each token of its document."""
+    out = np.concatenate([[start], x[:-1]])
+    out[first[:-1]] = start
+    return out
+
+
+def contexts(w: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """Numbers of the words before each token; the end stands before the first, and nothing before that."""
+    return before_each(w, first, end)
 
 
 def _bigram(model: Model, v: np.ndarray, w: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 P(w|v), node of (v, w) or -1)."""
-    words_ = len(model.word)
+    words_ = model.vocabulary
     p, node = p1.copy(), np.full(len(w), -1, np.int64)
     if model.level2 is None:
         return p, node
@@ -366,7 +401,7 @@ def _bigram(model: Model, v: np.ndarray, w: np.ndarray, p1: np.ndarray) -> tuple
     p[has] -= (_left(model.level2, some) / STEP)[at]
     both = has[w[has] >= 0]
     key, at = np.unique(v[both] * words_ + w[both], return_inverse=True)
-    n, q = _find(model.level2, key, (*_LEVEL, "seen"), "prob")
+    n, q = _find(model.level2, key, _LEVEL2, "prob")
     found = n[at] >= 0
     node[both] = n[at]
     p[both[found]] = -(q / STEP)[at][found]
@@ -375,17 +410,12 @@ def _bigram(model: Model, v: np.ndarray, w: np.ndarray, p1: np.ndarray) -> tuple
 
 def score_tokens(model: Model, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(training count, base log10, model log10) of each token."""
-    some, at = np.unique(keys, return_inverse=True)
-    count = _find(model.level1, some, _LEVEL1, "count")[1][at] if model.level1 else np.zeros(len(keys), np.int64)
+    w, count = model.ids(keys)
     p1 = model.p1(count)
-    w = model.ids(some)[at]
-    end = int(model.ids(np.array([int(END >> np.uint64(1))]))[0])
-    u, v = contexts(w, first, end)
-    p, node = _bigram(model, v, w, p1)
+    p, node = _bigram(model, contexts(w, first, model.end), w, p1)
     if model.level3 is not None:
-        words_ = len(model.word)
-        parent = np.concatenate([[-1], node[:-1]])
-        parent[first[:-1]] = -1
+        words_ = model.vocabulary
+        parent = before_each(node, first)
         has = np.flatnonzero(parent >= 0)
         some, at = np.unique(parent[has], return_inverse=True)
         p[has] -= (_left(model.level3, some) / STEP)[at]

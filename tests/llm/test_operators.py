@@ -359,6 +359,18 @@ def test_language_model(spark, make, odd):
     assert [r["score"] for r in lm.score_documents(make([None, "a b"]), empty).collect()] == [0.0, 0.0]
 
 
+def test_language_model_counts_rare_words_in_context(spark, make):
+    """What recurs is kept however small a part of the corpus its words are."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(40)) + (" xylo quark zeta" if i % 20 == 0 else "") for i in range(200)]
+    docs = make([(i, t, "s") for i, t in enumerate(texts)])
+    keys, first = lm.tokens(pa.array(["xylo quark zeta"]))
+    model, wide = lm.train(docs, share=0.02), lm.train(docs, share=1e-5)
+    _, base, p = lm.score_tokens(model, keys, first)
+    assert (p[1:3] > math.log10(0.8)).all() and (base[1:3] < -2).all()
+    assert (p == lm.score_tokens(wide, keys, first)[2]).all() and len(model.word) < len(wide.word)
+
+
 # 7
 
 
