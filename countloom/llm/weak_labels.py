@@ -42,7 +42,7 @@ HEURISTICS = (
     ("marked", 0.02, 0.20, 5),  # share of words with two marks or more at their end
     ("lines", 0.10, 0.40, 1),  # share of lines that repeat an earlier one
     ("phrases", 0.10, 0.40, 20),  # share of runs of five words that repeat an earlier one
-    ("narrow", 0.55, 0.80, 20),  # 1 - distinct words by words, over the first 1000 words
+    ("narrow", 0.55, 0.80, 20),  # 1 - distinct words by words, within each 1000 words of the text
 )
 
 
@@ -78,8 +78,10 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     repeats = lambda h, r: 1 - _distinct(h, r, rows) / np.maximum(1, np.bincount(r, minlength=rows))
     phrases = repeats(h5, r5) * (n > 0)
     rank = np.arange(len(w.hash)) - w.first[w.row]
-    head = rank < 1000
-    narrow = repeats(w.hash[head], w.row[head]) * (n > 0)
+    windows = -(-n // 1000)
+    at = (np.cumsum(windows) - windows)[w.row] + rank // 1000
+    distinct = np.bincount(np.repeat(np.arange(rows), windows), _distinct(w.hash, at, int(windows.sum())), rows)
+    narrow = (1 - distinct / np.maximum(1, n)) * (n > 0)
     # A line's hash sums its words' hashes by place.
     feeds = whole(raw == 0x0A)
     line = feeds[w.start] + w.row

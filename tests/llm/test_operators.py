@@ -456,6 +456,14 @@ def test_perfect_hash():
 # 9
 
 
+def test_narrow_reads_the_whole_text():
+    fresh = [" ".join(f"w{j}" for j in range(a, a + 1000)) for a in (0, 1000)]
+    few = " ".join(["one two"] * 1500)
+    column = pa.array([fresh[0] + " " + few, few + " " + fresh[0], " ".join(fresh), fresh[0], None, "a a a b"])
+    narrow = weak_labels.measure(column)[0][:, -1]
+    assert narrow == pytest.approx([1 - 1006 / 4000, 1 - 1006 / 4000, 0, 0, 0, 0.5])
+
+
 def test_weak_labels_find_junk(make, odd):
     rng = random.Random(9)
     texts, junk = [], []
