@@ -13,13 +13,13 @@ from . import coder
 
 
 def round_trip_compressed(m: CountMatrix) -> DataFrame:
-    """Cells of one sample through compressed rows and back."""
-    packed = to_compressed(m.counts, m.spots).where("sample_id = 'N'")
-    size = packed.agg(F.max("ptr_hi").alias("ptr"), F.max("i").alias("i"))
-    pointers = packed.select("i", F.col("ptr_lo").alias("ptr")).unionByName(size.select((F.col("i") + 1).alias("i"), "ptr"))
-    cells = packed.select("ptr_lo", F.posexplode(F.arrays_zip("minors", "vals")).alias("p", "e"))
-    entries = cells.select((F.col("ptr_lo") + F.col("p")).alias("pos"), F.col("e.minors").alias("g"), F.col("e.vals").alias("v"))
-    return from_compressed(pointers, entries)
+    """Cells of all samples through compressed rows and back."""
+    packed = to_compressed(m.counts, m.spots)
+    size = packed.groupBy("sample_id").agg(F.max("ptr_hi").alias("ptr"), F.max("i").alias("i"))
+    pointers = packed.select("sample_id", "i", F.col("ptr_lo").alias("ptr")).unionByName(size.select("sample_id", (F.col("i") + 1).alias("i"), "ptr"))
+    cells = packed.select("sample_id", "ptr_lo", F.posexplode(F.arrays_zip("minors", "vals")).alias("p", "e"))
+    entries = cells.select("sample_id", (F.col("ptr_lo") + F.col("p")).alias("pos"), F.col("e.minors").alias("g"), F.col("e.vals").alias("v"))
+    return from_compressed(pointers, entries, within=("sample_id",))
 
 
 def compressed_text(packed: DataFrame) -> DataFrame:

@@ -240,6 +240,7 @@ EDGES = {1: (1,), 2: (1, 256), 4: (1, 16, 256, 2048), 8: (1, 4, 16, 64, 256, 102
 
 ORACLE: dict[str, str] = {
     "io5_compressed_to_cells": _m("SELECT i, g, v FROM counts WHERE sample_id = 'N'", "i:i g:i v:i"),
+    "io5_compressed_to_all_cells": _m("SELECT sample_id, i, g, v FROM counts", "sample_id:s i:i g:i v:i"),
     "io8_compressed_rows": _m("SELECT sp.sample_id, sp.i, sum(count(c.v)) OVER w - count(c.v) AS ptr_lo, sum(count(c.v)) OVER w AS ptr_hi, coalesce(string_agg(CAST(c.g AS VARCHAR), ',' ORDER BY c.g), '') AS minors, coalesce(string_agg(CAST(c.v AS VARCHAR), ',' ORDER BY c.g), '') AS vals FROM spots sp LEFT JOIN counts c ON c.sample_id = sp.sample_id AND c.i = sp.i GROUP BY 1, 2 WINDOW w AS (PARTITION BY sp.sample_id ORDER BY sp.i)", "sample_id:s i:i ptr_lo:i ptr_hi:i minors:s vals:s"),
     "io2_label_decode": "SELECT CAST(c_custkey AS BIGINT) AS pos, n_name AS label, n_name IS NULL AS fault FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END",
     "io3_axis_lengths": _m("SELECT sample_id, n, n AS with_x, (SELECT count(*) FROM gn) AS genes, (SELECT max(i) FROM counts c WHERE c.sample_id = nrow.sample_id) < n AND (SELECT max(g) FROM counts c WHERE c.sample_id = nrow.sample_id) < (SELECT count(*) FROM gn) AS fits FROM nrow", "sample_id:s n:i with_x:i genes:i fits:b"),

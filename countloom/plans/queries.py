@@ -247,7 +247,8 @@ def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 QUERIES: dict[str, Query] = {
     # sources, canonical form and validation
-    "io5_compressed_to_cells": lambda s, d: tidy(layout.round_trip_compressed(from_tables(s, d))),
+    "io5_compressed_to_cells": lambda s, d: tidy(layout.round_trip_compressed(from_tables(s, d)).where("sample_id = 'N'").drop("sample_id")),
+    "io5_compressed_to_all_cells": lambda s, d: tidy(layout.round_trip_compressed(from_tables(s, d))),
     "io8_compressed_rows": _matrix(lambda m: layout.compressed_text(matrix.to_compressed(m.counts, m.spots))),
     "io2_label_decode": lambda s, d: tidy(layout.decode_labels(s, d)),
     "io3_axis_lengths": _matrix(layout.axis_lengths),
@@ -305,7 +306,7 @@ QUERIES: dict[str, Query] = {
     "m18_order_arms": order_arms,
     "m20_shuffled_groups": shuffled_groups,
     "m12_exceptions": _values(lambda m, p, e: values.exception_bound(p, values.centres(p), values.value_odds(e)).groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes"))),
-    "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_rates(values.profiles(from_tables(s, d)).where("sample_id = 'N'").select("g", "n", "a"), 4)),
+    "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"), (1, 2, 4, 8, 16, 32))),
     "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),
     "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
     "c8_comparators": lambda s, d: tidy(layout.comparators(from_tables(s, d))),

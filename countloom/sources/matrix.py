@@ -75,16 +75,17 @@ def from_dense(rows: DataFrame) -> DataFrame:
     return rows.select("i", F.posexplode("values").alias("g", "v")).where("v <> 0")
 
 
-def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", minor: str = "g") -> DataFrame:
+def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", minor: str = "g", within: tuple[str, ...] = ()) -> DataFrame:
     """Compressed rows (or columns): pointers(major, ptr) with one more row than there are majors; entries(pos, minor, v).
 
     Each entry belongs to the major whose half-open range holds its position: ranges
     are exploded to positions and joined by equality, so no range join is needed.
+    Both tables may hold many matrices, told apart by the columns ``within``.
     """
-    w = W.orderBy(major)
-    ranges = pointers.select(F.col(major), F.col("ptr").alias("lo"), F.lead("ptr").over(w).alias("hi")).where("hi > lo")
-    places = ranges.select(major, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
-    return places.join(entries, "pos").select(major, minor, "v")
+    w = W.partitionBy(*within).orderBy(major)
+    ranges = pointers.select(*within, F.col(major), F.col("ptr").alias("lo"), F.lead("ptr").over(w).alias("hi")).where("hi > lo")
+    places = ranges.select(*within, major, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    return places.join(entries, [*within, "pos"]).select(*within, major, minor, "v")
 
 
 def to_compressed(counts: DataFrame, rows: DataFrame, major: str = "i", minor: str = "g") -> DataFrame:

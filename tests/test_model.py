@@ -220,3 +220,27 @@ def test_empty_matrix(spark):
     m = build(spark, np.zeros((3, 2), np.int64))
     assert values.value_bits(m, graph.causal_neighbours(m.spots)).count() == 0
     assert coder.round_trip(m).first()["exact"]
+
+
+def test_rate_clusters_of_all_samples(spark, small):
+    from countloom.plans import queries
+    from countloom.sources.matrix import from_tables
+
+    got = queries.QUERIES["m6_rate_clusters"](spark, small).toPandas()
+    prof = values.profiles(from_tables(spark, small)).select("sample_id", "g", "n", "a").toPandas()
+    samples = sorted(prof["sample_id"].unique())
+    assert len(samples) == 3 and sorted(got[["sample_id", "k"]].drop_duplicates().itertuples(index=False, name=None)) == [(s, k) for s in samples for k in (1, 2, 4, 8, 16, 32)]
+    assert len(got) == 6 * len(prof)
+    for s in samples:
+        own = cohort.cluster_rates(spark.createDataFrame(prof[prof["sample_id"] == s].drop(columns="sample_id")), 4).collect()
+        mine = got[(got["sample_id"] == s) & (got["k"] == 4)]
+        assert sorted(map(tuple, own)) == sorted(mine[["g", "label", "centre"]].itertuples(index=False, name=None))
+
+
+def test_compressed_cells_of_all_samples(spark, small):
+    from countloom.operators import layout
+    from countloom.sources.matrix import from_tables
+
+    m = from_tables(spark, small)
+    cells = lambda df: sorted(map(tuple, df.select("sample_id", "i", "g", "v").collect()))
+    assert cells(layout.round_trip_compressed(m)) == cells(m.counts)
