@@ -244,3 +244,15 @@ def test_compressed_cells_of_all_samples(spark, small):
     m = from_tables(spark, small)
     cells = lambda df: sorted(map(tuple, df.select("sample_id", "i", "g", "v").collect()))
     assert cells(layout.round_trip_compressed(m)) == cells(m.counts)
+
+
+def test_shuffled_neighbours_of_all_seeds(spark, small):
+    from countloom.plans import queries
+    from countloom.sources.matrix import from_tables
+
+    got = queries.QUERIES["j4_shuffled_neighbours"](spark, small).toPandas()
+    assert sorted(got["seed"].unique()) == [11, 29, 47]
+    spots = from_tables(spark, small).spots
+    for seed in (11, 47):
+        want = graph.causal_neighbours(graph.shuffled_coordinates(spots, seed)).select("sample_id", "i", "r", "j").collect()
+        assert sorted(map(tuple, want)) == sorted(got[got["seed"] == seed][["sample_id", "i", "r", "j"]].itertuples(index=False, name=None))
