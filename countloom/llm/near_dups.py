@@ -56,7 +56,7 @@ SAMPLES = ROWS * BANDS
 #: Members and bytes of bags up to which a bucket is one list, and beyond which it is split.
 SMALL, SMALL_BYTES = 2048, 24 << 20
 HUGE, HUGE_BYTES = 16_384, 256 << 20
-#: Samples of 42 that must agree before a pair is verified: at a similarity of 0.8 fewer do twice in 10,000 pairs.
+#: Samples of 42 that must agree before a pair is verified: at a similarity of 0.8 fewer do six times in 10,000 pairs.
 AGREE = 25
 #: Rounds, at most, of splitting huge buckets.
 LEVELS = 4
