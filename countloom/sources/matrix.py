@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import U32
+from .shared import materialise
 
 MAX_DIM, MAX_CELLS = 2_000_000, 500_000_000
 
@@ -41,15 +42,19 @@ def per_sample(df: DataFrame) -> DataFrame:
 def ordinals(df: DataFrame, key: str, name: str) -> DataFrame:
     """Adds the 0-based position of each row in ``key`` order (keys are distinct).
 
-    Rows are range-partitioned and numbered within ranges; the driver sees one
-    count a range. So no task sorts or counts all rows.
+    Rows are range-partitioned and written once, as a range partitioning samples
+    anew each time it runs; then they are numbered within ranges. So no task sorts or
+    counts all rows, and the driver sees one count a range.
     """
-    spark = df.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000))
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1000))
+    ranged = materialise(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), name)
+    lead, at = [], 0
     held = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    lead = F.element_at(F.array(*[F.lit(sum(n for p, n in held.items() if p < i)).cast("bigint") for i in range(max(held, default=0) + 1)]), F.col("_part") + 1)
-    return ranged.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + lead).drop("_part")
+    for p in range(parts):
+        lead.append(at)
+        at += held.get(p, 0)
+    before = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in lead]), F.col("_part") + 1)
+    return ranged.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + before).drop("_part")
 
 
 def bad_value(v: Column) -> Column:
