@@ -59,8 +59,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    base = write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(spark, base)
+    docs = _read(spark, sf_dir, "documents")
+    return read_token_files(spark, write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")), docs)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,39 +1,22 @@
-"""The folder that driver and executors share, and small helpers around it."""
+"""Files in the folder that driver and executors share, and bounds on batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..sources.shared import discard, fresh_path, materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests), a new one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="countloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["attempt_name", "discard", "fresh_path", "materialise", "open_fs", "read_bytes", "shared_dir", "small_batches", "write_bytes"]
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bounds the bytes of the Arrow batches that go to Python workers, where texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, never a re-run.
-    """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers, where texts may be long. A lower bound that is set stays."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > mb << 20:
+        spark.conf.set(_BATCH, str(mb << 20))
 
 
 def open_fs(uri: str):
@@ -45,18 +28,17 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_bytes(uri: str, data: bytes) -> None:
-    """Write a whole file so that readers see all of it or nothing."""
-    from pyarrow import fs
+def attempt_name(shard: int) -> str:
+    """A file name of this attempt's own: the driver's list of what tasks report says which attempt counts."""
+    return f"{shard:06d}-{uuid.uuid4().hex[:12]}"
 
+
+def write_bytes(uri: str, data: bytes) -> None:
+    """Writes a whole new file; no other writer has its name."""
     where, path = open_fs(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with where.open_output_stream(part) as out:
+    with where.open_output_stream(path) as out:
         out.write(data)
-    if where.get_file_info(path).type != fs.FileType.NotFound:
-        where.delete_file(path)
-    where.move(part, path)
 
 
 def read_bytes(uri: str) -> bytes:

@@ -2,41 +2,44 @@
 
 Layout under one folder, for shards in ascending key order:
 
-``NNNNNN.ids``  the ids of all documents of the shard, little-endian, 2 bytes each
-                where the vocabulary allows, else 4; each document ends with ``end_id``.
-``NNNNNN.idx``  an .npz: key, valid (0: null key), offset (ids before the document in
-                the shard) and length by row; the hash index: one bit array per level,
-                ranks, and by slot a 32-bit fingerprint, the key's first row and its
-                number of rows.
-``manifest.json``  width, end_id and by shard its key range, rows, ids and the ids of
-                all shards before it.
+``NAME.ids``  the ids of all documents of the shard, little-endian, 2 bytes each
+              where the vocabulary allows, else 4; each document ends with ``end_id``.
+``NAME.idx``  an .npz, the hash index: one bit array per level, and by slot a 32-bit
+              fingerprint, the offset (ids before it in the shard) and length of the
+              key's first document and how many it has. Further documents of a key
+              and those without one are listed apart. No key is stored.
+``manifest.json``  width, end_id and by shard its name, key range, rows, ids and the ids
+              of all shards before it.
 
 The index (BBHash: Limasset, Rizk, Chikhi and Peterlongo, 2017) keeps about 3.5
 bits a key: on each level a key that is alone at its place sets that bit, others
 go on to the next level; a key's slot is the rank of its bit. A lookup probes a
-few bits, then compares the fingerprint, and reads ids at the row's offset.
+few bits, compares the fingerprint, and reads the ids at the slot's offset. That is
+how documents are read back, one by one or all of them: there is no other way from
+a key to its ids. A key that was never written passes for another one in 2**32.
 
-Documents are range-partitioned and sorted by key; each task streams one shard
-to a file of its own and moves it into place, so a task that runs again writes
-the same file. Only one line a shard comes to the driver.
+Documents are range-partitioned and sorted by key, ties by a hash of the text and
+the input partition, so equal rows do not all meet in one task. Each task streams
+one shard to files of its attempt's own name; the manifest, which the driver writes
+last from one line a shard, says which attempt counts.
 
 Encoding goes through the tokenizers library, in pieces cut at ASCII white space
-and cached: this vocabulary's tokenizer drops white space and never joins across
-it, so pieces give the ids of the whole text.
+and cached: the tokenizer the engine is meant for drops white space and never joins
+across it, so pieces give the ids of the whole text. A tokenizer of another
+normaliser or pre-tokenizer gets whole texts.
 
 Defined cases: a null text is empty and has just the end id; repeated keys keep a
-row each, adjacent, ordered by a hash of their texts; null keys come first and
-cannot be looked up; an empty table gives no shard rows; extra columns are ignored.
+document each, adjacent, ordered by a hash of their texts; null keys come first and
+are read by their list; keys that were not written give no rows; an empty table
+gives no shards; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import io
 import json
 import os
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -47,9 +50,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh_path, open_fs, read_bytes, write_bytes
+from .store import attempt_name, fresh_path, open_fs, read_bytes, write_bytes
 from .words import keep, mix, pieces
 
+# The normaliser and pre-tokenizer of which it is known that pieces give the ids of whole texts.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 _PIECE = re.compile(r"[^ \t-\r]+")
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
 _CACHE_MOST = 800_000
@@ -81,6 +89,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if width == 2 else "I"
         self.cache: dict[str, bytes] = {}
+        form = json.loads(self.tokenizer.to_str())
+        splits = (form.get("normalizer") or {}).get("normalizers") == _NORMALIZER and (form.get("pre_tokenizer") or {}).get("pretokenizers") == [_SPLIT, _BYTES]
+        self.pieced = splits and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in form["added_tokens"])
+        if not self.pieced:
+            return
         self.marks = {m: self._whole([m])[0] for m in ".,"}
         self.lowers = self._whole(["Aa"]) == self._whole(["aa"])
         tries = ["a", "the", "été", "übergröße", "ñandú", "ærø", "œuvre", "ÿ"]
@@ -124,6 +137,8 @@ class PieceEncoder:
         return _PIECE.findall(text) if _CONTROLS.search(text) else text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.pieced:
+            return self._whole([t or "" for t in texts])
         split = [self._pieces(t or "") for t in texts]
         if len(self.cache) > _CACHE_MOST:
             self.cache.clear()
@@ -185,18 +200,63 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 def _index(keys: np.ndarray, valid: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The index of a shard's documents, which ascend by key, those without one first."""
+    start = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)[: len(lengths)]
     rows = np.flatnonzero(valid)
     unique, at, n = np.unique(keys[rows], return_index=True, return_counts=True)
     ph = PerfectHash.build(unique)
     slot = ph.slots(unique)
-    row, count, mark = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64), np.empty(len(unique), np.uint32)
-    row[slot], count[slot], mark[slot] = rows[at], n, fingerprint(unique)
+    by = {c: np.empty(len(unique), d) for c, d in (("mark", np.uint32), ("start", np.int64), ("length", np.int64), ("count", np.int64))}
+    by["mark"][slot], by["start"][slot], by["length"][slot], by["count"][slot] = fingerprint(unique), start[rows[at]], lengths[rows[at]], n
+    again = np.ones(len(rows), bool)
+    again[at] = False
+    owner = np.repeat(slot, n)[again]
+    order = np.argsort(owner, kind="stable")
+    more, none = rows[again][order], np.flatnonzero(~valid)
     out = io.BytesIO()
-    offset = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)[: len(lengths)]
-    np.savez(out, key=keys, valid=valid, offset=offset, length=lengths, row=row, count=count, mark=mark, **{f"level{i}": b for i, b in enumerate(ph.bits)})
+    np.savez(
+        out, **by, more_slot=owner[order], more_start=start[more], more_length=lengths[more], none_start=start[none], none_length=lengths[none],
+        **{f"level{i}": b for i, b in enumerate(ph.bits)},
+    )
     return out.getvalue()
 
 
+class Index:
+    """A shard's index."""
+
+    def __init__(self, raw: bytes):
+        with np.load(io.BytesIO(raw)) as z:
+            self.by = {k: z[k] for k in z.files}
+        self.hash = PerfectHash([self.by[f"level{i}"] for i in range(sum(k.startswith("level") for k in self.by))])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``keys``, offset, length) of the documents of keys that are here."""
+        x = self.by
+        slot = self.hash.slots(keys)
+        at = np.flatnonzero(slot >= 0)
+        at = at[x["mark"][slot[at]] == fingerprint(keys[at])]
+        slot = slot[at]
+        more = x["count"][slot] - 1
+        lo = np.searchsorted(x["more_slot"], slot)
+        rest = np.repeat(lo, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        return np.concatenate([at, np.repeat(at, more)]), np.concatenate([x["start"][slot], x["more_start"][rest]]), np.concatenate([x["length"][slot], x["more_length"][rest]])
+
+
+def _read_ids(uri: str, start: np.ndarray, length: np.ndarray, width: int, most: int = 8 << 20) -> Iterator[np.ndarray]:
+    """The ids at ascending offsets, read in runs of at most ``most`` bytes, one document at least."""
+    where, path = open_fs(uri)
+    end = start + length
+    with where.open_input_file(path) as f:
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + most // width, "right")))
+            f.seek(int(start[a]) * width)
+            raw = np.frombuffer(f.read(int(end[b - 1] - start[a]) * width), f"<u{width}")
+            for i in range(a, b):
+                yield raw[start[i] - start[a] : end[i] - start[a]]
+            a = b
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, base: str | None = None, shard_mb: int = 64) -> str:
     """Encode and write all documents; returns the folder's URI. ``tokenizer_path`` is read on the executors."""
     spark = docs.sparkSession
@@ -208,32 +268,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bas
         encoder, dtype = PieceEncoder.of(tokenizer_path, width), np.dtype(f"<u{width}")
         end = np.array([end_id], dtype).tobytes()
         shard = TaskContext.get().partitionId()
+        name = attempt_name(shard)
         keys, valid, lengths = [], [], []
-        where, path = open_fs(f"{base}/{shard:06d}.ids")
-        where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with where.open_output_stream(part) as out:
-            for b in pieces(batches, "text", owner="tokens"):
-                encoded = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-                key = b.column("doc_id").cast(pa.int64())
-                keys.append(key.fill_null(0).to_numpy(zero_copy_only=False))
-                valid.append(key.is_valid().to_numpy(zero_copy_only=False))
-                lengths.append(np.array([len(x) // width for x in encoded], np.int64))
-                out.write(b"".join(encoded))
-        if not keys:
-            where.delete_file(part)
+        where, path = open_fs(f"{base}/{name}.ids")
+        out = None
+        for b in pieces(batches, "text", owner="tokens"):
+            if out is None:
+                where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                out = where.open_output_stream(path)
+            encoded = [x + end for x in encoder.encode(b.column("text").to_pylist())]
+            key = b.column("doc_id").cast(pa.int64())
+            keys.append(key.fill_null(0).to_numpy(zero_copy_only=False))
+            valid.append(key.is_valid().to_numpy(zero_copy_only=False))
+            lengths.append(np.array([len(x) // width for x in encoded], np.int64))
+            out.write(b"".join(encoded))
+        if out is None:
             return
+        out.close()
         k, v, n = (np.concatenate(x) for x in (keys, valid, lengths))
-        write_bytes(f"{base}/{shard:06d}.idx", _index(k, v, n))
-        if where.get_file_info(path).is_file:
-            where.delete_file(path)
-        where.move(part, path)
+        write_bytes(f"{base}/{name}.idx", _index(k, v, n))
         named = k[v]
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "rows": [len(k)], "ids": [int(n.sum())], "lo": [int(named[0]) if len(named) else None], "hi": [int(named[-1]) if len(named) else None]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "rows": [len(k)], "ids": [int(n.sum())], "nameless": [int((~v).sum())], "lo": [int(named[0]) if len(named) else None], "hi": [int(named[-1]) if len(named) else None]})
 
-    kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
-    ranged = kept.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")
-    shards = sorted(ranged.mapInArrow(run, "shard bigint, rows bigint, ids bigint, lo bigint, hi bigint").collect())
+    key = F.col("doc_id").asc_nulls_first()
+    kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text")).withColumn("_part", F.spark_partition_id())
+    ranged = kept.repartitionByRange(parts, key, "_tie", "_part").sortWithinPartitions(key, "_tie")
+    shards = sorted(ranged.mapInArrow(run, "shard bigint, name string, rows bigint, ids bigint, nameless bigint, lo bigint, hi bigint").collect())
     start, listed = 0, []
     for s in shards:
         listed.append(s.asDict() | {"start": start})
@@ -242,66 +302,67 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bas
     return base
 
 
-def _open_index(base: str, shard: int) -> dict:
-    with np.load(io.BytesIO(read_bytes(f"{base}/{shard:06d}.idx"))) as z:
-        return {k: z[k] for k in z.files}
-
-
 class TokenFiles:
     """Keyed access: the ids of a document's rows, by key."""
 
     def __init__(self, base: str):
         self.base, self.manifest = base, json.loads(read_bytes(f"{base}/manifest.json"))
         self.named = [s for s in self.manifest["shards"] if s["hi"] is not None]
-        self.open: dict[int, tuple[dict, PerfectHash]] = {}
+        self.lo, self.hi = (np.array([s[c] for s in self.named], np.int64) for c in ("lo", "hi"))
+        self.open: dict[str, Index] = {}
+
+    def shards(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``keys``, place in ``named``) of the shards whose range holds a key."""
+        first, n = np.searchsorted(self.hi, keys, "left"), np.searchsorted(self.lo, keys, "right")
+        n = np.maximum(n - first, 0)
+        return np.repeat(np.arange(len(keys)), n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def index(self, name: str) -> Index:
+        if name not in self.open:
+            self.open[name] = Index(read_bytes(f"{self.base}/{name}.idx"))
+        return self.open[name]
 
     def get(self, key: int) -> list[np.ndarray]:
-        found = []
-        for s in self.named[bisect.bisect_left([x["hi"] for x in self.named], key) :]:
-            if s["lo"] > key:
-                break
-            if s["shard"] not in self.open:
-                x = _open_index(self.base, s["shard"])
-                self.open[s["shard"]] = x, PerfectHash([x[f"level{i}"] for i in range(sum(k.startswith("level") for k in x))])
-            x, ph = self.open[s["shard"]]
-            one = np.array([key], np.int64)
-            slot = int(ph.slots(one)[0])
-            if slot < 0 or x["mark"][slot] != fingerprint(one)[0]:
-                continue
-            row, n, width = int(x["row"][slot]), int(x["count"][slot]), self.manifest["width"]
-            where, path = open_fs(f"{self.base}/{s['shard']:06d}.ids")
-            with where.open_input_file(path) as f:
-                for r in range(row, row + n):
-                    f.seek(int(x["offset"][r]) * width)
-                    found.append(np.frombuffer(f.read(int(x["length"][r]) * width), f"<u{width}"))
+        found, one = [], np.array([key], np.int64)
+        for at in self.shards(one)[1]:
+            name = self.named[at]["name"]
+            _, start, length = self.index(name).find(one)
+            found += _read_ids(f"{self.base}/{name}.ids", start, length, self.manifest["width"])
         return found
 
 
-def read_token_files(spark: SparkSession, base: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of all rows, from the files; looks every key up through the index."""
-    manifest = json.loads(read_bytes(f"{base}/manifest.json"))
-    width = manifest["width"]
+def read_token_files(spark: SparkSession, base: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the documents of the ids in ``keys``, through the index; null asks for those without one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Keys are sent to the shards in whose range they lie, and each shard looks its own up.
+    """
+    files = TokenFiles(base)
+    width, shards = files.manifest["width"], files.manifest["shards"]
+    start_of = {s["name"]: s["start"] for s in shards}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, start in zip(b.column("shard").to_pylist(), b.column("start").to_pylist(), strict=True):
-                x = _open_index(base, shard)
-                ph = PerfectHash([x[f"level{i}"] for i in range(sum(k.startswith("level") for k in x))])
-                rows = np.flatnonzero(x["valid"])
-                slot = ph.slots(x["key"][rows])
-                first = x["row"][slot]
-                if (x["mark"][slot] != fingerprint(x["key"][rows])).any() or (rows < first).any() or (rows >= first + x["count"][slot]).any():
-                    raise ValueError(f"shard {shard}: the index does not lead to its rows")
-                where, path = open_fs(f"{base}/{shard:06d}.ids")
-                crc = np.empty(len(x["key"]), np.int64)
-                with where.open_input_stream(path) as f:
-                    for i, n in enumerate(x["length"].tolist()):
-                        crc[i] = zlib.crc32(np.frombuffer(f.read(n * width), f"<u{width}").astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["key"], pa.int64(), mask=~x["valid"]), pa.array(x["offset"] + start), pa.array(x["length"]), pa.array(crc)],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    shards = [(s["shard"], s["start"]) for s in manifest["shards"]]
-    listed = spark.createDataFrame(shards, "shard bigint, start bigint")
-    return listed.repartition(max(1, len(shards)), "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+            asked = b.column("doc_id").drop_null().to_numpy(zero_copy_only=False)
+            key, shard = files.shards(asked)
+            nameless = [s["name"] for s in shards if s["nameless"]] if b.column("doc_id").null_count else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*(files.named[i]["name"] for i in shard.tolist()), *nameless], pa.string()), pa.concat_arrays([pa.array(asked[key], pa.int64()), pa.nulls(len(nameless), pa.int64())])], ["name", "doc_id"]
+            )
+
+    def look(group: pa.Table) -> pa.Table:
+        name, asked = group.column("name")[0].as_py(), group.column("doc_id").combine_chunks()
+        index = Index(read_bytes(f"{base}/{name}.idx"))
+        own = asked.drop_null().to_numpy(zero_copy_only=False)
+        at, start, length = index.find(own)
+        key, known = own[at], np.ones(len(at), bool)
+        if asked.null_count:
+            x = index.by
+            start, length = np.concatenate([x["none_start"], start]), np.concatenate([x["none_length"], length])
+            key, known = np.concatenate([np.zeros(len(x["none_start"]), np.int64), key]), np.concatenate([np.zeros(len(x["none_start"]), bool), known])
+        order = np.argsort(start, kind="stable")
+        key, known, start, length = key[order], known[order], start[order], length[order]
+        crc = np.fromiter((zlib.crc32(ids.astype("<u4").tobytes()) for ids in _read_ids(f"{base}/{name}.ids", start, length, width)), np.int64, len(start))
+        return pa.table([pa.array(key, pa.int64(), mask=~known), pa.array(start + start_of[name]), pa.array(length), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    asked = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    return asked.mapInArrow(route, "name string, doc_id bigint").groupBy("name").applyInArrow(look, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

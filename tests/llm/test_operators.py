@@ -422,14 +422,28 @@ def test_encoder_is_the_library():
         assert np.frombuffer(raw, "<u2").tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_an_unknown_tokenizer_gets_whole_texts(tmp_path, corpus):
+    import json
+
+    from tokenizers import Tokenizer
+
+    form = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    form["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "x"}
+    (tmp_path / "t.json").write_text(json.dumps(form))
+    own, tk = token_files.PieceEncoder(str(tmp_path / "t.json"), 2), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not own.pieced and token_files.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), 2).pieced
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode([*corpus[:5], None])] == [tk.encode(t or "", add_special_tokens=False).ids for t in [*corpus[:5], None]]
+
+
 def test_token_files_round_trip(spark, make, odd, corpus):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
     rows = [*odd, *((100 + i, t, "s") for i, t in enumerate(corpus))]
-    base = token_files.write_token_files(make(rows, extra=True), path)
-    got = token_files.read_token_files(spark, base).collect()
+    docs = make(rows, extra=True)
+    base = token_files.write_token_files(docs, path)
+    got = token_files.read_token_files(spark, base, docs).collect()
     ids = [[*tk.encode(t or "", add_special_tokens=False).ids, 1] for _, t, _ in rows]
     want = collections.Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _, _), x in zip(rows, ids, strict=True))
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
@@ -443,7 +457,38 @@ def test_token_files_round_trip(spark, make, odd, corpus):
     for k in (4, 100, 7):
         assert sorted(x.tolist() for x in files.get(k)) == sorted(x for (i, _, _), x in zip(rows, ids, strict=True) if i == k)
     assert files.get(12345678) == []
-    assert token_files.read_token_files(spark, token_files.write_token_files(make([]), path)).count() == 0
+    some = token_files.read_token_files(spark, base, docs.where("doc_id in (4, 100)").unionByName(make([(12345678, "", "s")], extra=True))).collect()
+    assert collections.Counter(map(tuple, some)) == collections.Counter(tuple(r) for r in got if r["doc_id"] in (4, 100))
+    empty = make([])
+    assert token_files.read_token_files(spark, token_files.write_token_files(empty, path), empty).count() == 0
+
+
+def test_files_are_read_through_their_index(spark, make, corpus):
+    """An index that leads elsewhere gives other rows: nothing else says where a document is."""
+    import glob
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = make(corpus)
+    base = token_files.write_token_files(docs, path)
+    right = sorted(map(tuple, token_files.read_token_files(spark, base, docs).collect()))
+    for name in glob.glob(base.removeprefix("file://") + "/*.idx"):
+        with np.load(name) as z:
+            x = {k: z[k] for k in z.files}
+        assert not {"key", "valid"} & set(x) and all(len(x[c]) == len(x["mark"]) for c in ("start", "length", "count"))
+        x["mark"] = x["mark"] ^ np.uint32(1)
+        np.savez(name.removesuffix(".idx") + ".npz", **x)
+        __import__("os").replace(name.removesuffix(".idx") + ".npz", name)
+    assert len(right) == len(corpus) and token_files.read_token_files(spark, base, docs).count() == 0
+
+
+def test_one_key_over_many_shards(spark, make):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = make([(7, f"text number {i % 3}", "s") for i in range(300)] + [(9, "other", "s"), (3, "first", "s")]).repartition(8)
+    base = token_files.write_token_files(docs, path)
+    assert len(token_files.TokenFiles(base).get(7)) == 300
+    got = token_files.read_token_files(spark, base, docs).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == {7: 300, 9: 1, 3: 1}
+    assert len({r["start"] for r in got}) == 302
 
 
 def test_perfect_hash():
