@@ -10,18 +10,22 @@ tokens, at most 1/share of them, are kept at hand to save searches for them.
 The model is interpolated absolute discounting, P(w|h) = (c(hw) - d)/c(h) +
 g(h) P(w|h'), where g(h) is what the kept n-grams leave, down to the add-one
 unigram; so probabilities of all words sum to 1 in every context, up to the
-quantisation of the stored ones (8 bits, steps of 1/32 in log10).
+quantisation of the stored ones (16 bits, steps of 1/2048 in log10).
 
 A level is a sorted sequence of (parent node, word) keys, parent * words + word:
 every parent's successors, relative to their parent's base, in one monotone
 Elias-Fano sequence. A query searches the successor of its context's base plus
 its word. Monotone pointers from parents to their first successors, also in
-Elias-Fano form, enumerate a context. Levels are written by range-partitioned
-tasks as shards of plain arrays in the shared folder and memory-mapped by the
-scorers; only one line a shard comes to the driver.
+Elias-Fano form, enumerate a context. Levels are shards of plain arrays in the
+shared folder, memory-mapped by the scorers; a few lines a shard come to the driver.
 
-Counting combines within tasks before every shuffle. Hot words cost no more than
-others: they are one row a task.
+Counting is a sort: a task sorts and combines its keys, cuts them at the shards'
+bounds and sends each shard one block (differences in byte planes); a shard's task
+merges its blocks. Bounds come from the level above: a context is met as often as it
+was counted, and followed by words as often as these occur, so every shard takes
+at most about ``shard`` n-grams, and the successors of a hot context are cut into
+as many shards as they need; what such a context leaves to its back-off is then
+summed over them.
 
 Defined cases: a null text is empty: one end token; a null doc_id counts as the
 empty string in the fold; without training documents N and V are 0 and every
@@ -31,24 +35,27 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import io
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .store import fresh_path, materialise, open_fs, read_bytes, write_bytes
+from .store import attempt_name, fresh_path, open_fs, read_bytes, write_bytes
 from .words import NON_SPACE, pieces, words
 
 SHARE = 1e-5
 LEAST = 2
 DISCOUNT = 0.75
-STEP = 32.0
+STEP = 2048.0
+#: N-grams, repeats counted, that a shard takes at most, about; and bytes of text for a shard of words.
+SHARD, SHARD_TEXT = 8_000_000, 64 << 20
 #: Stands for the end of a document, and for what is before its first word.
 END = np.uint64(0x9D39247E33776D41)
 
@@ -71,8 +78,42 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_log(x: np.ndarray) -> np.ndarray:
-    """log10 of a probability in one byte; 0 stands for 1."""
-    return np.clip(np.round(-np.asarray(x) * STEP), 0, 255).astype(np.uint8)
+    """log10 of a probability, down to 1e-32, in two bytes; 0 stands for 1."""
+    return np.clip(np.round(-np.asarray(x) * STEP), 0, 65535).astype(np.uint16)
+
+
+def unique_back(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values ascending, place of each value among them)."""
+    codes, some = pd.factorize(x)
+    order = np.argsort(some)
+    rank = np.empty(len(some), np.int64)
+    rank[order] = np.arange(len(some))
+    return some[order], rank[codes]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes, as many as the largest needs; these compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[new], np.add.reduceat(c, new) if len(new) else c
 
 
 class Combiner:
@@ -91,8 +132,7 @@ class Combiner:
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        k, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        c = np.bincount(at, np.concatenate(self.counts), len(k)).astype(np.int64)
+        k, c = merge(self.keys, self.counts)
         self.keys, self.counts, self.held = [], [], 0
         return k, c
 
@@ -104,63 +144,100 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield tokens(b.column("text").filter(pa.array(learn)))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(key, n) over all training documents."""
+_BLOCKS = "shard int, n bigint, keys binary, counts binary"
+_LINES = "shard int, name string, first bigint, nodes bigint, total bigint, ends array<bigint>, sums array<double>, knots array<bigint>, upto array<bigint>"
+
+
+def _counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], bounds: np.ndarray, write: Callable[[int, np.ndarray, np.ndarray], dict | None]) -> list[dict]:
+    """Counts keys over all training documents by shards cut at ``bounds``; write(shard, keys, counts) gives a line."""
+
+    def blocks(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        parts = [(keys[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in some]
+        packed = [_planes(np.diff(k, prepend=np.int64(0))) for k, _ in parts], [_planes(c) for _, c in parts]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([len(k) for k, _ in parts], pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "n", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Combiner()
-        for keys, _ in _training(batches):
-            if c.add(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
+        for keys, first in _training(batches):
+            if c.add(keys_of(keys, first)):
+                yield blocks(*c.take())
+        yield blocks(*c.take())
+
+    def gather(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_pylist()
+        keys = [np.cumsum(_unplanes(x.as_buffer(), m)) for x, m in zip(group.column("keys"), n, strict=True)]
+        counts = [_unplanes(x.as_buffer(), m) for x, m in zip(group.column("counts"), n, strict=True)]
+        shard = group.column("shard")[0].as_py()
+        line = write(shard, *merge(keys, counts))
+        return pa.Table.from_pylist([{"shard": shard, **line}] if line else [], pa.schema([("shard", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("first", "nodes", "total")), ("ends", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64())), ("knots", pa.list_(pa.int64())), ("upto", pa.list_(pa.int64()))]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", "text").mapInArrow(run, _BLOCKS).groupBy("shard").applyInArrow(gather, _LINES).collect()
+    return [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]
 
 
 @dataclass
 class Shards:
-    """A level's shards in key order: first key, nodes before, nodes, place."""
+    """A level's shards in key order: first key, nodes before, nodes, folder."""
 
     base: str
     first: np.ndarray
     before: np.ndarray
     size: np.ndarray
-    number: np.ndarray
+    name: list[str]
 
     @classmethod
-    def of(cls, base: str, rows: list) -> Shards:
-        rows = sorted(rows, key=lambda r: r["shard"])
-        size = np.array([r["nodes"] for r in rows], np.int64)
-        return cls(base, np.array([r["first"] for r in rows], np.int64), np.concatenate([[0], np.cumsum(size)])[: len(size)].astype(np.int64), size, np.array([r["shard"] for r in rows], np.int64))
+    def of(cls, base: str, lines: list[dict]) -> Shards:
+        size = np.array([r["nodes"] for r in lines], np.int64)
+        return cls(base, np.array([r["first"] for r in lines], np.int64), np.concatenate([[0], np.cumsum(size)])[: len(size)].astype(np.int64), size, [r["name"] for r in lines])
+
+
+class _Cache:
+    """Shards at hand in a worker: mapped ones by number, read ones by their bytes; the longest unused go first."""
 
+    def __init__(self, most: int = 2048, most_bytes: int = 256 << 20):
+        self.most, self.most_bytes, self.bytes, self.held = most, most_bytes, 0, OrderedDict()
 
-_mapped: dict[str, dict] = {}
+    def get(self, at: str) -> dict:
+        self.held.setdefault(at, {"_bytes": 0})
+        self.held.move_to_end(at)
+        return self.held[at]
 
+    def grow(self, own: dict, size: int) -> None:
+        own["_bytes"] += size
+        self.bytes += size
+        while len(self.held) > 1 and (len(self.held) > self.most or self.bytes > self.most_bytes):
+            self.bytes -= self.held.popitem(last=False)[1]["_bytes"]
 
-def _save(base: str, shard: int, arrays: dict[str, np.ndarray]) -> None:
-    import io
 
-    for name, x in arrays.items():
+_mapped = _Cache()
+
+
+def _save(base: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    for k, x in arrays.items():
         out = io.BytesIO()
         np.save(out, x)
-        write_bytes(f"{base}/{shard:06d}/{name}.npy", out.getvalue())
+        write_bytes(f"{base}/{name}/{k}.npy", out.getvalue())
 
 
-def _map(base: str, shard: int, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+def _map(base: str, name: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """A shard's arrays, memory-mapped where the shared folder is mounted, else read."""
-    import io
-
     from pyarrow import fs
 
-    at = f"{base}/{shard:06d}"
-    own = _mapped.setdefault(at, {})
+    at = f"{base}/{name}"
+    own = _mapped.get(at)
     if missing := [n for n in names if n not in own]:
         where, path = open_fs(at)
         if isinstance(where, fs.LocalFileSystem):
-            own |= {n: np.load(f"{path}/{n}.npy", mmap_mode="r").view(np.ndarray) for n in missing}
+            got = {n: np.load(f"{path}/{n}.npy", mmap_mode="r").view(np.ndarray) for n in missing}
+            size = 0
         else:
-            own |= {n: np.load(io.BytesIO(read_bytes(f"{at}/{n}.npy"))) for n in missing}
+            got = {n: np.load(io.BytesIO(read_bytes(f"{at}/{n}.npy"))) for n in missing}
+            size = sum(x.nbytes for x in got.values())
+        own |= got
         own.setdefault("_keys", EliasFano.of(own))
+        _mapped.grow(own, size)
     return own
 
 
@@ -180,7 +257,7 @@ def _find(level: Shards, keys: np.ndarray, names: tuple[str, ...], value: str) -
     for s in range(len(level.first)):
         a, b = cut[s], cut[s + 1]
         if a < b:
-            x = _map(level.base, int(level.number[s]), names)
+            x = _map(level.base, level.name[s], names)
             i = x["_keys"].find(keys[a:b])
             ok = i >= 0
             node[a:b] = np.where(ok, i + level.before[s], -1)
@@ -190,13 +267,13 @@ def _find(level: Shards, keys: np.ndarray, names: tuple[str, ...], value: str) -
 
 def _at(level: Shards, nodes: np.ndarray, names: tuple[str, ...], value: str = "") -> np.ndarray:
     """A value of nodes in any order, or their keys."""
-    some, back = np.unique(nodes, return_inverse=True)
+    some, back = unique_back(nodes)
     out = np.zeros(len(some), np.int64)
     cut = np.append(np.searchsorted(some, level.before), len(some))
     for s in range(len(level.before)):
         a, b = cut[s], cut[s + 1]
         if a < b:
-            x = _map(level.base, int(level.number[s]), names)
+            x = _map(level.base, level.name[s], names)
             i = some[a:b] - level.before[s]
             out[a:b] = x[value][i] if value else x["_keys"].access(i)
     return out[back]
@@ -207,9 +284,9 @@ def _left(level: Shards, parents: np.ndarray) -> np.ndarray:
     out = np.zeros(len(parents), np.int64)
     if not len(level.first):
         return out
-    # A parent's successors are all in one shard.
+    # Where a parent's successors are cut, all its shards say the same.
     for s in range(len(level.first)):
-        x = _map(level.base, int(level.number[s]), _LEVEL)
+        x = _map(level.base, level.name[s], _LEVEL)
         lo, n = int(x["parents"][0]), int(x["parents"][1])
         a, b = np.searchsorted(parents, lo), np.searchsorted(parents, lo + n)
         if a < b:
@@ -235,7 +312,7 @@ class Model:
         """(number, count) of words; -1 and 0 of words that are not in level 1."""
         if self.level1 is None:
             return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        some, back = np.unique(keys, return_inverse=True)
+        some, back = unique_back(keys)
         node, count = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
         if len(self.word):
             at = np.minimum(np.searchsorted(self.word, some), len(self.word) - 1)
@@ -250,131 +327,170 @@ class Model:
         return int(self.ids(np.array([int(END >> np.uint64(1))]))[0][0])
 
 
-def _sorted_shards(rows: DataFrame, by: list[str], within: list[str], write, base: str) -> Shards:
-    """Write range-partitioned, sorted rows as shards."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*within)
-    return Shards.of(base, ranged.mapInArrow(write, "shard bigint, first bigint, nodes bigint").collect())
-
+def _knots(nodes: int, mass: np.ndarray, points: int = 32) -> tuple[list[int], list[int]]:
+    """(nodes, mass before them): some places at which a shard's mass is cut alike, and both sides of heavy nodes."""
+    upto = np.concatenate([[0], np.cumsum(mass)])
+    at = np.searchsorted(upto, np.linspace(0, upto[-1], points + 1), "right") - 1
+    at = np.unique(np.clip(np.concatenate([at, at + 1, [0, nodes]]), 0, nodes))
+    return at.tolist(), upto[at].tolist()
+
+
+def _curve(level: Shards, lines: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """A level's knots as one ascending curve from nodes to mass."""
+    x, y, total = [], [], 0
+    for r, before in zip(lines, level.before.tolist(), strict=True):
+        x.append(np.array(r["knots"], np.float64) + before)
+        y.append(np.array(r["upto"], np.float64) + total)
+        total += r["upto"][-1]
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _bounds(parents: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], words_: int, shard: int, spread: int) -> np.ndarray:
+    """Keys at which a level is cut: alike by how often parents occur and, within a parent, by how often words do."""
+    (x, y), (wx, wy) = parents, words
+    total = y[-1]
+    n = int(max(-(-total // shard), min(spread, total // 50_000)))
+    if n < 2:
+        return np.empty(0, np.int64)
+    at = np.interp(np.arange(1, n) * (total / n), y, x)
+    parent = np.floor(at)
+    word = np.floor(np.interp((at - parent) * wy[-1], wy, wx))
+    return np.unique(np.minimum(parent.astype(np.int64), int(x[-1]) - 1) * words_ + np.minimum(word.astype(np.int64), words_ - 1))
+
+
+def _gram_writer(base: str, words_: int, least: int, discount: float):
+    """Keeps a shard's keys that are seen often enough, and says what its first and last contexts keep."""
+
+    def write(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict | None:
+        ok = counts >= least
+        if not ok.any():
+            return None
+        keys, counts = keys[ok], counts[ok]
+        name = attempt_name(shard)
+        _save(base, name, {"raw": keys, "seen": counts.astype(np.uint32) if counts.max() < 1 << 32 else counts})
+        parent = keys // words_
+        ends = [int(parent[0]), int(parent[-1])][: 1 + (parent[-1] > parent[0])]
+        knots, upto = _knots(len(keys), counts)
+        return {"name": name, "first": int(keys[0]), "nodes": len(keys), "total": int(counts.sum()), "ends": ends, "sums": [float((counts[parent == e] - discount).sum()) for e in ends], "knots": knots, "upto": upto}
+
+    return write
+
+
+def _finish(spark, level: Shards, lines: list[dict], words_: int, discount: float, totals, lower) -> None:
+    """Writes the shards' tries. totals(parents ascending): their counts; lower(parents, words): log10 of the back-off."""
+    sums: dict[int, float] = {}
+    for r in lines:
+        for e, x in zip(r["ends"], r["sums"], strict=True):
+            sums[e] = sums.get(e, 0.0) + x
+    ends = np.array(sorted(sums), np.int64)
+    whole = np.array([sums[e] for e in ends.tolist()])
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got)
-    return {c: t.column(c).to_numpy() for c in t.column_names}
-
-
-def _line(shard: int, first: int, nodes: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"shard": [shard], "first": [first], "nodes": [nodes]})
-
-
-def _level_arrays(parent: np.ndarray, word: np.ndarray, words_: int, prob: np.ndarray, taken: np.ndarray, total: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a shard whose rows ascend by (parent, word). taken: discounted count; total: the parent's count."""
-    keys = EliasFano.build(parent * words_ + word)
-    lo, n = int(parent[0]), int(parent[-1] - parent[0]) + 1
-    ptr = EliasFano.build(np.searchsorted(parent - lo, np.arange(n + 1)))
-    kept = np.bincount(parent - lo, taken, n)
-    whole = np.ones(n)
-    whole[parent - lo] = total
-    return keys.arrays() | {"prob": prob} | {f"ptr_{k}": v for k, v in ptr.arrays().items()} | {"left": encode_log(np.log10(np.maximum(1 - kept / whole, 1e-7))), "parents": np.array([lo, n])}
-
-
-def train(docs: DataFrame, share: float = SHARE, least: int = LEAST, discount: float = DISCOUNT) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column("id").to_pylist():
+                at = f"{level.base}/{level.name[s]}"
+                key, n = (np.load(io.BytesIO(read_bytes(f"{at}/{k}.npy"))) for k in ("raw", "seen"))
+                parent, w = key // words_, key % words_
+                some, back = unique_back(parent)
+                taken = n - discount
+                kept = np.bincount(back, taken)
+                i = np.minimum(np.searchsorted(ends, some), len(ends) - 1)
+                kept = np.where(ends[i] == some, whole[i], kept)
+                total = totals(some).astype(np.float64)
+                left = np.maximum(1 - kept / total, 1e-30)
+                prob = taken / total[back] + left[back] * 10 ** lower(parent, w)
+                lo, size = int(some[0]), int(some[-1] - some[0]) + 1
+                quantised = np.zeros(size, np.uint16)
+                quantised[some - lo] = encode_log(np.log10(left))
+                ptr = EliasFano.build(np.searchsorted(parent - lo, np.arange(size + 1)))
+                arrays = EliasFano.build(key).arrays() | {"prob": encode_log(np.log10(prob))} | {f"ptr_{k}": v for k, v in ptr.arrays().items()}
+                _save(level.base, level.name[s], arrays | {"left": quantised, "parents": np.array([lo, size])})
+            yield pa.RecordBatch.from_arrays([b.column("id")], ["id"])
+
+    # One shard a partition; a task that runs again writes the same bytes.
+    spark.range(0, len(lines), 1, len(lines)).mapInArrow(run, "id bigint").count()
+
+
+def train(docs: DataFrame, share: float = SHARE, least: int = LEAST, discount: float = DISCOUNT, shard: int = SHARD) -> Model:
     """The model of all documents that are not held out."""
     spark = docs.sparkSession
     base = fresh_path(spark, "lm")
-    counted = count_words(docs)
     at1, at2, at3 = f"{base}/1", f"{base}/2", f"{base}/3"
-
-    def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _columns(batches)
-        if x:
-            shard = TaskContext.get().partitionId()
-            n = x["n"]
-            _save(at1, shard, EliasFano.build(x["key"]).arrays() | {"count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "first": [int(x["key"][0])], "nodes": [len(n)], "tokens": [int(n.sum())]})
-
-    # Counts are written out first: a range partitioning samples its input, which would count all words twice.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = materialise(counted, "words").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    lines = rows.mapInArrow(level1, "shard bigint, first bigint, nodes bigint, tokens bigint").collect()
-    model = Model(tokens=sum(r["tokens"] for r in lines), vocabulary=sum(r["nodes"] for r in lines), level1=Shards.of(at1, lines))
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(min(spread, 64), -(-size // SHARD_TEXT) if size < 1 << 60 else 0)
+
+    def level1(number: int, keys: np.ndarray, n: np.ndarray) -> dict | None:
+        if not len(keys):
+            return None
+        name = attempt_name(number)
+        _save(at1, name, EliasFano.build(keys).arrays() | {"count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
+        knots, upto = _knots(len(keys), n, 256)
+        return {"name": name, "first": int(keys[0]), "nodes": len(keys), "total": int(n.sum()), "ends": [], "sums": [], "knots": knots, "upto": upto}
+
+    # Words' keys are hashes, so equal ranges of them are alike.
+    lines1 = _counted(docs, lambda keys, _: keys, np.arange(1, parts, dtype=np.int64) * ((1 << 63) // parts), level1)
+    model = Model(tokens=sum(r["total"] for r in lines1), vocabulary=sum(r["nodes"] for r in lines1), level1=Shards.of(at1, lines1))
     if not model.tokens:
         return model
-    floor = max(2, int(np.ceil(share * model.tokens)))
+    floor, one = max(2, int(np.ceil(share * model.tokens))), model.level1
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard in b.column("shard").to_pylist():
-                x = _map(at1, shard, _LEVEL1)
+            for s in b.column("id").to_pylist():
+                x = _map(at1, one.name[s], _LEVEL1)
                 at = np.flatnonzero(x["count"] >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(x["_keys"].access(at), pa.int64()), pa.array(at + before[shard]), pa.array(x["count"][at].astype(np.int64))], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["_keys"].access(at), pa.int64()), pa.array(at + one.before[s]), pa.array(x["count"][at].astype(np.int64))], ["key", "node", "n"])
 
-    before = dict(zip(model.level1.number.tolist(), model.level1.before.tolist(), strict=True))
-    named = spark.createDataFrame([(int(s),) for s in model.level1.number], "shard bigint").repartition(min(len(lines), 64), "shard").mapInArrow(frequent, "key bigint, node bigint, n bigint")
-    top = sorted(named.collect())  # at most 1/share rows
+    top = sorted(spark.range(0, len(lines1), 1, min(len(lines1), 64)).mapInArrow(frequent, "key bigint, node bigint, n bigint").collect())  # at most 1/share rows
     model.word, model.node, model.count = (np.array([r[c] for r in top], np.int64) for c in ("key", "node", "n"))
     words_ = model.vocabulary
     if words_ >= 3 << 30:
         raise ValueError("too many words for 63-bit keys of bigrams")
-    small = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, model.level1)
-
-    def counted_keys(keys_of) -> DataFrame:
-        """Keys seen often enough, with their counts and contexts."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = Combiner()
-            for keys, first in _training(batches):
-                if c.add(keys_of(keys, first)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in c.take()], ["key", "n"])
-
-        grams = docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        # The context is an integer quotient; one of doubles would not be exact.
-        return materialise(grams, "ngrams").select("key", "n", F.expr(f"key div {words_}L").alias("ctx"))
+    curve = _curve(one, lines1)
+    small = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, one)
+    end = small.end
 
     def bigrams(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-        w = small.ids(keys)[0]
-        return contexts(w, first, small.end) * words_ + w
-
-    def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _columns(batches)
-        if x:
-            shard, v, w = TaskContext.get().partitionId(), x["ctx"], x["key"] % words_
-            taken, total = x["n"] - discount, _at(small.level1, v, _LEVEL1, "count").astype(np.float64)
-            kept = np.bincount(v - v[0], taken)[v - v[0]]
-            p = taken / total + (1 - kept / total) * 10 ** small.p1(_at(small.level1, w, _LEVEL1, "count"))
-            _save(at2, shard, _level_arrays(v, w, words_, encode_log(np.log10(p)), taken, total) | {"seen": x["n"]})
-            yield _line(shard, int(x["key"][0]), len(v))
-
-    model.level2 = _sorted_shards(counted_keys(bigrams), ["ctx"], ["key"], level2, at2)
+        w, count = small.ids(keys)
+        # What is seen too seldom itself is in no n-gram that is seen often enough.
+        ok = (count >= least) & (before_each(count, first, least) >= least)
+        return (before_each(w, first, end) * words_ + w)[ok]
+
+    lines2 = _counted(docs, bigrams, _bounds(curve, curve, words_, shard, spread), _gram_writer(at2, words_, least, discount))
+    if not lines2:
+        return model
+    model.level2 = Shards.of(at2, lines2)
     if int(model.level2.size.sum()) * words_ >= 1 << 63:
         raise ValueError("too many bigrams for 63-bit keys of trigrams")
-    two = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, model.level1, model.level2)
+    _finish(
+        spark, model.level2, lines2, words_, discount, lambda v: _at(small.level1, v, _LEVEL1, "count"),
+        lambda v, w: small.p1(_at(small.level1, w, _LEVEL1, "count")),
+    )
+    two = Model(model.tokens, model.vocabulary, model.word, model.node, model.count, one, model.level2)
 
     def trigrams(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-        w = two.ids(keys)[0]
-        key, back = np.unique(contexts(w, first, two.end) * words_ + w, return_inverse=True)
-        node = _find(two.level2, key, _LEVEL2, "seen")[0][back]
+        w, count = two.ids(keys)
+        v = before_each(w, first, end)
+        some = np.flatnonzero((count >= least) & (before_each(count, first, least) >= least))
+        key, back = unique_back(v[some] * words_ + w[some])
+        node = np.full(len(w), -1, np.int64)
+        node[some] = _find(two.level2, key, _LEVEL2, "seen")[0][back]
         parent = before_each(node, first)
         ok = (parent >= 0) & (node >= 0)
         return parent[ok] * words_ + w[ok]
 
-    def level3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _columns(batches)
-        if x:
-            shard, parent, w = TaskContext.get().partitionId(), x["ctx"], x["key"] % words_
-            some, at = np.unique(parent, return_inverse=True)
-            v = _at(two.level2, some, _LEVEL2)[at] % words_
-            low = _bigram(two, v, w, two.p1(_at(two.level1, w, _LEVEL1, "count")))[0]
-            taken, total = x["n"] - discount, _at(two.level2, some, _LEVEL2, "seen")[at].astype(np.float64)
-            kept = np.bincount(at, taken)[at]
-            p = taken / total + (1 - kept / total) * 10**low
-            _save(at3, shard, _level_arrays(parent, w, words_, encode_log(np.log10(p)), taken, total))
-            yield _line(shard, int(x["key"][0]), len(w))
-
-    model.level3 = _sorted_shards(counted_keys(trigrams), ["ctx"], ["key"], level3, at3)
+    lines3 = _counted(docs, trigrams, _bounds(_curve(model.level2, lines2), curve, words_, shard, spread), _gram_writer(at3, words_, least, discount))
+    if not lines3:
+        return model
+    model.level3 = Shards.of(at3, lines3)
+
+    def lower(parent: np.ndarray, w: np.ndarray) -> np.ndarray:
+        some, at = unique_back(parent)
+        v = (_at(two.level2, some, _LEVEL2) % words_)[at]
+        return _bigram(two, v, w, two.p1(_at(two.level1, w, _LEVEL1, "count")))[0]
+
+    _finish(spark, model.level3, lines3, words_, discount, lambda v: _at(two.level2, v, _LEVEL2, "seen"), lower)
     return model
 
 
@@ -397,10 +513,10 @@ def _bigram(model: Model, v: np.ndarray, w: np.ndarray, p1: np.ndarray) -> tuple
     if model.level2 is None:
         return p, node
     has = np.flatnonzero(v >= 0)
-    some, at = np.unique(v[has], return_inverse=True)
+    some, at = unique_back(v[has])
     p[has] -= (_left(model.level2, some) / STEP)[at]
     both = has[w[has] >= 0]
-    key, at = np.unique(v[both] * words_ + w[both], return_inverse=True)
+    key, at = unique_back(v[both] * words_ + w[both])
     n, q = _find(model.level2, key, _LEVEL2, "prob")
     found = n[at] >= 0
     node[both] = n[at]
@@ -417,10 +533,10 @@ def score_tokens(model: Model, keys: np.ndarray, first: np.ndarray) -> tuple[np.
         words_ = model.vocabulary
         parent = before_each(node, first)
         has = np.flatnonzero(parent >= 0)
-        some, at = np.unique(parent[has], return_inverse=True)
+        some, at = unique_back(parent[has])
         p[has] -= (_left(model.level3, some) / STEP)[at]
         both = has[w[has] >= 0]
-        key, at = np.unique(parent[both] * words_ + w[both], return_inverse=True)
+        key, at = unique_back(parent[both] * words_ + w[both])
         n, q = _find(model.level3, key, _LEVEL, "prob")
         found = n[at] >= 0
         p[both[found]] = -(q / STEP)[at][found]
