@@ -6,11 +6,10 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm import decontaminate, mix, near_dups, token_files, weak_labels
-from countloom.llm.store import materialise, small_batches
+from countloom.llm.store import discard, materialise, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; a row for each document in them."""
-    return token_files.read_token_files(spark, token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Token files; a row for each document in them, read back by its key."""
+    import public_tokenizers
+
+    return token_files.read_token_files(spark, token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")), docs)
 
 
 def _bounded(stage):
@@ -55,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
