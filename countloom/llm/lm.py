@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 
 from .elias_fano import EliasFano
 from .store import attempt_name, fresh_path, open_fs, read_bytes, write_bytes
-from .words import NON_SPACE, pieces, words
+from .words import NON_SPACE, pieces, planes, unplanes, words
 
 SHARE = 1e-5
 LEAST = 2
@@ -91,20 +91,6 @@ def unique_back(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some[order], rank[codes]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Non-negative integers by byte planes, as many as the largest needs; these compress well."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplanes(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
-
-
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     if len(keys) == 1:
@@ -155,7 +141,7 @@ def _counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
         cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
         some = np.flatnonzero(cut[1:] > cut[:-1])
         parts = [(keys[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in some]
-        packed = [_planes(np.diff(k, prepend=np.int64(0))) for k, _ in parts], [_planes(c) for _, c in parts]
+        packed = [planes(np.diff(k, prepend=np.int64(0))) for k, _ in parts], [planes(c) for _, c in parts]
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([len(k) for k, _ in parts], pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "n", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +153,8 @@ def _counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
 
     def gather(group: pa.Table) -> pa.Table:
         n = group.column("n").to_pylist()
-        keys = [np.cumsum(_unplanes(x.as_buffer(), m)) for x, m in zip(group.column("keys"), n, strict=True)]
-        counts = [_unplanes(x.as_buffer(), m) for x, m in zip(group.column("counts"), n, strict=True)]
+        keys = [np.cumsum(unplanes(x.as_buffer(), m)) for x, m in zip(group.column("keys"), n, strict=True)]
+        counts = [unplanes(x.as_buffer(), m) for x, m in zip(group.column("counts"), n, strict=True)]
         shard = group.column("shard")[0].as_py()
         line = write(shard, *merge(keys, counts))
         return pa.Table.from_pylist([{"shard": shard, **line}] if line else [], pa.schema([("shard", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("first", "nodes", "total")), ("ends", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64())), ("knots", pa.list_(pa.int64())), ("upto", pa.list_(pa.int64()))]))

@@ -173,3 +173,17 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(r, kind="stable")
         h, r = h[order], r[order]
     return h, r
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes, as many as the largest needs; these compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
