@@ -2,45 +2,52 @@
 
 Coarse centroids (k-means) cut space into cells; a vector is stored in its
 nearest centroid's cell as its residual's product code (one byte for each group
-of dimensions). A query looks into its nearest cells: per cell, a table of the
-squared distances from its residual to all codewords turns codes into distances
-(asymmetric: the query is not quantised). The best ``rerank`` of all its cells
-are compared exactly, on the original vectors in double precision. Codes tie or
-mislead where vectors lie closer together than codewords do, so the k-th of these
-distances is only a bound: every original vector of the query's cells is then held
-against it, and the k nearest of those within it are the result. What a query does
-not find lies in the cells it does not look into.
-
-``probes`` is the share of cells a query looks into. Vectors that fill all
-directions alike, as noise on a sphere does, need a large one for a high recall
-(0.6 gives 0.95 there); clustered vectors do with far less.
+of dimensions), with how far off the code is and the original behind it. A query
+first meets the originals of the cells next to it, ``first`` vectors or more; the
+(k + 1)-th nearest of these bounds what it is looking for. Then it looks into its
+nearest ``probes`` cells, but for those that lie beyond its bound altogether (by
+centroid and radius): a table of the squared distances from its residual to all
+codewords turns codes into distances (asymmetric: the query is not quantised).
+Codes farther than the bound by more than they are off cannot be neighbours; all
+others are reranked exactly, on the original vectors in double precision. So the
+result is exact within the cells looked into: codes never decide alone, ties and
+near copies lose nothing, and no list has a cap.
+
+``probes`` is found when the index is fitted: the least number of cells that hold
+``recall`` of the sample's own neighbours. Vectors in clusters need few, and most
+of these lie beyond the bound; vectors that fill all directions alike, as noise on
+a sphere does, need more than half of them, and no index of this kind does better.
 
 Codebooks are fitted on a bounded sample (``sample`` vectors, by hash); every
-vector is indexed. Cells are cut into blocks of at most ``block`` vectors by a
-hash, and their queries into blocks of at most ``queries`` as well, so a cell
-that holds a third of all vectors is as many tasks as it needs; cell counts (at
-most ``cells`` rows) are all the driver sees of the index.
+vector is indexed. The index is a file for each block of a cell, of at most about
+``block`` vectors or BLOCK_BYTES, cut by a hash, so a cell that holds a third of all
+vectors is as many files as it needs; queries of a cell are cut into blocks as well,
+and a task reads one file for one block of queries. Cell counts and radii (at most
+``cells`` rows) and file names are all the driver sees of the index.
 
 Defined cases: vectors that are null, zero, or of null or non-finite components,
-or not of the commonest length, and rows of null ids, take no part; rows of one id
-are never each other's neighbours, and of them the least vector counts; equal
+or not of the commonest length, and rows of null ids, take no part; each row is a
+candidate and, where asked for, a query of its own, whether or not its id repeats;
+of a query's candidates one of its own id and vector counts as itself; equal
 vectors tie, to the smaller id; with too few candidates all are returned; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import attempt_name, discard, fresh_path, materialise, read_bytes, write_bytes
+
+BLOCK_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 20
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -59,9 +66,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarra
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        order = np.argsort(at, kind="stable")
+        some = np.flatnonzero(n)
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some]) / n[some, None]
     return c
 
 
@@ -69,21 +76,42 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarra
 class Codebook:
     coarse: np.ndarray  # (cells, dims)
     fine: list[np.ndarray]  # by group of dimensions: (codewords, dims of the group)
+    probes: int = 1
 
     @property
     def cuts(self) -> list[int]:
         return np.cumsum([0, *(f.shape[1] for f in self.fine)]).tolist()
 
     @classmethod
-    def fit(cls, x: np.ndarray, cells: int, groups: int = 16) -> Codebook:
+    def fit(cls, x: np.ndarray, cells: int, groups: int = 16, recall: float = 0.97, k: int = 10, asked: int = 400) -> Codebook:
         coarse = kmeans(x, cells)
-        rest = x - coarse[_nearest(x, coarse)]
-        return cls(coarse, [kmeans(part, 256, 8) for part in np.array_split(rest, min(groups, x.shape[1]), axis=1)])
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = _nearest(x, coarse)
+        rest = x - coarse[cell]
+        book = cls(coarse, [kmeans(part, 256, 8) for part in np.array_split(rest, min(groups, x.shape[1]), axis=1)])
+        # In how many cells, nearest first, the sample's own neighbours are found.
+        q = np.random.default_rng(5).choice(len(x), min(asked, len(x)), replace=False)
+        ranks = []
+        for a in range(0, len(q), 100):
+            own = q[a : a + 100]
+            d = (x**2).sum(1) - 2 * x[own] @ x.T
+            d[np.arange(len(own)), own] = np.inf
+            near = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, : min(k, len(x) - 1)]
+            ranks.append(np.take_along_axis(book.order(x[own]).argsort(1), cell[near], 1).ravel())
+        ranks = np.sort(np.concatenate(ranks)) if ranks else np.empty(0, np.int64)
+        book.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
+        return book
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Cells of each query, nearest first."""
+        return ((self.coarse**2).sum(1) - 2 * q @ self.coarse.T).argsort(1, kind="stable")
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, codes, how far off the codes are, distance from the centroid)."""
         cell = _nearest(x, self.coarse)
         rest, cuts = x - self.coarse[cell], self.cuts
-        return cell, np.stack([_nearest(rest[:, a:b], f) for a, b, f in zip(cuts, cuts[1:], self.fine, strict=False)], 1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, a:b], f) for a, b, f in zip(cuts, cuts[1:], self.fine, strict=False)], 1).astype(np.uint8)
+        near = np.concatenate([f[codes[:, j]] for j, f in enumerate(self.fine)], 1)
+        return cell, codes, np.sqrt(((rest - near) ** 2).sum(1)), np.sqrt((rest**2).sum(1))
 
     def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of a cell."""
@@ -96,155 +124,184 @@ class Codebook:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): one row for each id; see the module on which take part."""
+    """(vec_id, v, row): the rows that take part; see the module."""
     v = F.col(vec_col)
-    ok = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v")).where(
+    return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    )
-    return ok.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least distances, ties to the smaller id."""
-    if len(d) > k:
-        edge = np.partition(d, k - 1)[k - 1]
-        at = np.flatnonzero(d <= edge)
-    else:
-        at = np.arange(len(d))
-    return at[np.lexsort((ids[at], d[at]))[:k]]
-
-
-def _within(x: np.ndarray, ids: np.ndarray, q: np.ndarray, asking: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, place of the vector, distance): each query's k nearest no farther than its bound, ties to the smaller id."""
-    xx, qq = (x**2).sum(1), (q**2).sum(1)
-    slack = 1e-12 * (xx.max() + qq)  # the product is not as exact as the sum of squares below
-    rough = xx + qq[:, None] - 2 * q @ x.T
-    rough[asking[:, None] == ids] = np.inf
-    some = ~(rough > (bound**2 + slack)[:, None]) & (asking[:, None] != ids)
-    for r in np.flatnonzero(some.sum(1) > k):
-        some[r] &= ~(rough[r] > np.partition(rough[r], k - 1)[k - 1] + 2 * slack[r])
-    at, near = np.nonzero(some)
-    total = np.zeros(len(at))
-    for a in range(0, len(at), 100_000):  # term by term, as the engine adds
-        i, j = at[a : a + 100_000], near[a : a + 100_000]
+    ).withColumn("row", F.monotonically_increasing_id())
+
+
+def _matrix(b, column: str, dims: int) -> np.ndarray:
+    return b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _exact(x: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs (i of q, j of x), summed term by term."""
+    total = np.zeros(len(i))
+    for a in range(0, len(i), 100_000):
+        p, r = i[a : a + 100_000], j[a : a + 100_000]
         for c in range(x.shape[1]):
-            total[a : a + 100_000] += (x[j, c] - q[i, c]) ** 2
-    score = np.sqrt(total)
-    ok = np.flatnonzero(score <= bound[at])
-    ok = ok[np.lexsort((ids[near[ok]], score[ok], at[ok]))]
-    n = np.bincount(at[ok], minlength=len(q))
-    ok = ok[np.arange(len(ok)) - np.repeat(np.cumsum(n) - n, n) < k]
-    return at[ok], near[ok], score[ok]
+            total[a : a + 100_000] += (x[r, c] - q[p, c]) ** 2
+    return np.sqrt(total)
+
+
+def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """Places of each query's k least scores, ties to the smaller id."""
+    order = np.lexsort((ids, score, i))
+    n = np.bincount(i, minlength=queries)
+    return order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k]
+
+
+class _Index:
+    """What tasks need to know of the index."""
+
+    def __init__(self, book: Codebook, dims: int, files: list):
+        self.book, self.dims = book, dims
+        cells = len(book.coarse)
+        self.held, self.radius = np.zeros(cells, np.int64), np.zeros(cells)
+        self.files: list[list[str]] = [[] for _ in range(cells)]
+        for r in sorted(files):
+            self.held[r["cell"]] += r["n"]
+            self.radius[r["cell"]] = max(self.radius[r["cell"]], r["radius"])
+            self.files[r["cell"]].append(r["uri"])
+
+    def look(self, found: DataFrame, k: int, query_block: int, by_code: bool) -> DataFrame:
+        """(row, query_id, vec_id, score): the nearest, by block, of queries (row, query_id, q, bound, cell)."""
+        book, dims, files = self.book, self.dims, self.files
+        spark = found.sparkSession
+        asked = {r["cell"]: r["count"] for r in found.groupBy("cell").count().collect()}
+        blocks = spark.createDataFrame([(c, b, int(-(-n // query_block))) for c, n in asked.items() for b in range(len(files[c]))] or [(-1, 0, 1)], "cell int, b int, nq int")
+        dealt = found.join(F.broadcast(blocks), "cell").withColumn("qb", F.pmod(F.xxhash64("row"), F.col("nq")).cast("int")).drop("nq")
+
+        def run(group: pa.Table) -> pa.Table:
+            cell, b = group.column("cell")[0].as_py(), group.column("b")[0].as_py()
+            with np.load(io.BytesIO(read_bytes(files[cell][b]))) as z:
+                ids, x, codes, off = z["ids"], z["x"], z["codes"], z["off"]
+            x = x.astype(np.float64)
+            xx = (x**2).sum(1)
+            q = np.frombuffer(b"".join(group.column("q").to_pylist())).reshape(-1, dims)
+            bound = group.column("bound").to_numpy()
+            out = []
+            step = max(1, 4_000_000 // len(ids))
+            for a in range(0, len(q), step):
+                some, upto = q[a : a + step], bound[a : a + step]
+                slack = 1e-4 * (np.sqrt(xx.max()) + np.sqrt((some**2).sum(1)))
+                if by_code:
+                    i, j = np.nonzero(np.sqrt(book.distances(some, cell, codes)) - off <= (upto + slack)[:, None])
+                else:
+                    rough = xx + (some**2).sum(1)[:, None] - 2 * some @ x.T
+                    if len(ids) > k:
+                        rough -= np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+                    i, j = np.nonzero(rough <= (1e-9 * (xx.max() + (some**2).sum(1)))[:, None] if len(ids) > k else np.isfinite(rough))
+                score = _exact(x, some, i, j)
+                ok = score <= upto[i]
+                i, j, score = i[ok], j[ok], score[ok]
+                at = _best(i, ids[j], score, len(some), k)
+                out.append((a + i[at], ids[j[at]], score[at]))
+            i, near, score = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.table([group.column("row").take(pa.array(i)), group.column("query_id").take(pa.array(i)), pa.array(near), pa.array(score)], ["row", "query_id", "vec_id", "score"])
+
+        return dealt.groupBy("cell", "b", "qb").applyInArrow(run, "row bigint, query_id bigint, vec_id bigint, score double")
+
+
+def build(base: DataFrame, dims: int, total: int, cells: int = 2048, recall: float = 0.97, k: int = 10, sample: int = 40_000, block: int = 50_000) -> _Index:
+    """Indexes rows (vec_id, v, row) of one length."""
+    spark = base.sparkSession
+    sample, block = min(sample, SAMPLE_BYTES // (8 * dims)), max(1, min(block, BLOCK_BYTES // (8 * dims)))
+    u = F.shiftrightunsigned(F.xxhash64("row", F.lit("ann")), 11) / F.lit(float(1 << 53))
+    some = base.select("row", "v")
+    drawn = some.where(u < min(1.0, sample / total)).toArrow()
+    drawn = (drawn if drawn.num_rows else some.limit(1).toArrow()).sort_by("row").combine_chunks()
+    x = _matrix(drawn.to_batches()[0], "v", dims)
+    # A cell needs some points of the sample to be placed well.
+    book = Codebook.fit(x, max(1, min(cells, int(total**0.5), len(x) // 8)), recall=recall, k=k)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _matrix(b, "v", dims)
+                cell, codes, off, far = book.encode(v)
+                single = (v.astype(np.float32) == v).all()
+                raw = [r.tobytes() for r in (v.astype(np.float32) if single else v)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id"), b.column("row"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(far), pa.array(raw, pa.binary())],
+                    ["vec_id", "row", "cell", "code", "off", "far", "raw"],
+                )
+
+    coded = materialise(base.mapInArrow(encode, "vec_id bigint, row bigint, cell int, code binary, off double, far double, raw binary"), "coded")
+    counts = spark.createDataFrame([(r["cell"], int(-(-r["count"] // block))) for r in coded.groupBy("cell").count().collect()], "cell int, nb int")
+    where = fresh_path(spark, "ivf")
+
+    def write(group: pa.Table) -> pa.Table:
+        cell = group.column("cell")[0].as_py()
+        raw, ids = group.column("raw").to_pylist(), group.column("vec_id").to_numpy()
+        x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64) for r in raw])
+        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        out = io.BytesIO()
+        np.savez(out, ids=ids, x=x, codes=codes, off=group.column("off").to_numpy())
+        uri = f"{where}/{attempt_name(cell)}.npz"
+        write_bytes(uri, out.getvalue())
+        return pa.table({"cell": pa.array([cell], pa.int32()), "uri": [uri], "n": [len(ids)], "radius": [float(group.column("far").to_numpy().max())]})
+
+    dealt = coded.join(F.broadcast(counts), "cell").withColumn("b", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int")).drop("nb")
+    files = dealt.groupBy("cell", "b").applyInArrow(write, "cell int, uri string, n bigint, radius double").collect()
+    discard(coded)
+    return _Index(book, dims, files)
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-    cells: int = 2048, probes: float = 0.6, rerank: int = 400, sample: int = 40_000, block: int = 50_000, query_block: int = 2_000,
+    cells: int = 2048, recall: float = 0.97, first: int = 400, sample: int = 40_000, block: int = 50_000, query_block: int = 2_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score). queries: rows of the same columns."""
     spark = vectors.sparkSession
     base = materialise(usable(vectors, id_col, vec_col), "vectors")
     lengths = {r["n"]: r["count"] for r in base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()}
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not lengths:
-        return empty
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     (dims, total), = lengths.items()
-    base = base.where(F.size("v") == dims)
-    asked = usable(queries, id_col, vec_col).where(F.size("v") == dims)
-    u = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit("ann")), 11) / F.lit(float(1 << 53))
-    rows = base.where(u < min(1.0, sample / total)).collect() or base.limit(1).collect()
-    x = np.array([r["v"] for r in sorted(rows)])
-    # A cell needs some points of the sample to be placed well.
-    book = Codebook.fit(x, max(1, min(cells, int(total**0.5), len(x) // 8)))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = build(base.where(F.size("v") == dims), dims, total, cells, recall, k, sample, block)
+    discard(base)
+    asked = materialise(usable(queries, id_col, vec_col).where(F.size("v") == dims).withColumnRenamed("vec_id", "query_id"), "queries")
+    book, held, radius = index.book, index.held, index.radius
+    routes = "row bigint, query_id bigint, q binary, bound double, cell int"
+
+    def rows(b: pa.RecordBatch, v: np.ndarray, keep: np.ndarray, order: np.ndarray, bound: pa.Array) -> pa.RecordBatch:
+        at, rank = np.nonzero(keep)
+        take = pa.array(at)
+        raw = pa.array([r.tobytes() for r in v], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("query_id").take(take), raw.take(take), bound.take(take), pa.array(order[at, rank].astype(np.int32))], ["row", "query_id", "q", "bound", "cell"])
+
+    def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                cell, codes = book.encode(v)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "cell", "code"])
+                v = _matrix(b, "v", dims)
+                order = book.order(v)
+                upto = np.cumsum(held[order], 1) - held[order]
+                yield rows(b, v, (upto < max(first, k + 1)) & (held[order] > 0), order, pa.array(np.full(len(v), np.inf)))
 
-    index = materialise(base.mapInArrow(encode, "vec_id bigint, cell int, code binary"), "ivf")
-    held = np.zeros(len(book.coarse), np.int64)
-    for r in index.groupBy("cell").count().collect():
-        held[r["cell"]] = r["count"]
-    least = max(1, int(np.ceil(probes * len(book.coarse))))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            far = ((book.coarse**2).sum(1) - 2 * v @ book.coarse.T).argsort(1, kind="stable")
-            # At least the nearest cells, and as many as hold enough vectors to choose from.
-            upto = np.cumsum(held[far], 1)
-            n = np.maximum(least, (upto < rerank).sum(1) + 1).clip(max=len(book.coarse))
-            row = np.repeat(np.arange(len(v)), n)
-            # The nearer a cell, the more of its vectors may be among the best; all lists of a query together are a few times ``rerank``.
-            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            take = np.maximum(np.ceil(2 * rerank / n[row]), np.ceil(rerank / (2.0 + 2.0 * rank))).astype(np.int32)
-            cell = np.concatenate([f[:m] for f, m in zip(far, n, strict=True)])
-            keep = held[cell] > 0
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), b.column("v").take(row), pa.array(cell[keep].astype(np.int32)), pa.array(take[keep]), b.column("bound").take(row)], ["query_id", "q", "cell", "take", "bound"])
-
-    routes = "query_id bigint, q array<double>, cell int, take int, bound double"
-    routed = materialise(asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(route, routes).drop("bound"), "routes")
-    wanted = np.zeros(len(book.coarse), np.int64)
-    for r in routed.groupBy("cell").count().collect():
-        wanted[r["cell"]] = r["count"]
-    blocks = spark.createDataFrame([(i, int(-(-held[i] // block)), int(-(-wanted[i] // query_block))) for i in range(len(held)) if held[i] and wanted[i]] or [(-1, 1, 1)], "cell int, nb int, nq int")
-    blocks = F.broadcast(blocks)  # at most ``cells`` rows
-    part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    codes = index.join(blocks, "cell").withColumn("b", part("vec_id", "nb")).withColumn("qb", each("nq")).select("cell", "b", "qb", "vec_id", "code")
-    dealt = lambda r: r.join(blocks, "cell").withColumn("qb", part("query_id", "nq")).withColumn("b", each("nb")).drop("nb", "nq")
-    probing = dealt(routed)
-
-    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            cell, ids = int(left["cell"].iloc[0]), left["vec_id"].to_numpy()
-            c = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-            step = max(1, 4_000_000 // len(c))
-            for a in range(0, len(right), step):
-                some = right.iloc[a : a + step]
-                d = book.distances(np.stack(some["q"].to_numpy()), cell, c)
-                for q, k_, row in zip(some["query_id"].to_numpy(), some["take"].to_numpy(), d, strict=True):
-                    row[ids == q] = np.inf
-                    at = _smallest(row, ids, min(k_, len(ids)))
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "near": row[at]}))
-        got = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
-        return got[np.isfinite(got["near"])] if len(got) else got
-
-    found = codes.groupBy("cell", "b", "qb").cogroup(probing.groupBy("cell", "b", "qb")).applyInPandas(look, "query_id bigint, vec_id bigint, near float")
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("r") <= rerank).select("query_id", "vec_id")
-    pairs = best.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
-    ranked = pairs.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
-    bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(_nearest(v, book.coarse).astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "cell", "raw"])
-
-    def within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = left["vec_id"].to_numpy(), np.frombuffer(b"".join(left["raw"])).reshape(len(left), dims)
-            step = max(1, 4_000_000 // len(x))
-            for a in range(0, len(right), step):
-                some = right.iloc[a : a + step]
-                asking = some["query_id"].to_numpy()
-                at, near, score = _within(x, ids, np.stack(some["q"].to_numpy()), asking, some["bound"].to_numpy(), k)
-                out.append(pd.DataFrame({"query_id": asking[at], "vec_id": ids[near], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    originals = base.mapInArrow(place, "vec_id bigint, cell int, raw binary").join(blocks, "cell").withColumn("b", part("vec_id", "nb")).withColumn("qb", each("nq")).select("cell", "b", "qb", "vec_id", "raw")
-    bounded = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    again = materialise(bounded.mapInArrow(route, routes).drop("take"), "bounded")
-    kept = originals.groupBy("cell", "b", "qb").cogroup(dealt(again).groupBy("cell", "b", "qb")).applyInPandas(within, "query_id bigint, vec_id bigint, score double")
-    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+                v, bound = _matrix(b, "v", dims), b.column("bound").to_numpy()
+                order = book.order(v)
+                far = np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + (book.coarse**2).sum(1) - 2 * v @ book.coarse.T))
+                slack = 1e-6 * (1 + np.sqrt((v**2).sum(1)) + np.sqrt((book.coarse**2).sum(1).max()))
+                within = np.take_along_axis(far - radius, order, 1) <= (bound + slack)[:, None]
+                # Where the nearest cells hold too few vectors, a query goes on until it has enough.
+                upto = np.cumsum(held[order], 1) - held[order]
+                probed = (np.arange(len(held)) < book.probes) | (upto < max(first, k + 1))
+                yield rows(b, v, probed & within & (held[order] > 0), order, b.column("bound"))
+
+    near = materialise(asked.mapInArrow(nearby, routes), "routes")
+    by_row = W.partitionBy("row").orderBy("score", "vec_id")
+    bounds = index.look(near, k + 1, query_block, False).withColumn("r", F.row_number().over(by_row)).where(F.col("r") == k + 1).select("row", F.col("score").alias("bound"))
+    bounded = materialise(asked.join(bounds, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounded")
+    probing = materialise(bounded.mapInArrow(all_probes, routes), "routes")
+    found = index.look(probing, k + 1, query_block, True).withColumn("r", F.row_number().over(by_row)).where(F.col("r") <= k + 1)
+    # One candidate of the query's own id and vector is the query itself.
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    itself = F.min(F.when(own, F.col("r"))).over(W.partitionBy("row"))
+    ranked = found.withColumn("_own", itself).where(F.col("_own").isNull() | (F.col("r") != F.col("_own")))
+    ranked = ranked.withColumn("rank", (F.col("r") - F.when(F.col("_own") < F.col("r"), 1).otherwise(0)).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
