@@ -29,7 +29,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = tagger.fit(*tagger.training_sample(docs, _read(spark, sf_dir, "labels")))
     scored = tagger.score_toxicity(docs, model)
-    return scored.select("doc_id", (tagger.fold() == 0).alias("held_out"), "score", "predicted", "n_toxic")
+    spans = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
+    return scored.select("doc_id", (tagger.fold() == 0).alias("held_out"), "score", "predicted", "n_toxic", spans.alias("spans"))
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

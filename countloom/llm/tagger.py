@@ -13,11 +13,12 @@ With two states, forward and backward messages are odds, so each step is one
 scalar recursion; chains are run side by side, packed by length. Marginals at or
 above one half are toxic tokens; neighbours join into offending spans.
 
-The fit is on a bounded sample (``sample`` documents of each label, chosen by
-hash; whole texts); every document is scored, row by row, without a shuffle.
+The fit is on a bounded sample (``sample`` documents and ``sample_bytes`` of each
+label, chosen by hash; whole texts); every document is scored, row by row, without a
+shuffle.
 
 Defined cases: null and word-less texts score what the layer gives to no toxic
-tokens; null labels are not learnt from; a null doc_id counts as the empty string
+tokens; null and contradicting labels are not learnt from; a null doc_id counts as the empty string
 in the fold; if a label is missing altogether, all scores are the share of the
 other; repeated rows each get their row; an empty table gives no rows; extra
 columns are ignored.
@@ -222,14 +223,25 @@ def fold(doc_id: str = "doc_id", of: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of at most about ``sample`` labelled documents of each label, by hash, out of the held-out fold."""
-    known = labels.where((fold() != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+def _uniform(*columns: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit("toxic")), 11) / F.lit(float(1 << 53))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_bytes: int = 16 << 20) -> tuple[list[str | None], np.ndarray]:
+    """Texts and labels of about ``sample`` labelled documents of each label, by hash, out of the held-out fold.
+
+    Rows of one id and one text count once, and what comes to the driver is bounded by
+    about twice ``sample`` texts and ``sample_bytes`` bytes a label, however often ids
+    repeat. Ids whose labels disagree are not learnt from.
+    """
+    known = labels.where((fold() != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxic")), 11) / F.lit(float(1 << 53))
-    share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, n.get(1, 0)))).otherwise(F.lit(sample / max(1, n.get(0, 0))))
-    chosen = known.where(u < share)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    by_label = lambda of: F.when(F.col("toxic") == 1, F.lit(of(1))).otherwise(F.lit(of(0)))
+    chosen = known.where(_uniform("doc_id") < by_label(lambda t: sample / max(1, n.get(t, 0))))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("text"))
+    found = {r["toxic"]: r for r in rows.select("doc_id", "_h", "toxic", F.octet_length("text").alias("b")).distinct().groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
+    share = lambda t: min(1.0, 2 * sample / found[t]["n"], sample_bytes / max(1, found[t]["b"] or 0)) if t in found else 1.0
+    got = rows.where(_uniform("doc_id", "_h") < by_label(share)).dropDuplicates(["doc_id", "_h"]).select("doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
     return [r["text"] for r in got], np.array([r["toxic"] for r in got], bool)
 
