@@ -7,7 +7,7 @@ are all that expectation-maximisation needs to estimate how often each heuristic
 votes what on junk and on fine documents (votes independent given the class), and
 how much junk there is. The posterior of a pattern labels the documents that show
 it. A logistic scorer over hashed features is fitted to these soft labels on a
-bounded sample (``sample`` documents, by hash; whole texts) and scores every
+bounded sample (``sample`` distinct texts, by hash; whole texts) and scores every
 document.
 
 Features are hashed counts of word shapes (which character classes a word has,
@@ -188,13 +188,20 @@ class Scorer:
     weight: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = 4000, rounds: int = 300) -> Scorer:
-    """Votes are counted over all documents, the scorer is fitted on about ``sample`` of them."""
+def fit(docs: DataFrame, sample: int = 4000, rounds: int = 300, sample_bytes: int = 16 << 20) -> Scorer:
+    """Votes are counted over all documents, the scorer is fitted on about ``sample`` of their texts, of ``sample_bytes`` together.
+
+    A text that occurs several times comes to the driver once, and weighs 1 + ln(times).
+    """
     v, count = vote_counts(docs)
     labels = expectation_maximisation(v, count)
-    share = min(1.0, sample / max(1.0, count.sum()))
-    u = F.shiftrightunsigned(F.xxhash64("text", F.lit("quality")), 11) / F.lit(float(1 << 53))
-    texts = sorted(r["text"] for r in docs.select("text").where(F.col("text").isNotNull() & (u < share)).collect())
+    known = docs.select("text").where(F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    all_ = known.agg(F.approx_count_distinct("_h").alias("n"), F.avg(F.octet_length("text")).alias("b")).first()
+    share = min(1.0, sample / max(1, all_["n"]), sample_bytes / max(1.0, all_["n"] * (all_["b"] or 0.0)))
+    u = F.shiftrightunsigned(F.xxhash64("_h", F.lit("quality")), 11) / F.lit(float(1 << 53))
+    drawn = sorted(known.where(u < share).groupBy("_h").agg(F.first("text").alias("text"), F.count("*").alias("times")).select("text", "times").collect())
+    texts = [r["text"] for r in drawn]
+    times = 1 + np.log(np.array([r["times"] for r in drawn], np.float64))
     weight = np.zeros((1 << BITS) + 1)
     if texts:
         parts, at = [], 0
@@ -208,7 +215,7 @@ def fit(docs: DataFrame, sample: int = 4000, rounds: int = 300) -> Scorer:
         g = np.full(len(weight), 1e-3)
         for _ in range(rounds):
             x = np.bincount(rows, values * weight[ids], len(texts)) + weight[-1]
-            gap = p - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            gap = times * (p - 1 / (1 + np.exp(-np.clip(x, -30, 30))))
             grad = np.concatenate([np.bincount(ids, values * gap[rows], len(weight) - 1), [gap.sum()]]) - 0.01 * weight
             g += grad**2
             weight += 0.5 * grad / np.sqrt(g)
