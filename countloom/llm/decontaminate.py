@@ -6,10 +6,11 @@ document is looked up by its words among those prefixes only; a candidate must
 leave room for the words before and after (positional and length bounds), and is
 then compared word by word, first as hashes and at last as bytes.
 
-The index is written to the shared folder in blocks of at most ``block_words``
-window words, so neither the driver nor a task ever holds more than one block
-plus one batch of documents, however large the benchmark is. Documents are read
-once and not shuffled.
+The index is made by tasks, in blocks of about ``block_words`` window words each, in
+the shared folder; the driver sees their names and sizes. A task keeps blocks of
+at most CACHE bytes at hand; where there are more, it goes through all of them once
+for every CHUNK bytes of documents. So no task holds more than these two, however
+large the benchmark is. Documents are read once and not shuffled.
 
 Defined cases: a null or word-less text has no words and is never contaminated;
 repeated document rows each get their row; a null item_id takes part in hits and
@@ -21,18 +22,21 @@ from __future__ import annotations
 
 import hashlib
 import io
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh_path, read_bytes, write_bytes
+from .store import attempt_name, fresh_path, read_bytes, write_bytes
 from .words import ALNUM, pieces, words
 
 WINDOW = 13
+#: Bytes of blocks that a task keeps, and of texts that it holds against blocks it cannot keep.
+CACHE, CHUNK = 256 << 20, 32 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -59,47 +63,70 @@ def _block(items: list[tuple[str | None, list[bytes]]], window: int) -> bytes:
     names = sorted({n for v in wins.values() for n in v})
     number = {n: i for i, n in enumerate(names)}
     members = [sorted(number[n] for n in wins[keys[i]]) for i in order]
+    texts = [b" ".join(keys[i]) for i in order]
+    named = [n.encode("utf-8", "surrogateescape") for n in names]
     out = io.BytesIO()
     np.savez(
-        out, prefix=prefix[order], table=table[order], size=sizes[order], rare=rare[order],
-        text=np.array([b" ".join(keys[i]) for i in order], object) if len(keys) else np.empty(0, object),
-        names=np.array(names, object), members=np.array([m for x in members for m in x], np.int64),
-        first=np.concatenate([[0], np.cumsum([len(x) for x in members])]).astype(np.int64),
+        out, prefix=prefix[order], table=table[order], size=sizes[order], rare=rare[order], **_strings("text", texts), **_strings("name", named),
+        members=np.array([m for x in members for m in x], np.int64), first=np.concatenate([[0], np.cumsum([len(x) for x in members])]).astype(np.int64),
     )
     return out.getvalue()
 
 
-def build_index(benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> list[str]:
-    """Write the index; returns the URIs of its blocks. Rows are streamed, a partition at a time."""
-    base, uris, items, held = fresh_path(benchmark.sparkSession, "windows"), [], [], 0
+def _strings(name: str, values: list[bytes]) -> dict[str, np.ndarray]:
+    return {name: np.frombuffer(b"".join(values), np.uint8), f"{name}_at": np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)}
 
-    def flush() -> None:
-        uris.append(f"{base}/{len(uris)}.npz")
-        write_bytes(uris[-1], _block(items, window))
-        items.clear()
 
-    for row in benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("text")).toLocalIterator():
-        w = words(pa.array([row.text], pa.large_string()), ALNUM)
-        if len(w.start):
-            items.append((row.name, [w.data[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]))
-            held += len(w.start) * window
-        if held >= block_words:
-            flush()
-            held = 0
-    if items:
-        flush()
-    return uris
+def build_index(benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> list[tuple[str, int]]:
+    """Write the index; returns (URI, bytes in memory) of its blocks.
 
+    Items are dealt out by a hash; a task closes a block once it is large enough.
+    """
+    base = fresh_path(benchmark.sparkSession, "windows")
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # A word is some five characters, and stands in a window's number of windows.
+    parts = int(min(10_000, 1 + size * window // (5 * block_words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words_ = [], 0
 
-_last: dict[str, dict] = {}
+        def flush() -> pa.RecordBatch:
+            raw = _block(held, window)
+            uri = f"{base}/{attempt_name(TaskContext.get().partitionId())}.npz"
+            write_bytes(uri, raw)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"uri": [uri], "bytes": [len(raw)]})
+
+        for b in pieces(batches, "text"):
+            w = words(b.column("text"), ALNUM)
+            for r, name in enumerate(b.column("name").to_pylist()):
+                lo, hi = w.first[r], w.first[r + 1]
+                if hi > lo:
+                    held.append((name, [w.data[s:e].tobytes() for s, e in zip(w.start[lo:hi], w.end[lo:hi], strict=True)]))
+                    words_ += int(hi - lo) * window
+                if words_ >= block_words:
+                    yield flush()
+                    words_ = 0
+        if held:
+            yield flush()
+
+    return [(r["uri"], r["bytes"]) for r in items.repartition(parts, F.xxhash64("text")).mapInArrow(run, "uri string, bytes bigint").orderBy("uri").collect()]
+
+
+_held: OrderedDict[str, dict] = OrderedDict()
 
 
 def _load(uri: str) -> dict:
-    if uri not in _last:
-        _last.clear()  # one block at a time
-        with np.load(io.BytesIO(read_bytes(uri)), allow_pickle=True) as z:
-            _last[uri] = {k: z[k] for k in z.files}
-    return _last[uri]
+    """A block; the longest unused go where they are too many."""
+    if uri not in _held:
+        with np.load(io.BytesIO(read_bytes(uri))) as z:
+            _held[uri] = {k: z[k] for k in z.files}
+    _held.move_to_end(uri)
+    size = lambda x: sum(v.nbytes for v in x.values())
+    while len(_held) > 1 and sum(map(size, _held.values())) > CACHE:
+        _held.popitem(last=False)
+    return _held[uri]
 
 
 def _occurrences(w, x: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -120,26 +147,55 @@ def _occurrences(w, x: dict) -> tuple[np.ndarray, np.ndarray]:
             inside = size > d
             ok = ~inside | (w.hash[np.minimum(s + d, len(w.hash) - 1)] == x["table"][win, d])
             s, win, size = s[ok], win[ok], size[ok]
-        same = [b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(p, p + k)) == x["text"][v] for p, k, v in zip(s, size, win, strict=True)]
+        text, at = x["text"], x["text_at"]
+        same = [b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(p, p + k)) == text[at[v] : at[v + 1]].tobytes() for p, k, v in zip(s, size, win, strict=True)]
         same = np.array(same, bool)
         found_s.append(s[same])
         found_v.append(win[same])
     return (np.concatenate(found_s), np.concatenate(found_v)) if found_s else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _hits(column: pa.Array, uris: list[str]):
-    """(words, whether each is hit, items by row)."""
-    w = words(column, ALNUM)
-    edges = np.zeros(len(w.hash) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(len(column))]
-    for uri in uris:
-        x = _load(uri)
-        s, win = _occurrences(w, x)
-        np.add.at(edges, s, 1)
-        np.add.at(edges, s + x["size"][win], -1)
-        for r, v in set(zip(w.row[s].tolist(), win.tolist(), strict=True)):
-            items[r].update(x["names"][x["members"][x["first"][v] : x["first"][v + 1]]])
-    return w, np.cumsum(edges[:-1]) > 0, items
+class _Hits:
+    """The words of some rows, which of them are hit, and the items by row."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.batch, self.w = b, words(b.column("text"), ALNUM)
+        self.edges = np.zeros(len(self.w.hash) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(b.num_rows)]
+
+    def look(self, x: dict) -> None:
+        s, win = _occurrences(self.w, x)
+        np.add.at(self.edges, s, 1)
+        np.add.at(self.edges, s + x["size"][win], -1)
+        for r, v in set(zip(self.w.row[s].tolist(), win.tolist(), strict=True)):
+            for m in x["members"][x["first"][v] : x["first"][v + 1]].tolist():
+                self.items[r].add(x["name"][x["name_at"][m] : x["name_at"][m + 1]].tobytes().decode("utf-8", "surrogateescape"))
+
+    @property
+    def inside(self) -> np.ndarray:
+        return np.cumsum(self.edges[:-1]) > 0
+
+
+def _all_hits(batches: Iterator[pa.RecordBatch], blocks: list[tuple[str, int]]) -> Iterator[_Hits]:
+    """Pieces of batches, held against all blocks."""
+    chunk = CHUNK if sum(n for _, n in blocks) > CACHE // 2 else 0
+    held, size = [], 0
+
+    def flush() -> Iterator[_Hits]:
+        for uri, _ in blocks:
+            x = _load(uri)
+            for h in held:
+                h.look(x)
+        yield from held
+
+    for b in pieces(batches, "text"):
+        held.append(_Hits(b))
+        size += len(held[-1].w.data) + 40 * len(held[-1].w.hash)
+        if size >= chunk:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 2_000_000) -> DataFrame:
@@ -147,11 +203,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     contaminated: some word is hit, and hit words are at least 1/``share`` of all.
     """
-    uris = build_index(benchmark, window, block_words)
+    blocks = build_index(benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            w, inside, items = _hits(b.column("text"), uris)
+        for h in _all_hits(batches, blocks):
+            b, w, inside, items = h.batch, h.w, h.inside, h.items
             n_hit, n_words = np.bincount(w.row[inside], minlength=b.num_rows), np.diff(w.first)
             names = [sorted(x) for x in items]
             # A window lies within its row, so spans of neighbouring rows must not be joined.
@@ -179,12 +235,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 2_000_000) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    uris = build_index(benchmark, window, block_words)
+    blocks = build_index(benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            w, inside, _ = _hits(b.column("text"), uris)
-            n_hit = np.bincount(w.row[inside], minlength=b.num_rows)
-            yield b.filter(pa.array((n_hit == 0) | (share * n_hit < np.diff(w.first))))
+        for h in _all_hits(batches, blocks):
+            n_hit = np.bincount(h.w.row[h.inside], minlength=h.batch.num_rows)
+            yield h.batch.filter(pa.array((n_hit == 0) | (share * n_hit < np.diff(h.w.first))))
 
     return docs.mapInArrow(run, docs.schema)

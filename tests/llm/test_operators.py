@@ -126,6 +126,21 @@ def test_toxicity_generalises(make, toxic_texts, odd):
     assert {r["score"] for r in tagger.score_toxicity(make(["x", None]), one).collect()} == {1.0}
 
 
+def test_toxicity_learns_from_the_training_fold_only(spark, make, toxic_texts):
+    """Held-out, null and contradicting labels are not learnt from; repeated rows count once."""
+    texts, labels = toxic_texts
+    docs = make([*((i, t, "s") for i, t in enumerate(texts)), *[(1, texts[1], "s")] * 50, (None, "x", "s"), (900, None, "s")])
+    table = [(i, int(y)) for i, y in enumerate(labels)] + [(3, 1 - int(labels[3])), (4, None), (4, int(labels[4])), (None, 1), (900, 0), (901, 1)]
+    got, toxic = tagger.training_sample(docs, spark.createDataFrame(table, "doc_id bigint, toxic int"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    want = sorted((t, bool(labels[i])) for i, t in enumerate(texts) if fold(i) and i != 3) + [(None, False)] * bool(fold(900))
+    assert sorted(zip(got, toxic.tolist(), strict=True), key=lambda x: (x[0] is None, x)) == want
+    few, y = tagger.training_sample(docs, spark.createDataFrame(table, "doc_id bigint, toxic int"), sample=20)
+    assert 10 < y.sum() < 35 and 10 < (~y).sum() < 35 and set(few) <= set(got)
+    small, _ = tagger.training_sample(docs, spark.createDataFrame(table, "doc_id bigint, toxic int"), sample_bytes=2000)
+    assert 0 < sum(len(t or "") for t in small) < 8000
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(0)
     model = tagger.Model(rng.normal(size=1 << tagger.BITS).astype(np.float32), rng.normal(size=(2, 2)))
@@ -181,10 +196,59 @@ def test_mix_near_targets(spark, make, odd):
     assert all(copies.get(r["doc_id"], 0) == (r["taken"] // r["size"] if r["size"] else copies.get(r["doc_id"], 0)) for r in rows)
 
 
-def test_newton_reaches_the_constraint(spark):
-    df = spark.createDataFrame([(100.0, 300.0), (100.0, 1.0), (5.0, 5.0), (7.0, 0.0)], "s double, t double").select("s", "t", mix.newton_dual(F.col("s"), F.col("t")).alias("x"))
-    for r in df.collect():
-        assert (r["x"] is None) if r["t"] == 0 else r["s"] * math.exp(r["x"]) == pytest.approx(r["t"], rel=1e-9)
+def test_newton_solves_the_dual(spark):
+    """Both kinds of constraints hold at the solution; one rate a source would miss the second."""
+    rng = random.Random(5)
+    cells = [(f"s{k}", z, 1000 * rng.randint(1, 9)) for k, sizes in enumerate(((5, 9, 20), (8, 40, 300, 900), (2, 1000, 5000), (30, 31))) for z in sizes]
+    words = collections.Counter()
+    for k, _, w in cells:
+        words[k] += w
+    target = {"s0": 0.4 * words["s0"], "s1": 1.3 * words["s1"], "s2": 2.2 * words["s2"], "s3": 3.0 * words["s3"]}
+    df = spark.createDataFrame([(k, z, w, float(target[k])) for k, z, w in cells], "_key string, size bigint, words bigint, target double")
+    duals, centre, moment = mix.balance(df)
+    dual = {r["_key"]: r["dual"] for r in duals.collect()}
+    assert dual["s3"] is None and centre == pytest.approx(sum(w * math.log1p(z) for _, z, w in cells) / sum(words.values()))
+    rate = {(k, z): 3.0 if dual[k] is None else min(3.0, math.exp(dual[k] + moment * (math.log1p(z) - centre))) for k, z, _ in cells}
+    for k, t in target.items():
+        assert sum(w * rate[k, z] for j, z, w in cells if j == k) == pytest.approx(t, rel=1e-6)
+    off = sum(w * rate[k, z] * (math.log1p(z) - centre) for k, z, w in cells)
+    assert off == pytest.approx(-mix.SOFT * sum(words.values()) * moment, abs=1e-4 * sum(words.values()))
+    plain = sum(w * target[k] / words[k] * (math.log1p(z) - centre) for k, z, w in cells)
+    assert abs(off) < 0.3 * abs(plain) and len({rate["s1", z] for z in (8, 40, 300, 900)}) == 4
+
+
+def test_mix_takes_documents_as_long_as_the_corpus(make):
+    rng = random.Random(6)
+    docs = make([(i, prose(rng, int(rng.choice([5, 10, 30])) if s == "a" else int(rng.choice([8, 60, 400]))), s) for i, s in enumerate(rng.choice("aabbc") for _ in range(600))])
+    rows = mix.mix_sources(docs).collect()
+    mean = lambda key: sum(r[key] * math.log1p(r["size"]) for r in rows) / sum(r[key] for r in rows)
+    even = sum(r["target"] / r["source_size"] * r["size"] * math.log1p(r["size"]) for r in rows) / sum(r["target"] / r["source_size"] * r["size"] for r in rows)
+    assert abs(mean("taken") - mean("size")) < 0.4 * abs(even - mean("size"))
+    assert len({round(r["rate"], 6) for r in rows if r["source"] == "b"}) > 2
+
+
+def test_equal_rows_share_their_copies(spark, make):
+    """A target that only some of many equal rows can reach is reached."""
+    docs = make([(1, "one two three four five six seven eight nine ten", "a")] * 200 + [(2, "x " * 3000, "b"), (3, None, "a")])
+    rows = mix.mix_sources(docs).collect()
+    own = [r for r in rows if r["doc_id"] == 1]
+    assert len(rows) == 202 and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10 and {r["copies"] for r in own} <= {int(own[0]["target"] // 2000), int(own[0]["target"] // 2000) + 1}
+    got = collections.Counter(r["doc_id"] for r in mix.copy_documents(docs).collect())
+    assert got[1] * 10 == sum(r["taken"] for r in own)
+
+
+def test_copied_documents(spark, make, odd, monkeypatch):
+    """Extra columns, nulls, repeated rows and empty tables, with tables sent to the rows and rows shuffled to tables."""
+    docs = make(odd, extra=True)
+    found = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(mix, "BROADCAST_SOURCES", most)
+        got = mix.copy_documents(docs)
+        assert got.columns == docs.columns and mix.copy_documents(make([], extra=True)).count() == 0
+        found.append(collections.Counter(tuple(r) for r in got.collect()))
+        whole = collections.Counter(tuple(r) for r in docs.collect())
+        assert all(n <= 3 * whole[r] for r, n in found[-1].items()) and set(found[-1]) <= set(whole)
+    assert found[0] == found[1]
 
 
 # 4
@@ -239,6 +303,44 @@ def test_near_duplicates_against_all_pairs(spark, make, copied, monkeypatch, sma
     assert kept == sorted(set(want))
 
 
+def test_rarity_decides(make):
+    """Two pairs of one and the same unweighted similarity differ in how rare is what they share."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(8))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    common, rare = fresh(50), fresh(50)
+    # 46 shared shingles of 55 or so: 0.8 and a little without weights.
+    pairs = [common + " " + fresh(6), common + " " + fresh(6), rare + " " + fresh(6), rare + " " + fresh(6)]
+    texts = pairs + [common + " " + fresh(60) for _ in range(400)] + [fresh(60) for _ in range(400)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(make(texts), threshold=0.75).collect()}
+    assert got[2] == got[3] == 2 and got[0] != got[1]
+
+
+def test_frequent_shingles_against_counts(make, copied, odd):
+    docs = make([*copied * 2, *(t for _, t, _ in odd)])
+    texts = [r["text"] for r in docs.collect()]
+    df, n = collections.Counter(), 0
+    for t in texts:
+        h = near_dups.bags(words(pa.array([t], pa.large_string()), ALNUM))[0]
+        df.update(h.tolist())
+        n += len(h) > 0
+    for floor in (0.001, 0.05, 0.3):
+        h, c, total = near_dups.frequent_shingles(docs, floor)
+        assert total == n and dict(zip(h.tolist(), c.tolist(), strict=True)) == {k: v for k, v in df.items() if v >= max(2, floor * n)}
+
+
+def test_texts_that_are_shuffled(spark, make, copied, odd, monkeypatch):
+    """Ids that are too many to be sent give the same classes and the same rows."""
+    docs = make([*((i, t, "s") for i, t in enumerate(copied)), *((1000 + (d or 0), t, s) for d, t, s in odd)], extra=True)
+    found = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(near_dups, "BROADCAST_IDS", most)
+        kept = near_dups.keep_one(docs)
+        assert kept.columns == docs.columns and near_dups.keep_one(make([], extra=True)).count() == 0
+        found.append((sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dups.classes(docs).collect()), sorted(map(repr, kept.collect()))))
+    assert found[0] == found[1]
+
+
 def test_near_duplicate_rows(make, odd):
     rows = near_dups.classes(make(odd, extra=True)).collect()
     assert len(rows) == len(odd)
@@ -294,6 +396,33 @@ def test_neighbours_recall_and_order(spark):
     assert ann.search(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_in_clusters_need_few_cells(spark):
+    """Cells are found at fit time: few where vectors cluster, and few of these are looked into; recall stays."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 24))[rng.integers(0, 200, 6000)] + 0.05 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    index = ann.build(ann.usable(df, "vec_id", "embedding"), 24, len(x))
+    assert index.book.probes <= 0.1 * len(index.book.coarse) and index.held.sum() == len(x)
+    hits, got = 0, collections.defaultdict(set)
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q, found in got.items():
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(found & set(np.argsort(dist, kind="stable")[:10].tolist()))
+    assert len(got) == 60 and hits >= 0.95 * 600
+
+
+def test_rows_of_one_id_are_candidates(spark):
+    """Only the query's own row is left out; extra columns may have any name."""
+    v = [[float(i), 1.0] for i in range(30)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(7, [7.5, 1.0]), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS row", "'x' AS cell", "2 AS score", "3 AS q")
+    got = ann.search(df, df.where("vec_id in (0, 7)"), k=2).collect()
+    by = collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    assert by == {(0, 1, 0, 0.0): 2, (0, 2, 1, 1.0): 2, (7, 1, 7, 0.5): 2, (7, 2, 8, 0.5): 1, (7, 2, 6, 1.0): 1}
+
+
 def test_neighbours_among_near_copies(spark):
     """Thousands of near copies share their codes; a query among them still gets its true neighbours."""
     rng = np.random.default_rng(8)
@@ -572,6 +701,26 @@ def test_weak_labels_find_junk(make, odd):
     assert weak_labels.score_quality(make([]), weak_labels.fit(make([]))).count() == 0
 
 
+def test_a_text_that_repeats_is_sampled_once(make):
+    rng = random.Random(11)
+    texts = [prose(rng, 60) for _ in range(50)]
+    once, often = weak_labels.fit(make(texts), rounds=5), weak_labels.fit(make(texts + [texts[0]] * 400), rounds=5)
+    assert once.weight.shape == often.weight.shape and np.isfinite(often.weight).all()
+    rows = weak_labels.score_quality(make(texts), often).collect()
+    assert all(r["keep"] for r in rows)
+
+
+def test_quality_scores_against_a_plain_scorer(make, odd, corpus):
+    """Scores are the logistic function of the features' weights, one document at a time."""
+    docs = make([*odd, *((100 + i, t, "s") for i, t in enumerate(corpus[:40]))])
+    model = weak_labels.fit(docs, rounds=20)
+    for r, (_, t, _) in zip(sorted(weak_labels.score_quality(docs, model).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted([*odd, *((100 + i, t, "s") for i, t in enumerate(corpus[:40]))], key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+        rows, ids, values, got, n = weak_labels._features(pa.array([t], pa.large_string()))
+        x = sum(v * model.weight[i] for v, i in zip(values, ids, strict=True)) + model.weight[-1]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-x)) if n[0] else 1.0, abs=1e-9)
+        assert r["posterior"] == pytest.approx(model.labels.posterior(weak_labels.votes(got, n))[0] if n[0] else 1.0)
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(2)
     junk = rng.random(20_000) < 0.2
@@ -588,6 +737,30 @@ def test_expectation_maximisation_finds_accuracies():
 # 10
 
 
+def test_blocks_are_read_once_for_many_texts(monkeypatch, tmp_path):
+    """Where blocks cannot all be kept, they are read once a chunk of texts, not once a piece."""
+    items = [[(str(i), [b"w%d" % j for j in range(i, i + 20)])] for i in range(0, 600, 20)]
+    blocks = []
+    for i, x in enumerate(items):
+        raw = decontaminate._block(x, 13)
+        (tmp_path / f"{i}.npz").write_bytes(raw)
+        blocks.append((str(tmp_path / f"{i}.npz"), len(raw)))
+    texts = [" ".join(f"w{j}" for j in range(a, a + 5000)) for a in range(0, 400, 4)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
+    reads = []
+    plain = decontaminate.read_bytes
+    monkeypatch.setattr(decontaminate, "read_bytes", lambda uri: reads.append(uri) or plain(uri))
+    found = []
+    for cache in (256 << 20, 1):
+        monkeypatch.setattr(decontaminate, "CACHE", cache)
+        decontaminate._held.clear()
+        reads.clear()
+        got = [h for h in decontaminate._all_hits(iter([batch]), blocks)]
+        found.append([sorted(x) for h in got for x in h.items])
+        assert len(got) > 2 and len(reads) == len(blocks)
+    assert found[0] == found[1] and any(found[0])
+
+
 def brute_contamination(text, items):
     ws = WORD.findall((text or "").translate(LOWER))
     hit, found = set(), set()
@@ -625,6 +798,7 @@ def test_contamination_against_windows(spark, make, odd, block):
     assert any(k[-1] for k in want) and not all(k[-1] for k in want)
     left = decontaminate.drop_contaminated(docs, bench, block_words=block)
     assert left.columns == docs.columns and left.count() == sum(n for k, n in want.items() if not k[-1])
+    assert block > 60 or len(decontaminate.build_index(bench, 13, block)) > 5
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_contamination(docs, none).where("contaminated or n_hit > 0").count() == 0
     assert decontaminate.find_contamination(make([]), bench).count() == 0
