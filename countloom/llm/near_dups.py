@@ -68,8 +68,6 @@ LOSS = 1e-5
 LEVELS = 4
 TABLES = 20
 POOL = 1 << 16
-#: Rows of ids up to which a table is sent to the texts instead of shuffling these (40 bytes a row).
-BROADCAST_IDS = 20_000
 
 
 def agree(threshold: float, loss: float = LOSS) -> int:
@@ -273,8 +271,8 @@ def payloads(docs: DataFrame, chosen: DataFrame, weights: Weights) -> DataFrame:
                 ["node", "h", "w"],
             )
 
-    ids = chosen.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key", "node")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    # Ids grow with the corpus, so texts meet them by a shuffle, at every size the same way.
+    ids = chosen.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key", "node").hint("merge")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text").join(ids, "id")
     return texts.select("node", "key", "text").mapInArrow(run, "node bigint, h binary, w binary").dropDuplicates(["node"])
 
@@ -474,7 +472,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     best = per.groupBy("comp").agg(F.min(F.struct("_countloom_id", "_countloom_key", "_n")).alias("b")).select("b._countloom_id", "b._countloom_key", (F.col("b._n") > 1).alias("_countloom_more"))
     best = materialise(best, "kept")
     more = not best.where("_countloom_more").isEmpty()
-    near = F.broadcast(best) if best.count() <= BROADCAST_IDS else best.hint("merge")
+    near = best.hint("merge")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
