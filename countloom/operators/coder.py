@@ -1,31 +1,40 @@
 """Entropy coding of whole matrices: one grouped-map task a sample.
 
-A range-variant asymmetric numeral system with 12-bit frequencies and byte
-renormalisation; its state runs through all symbols of a sample, so a sample is
-the unit of parallelism. All a sample needs (cells, graph, models) comes as tagged
-rows of one table, so one shuffle by sample brings it together. A sample's size is
-bounded by the caps of ``sources.matrix.budget``.
+Range-variant asymmetric numeral systems with 12-bit frequencies. Contexts look at
+earlier rows only, so all symbols of a row have known probabilities at once and are
+coded side by side: ``Lanes`` holds many states in one array, which write 16-bit
+words into one stream in a fixed order (Giesen, 2014). ``Writer`` and ``Reader`` are
+the single state of 2**23 and up, byte by byte, for streams of a few symbols.
+
+All a sample needs (cells, graph, models, labels) comes as tagged rows of one table,
+so one shuffle by sample brings it together. A sample's size is bounded by the caps of
+``sources.matrix.budget``; memory follows its positives and its genes, never rows
+times genes.
 """
 
 from __future__ import annotations
 
+import base64
 import bz2
 import hashlib
+import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CONTEXT_ENDS, Q12, STARTUP
+from ..functions.fixed import CONTEXT_ENDS, Q12, STARTUP, U32
 from ..sources.matrix import CountMatrix
-from . import graph as graphs
-from . import support, values
+from . import sharing, support
+from .study import Study
 
-LOWER = 1 << 23
+LOWER, LANE_LOWER = 1 << 23, 1 << 16
 WIDTH = 6
+_BITS = 12 - np.log2(np.maximum(np.arange(Q12 + 1), 1))
 
 
 class Writer:
@@ -70,190 +79,389 @@ class Reader:
             raise ValueError("stream does not end where it should")
 
 
-def _odds_q(q: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    num = q.astype(object) * odds.astype(object)
-    den = num + (Q12 - q.astype(object)) * 65536
-    return np.clip(((Q12 * num + den // 2) // den).astype(np.int64), 1, Q12 - 1)
+class LaneWriter:
+    """As many states as lanes; runs of symbols go in from the last to the first."""
 
+    def __init__(self, lanes: int):
+        self.state, self.words = np.full(lanes, LANE_LOWER, np.int64), []
 
-class Sample:
-    """All of one sample, out of tagged rows."""
+    def put(self, start: np.ndarray, freq: np.ndarray) -> None:
+        """A run of any length: symbol i goes to lane i modulo lanes."""
+        lanes = len(self.state)
+        for a in range((len(freq) - 1) // lanes * lanes, -1, -lanes):
+            f, s = freq[a : a + lanes], start[a : a + lanes]
+            x = self.state[: len(f)]
+            over = x >= f << 20
+            if over.any():
+                self.words.append((x[over] & 0xFFFF).astype("<u2"))
+                x = np.where(over, x >> 16, x)
+            q, r = np.divmod(x, f)
+            self.state[: len(f)] = (q << 12) + r + s
 
-    def __init__(self, rows: pd.DataFrame):
-        kind = {k: d[["a", "b", "c"]].to_numpy(np.int64) for k, d in rows.groupby("kind")}
-        get = lambda k: kind.get(k, np.empty((0, 3), np.int64))
-        self.n, self.genes = (int(x) for x in get("size")[0][:2])
-        cells = get("cell")
-        cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
-        self.i, self.g, self.v = cells[:, 0], cells[:, 1], cells[:, 2]
-        self.ptr = np.searchsorted(self.i, np.arange(self.n + 1))
-        self.near: dict[int, np.ndarray] = {}
-        edges = get("edge")
-        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
-        cut = np.searchsorted(edges[:, 0], np.arange(self.n + 1))
-        self.near = {i: edges[cut[i] : cut[i + 1], 2] for i in range(self.n)}
-        order = lambda x: x[np.argsort(x[:, 0])]
-        gene, group, centre = order(get("gene")), order(get("group")), order(get("centre"))
-        self.q0, self.bucket, self.group = gene[:, 1], gene[:, 2], group[:, 1]
-        self.support_odds = np.full((8, 7), 65536, np.int64)
-        s = get("support")
-        self.support_odds[s[:, 0], s[:, 1]] = s[:, 2]
-        self.value_odds = np.full((8, 7), 65536, np.int64)
-        s = get("value")
-        self.value_odds[s[:, 0], s[:, 1]] = s[:, 2]
-        self.centre = centre[:, 1]
-        t = get("tail")
-        self.tail = np.zeros((8, 8, 32), np.int64)
-        self.tail[t[:, 0], t[:, 1] // 32, t[:, 1] % 32] = t[:, 2]
-        self.below = np.concatenate([np.zeros((8, 8, 1), np.int64), np.cumsum(self.tail, 2)], 2)
-        self.support_q = np.concatenate([_odds_q(np.repeat(self.q0[:, None], 7, 1), self.support_odds[self.bucket]), self.q0[:, None]], 1)
-        self.value_q = np.concatenate([_odds_q(np.repeat(self.centre[:, None], 7, 1), self.value_odds), self.centre[:, None]], 1)
-
-    def row_q(self, i: int, bits: np.ndarray) -> np.ndarray:
-        """Probabilities of row i's cells; bits: support of earlier rows."""
-        near = self.near[i]
-        if len(near) < WIDTH:
+    def bytes(self) -> bytes:
+        return struct.pack("<I", len(self.state)) + self.state.astype("<u4").tobytes() + b"".join(w.tobytes() for w in reversed(self.words))
+
+
+class LaneReader:
+    def __init__(self, blob: bytes):
+        lanes = struct.unpack_from("<I", blob)[0] if len(blob) >= 4 else 0
+        if not lanes or len(blob) < 4 + 4 * lanes or len(blob) % 2:
+            raise ValueError("truncated stream")
+        self.state = np.frombuffer(blob, "<u4", lanes, 4).astype(np.int64)
+        self.words, self.at = np.frombuffer(blob, "<u2", offset=4 + 4 * lanes).astype(np.int64), 0
+        if (self.state < LANE_LOWER).any():
+            raise ValueError("invalid first state")
+
+    def _take(self, start: np.ndarray, freq: np.ndarray) -> None:
+        now = self.state[: len(freq)]
+        x = freq * (now >> 12) + (now & (Q12 - 1)) - start
+        under = np.flatnonzero(x < LANE_LOWER)
+        if len(under):
+            if self.at + len(under) > len(self.words):
+                raise ValueError("truncated stream")
+            x[under] = (x[under] << 16) | self.words[self.at : self.at + len(under)]
+            self.at += len(under)
+        self.state[: len(freq)] = x
+
+    def runs(self, n: int, choose) -> np.ndarray:
+        """n symbols; choose(from, to, slots) gives their (symbols, starts, frequencies)."""
+        lanes, out = len(self.state), np.empty(n, np.int64)
+        for a in range(0, n, lanes):
+            b = min(n, a + lanes)
+            out[a:b], start, freq = choose(a, b, self.state[: b - a] & (Q12 - 1))
+            self._take(start, freq)
+        return out
+
+    def flags(self, q: np.ndarray) -> np.ndarray:
+        """One bit for each Q12 probability of a one."""
+
+        def choose(a: int, b: int, slot: np.ndarray):
+            p = q[a:b]
+            one = slot >= Q12 - p
+            return one, np.where(one, Q12 - p, 0), np.where(one, p, Q12 - p)
+
+        return self.runs(len(q), choose).astype(bool)
+
+    def close(self) -> None:
+        if self.at != len(self.words) or (self.state != LANE_LOWER).any():
+            raise ValueError("stream does not end where it should")
+
+
+def _odds_q(q: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The largest product is below 2**52."""
+    q = np.asarray(q, np.int64)
+    num = q * odds
+    den = num + (Q12 - q) * 65536
+    return np.clip((Q12 * num + den // 2) // den, 1, Q12 - 1)
+
+
+def _raw_widths(k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k raw bits of values in pieces of at most 12, the highest first: (places, widths, bits below the piece)."""
+    for done in (0, 12, 24):
+        at = np.flatnonzero(k > done)
+        if len(at):
+            width = np.minimum(12, k[at] - done)
+            yield at, width, k[at] - done - width
+
+
+class Model:
+    """Probabilities of a sample's symbols, from its model tables."""
+
+    def __init__(self, graph: np.ndarray, q0: np.ndarray, support_odds: np.ndarray, rate: np.ndarray, group: np.ndarray, value_odds: np.ndarray, tail: np.ndarray, bucket: np.ndarray):
+        self.n, self.genes, self.graph, self.q0 = len(graph), len(q0), graph, q0.astype(np.int64)
+        self.group, self.tail = group.astype(np.int64), tail.astype(np.int64)
+        self.below = np.concatenate([np.zeros((*tail.shape[:2], 1), np.int64), np.cumsum(self.tail, 2)], 2)
+        self.support_q = _odds_q(np.repeat(self.q0[:, None], 7, 1), support_odds[bucket])
+        self.value_q = np.concatenate([_odds_q(np.repeat(rate[:, None], 7, 1), value_odds[self.group]), rate[:, None]], 1)
+        self._every = np.arange(self.genes)
+
+    def row_q(self, i: int, rows: list) -> np.ndarray:
+        near = self.graph[i]
+        if near[-1] < 0:
             return self.q0
-        return self.support_q[np.arange(self.genes), bits[near].sum(0)]
+        return self.support_q[self._every, np.bincount(np.concatenate([rows[j] for j in near]), minlength=self.genes)]
 
-    def row_context(self, i: int, genes: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Value contexts of row i's positives from earlier rows' (genes, values)."""
-        near = self.near[i]
-        if len(near) < WIDTH:
+    def contexts(self, i: int, genes: np.ndarray, rows: list, values: list) -> np.ndarray:
+        near = self.graph[i]
+        if near[-1] < 0:
             return np.full(len(genes), STARTUP)
-        total = np.zeros(len(genes), np.int64)
-        for j in near:
-            gj, vj = rows[j]
-            if len(gj):
-                at = np.minimum(np.searchsorted(gj, genes), len(gj) - 1)
-                total += np.where(gj[at] == genes, vj[at], 0)
+        total = np.bincount(np.concatenate([rows[j] for j in near]), np.concatenate([values[j] for j in near]), self.genes)[genes]
         return np.where(total == 0, 0, 1 + np.searchsorted(CONTEXT_ENDS, total, "right"))
 
-    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(self.g[a:b], self.v[a:b]) for a, b in zip(self.ptr[:-1], self.ptr[1:], strict=True)]
-
-    def encode_support(self) -> tuple[bytes, float]:
-        bits = np.zeros((self.n, self.genes), bool)
-        bits[self.i, self.g] = True
-        out, cost = Writer(), 0.0
+    def encode_support(self, rows: list, lanes: int) -> tuple[bytes, float]:
+        out, cost = LaneWriter(lanes), 0.0
         for i in range(self.n - 1, -1, -1):
-            q = self.row_q(i, bits)
-            freq = np.where(bits[i], q, Q12 - q)
-            cost += float((12 - np.log2(freq)).sum())
-            for s, f in zip(np.where(bits[i], Q12 - q, 0)[::-1].tolist(), freq[::-1].tolist(), strict=True):
-                out.put(s, f)
+            q = self.row_q(i, rows)
+            start, freq = np.zeros(self.genes, np.int64), Q12 - q
+            start[rows[i]], freq[rows[i]] = freq[rows[i]], q[rows[i]]
+            cost += float(_BITS[freq].sum())
+            out.put(start, freq)
         return out.bytes(), cost
 
-    def decode_support(self, blob: bytes) -> np.ndarray:
-        bits, src = np.zeros((self.n, self.genes), bool), Reader(blob)
+    def decode_support(self, blob: bytes) -> list:
+        rows, src = [], LaneReader(blob)
         for i in range(self.n):
-            for g, q in enumerate(self.row_q(i, bits).tolist()):
-                if src.peek() >= Q12 - q:
-                    bits[i, g] = True
-                    src.take(Q12 - q, q)
-                else:
-                    src.take(0, Q12 - q)
+            rows.append(np.flatnonzero(src.flags(self.row_q(i, rows))))
         src.close()
-        return bits
+        return rows
 
-    def encode_values(self) -> tuple[bytes, float]:
-        rows, out, cost = self.rows(), Writer(), 0.0
+    def encode_values(self, rows: list, values: list, lanes: int) -> tuple[bytes, float]:
+        out, cost = LaneWriter(lanes), 0.0
         for i in range(self.n - 1, -1, -1):
-            genes, vals = rows[i]
-            c = self.row_context(i, genes, rows)
-            for g, v, c_ in zip(genes[::-1].tolist(), vals[::-1].tolist(), c[::-1].tolist(), strict=True):
-                b = self.group[g]
-                q = int(self.value_q[b, c_])
-                if v > 1:
-                    k = (v - 1).bit_length() - 1
-                    for bit in range(k):
-                        out.put(2048 * ((v - 1 >> bit) & 1), 2048)
-                    f = int(self.tail[b, c_, k])
-                    out.put(int(self.below[b, c_, k]), f)
-                    out.put(0, Q12 - q)
-                    cost += k + 24 - np.log2(f) - np.log2(Q12 - q)
-                else:
-                    out.put(Q12 - q, q)
-                    cost += 12 - np.log2(q)
-        return out.bytes(), float(cost)
-
-    def decode_values(self, blob: bytes, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows, src = [], Reader(blob)
+            genes, v = rows[i], values[i]
+            if not len(genes):
+                continue
+            c = self.contexts(i, genes, rows, values)
+            q, big = self.value_q[genes, c], np.flatnonzero(v > 1)
+            k = np.frexp((v[big] - 1).astype(np.float64))[1].astype(np.int64) - 1
+            rest = v[big] - 1 - (1 << k)
+            for at, width, low in reversed(list(_raw_widths(k))):
+                out.put(((rest[at] >> low) & ((1 << width) - 1)) << (12 - width), 1 << (12 - width))
+            b = self.group[genes[big]]
+            f = self.tail[b, c[big], k]
+            out.put(self.below[b, c[big], k], f)
+            one = v == 1
+            freq = np.where(one, q, Q12 - q)
+            out.put(np.where(one, Q12 - q, 0), freq)
+            cost += float(_BITS[freq].sum() + _BITS[f].sum() + k.sum())
+        return out.bytes(), cost
+
+    def decode_values(self, blob: bytes, rows: list) -> list:
+        values, src = [], LaneReader(blob)
         for i in range(self.n):
-            genes = np.flatnonzero(bits[i])
-            vals = np.empty(len(genes), np.int64)
-            for p, (g, c) in enumerate(zip(genes.tolist(), self.row_context(i, genes, rows).tolist(), strict=True)):
-                b = self.group[g]
-                q = int(self.value_q[b, c])
-                if src.peek() >= Q12 - q:
-                    src.take(Q12 - q, q)
-                    vals[p] = 1
-                    continue
-                src.take(0, Q12 - q)
-                k = int(np.searchsorted(self.below[b, c], src.peek(), "right")) - 1
-                src.take(int(self.below[b, c, k]), int(self.tail[b, c, k]))
-                rest = 0
-                for _ in range(k):
-                    one = src.peek() >= 2048
-                    src.take(2048 if one else 0, 2048)
-                    rest = rest * 2 + one
-                x = (1 << k) + rest + 1
-                if x > 4294967295:
-                    raise ValueError("value beyond 32 bits")
-                vals[p] = x
-            rows.append((genes, vals))
+            genes = rows[i]
+            c = self.contexts(i, genes, rows, values)
+            v = np.ones(len(genes), np.int64)
+            big = np.flatnonzero(~src.flags(self.value_q[genes, c]))
+            table, below = self.tail[self.group[genes[big]], c[big]], self.below[self.group[genes[big]], c[big]]
+
+            def magnitude(a: int, b: int, slot: np.ndarray, table=table, below=below):
+                k = (below[a:b, 1:] <= slot[:, None]).sum(1)
+                own = np.arange(a, b)
+                return k, below[own, k], table[own, k]
+
+            k = src.runs(len(big), magnitude)
+            rest = np.zeros(len(big), np.int64)
+            for at, width, low in _raw_widths(k):
+
+                def piece(a: int, b: int, slot: np.ndarray, width=width):
+                    w = 12 - width[a:b]
+                    return slot >> w, (slot >> w) << w, 1 << w
+
+                rest[at] |= src.runs(len(at), piece) << low
+            v[big] = (1 << k) + rest + 1
+            if (v > U32).any():
+                raise ValueError("value beyond 32 bits")
+            values.append(v)
         src.close()
-        return rows
+        return values
+
+
+# The members of an archive.
+MEMBERS = (
+    "metadata.bz2", "graph.bz2", "base_probability.bz2", "shared_odds.u32", "support.rans", "value_q1.bz2", "value_group.bz2", "value_base_k.bz2", "value_odds.u32", "value_cond_k.bz2", "values.rans",
+)
+METADATA = "047-exact-metadata-v1"
+
+
+def buckets_of(q: np.ndarray, edges: tuple[int, ...]) -> np.ndarray:
+    return np.maximum(0, np.searchsorted(edges, q, "right") - 1)
+
+
+def _packed(a: np.ndarray, kind: str) -> bytes:
+    return bz2.compress(np.ascontiguousarray(a, kind).tobytes(), 9)
+
+
+def _unpacked(raw: bytes, kind: str, shape: tuple[int, ...]) -> np.ndarray:
+    """Refuses anything but the one stream of the one size."""
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    unzip = bz2.BZ2Decompressor()
+    try:
+        got = unzip.decompress(raw, max_length=size + 1)
+    except (OSError, EOFError) as e:
+        raise ValueError("compression") from e
+    if len(got) != size or unzip.unused_data or not unzip.eof:
+        raise ValueError("length")
+    return np.frombuffer(got, kind).reshape(shape)
+
+
+def digest_of(n: int, genes: int, ptr: np.ndarray, g: np.ndarray, v: np.ndarray) -> str:
+    return hashlib.sha256(b"".join(np.asarray(p).astype("<u8").tobytes() for p in ([n, genes], ptr, g, v))).hexdigest()
+
+
+def metadata_bytes(spot_ids: list, gene_ids: list, xy: np.ndarray) -> bytes:
+    """The metadata document, the same bytes for the same contents."""
+    meta = {
+        "schema": METADATA, "spot_ids": spot_ids, "gene_ids": gene_ids, "coordinates_shape": list(xy.shape), "coordinates_dtype": xy.dtype.str,
+        "coordinates_base64": base64.b64encode(np.ascontiguousarray(xy).tobytes()).decode(),
+    }
+    return (json.dumps(meta, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n").encode()
+
+
+class Sample:
+    """All of one sample, out of tagged rows: (kind, a, b, c, x, y, t)."""
+
+    def __init__(self, rows: pd.DataFrame, groups: int = 8):
+        kind = {k: d for k, d in rows.groupby("kind")}
+        get = lambda k: kind[k][["a", "b", "c"]].to_numpy(np.int64) if k in kind else np.empty((0, 3), np.int64)
+        self.n, self.genes, self.k = int(get("size")[0][0]), int(get("size")[0][1]), groups
+        cells = get("cell")
+        cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
+        self.g, self.v = cells[:, 1], cells[:, 2]
+        self.ptr = np.searchsorted(cells[:, 0], np.arange(self.n + 1))
+        cut = list(zip(self.ptr[:-1], self.ptr[1:], strict=True))
+        self.rows, self.values = [self.g[a:b] for a, b in cut], [self.v[a:b] for a, b in cut]
+        if "spot" in kind:
+            spots, genes = kind["spot"].sort_values("a"), kind["label"].sort_values("a")
+            self.spot_ids, self.xy = spots["t"].tolist(), spots[["x", "y"]].to_numpy(np.float64)
+            self.gene_ids = genes["t"].tolist()
+        if "gene" not in kind:
+            return
+        self.graph = np.full((self.n, WIDTH), -1, np.int64)
+        edges = get("edge")
+        self.graph[edges[:, 0], edges[:, 1] - 1] = edges[:, 2]
+        order = lambda x: x[np.argsort(x[:, 0])]
+        gene, group = order(get("gene")), order(get("group"))
+        self.q0, self.bucket, self.group, self.own = gene[:, 1], gene[:, 2], group[:, 1], group[:, 2]
+        self.centre = order(get("centre"))[:, 1]
+        self.exception = order(get("exception"))[:, 1].astype(bool) if "exception" in kind else None
+        self.support_odds, self.value_odds = np.full((8, 7), 65536, np.int64), np.full((groups, 7), 65536, np.int64)
+        for table, k in ((self.support_odds, "support"), (self.value_odds, "value")):
+            s = get(k)
+            table[s[:, 0], s[:, 1]] = s[:, 2]
+        t = get("tail")
+        self.tail = np.zeros((groups, 8, 32), np.int64)
+        self.tail[t[:, 0], t[:, 1] // 32, t[:, 1] % 32] = t[:, 2]
+
+    @property
+    def rate(self) -> np.ndarray:
+        """Q12 rate of ones by gene: its group's centre or, for exceptions, its own."""
+        shared = self.centre[self.group]
+        return shared if self.exception is None else np.where(self.exception, self.own, shared)
+
+    def model(self) -> Model:
+        return Model(self.graph, self.q0, self.support_odds, self.rate, self.group, self.value_odds, self.tail, self.bucket)
+
+    def lanes(self) -> tuple[int, int]:
+        """Lanes of the two streams: many enough to fill arrays, few enough for their states not to count."""
+        return int(np.clip(self.genes // 16, 1, 1024)), int(np.clip(len(self.g) // (8 * max(1, self.n)), 1, 256))
 
     def digest(self) -> str:
-        parts = [np.array([self.n, self.genes]), self.ptr, self.g, self.v]
-        return hashlib.sha256(b"".join(p.astype("<u8").tobytes() for p in parts)).hexdigest()
-
-
-def tagged(m: CountMatrix, model: bool = True) -> DataFrame:
-    """(sample_id, kind, a, b, c): everything a sample's task needs."""
-    big = lambda c: F.col(c).cast("bigint")
-    row = lambda df, kind, a, b, c=None: df.select("sample_id", F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"), (big(c) if c else F.lit(0).cast("bigint")).alias("c"))
-    size = support.rows_per_sample(m).join(F.broadcast(m.genes.agg(F.count("*").alias("genes"))))
-    out = [row(size, "size", "n", "genes"), row(m.counts, "cell", "i", "g", "v")]
-    if model:
-        g = graphs.causal_neighbours(m.spots, WIDTH)
-        prof = values.profiles(m)
-        events = values.value_events(m, g, prof)
+        return digest_of(self.n, self.genes, self.ptr, self.g, self.v)
+
+    def members(self) -> tuple[dict[str, bytes], dict]:
+        """(members, what the manifest says) of the sample's archive."""
+        model, (wide, narrow) = self.model(), self.lanes()
+        meta = metadata_bytes(self.spot_ids, self.gene_ids, self.xy)
+        parts = {
+            "metadata.bz2": bz2.compress(meta, 9), "graph.bz2": _packed(self.graph, "<i4"), "base_probability.bz2": _packed(self.q0, "<u2"), "shared_odds.u32": self.support_odds.astype("<u4").tobytes(),
+            "support.rans": model.encode_support(self.rows, wide)[0], "value_q1.bz2": sharing.encode(self.centre, self.group, self.own, self.exception), "value_group.bz2": _packed(self.group, "u1"),
+            "value_base_k.bz2": _packed(self.tail[:, 7], "<u2"), "value_odds.u32": self.value_odds.astype("<u4").tobytes(), "value_cond_k.bz2": _packed(self.tail[:, :7], "<u2"),
+            "values.rans": model.encode_values(self.rows, self.values, narrow)[0],
+        }
+        info = {
+            "shape": [self.n, self.genes], "nnz": len(self.g), "groups": self.k, "mode": 0 if self.exception is None else 1, "buckets": 8, "predecessors": WIDTH,
+            "canonical_sha256": self.digest(), "metadata_sha256": hashlib.sha256(meta).hexdigest(),
+        }
+        return parts, info
+
+
+def graph_ok(graph: np.ndarray) -> bool:
+    """Row i has exactly min(i, width) distinct earlier rows, and nothing after them."""
+    n, width = graph.shape
+    own, place = np.arange(n)[:, None], np.arange(width)
+    due = place < own
+    some = np.where(due, graph, -1 - place)  # distinct fillers
+    ordered = np.sort(some, 1)
+    return bool((graph[due] >= 0).all() and (np.where(due, graph, -1) < own).all() and (graph[~due] == -1).all() and (np.diff(ordered, axis=1) > 0).all())
+
+
+def decode_members(parts: dict[str, bytes], info: dict) -> tuple[list, list, dict]:
+    """(genes by row, values by row, metadata) from an archive alone; refuses whatever does not fit."""
+    from ..functions.fixed import BUCKET_EDGES
+
+    (n, genes), k = (int(x) for x in info["shape"]), int(info["groups"])
+    graph = _unpacked(parts["graph.bz2"], "<i4", (n, WIDTH)).astype(np.int64)
+    if not graph_ok(graph):
+        raise ValueError("graph")
+    q0 = _unpacked(parts["base_probability.bz2"], "<u2", (genes,)).astype(np.int64)
+    group = _unpacked(parts["value_group.bz2"], "u1", (genes,)).astype(np.int64)
+    tail = np.concatenate([_unpacked(parts["value_cond_k.bz2"], "<u2", (k, 7, 32)), _unpacked(parts["value_base_k.bz2"], "<u2", (k, 1, 32))], 1)
+    odds = {m: np.frombuffer(parts[m], "<u4").astype(np.int64) for m in ("shared_odds.u32", "value_odds.u32")}
+    if (q0 < 1).any() or (q0 >= Q12).any() or (group >= k).any() or (tail < 1).any() or (tail.sum(2) != Q12).any() or len(odds["shared_odds.u32"]) != 56 or len(odds["value_odds.u32"]) != 7 * k:
+        raise ValueError("model tables")
+    if any((o < 22).any() or (o > 195360063).any() for o in odds.values()):
+        raise ValueError("odds")
+    rate = sharing.decode(parts["value_q1.bz2"], group, k)
+    model = Model(graph, q0, odds["shared_odds.u32"].reshape(8, 7), rate, group, odds["value_odds.u32"].reshape(k, 7), tail, buckets_of(q0, BUCKET_EDGES))
+    rows = model.decode_support(parts["support.rans"])
+    if sum(map(len, rows)) != info["nnz"]:
+        raise ValueError("number of positives")
+    values = model.decode_values(parts["values.rans"], rows)
+    flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    if digest_of(n, genes, np.cumsum([0, *map(len, rows)]), flat(rows), flat(values)) != info["canonical_sha256"]:
+        raise ValueError("decoded counts")
+    meta = bz2.decompress(parts["metadata.bz2"])
+    if hashlib.sha256(meta).hexdigest() != info["metadata_sha256"]:
+        raise ValueError("metadata")
+    return rows, values, json.loads(meta)
+
+
+ROW = "sample_id string, kind string, a bigint, b bigint, c bigint, x double, y double, t string"
+
+
+def tagged(m: CountMatrix, study: Study | None = None, k: int = 8, exceptions: bool = False) -> DataFrame:
+    """(sample_id, kind, a, b, c, x, y, t): everything a sample's task needs; models only where a study is given."""
+    big = lambda c: F.col(c).cast("bigint") if c else F.lit(None).cast("bigint")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(df: DataFrame, kind: str, a: str, b: str | None = None, c: str | None = None, x: str | None = None, y: str | None = None, t: str | None = None) -> DataFrame:
+        other = [F.col(x).alias("x") if x else none("double").alias("x"), F.col(y).alias("y") if y else none("double").alias("y"), F.col(t).alias("t") if t else none("string").alias("t")]
+        return df.select("sample_id", F.lit(kind).alias("kind"), big(a).alias("a"), F.coalesce(big(b), F.lit(0)).alias("b"), F.coalesce(big(c), F.lit(0)).alias("c"), *other)
+
+    rows = support.rows_per_sample(m)
+    out = [row(rows.join(F.broadcast(m.genes.agg(F.count("*").alias("genes")))), "size", "n", "genes"), row(m.counts, "cell", "i", "g", "v")]
+    if study is not None:
+        prof = study.profiles(k)
+        from . import values
+
         out += [
-            row(g, "edge", "i", "r", "j"), row(support.gene_marginals(m), "gene", "g", "q0", "b"), row(support.support_odds(m, g), "support", "b", "k", "odds"),
-            row(prof, "group", "g", "grp"), row(values.centres(prof), "centre", "b", "s"), row(values.value_odds(events), "value", "b", "c", "odds"),
-            row(values.tail_tables(m, prof, events).withColumn("k", F.col("c") * 32 + F.col("k")), "tail", "b", "k", "freq"),
+            row(m.spots, "spot", "i", x="x", y="y", t="spot_id"), row(m.genes.join(F.broadcast(rows)), "label", "g", t="gene_id"), row(study.graph.where(F.col("r") <= WIDTH), "edge", "i", "r", "j"),
+            row(study.marginals(), "gene", "g", "q0", "b"), row(study.support_odds(), "support", "b", "k", "odds"), row(prof, "group", "g", "grp", "q"), row(values.centres(prof, k), "centre", "b", "s"),
+            row(study.value_odds(k), "value", "b", "c", "odds"), row(study.tails(k).withColumn("k", F.col("c") * 32 + F.col("k")), "tail", "b", "k", "freq"),
         ]
+        if exceptions:
+            out.append(row(study.exceptions(k).withColumn("exception", F.col("exception").cast("int")), "exception", "g", "exception"))
     all_ = out[0]
     for x in out[1:]:
         all_ = all_.unionByName(x)
     return all_
 
 
-def round_trip(m: CountMatrix) -> DataFrame:
+def round_trip(m: CountMatrix, k: int = 8, exceptions: bool = False) -> DataFrame:
+    """(sample_id, support_bytes, value_bytes, support_bits, value_bits, exact, tight): both streams coded and decoded."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = Sample(rows)
-        a, a_bits = s.encode_support()
-        b, b_bits = s.encode_values()
-        support_ = s.decode_support(a)
-        got = s.decode_values(b, support_)
-        exact = all((x == p).all() and (y == q).all() for (x, y), (p, q) in zip(got, s.rows(), strict=True))
-        near = abs(8 * len(a) - a_bits) < 50 and abs(8 * len(b) - b_bits) < 50
-        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "support_bytes": [len(a)], "value_bytes": [len(b)], "support_bits": [a_bits], "value_bits": [b_bits], "exact": [bool(exact)], "tight": [near]})
+        s = Sample(rows, k)
+        model, (wide, narrow) = s.model(), s.lanes()
+        a, a_bits = model.encode_support(s.rows, wide)
+        b, b_bits = model.encode_values(s.rows, s.values, narrow)
+        got = model.decode_support(a)
+        back = model.decode_values(b, got)
+        exact = all((x == y).all() for x, y in zip(got, s.rows, strict=True)) and all((x == y).all() for x, y in zip(back, s.values, strict=True))
+        # A stream is as long as its symbols cost, but for its states.
+        near = abs(8 * len(a) - a_bits - 32 * (wide + 1)) < 50 + 17 * wide and abs(8 * len(b) - b_bits - 32 * (narrow + 1)) < 50 + 17 * narrow
+        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "support_bytes": [len(a)], "value_bytes": [len(b)], "support_bits": [a_bits], "value_bits": [b_bits], "exact": [bool(exact)], "tight": [bool(near)]})
 
-    return tagged(m).groupBy("sample_id").applyInPandas(run, "sample_id string, support_bytes bigint, value_bytes bigint, support_bits double, value_bits double, exact boolean, tight boolean")
+    study = Study(m)
+    return tagged(study.m, study, k, exceptions).groupBy("sample_id").applyInPandas(run, "sample_id string, support_bytes bigint, value_bytes bigint, support_bits double, value_bits double, exact boolean, tight boolean")
 
 
 def digest(m: CountMatrix) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        size = rows[rows["kind"] == "size"]
-        cells = rows[rows["kind"] == "cell"].sort_values(["a", "b"])
-        n = int(size["a"].iloc[0])
-        parts = [np.array([n, int(size["b"].iloc[0])]), np.searchsorted(cells["a"].to_numpy(), np.arange(n + 1)), cells["b"].to_numpy(), cells["c"].to_numpy()]
-        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "digest": [hashlib.sha256(b"".join(p.astype("<u8").tobytes() for p in parts)).hexdigest()]})
+        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "digest": [Sample(rows).digest()]})
 
-    return tagged(m, False).groupBy("sample_id").applyInPandas(run, "sample_id string, digest string")
+    return tagged(m).groupBy("sample_id").applyInPandas(run, "sample_id string, digest string")
 
 
 def _streams(rows: pd.DataFrame, by_row: bool) -> bytes:
@@ -281,4 +489,4 @@ def comparators(m: CountMatrix) -> DataFrame:
                 out.append((rows["sample_id"].iloc[0], f"{name}_{method}", len(blob), unpack(blob) == raw))
         return pd.DataFrame(out, columns=["sample_id", "method", "bytes", "exact"])
 
-    return tagged(m, False).groupBy("sample_id").applyInPandas(run, "sample_id string, method string, bytes bigint, exact boolean")
+    return tagged(m).groupBy("sample_id").applyInPandas(run, "sample_id string, method string, bytes bigint, exact boolean")

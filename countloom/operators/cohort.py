@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 STRATA = ("platform", "species", "organ")
 
 
@@ -54,13 +56,13 @@ def paired_summary(results: DataFrame, base: str) -> DataFrame:
 
 def stratified(results: DataFrame, base: str) -> DataFrame:
     """Pooled comparison over all samples and by platform, species and organ: grouping sets over one pass."""
-    p = pairs(results, base).selectExpr("arm", *STRATA, "base_bytes", "bytes", "delta")
-    p.createOrReplaceTempView("_countloom_pairs")
-    return p.sparkSession.sql(
-        """SELECT arm, CASE WHEN grouping(platform) = 0 THEN 'platform' WHEN grouping(species) = 0 THEN 'species' WHEN grouping(organ) = 0 THEN 'organ' ELSE 'all' END AS stratum,
-                  coalesce(platform, species, organ, 'all') AS level, count(*) AS n, sum(base_bytes) AS base_total, sum(bytes) AS total, sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS wins
-           FROM _countloom_pairs GROUP BY GROUPING SETS ((arm), (arm, platform), (arm, species), (arm, organ))"""
-    )
+    p = pairs(results, base)
+    x = p.groupingSets([["arm"], ["arm", "platform"], ["arm", "species"], ["arm", "organ"]], "arm", "platform", "species", "organ").agg(
+        F.grouping("platform").alias("_p"), F.grouping("species").alias("_s"), F.grouping("organ").alias("_o"),
+        F.count("*").alias("n"), F.sum("base_bytes").alias("base_total"), F.sum("bytes").alias("total"), F.count(F.when(F.col("delta") > 0, 1)).alias("wins"),
+    )
+    stratum = F.when(F.col("_p") == 0, "platform").when(F.col("_s") == 0, "species").when(F.col("_o") == 0, "organ").otherwise("all")
+    return x.select("arm", stratum.alias("stratum"), F.coalesce("platform", "species", "organ", F.lit("all")).alias("level"), "n", "base_total", "total", "wins")
 
 
 def pooled_summary(results: DataFrame) -> DataFrame:
@@ -202,6 +204,82 @@ def near_minimum(summary: DataFrame, value: str, prefer: str, slack: float) -> D
     return ok.orderBy(prefer).limit(1)
 
 
+def flagged_near_minimum(summary: DataFrame, value: str, slack: float) -> DataFrame:
+    """Adds threshold and selected: which arms are within ``slack`` of the least."""
+    least = F.broadcast(summary.agg(F.min(value).alias("_least")))
+    out = summary.crossJoin(least)
+    return out.select(*summary.columns, (F.col("_least") * slack).alias("threshold"), (F.col(value) - F.col("_least") <= F.col("_least") * slack).alias("selected"))
+
+
+def gates(results: DataFrame, base: str, least_percent: float) -> DataFrame:
+    """(arm, saved_percent, no_slice_worse, passed): what an arm saves over all samples, and whether any sample loses."""
+    p = pairs(results, base).groupBy("arm").agg((F.lit(100.0) * (F.sum("base_bytes") - F.sum("bytes")) / F.sum("base_bytes")).alias("saved_percent"), F.bool_and(F.col("delta") <= 0).alias("no_slice_worse"))
+    return p.withColumn("passed", (F.col("saved_percent") >= least_percent) & F.col("no_slice_worse"))
+
+
+def stage_audit(results: DataFrame, stages: DataFrame, retry: DataFrame) -> DataFrame:
+    """(stage, expected, main, retried, complete): successes of each stage's arms, in the main run or the retry, against samples times arms."""
+    sizes = F.broadcast(results.agg(F.countDistinct("sample_id").alias("_samples")))
+    own = F.broadcast(stages)
+    first = effective(results.select("sample_id", "arm", "status"), retry.select("sample_id", "arm", "status")).join(own, "arm")
+    good_ = F.col("status") == "success"
+    got = first.groupBy("stage").agg(F.count(F.when(good_ & (F.col("origin") == "main"), 1)).alias("main"), F.count(F.when(good_ & (F.col("origin") == "retry"), 1)).alias("retried"))
+    due = stages.groupBy("stage").agg(F.count("*").alias("_arms")).crossJoin(sizes).select("stage", (F.col("_arms") * F.col("_samples")).alias("expected"))
+    out = due.join(got, "stage", "left").na.fill(0, ["main", "retried"])
+    return out.withColumn("complete", F.col("main") + F.col("retried") == F.col("expected"))
+
+
+def fixed_member_faults(anchor: DataFrame, other: DataFrame, fixed: tuple[str, ...]) -> DataFrame:
+    """(archive_id, member, fault): fixed members that are missing from the anchor or differ from it."""
+    a = anchor.where(F.col("member").isin(*fixed)).select("archive_id", "member", F.col("sha256").alias("x"))
+    b = other.select("archive_id", "member", F.col("sha256").alias("y"))
+    due = anchor.select("archive_id").distinct().withColumn("member", F.explode(F.array(*[F.lit(x) for x in fixed])))
+    j = due.join(a, ["archive_id", "member"], "left").join(b, ["archive_id", "member"], "left")
+    fault = F.when(F.col("x").isNull() | F.col("y").isNull(), "missing").when(F.col("x") != F.col("y"), "changed")
+    return j.select("archive_id", "member", fault.alias("fault")).where("fault is not null")
+
+
+def path_index(rows: DataFrame) -> DataFrame:
+    """(path, sha256, kept_as): every path, and the path under which its contents are kept once."""
+    path = F.concat(F.col("archive_id").cast("string"), F.lit("/"), F.col("member"))
+    each = rows.select(path.alias("path"), "sha256")
+    return each.join(each.groupBy("sha256").agg(F.min("path").alias("kept_as")), "sha256").select("path", "sha256", "kept_as")
+
+
+def bridge(manifest: DataFrame, kept: DataFrame) -> DataFrame:
+    """(archive_id, members, blobs, faults, pins_kept, passed): a manifest against what is kept, by archive."""
+    a = manifest.select("archive_id", "member", F.col("bytes").alias("want"), F.col("sha256").alias("x"))
+    b = kept.select("archive_id", "member", F.col("bytes").alias("have"), F.col("sha256").alias("y"))
+    j = a.join(b, ["archive_id", "member"], "full_outer")
+    wrong = F.col("x").isNull() | F.col("y").isNull() | (F.col("want") != F.col("have")) | (F.col("x") != F.col("y"))
+    out = j.groupBy("archive_id").agg(F.count("x").alias("members"), F.countDistinct("x").alias("blobs"), F.count(F.when(wrong, 1)).alias("faults"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("pins_kept"))
+    return out.withColumn("passed", F.col("faults") == 0)
+
+
+def next_actions(attempts: DataFrame, most: int = 2) -> DataFrame:
+    """(sample_id, arm, attempts, action): what a resumed run does with each pair.
+
+    done: some attempt succeeded; stop: counts came back wrong, which no retry mends;
+    retry: the last attempt crashed in native code and attempts are left; else failed.
+    """
+    broken = F.col("status").isin("EXACT_MISMATCH", "DECODE_FAILED")
+    crash = (F.col("status") == "ENCODE_FAILED") & outcome(F.lit("failed"), F.lit(""), F.col("message")).eqNullSafe("native_runtime_crash")
+    per = attempts.groupBy("sample_id", "arm").agg(F.count("*").alias("attempts"), F.bool_or(F.col("status") == "success").alias("_ok"), F.bool_or(broken).alias("_broken"), F.max_by(crash, "attempt").alias("_crash"))
+    action = F.when(F.col("_ok"), "done").when(F.col("_broken"), "stop").when(F.col("_crash") & (F.col("attempts") < most), "retry").otherwise("failed")
+    return per.select("sample_id", "arm", "attempts", action.alias("action"))
+
+
+def seed_of(arm: str) -> int:
+    """The number after the last underscore of an arm's name."""
+    return int(arm.rsplit("_", 1)[1])
+
+
+def seed_column(arm: Column) -> Column:
+    """The same as a column; null where there is none."""
+    last = F.substring_index(arm, "_", -1)
+    return F.when(last.rlike("^[0-9]+$") & arm.contains("_"), last.try_cast("bigint"))
+
+
 def three_way(low: Column, high: Column) -> Column:
     return F.when(low > 0, "supported").when(high < 0, "not_supported").otherwise("inconclusive")
 
@@ -224,6 +302,7 @@ def legacy(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "arm", F.coalesce("bytes_v2", "bytes_v1").alias("bytes"), F.when(F.col("bytes_v2").isNotNull(), 2).when(F.col("bytes_v1").isNotNull(), 1).alias("schema"))
 
 
+# Fixed values.
 DOORS = ("data", "code", "environment", "preregistration")
 
 
@@ -285,7 +364,8 @@ def cluster_samples(genes: DataFrame, ks: tuple[int, ...], rounds: int = 20) ->
     w = W.partitionBy("sample_id")
     each = genes.select("sample_id", "g", "n", "a", (F.row_number().over(w.orderBy(rate, "g")) - 1).alias("_rank"), F.count("*").over(w).alias("_total")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     start = F.floor(F.col("_rank") * F.col("k") / F.col("_total"))
-    labelled = each.select("sample_id", "k", "g", "n", "a", F.when(F.col("n") == 0, 0).otherwise(start).cast("int").alias("label")).persist()
+    labelled = each.select("sample_id", "k", "g", "n", "a", F.when(F.col("n") == 0, 0).otherwise(start).cast("int").alias("label"))
+    labelled = materialise(labelled, "labelled")
     centre: dict[tuple[str, int], list[int]] = {}
     current = labelled
     for step in range(rounds + 1):

@@ -6,44 +6,73 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+from .layout import permutation
+
 
 def _top(pairs: DataFrame, width: int) -> DataFrame:
     w = W.partitionBy("sample_id", "i").orderBy("d2", "j")
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= width)
 
 
+def _epoch(row: Column) -> Column:
+    """floor(log4(row)), 0 for row 0; by binary digits, so exact."""
+    return F.floor((F.length(F.bin(F.greatest(row, F.lit(1)))) - 1) / 2).cast("int")
+
+
+def _cell(c: str, step: Column) -> Column:
+    return F.floor((F.col(c) - F.col(f"{c}0")) / step).cast("bigint")
+
+
 def causal_neighbours(spots: DataFrame, width: int = 6, per_cell: int = 16) -> DataFrame:
     """The ``width`` nearest earlier rows (squared Euclidean, ties to the smaller row), with d2.
 
-    Each row is joined, by equality of grid cells, to the earlier rows of the nine
-    cells around it. Where these hold enough rows, all nearer than the nine cells'
-    border, they are the nearest; only other rows (early or outlying ones) are
-    compared with all earlier rows of their sample.
+    A row in 4**e .. 4**(e + 1) - 1 looks among the rows before 4**(e + 1), in a grid with
+    about ``per_cell`` of these to a cell, so early rows meet no more rows than late
+    ones. It is joined, by equality of cells, to the nine cells around it. Where these
+    hold enough rows, all nearer than the border of the nine, they are the nearest;
+    rows that this does not settle try again with cells three times as wide, until
+    the nine hold all there is. Of rows at one place only the first ``width`` can be
+    neighbours of any, so places that many rows share cost no more.
     """
     if width < 1:
         return spots.select("sample_id", "i", F.lit(1).alias("r"), F.col("i").alias("j"), F.lit(0.0).alias("d2")).where(F.lit(False))
-    box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"), F.count("*").alias("n"))
-    # One cell size a sample: a row of this table is 50 bytes, and samples are few against rows.
-    step = F.greatest(F.col("side") / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / per_cell)), F.lit(1e-300))
-    placed = spots.select("sample_id", "i", "x", "y").join(box.select("sample_id", "x0", "y0", step.alias("step")), "sample_id")
-    cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("step")).cast("bigint")
-    placed = placed.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    around = F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    edge = F.least(F.col("x") - F.col("x0") - (F.col("cx") - 1) * F.col("step"), F.col("x0") + (F.col("cx") + 2) * F.col("step") - F.col("x"), F.col("y") - F.col("y0") - (F.col("cy") - 1) * F.col("step"), F.col("y0") + (F.col("cy") + 2) * F.col("step") - F.col("y"))
-    asks = placed.select("sample_id", "i", "x", "y", edge.alias("edge"), F.explode(around).alias("c")).select("sample_id", "i", "x", "y", "edge", "c.cx", "c.cy")
-    b = placed.select("sample_id", "cx", "cy", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    near = _top(asks.join(b, ["sample_id", "cx", "cy"]).where("j < i").select("sample_id", "i", "j", "edge", d2.alias("d2")), width)
-    # A margin keeps rounding of cell borders on the safe side.
-    sure = near.groupBy("sample_id", "i").agg(F.count("*").alias("k"), F.max("d2").alias("most"), F.first("edge").alias("edge")).where((F.col("k") == width) & (F.col("most") < F.col("edge") * F.col("edge") * 0.999999) & (F.col("edge") > 0)).select("sample_id", "i")
-    rest = spots.select("sample_id", "i", "x", "y").join(sure, ["sample_id", "i"], "left_anti")
-    a = spots.select(F.col("sample_id"), F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    far = _top(rest.join(a, "sample_id").where("j < i").select("sample_id", "i", "j", d2.alias("d2")), width)
-    return near.join(sure, ["sample_id", "i"], "left_semi").select("sample_id", "i", "r", "j", "d2").unionByName(far.select("sample_id", "i", "r", "j", "d2"))
+    # A row of this table is 50 bytes, and samples are few against rows.
+    box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("i").alias("last"))
+    placed = spots.select("sample_id", "i", "x", "y").join(box, "sample_id")
+    few = F.lit(float(per_cell)) / F.least(F.pow(F.lit(4.0), F.col("e") + 1), F.col("last") + 1.0)
+    step = F.greatest(F.sqrt(F.col("w") * F.col("h") * few), F.greatest("w", "h") * few, F.lit(1e-300))
+    first = F.row_number().over(W.partitionBy("sample_id", "x", "y").orderBy("i")) <= width
+    seen = placed.withColumn("_first", first).where("_first").withColumn("e", F.explode(F.sequence(_epoch(F.col("i")), _epoch(F.col("last"))))).withColumn("step", step)
+    seen = materialise(seen.select("sample_id", "e", "step", F.col("i").alias("j"), "x", "y", "x0", "y0"), "seen")
+    todo = placed.where("i > 0").withColumn("e", _epoch(F.col("i"))).withColumn("step", step)
+    out, wide = None, 1.0
+    while True:
+        s = F.col("step") * wide
+        b = seen.select("sample_id", "e", _cell("x", s).alias("cx"), _cell("y", s).alias("cy"), "j", F.col("x").alias("bx"), F.col("y").alias("by"))
+        own = todo.withColumn("cx", _cell("x", s)).withColumn("cy", _cell("y", s))
+        border = []
+        for c, side in (("x", "w"), ("y", "h")):
+            # Beyond the box there is nothing, so a border out there does not count.
+            low, high = F.col(f"{c}0") + (F.col(f"c{c}") - 1) * s, F.col(f"{c}0") + (F.col(f"c{c}") + 2) * s
+            border += [F.when(low > F.col(f"{c}0"), F.col(c) - low).otherwise(float("inf")), F.when(high <= F.col(f"{c}0") + F.col(side), high - F.col(c)).otherwise(float("inf"))]
+        around = F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        asks = own.select("sample_id", "i", "x", "y", "e", F.least(*border).alias("edge"), F.explode(around).alias("c")).select("sample_id", "i", "x", "y", "e", "edge", "c.cx", "c.cy")
+        d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
+        near = materialise(_top(asks.join(b, ["sample_id", "e", "cx", "cy"]).where("j < i").select("sample_id", "i", "j", "edge", d2.alias("d2")), width), "near")
+        # A margin keeps rounding of cell borders on the safe side.
+        full = F.col("edge") == float("inf")
+        sure = near.groupBy("sample_id", "i").agg(F.count("*").alias("k"), F.max("d2").alias("most"), F.first("edge").alias("edge")).where(full | (F.col("k") == width) & (F.col("most") < F.col("edge") * F.col("edge") * 0.999999) & (F.col("edge") > 0)).select("sample_id", "i")
+        good = near.join(sure, ["sample_id", "i"], "left_semi").select("sample_id", "i", "r", "j", "d2")
+        out = good if out is None else out.unionByName(good)
+        rest = materialise(todo.join(sure, ["sample_id", "i"], "left_anti"), "todo")
+        if rest.isEmpty():
+            return out
+        todo, wide = rest, wide * 3
 
 
 def previous_rows(spots: DataFrame, width: int = 6) -> DataFrame:
@@ -52,21 +81,9 @@ def previous_rows(spots: DataFrame, width: int = 6) -> DataFrame:
     return spots.where("i > 0").select("sample_id", "i", F.posexplode(F.sequence(lo, F.col("i") - 1)).alias("p", "j")).select("sample_id", "i", (F.col("p") + 1).alias("r"), "j")
 
 
-def shuffled_coordinates(spots: DataFrame, seed: int, most: int = 2_000_000) -> DataFrame:
-    """Spots whose coordinates are permuted within their sample, as NumPy's generator of that seed permutes.
-
-    The permutation is made once for each distinct number of rows (at most ``most``).
-    """
-    spark = spots.sparkSession
-    sizes = sorted(r["n"] for r in spots.groupBy("sample_id").agg(F.count("*").alias("n")).select("n").distinct().collect())
-    if sizes and sizes[-1] > most:
-        raise ValueError(f"a sample has more than {most} rows")
-    import pandas as pd
-
-    moves = pd.concat([pd.DataFrame({"n": n, "i": np.arange(n), "source": np.random.default_rng(seed).permutation(n)}) for n in sizes]) if sizes else pd.DataFrame({"n": [], "i": [], "source": []})
-    moves = spark.createDataFrame(moves.astype("int64"))
-    n = spots.groupBy("sample_id").agg(F.count("*").alias("n"))
-    moved = n.join(moves, "n").select("sample_id", "i", "source")
+def shuffled_coordinates(spots: DataFrame, seed: int) -> DataFrame:
+    """Spots whose coordinates are permuted within their sample, as NumPy's generator of that seed permutes."""
+    moved = permutation(spots, seed).select("sample_id", F.col("place").alias("i"), F.col("i").alias("source"))
     coords = spots.select("sample_id", F.col("i").alias("source"), "x", "y")
     return spots.drop("x", "y").join(moved, ["sample_id", "i"]).join(coords, ["sample_id", "source"]).drop("source")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,16 +13,31 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..sources import archive
 from ..sources.matrix import CountMatrix, from_compressed, to_compressed
-from . import coder
+
+
+def compressed_parts(m: CountMatrix, by_row: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(pointers(sample_id, major, ptr), one more than there are majors; entries(sample_id, pos, minor, v))."""
+    major, minor = ("i", "g") if by_row else ("g", "i")
+    samples = m.spots.select("sample_id").distinct()
+    rows = m.spots.select("sample_id", "i") if by_row else m.genes.select("g").join(F.broadcast(samples)).select("sample_id", "g")
+    packed = to_compressed(m.counts, rows, major, minor)
+    size = packed.groupBy("sample_id").agg(F.max("ptr_hi").alias("ptr"), F.max(major).alias(major))
+    pointers = packed.select("sample_id", major, F.col("ptr_lo").alias("ptr")).unionByName(size.select("sample_id", (F.col(major) + 1).alias(major), "ptr"))
+    cells = packed.select("sample_id", "ptr_lo", F.posexplode(F.arrays_zip("minors", "vals")).alias("p", "e"))
+    return pointers, cells.select("sample_id", (F.col("ptr_lo") + F.col("p")).alias("pos"), F.col("e.minors").alias(minor), F.col("e.vals").alias("v"))
+
+
+def dense_rows(m: CountMatrix, genes: int) -> DataFrame:
+    """(sample_id, i, values): whole rows of ``genes`` values, from their positive cells."""
+    per = m.counts.groupBy("sample_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("g", "v"))).alias("m"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(genes - 1).cast("bigint"))
+    value = lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0).cast("bigint"))
+    return m.spots.select("sample_id", "i").join(per, ["sample_id", "i"], "left").select("sample_id", "i", F.transform(every, value).alias("values"))
 
 
 def round_trip_compressed(m: CountMatrix) -> DataFrame:
     """Cells of all samples through compressed rows and back."""
-    packed = to_compressed(m.counts, m.spots)
-    size = packed.groupBy("sample_id").agg(F.max("ptr_hi").alias("ptr"), F.max("i").alias("i"))
-    pointers = packed.select("sample_id", "i", F.col("ptr_lo").alias("ptr")).unionByName(size.select("sample_id", (F.col("i") + 1).alias("i"), "ptr"))
-    cells = packed.select("sample_id", "ptr_lo", F.posexplode(F.arrays_zip("minors", "vals")).alias("p", "e"))
-    entries = cells.select("sample_id", (F.col("ptr_lo") + F.col("p")).alias("pos"), F.col("e.minors").alias("g"), F.col("e.vals").alias("v"))
+    pointers, entries = compressed_parts(m)
     return from_compressed(pointers, entries, within=("sample_id",))
 
 
@@ -61,6 +80,30 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("identical", (F.col("changed") == 0) & (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
+def compare_fields(a: CountMatrix, b: CountMatrix) -> DataFrame:
+    """(sample_id, shape, indptr, indices, counts, spot_ids, gene_ids, coordinates, all): two matrices, part by part."""
+    sizes = lambda m: m.spots.groupBy("sample_id").agg(F.count("*").alias("n")).join(F.broadcast(m.genes.agg(F.count("*").alias("genes"))))
+    x, y = sizes(a), sizes(b)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    shape = x.join(y.select("sample_id", F.col("n").alias("n2"), F.col("genes").alias("g2")), "sample_id", "full_outer").select("sample_id", yes((F.col("n") == F.col("n2")) & (F.col("genes") == F.col("g2"))).alias("shape"))
+    cells = compare(a.counts, b.counts).select("sample_id", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("indices"), F.col("identical").alias("counts"))
+    n = lambda m: m.counts.groupBy("sample_id", "i").agg(F.count("*").alias("n"))
+    rows = n(a).join(n(b).withColumnRenamed("n", "m"), ["sample_id", "i"], "full_outer").groupBy("sample_id").agg(F.bool_and(yes(F.col("n") == F.col("m"))).alias("indptr"))
+    spots = a.spots.alias("p").join(b.spots.alias("q"), ["sample_id", "i"], "full_outer").groupBy("sample_id").agg(
+        F.bool_and(yes(F.col("p.spot_id") == F.col("q.spot_id"))).alias("spot_ids"), F.bool_and(yes((F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")))).alias("coordinates")
+    )
+    genes = a.genes.join(b.genes.select("g", F.col("gene_id").alias("other")), "g", "full_outer").agg(F.bool_and(yes(F.col("gene_id") == F.col("other"))).alias("gene_ids"))
+    out = shape.join(rows, "sample_id", "left").join(cells, "sample_id", "left").join(spots, "sample_id", "left").join(F.broadcast(genes)).na.fill(True, ["indptr", "indices", "counts"])
+    parts = ("shape", "indptr", "indices", "counts", "spot_ids", "gene_ids", "coordinates")
+    every = F.forall(F.array(*parts), lambda p: p)
+    return out.select("sample_id", *parts, every.alias("all"))
+
+
+def reads_only(df: DataFrame, folder: str) -> bool:
+    """Whether a plan's files are all inside a folder: what decodes must not look at sources."""
+    return all(f.removeprefix("file://").startswith(folder.removeprefix("file://")) for f in df.inputFiles())
+
+
 def names(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey") % 5
@@ -111,6 +154,27 @@ def canonical_order(m: CountMatrix) -> DataFrame:
     return m.spots.select("sample_id", (F.row_number().over(W.partitionBy("sample_id").orderBy("x", "y", "spot_id", "i")) - 1).alias("place"), "i")
 
 
+def permutation(rows: DataFrame, seed: int, most: int = 2_000_000) -> DataFrame:
+    """(sample_id, place, i): rows permuted within their sample, as NumPy's generator of that seed permutes.
+
+    A permutation runs through a whole sample, so it is made in one task for each
+    distinct number of rows, which the cap on rows bounds.
+    """
+    sizes = rows.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("n") > most, F.raise_error(F.lit("too many rows to permute")).cast("bigint")).otherwise(F.col("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column("n").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, n)), pa.array(np.arange(n)), pa.array(np.random.default_rng(seed).permutation(n))], ["n", "place", "i"])
+
+    moves = sizes.select("n").distinct().mapInArrow(run, "n bigint, place bigint, i bigint")
+    return sizes.join(moves, "n").select("sample_id", "place", "i")
+
+
+def permuted_order(spots: DataFrame, seed: int) -> DataFrame:
+    return permutation(spots.select("sample_id", "i"), seed)
+
+
 def inverse_order(order: DataFrame) -> DataFrame:
     return order.select("sample_id", F.col("i").alias("place"), F.col("place").alias("i"))
 
@@ -122,11 +186,15 @@ def value_runs(counts: DataFrame) -> DataFrame:
 
 def digests(m: CountMatrix) -> DataFrame:
     """(sample_id, digest) of the canonical compressed rows, as SHA-256 of little-endian 64-bit integers."""
+    from . import coder
+
     return coder.digest(m)
 
 
 def entropy_round_trip(m: CountMatrix) -> DataFrame:
     """(sample_id, support_bytes, value_bytes, support_bits, value_bits, exact): both streams coded and decoded."""
+    from . import coder
+
     return coder.round_trip(m)
 
 
@@ -135,6 +203,8 @@ def archive_round_trip(m: CountMatrix) -> DataFrame:
 
 
 def comparators(m: CountMatrix) -> DataFrame:
+    from . import coder
+
     return coder.comparators(m)
 
 

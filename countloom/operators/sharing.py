@@ -10,11 +10,14 @@ import struct
 
 import numpy as np
 
-# The header is magic, mode, number of genes and eight centres.
-HEADER = struct.Struct("<4sBI8H")
+# The header is magic, mode, number of genes and a centre for each group.
 MAGIC = b"QSH1"
 
 
+def header(groups: int) -> struct.Struct:
+    return struct.Struct(f"<4sBI{groups}H")
+
+
 def pack12(values: np.ndarray) -> bytes:
     """12-bit little-endian integers, padded with zero bits."""
     bits = ((np.asarray(values, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16)) & 1).astype(np.uint8)
@@ -29,7 +32,7 @@ def unpack12(raw: bytes, n: int) -> np.ndarray:
 
 
 def encode(centres: np.ndarray, groups: np.ndarray, own: np.ndarray, exception: np.ndarray | None = None) -> bytes:
-    head = HEADER.pack(MAGIC, 0 if exception is None else 1, len(groups), *map(int, centres))
+    head = header(len(centres)).pack(MAGIC, 0 if exception is None else 1, len(groups), *map(int, centres))
     if exception is None:
         return bz2.compress(head, 9)
     exception = np.asarray(exception, bool)
@@ -37,23 +40,23 @@ def encode(centres: np.ndarray, groups: np.ndarray, own: np.ndarray, exception:
     return bz2.compress(head + np.packbits(exception, bitorder="little").tobytes() + struct.pack("<I", len(picked)) + pack12(picked), 9)
 
 
-def decode(blob: bytes, groups: np.ndarray) -> np.ndarray:
+def decode(blob: bytes, groups: np.ndarray, k: int = 8) -> np.ndarray:
     """Q12 rate by gene; refuses anything that ``encode`` would not write."""
-    groups = np.asarray(groups)
+    groups, head = np.asarray(groups), header(k)
     n = len(groups)
-    most = HEADER.size + (n + 7) // 8 + 4 + (12 * n + 7) // 8
+    most = head.size + (n + 7) // 8 + 4 + (12 * n + 7) // 8
     unzip = bz2.BZ2Decompressor()
     try:
         raw = unzip.decompress(blob, max_length=most + 1)
     except (OSError, EOFError) as e:
         raise ValueError("compression") from e
-    if not unzip.eof or unzip.unused_data or not HEADER.size <= len(raw) <= most:
+    if not unzip.eof or unzip.unused_data or not head.size <= len(raw) <= most:
         raise ValueError("length")
-    magic, mode, genes, *centres = HEADER.unpack_from(raw)
-    if magic != MAGIC or mode not in (0, 1) or genes != n or not all(1 <= c <= 4095 for c in centres) or (n and (groups.min() < 0 or groups.max() > 7)):
+    magic, mode, genes, *centres = head.unpack_from(raw)
+    if magic != MAGIC or mode not in (0, 1) or genes != n or not all(1 <= c <= 4095 for c in centres) or (n and (groups.min() < 0 or groups.max() >= k)):
         raise ValueError("header")
     out = np.array(centres, np.int64)[groups]
-    rest = raw[HEADER.size :]
+    rest = raw[head.size :]
     if mode == 0:
         if rest:
             raise ValueError("trailing bytes")

@@ -33,20 +33,24 @@ def neighbour_support(m: CountMatrix, graph: DataFrame) -> DataFrame:
     return graph.select("sample_id", "i", "j").join(c, ["sample_id", "j"]).groupBy("sample_id", "i", "g").agg(F.count("*").alias("k"))
 
 
-def enumerated_cells(m: CountMatrix, graph: DataFrame, width: int = 6) -> DataFrame:
-    """(sample_id, i, g, k, y) of all cells, past the start, with a positive neighbour or positive themselves.
+def neighbour_cells(m: CountMatrix, graph: DataFrame, widths: tuple[int, ...] = (6,)) -> DataFrame:
+    """(sample_id, i, g, v, k<w> and s<w> for each width w) of all cells that are positive or have a positive neighbour.
 
-    Both are tagged rows of one aggregation, so there is no outer join.
+    k counts a cell's positive neighbours among the first w, s sums them; v is null
+    where the cell itself is zero. Cells and neighbours are tagged rows of one
+    aggregation, so there is no outer join, and all widths come from one pass.
     """
-    c = m.counts.select("sample_id", F.col("i").alias("j"), "g")
-    near = graph.where(F.col("i") >= width).select("sample_id", "i", "j").join(c, ["sample_id", "j"]).select("sample_id", "i", "g", F.lit(1).alias("k"), F.lit(0).alias("y"))
-    own = m.counts.where(F.col("i") >= width).select("sample_id", "i", "g", F.lit(0).alias("k"), F.lit(1).alias("y"))
-    return near.unionByName(own).groupBy("sample_id", "i", "g").agg(F.sum("k").alias("k"), F.sum("y").alias("y"))
+    c = m.counts.select("sample_id", F.col("i").alias("j"), "g", F.col("v").alias("_s"))
+    near = graph.select("sample_id", "i", "r", "j").join(c, ["sample_id", "j"]).select("sample_id", "i", "g", "r", "_s", F.lit(None).cast("bigint").alias("v"))
+    own = m.counts.select("sample_id", "i", "g", F.lit(None).cast("int").alias("r"), F.lit(None).cast("bigint").alias("_s"), "v")
+    inside = lambda w: F.col("r") <= w
+    sums = [x for w in widths for x in (F.count(F.when(inside(w), 1)).alias(f"k{w}"), F.sum(F.when(inside(w), F.col("_s")).otherwise(0)).alias(f"s{w}"))]
+    return near.unionByName(own).groupBy("sample_id", "i", "g").agg(F.max("v").alias("v"), *sums)
 
 
-def gene_context_counts(m: CountMatrix, graph: DataFrame, width: int = 6) -> DataFrame:
+def gene_context_counts(m: CountMatrix, cells: DataFrame, width: int = 6) -> DataFrame:
     """(sample_id, g, k, n, y): cells past the start by gene and positive neighbours, k = 0 as the complement."""
-    cells = enumerated_cells(m, graph, width).groupBy("sample_id", "g", "k").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    cells = cells.where(F.col("i") >= width).groupBy("sample_id", "g", F.col(f"k{width}").alias("k")).agg(F.count("*").alias("n"), F.count("v").alias("y"))
     late = rows_per_sample(m).select("sample_id", F.greatest(F.col("n") - width, F.lit(0)).alias("late"))
     whole = m.genes.select("g").join(per_sample(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
     # Cells enumerated elsewhere leave the complement.
@@ -54,11 +58,10 @@ def gene_context_counts(m: CountMatrix, graph: DataFrame, width: int = 6) -> Dat
     return whole.unionByName(less).unionByName(cells).groupBy("sample_id", "g", "k").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")
 
 
-def sufficient_statistics(m: CountMatrix, graph: DataFrame, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES, late: DataFrame | None = None) -> DataFrame:
-    """(sample_id, b, k, q, n, y). late: gene_context_counts, if at hand."""
-    genes = gene_marginals(m, edges).select("sample_id", "g", "b", F.col("q0").alias("q"))
-    late = late if late is not None else gene_context_counts(m, graph, width)
-    return late.join(genes, ["sample_id", "g"]).groupBy("sample_id", "b", "k", "q").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+def sufficient_statistics(genes: DataFrame, late: DataFrame) -> DataFrame:
+    """(sample_id, b, k, q, n, y), of gene_marginals and gene_context_counts."""
+    own = genes.select("sample_id", "g", "b", F.col("q0").alias("q"))
+    return late.join(own, ["sample_id", "g"]).groupBy("sample_id", "b", "k", "q").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
 
 
 def fit_odds(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -83,9 +86,9 @@ def fit_odds(stats: DataFrame, by: list[str]) -> DataFrame:
     return groups.select(*by, F.floor(F.exp(beta) * 65536 + F.lit(0.5)).cast("bigint").alias("odds"))
 
 
-def support_odds(m: CountMatrix, graph: DataFrame, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
+def support_odds(genes: DataFrame, late: DataFrame) -> DataFrame:
     """(sample_id, b, k, odds) of the contexts that occur; others keep 65536."""
-    return fit_odds(sufficient_statistics(m, graph, width, edges), ["sample_id", "b", "k"])
+    return fit_odds(sufficient_statistics(genes, late), ["sample_id", "b", "k"])
 
 
 def all_odds(odds: DataFrame, samples: DataFrame, buckets: int = 8, width: int = 6) -> DataFrame:
@@ -94,16 +97,15 @@ def all_odds(odds: DataFrame, samples: DataFrame, buckets: int = 8, width: int =
     return grid.join(odds, ["sample_id", "b", "k"], "left").withColumn("odds", F.coalesce("odds", F.lit(65536)).cast("bigint"))
 
 
-def support_cdf(m: CountMatrix, odds: DataFrame, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
+def support_cdf(genes: DataFrame, odds: DataFrame, width: int = 6, buckets: int = 8) -> DataFrame:
     """(sample_id, g, k, q): probability of a positive cell by gene and positive neighbours."""
-    genes = gene_marginals(m, edges)
-    full = all_odds(odds, rows_per_sample(m).select("sample_id"), len(edges), width)
+    full = all_odds(odds, genes.select("sample_id").distinct(), buckets, width)
     return genes.join(full, ["sample_id", "b"]).select("sample_id", "g", "k", odds_to_q(F.col("q0"), F.col("odds")).alias("q"))
 
 
-def gene_context_table(m: CountMatrix, graph: DataFrame, width: int = 6) -> DataFrame:
+def gene_context_table(m: CountMatrix, graph: DataFrame, late: DataFrame, width: int = 6) -> DataFrame:
     """(sample_id, g, ctx, seen, ones, q): contexts of neighbours present (n) and positive (k), ctx = n*7 + k, that occur."""
-    late = gene_context_counts(m, graph, width).select("sample_id", "g", (F.lit(width * 7) + F.col("k")).alias("ctx"), F.col("n").alias("seen"), F.col("y").alias("ones"))
+    late = late.select("sample_id", "g", (F.lit(width * 7) + F.col("k")).alias("ctx"), F.col("n").alias("seen"), F.col("y").alias("ones"))
     # The few rows at the start, with all their genes.
     early = m.spots.where(F.col("i") < width).select("sample_id", "i")
     cells = early.crossJoin(m.genes.select("g"))
@@ -121,19 +123,22 @@ def bits(q: Column) -> Column:
     return F.lit(12.0) - F.log2(q)
 
 
-def support_bits(m: CountMatrix, graph: DataFrame | None, width: int = 6, edges: tuple[int, ...] = BUCKET_EDGES, late: DataFrame | None = None) -> DataFrame:
+def gene_context_bits(table: DataFrame) -> DataFrame:
+    """(sample_id, bits): code length of the support by the genes' own context tables."""
+    cost = F.col("ones") * bits(F.col("q")) + (F.col("seen") - F.col("ones")) * bits(F.lit(Q12) - F.col("q"))
+    return table.groupBy("sample_id").agg(F.sum(cost).alias("bits"))
+
+
+def support_bits(m: CountMatrix, genes: DataFrame, late: DataFrame | None, width: int = 6, buckets: int = 8) -> DataFrame:
     """(sample_id, g, bits): code length of a gene's whole support.
 
-    Without a graph every cell costs by the gene's marginal alone. Rows at the start,
+    Without contexts every cell costs by the gene's marginal alone. Rows at the start,
     whose neighbourhood is not full, cost by the marginal too.
     """
-    genes = gene_marginals(m, edges)
     cost = lambda q, y, n: y * bits(q) + (n - y) * bits(F.lit(Q12) - q)
-    if graph is None or width == 0:
+    if late is None or width == 0:
         return genes.select("sample_id", "g", cost(F.col("q0"), F.col("ones"), F.col("n")).alias("bits"))
-    late = late if late is not None else gene_context_counts(m, graph, width)
-    odds = fit_odds(sufficient_statistics(m, graph, width, edges, late), ["sample_id", "b", "k"])
-    full = all_odds(odds, rows_per_sample(m).select("sample_id"), len(edges), width)
+    full = all_odds(support_odds(genes, late), genes.select("sample_id").distinct(), buckets, width)
     coded = late.withColumnRenamed("n", "cells").join(genes.select("sample_id", "g", "q0", "b"), ["sample_id", "g"]).join(full, ["sample_id", "b", "k"])
     past = coded.select("sample_id", "g", cost(odds_to_q(F.col("q0"), F.col("odds")), F.col("y"), F.col("cells")).alias("bits"))
     first = m.counts.where(F.col("i") < width).groupBy("sample_id", "g").agg(F.count("*").alias("y"))

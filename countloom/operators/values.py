@@ -73,11 +73,14 @@ def neighbour_sums(m: CountMatrix, graph: DataFrame) -> DataFrame:
     return near.unionByName(own).groupBy("sample_id", "i", "g").agg(F.max("v").alias("v"), F.sum("s").alias("s")).where("v is not null")
 
 
-def value_events(m: CountMatrix, graph: DataFrame | None, prof: DataFrame, width: int = 6) -> DataFrame:
-    """(sample_id, i, g, v, b, c, q): positives with group, context and their gene's own Q12 rate."""
-    cells = neighbour_sums(m, graph) if graph is not None else m.counts.withColumn("s", F.lit(0).cast("bigint"))
-    c = value_context(F.col("s"), F.col("i"), width) if graph is not None else F.lit(7)
-    return cells.join(prof.select("sample_id", "g", F.col("grp").alias("b"), "q"), ["sample_id", "g"]).select("sample_id", "i", "g", "v", "b", c.cast("int").alias("c"), "q")
+def value_events(m: CountMatrix, cells: DataFrame | None, prof: DataFrame, width: int = 6) -> DataFrame:
+    """(sample_id, i, g, v, b, c, q): positives with group, context and their gene's own Q12 rate. cells: support.neighbour_cells."""
+    if cells is None:
+        positive, c = m.counts, F.lit(7)
+    else:
+        positive, c = cells.where("v is not null"), value_context(F.col(f"s{width}"), F.col("i"), width)
+    own = prof.select("sample_id", "g", F.col("grp").alias("b"), "q")
+    return positive.join(own, ["sample_id", "g"]).select("sample_id", "i", "g", "v", "b", c.cast("int").alias("c"), "q")
 
 
 def value_statistics(events: DataFrame) -> DataFrame:
@@ -122,19 +125,19 @@ def context_cdf(cent: DataFrame, odds: DataFrame, rate: str = "s") -> DataFrame:
     return joined.select("sample_id", "b", "c", q.cast("int").alias("q"))
 
 
-def value_bits(m: CountMatrix, graph: DataFrame | None, k: int = 8, width: int = 6, shared: bool = True) -> DataFrame:
+def value_bits(prof: DataFrame, events: DataFrame, tails: DataFrame, odds: DataFrame, k: int = 8, shared: bool = True, exceptions: DataFrame | None = None) -> DataFrame:
     """(sample_id, g, singleton_bits, magnitude_bits, raw_bits).
 
     Odds are fitted against genes' own rates, cells are coded with their group's
-    centre (``shared``) or with the gene's own rate.
+    centre (``shared``) or with the gene's own rate; genes marked in ``exceptions``
+    (sample_id, g, exception) keep their own.
     """
-    prof = profiles(m, k)
-    events = value_events(m, graph, prof, width)
-    tails = tail_tables(m, prof, events, k)
-    odds = value_odds(events)
-    if shared:
+    if shared and exceptions is None:
         coded = events.drop("q").join(context_cdf(centres(prof, k), odds), ["sample_id", "b", "c"])
     else:
+        if shared:
+            centre = centres(prof, k).select("sample_id", "b", "s")
+            events = events.join(centre, ["sample_id", "b"]).join(exceptions.select("sample_id", "g", "exception"), ["sample_id", "g"]).withColumn("q", F.when(F.col("exception"), F.col("q")).otherwise(F.col("s")))
         x = events.join(odds, ["sample_id", "b", "c"], "left")
         coded = x.withColumn("q", F.when(F.col("c") == 7, F.col("q")).otherwise(odds_to_q(F.col("q"), F.coalesce("odds", F.lit(65536)).cast("bigint"))))
     one = F.col("v") == 1

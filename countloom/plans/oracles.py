@@ -234,12 +234,19 @@ def _m(final: str, spec: str, *parts: str, base: str = QUANTITY) -> str:
     return _w(base + "".join(parts), _out(f"({final})", spec))
 
 
+of_matrix = _m
+
+
 SIXTEEN = (1, 2, 4, 10, 16, 40, 64, 160, 256, 640, 1024, 1536, 2048, 2560, 3072, 3584)
 EDGES = {1: (1,), 2: (1, 256), 4: (1, 16, 256, 2048), 8: (1, 4, 16, 64, 256, 1024, 2048, 3072), 16: SIXTEEN, 32: tuple(sorted({x for i, a in enumerate(SIXTEEN) for x in (a, (a + (SIXTEEN + (4096,))[i + 1]) // 2)}))}
 
 
+def _joint_arm(n: int, width: int) -> str:
+    body = QUANTITY + _graph(width) + _marginals(EDGES[n]) + KK + _cells(width) + SUPPORT_ODDS + _support_bits(width)
+    return f"SELECT *, 'B{n}_M{width}' AS arm FROM ({_w(body, _out('(SELECT sample_id, sum(bits) AS bits FROM sbits GROUP BY 1)', 'sample_id:s bits:d'))})"
+
+
 ORACLE: dict[str, str] = {
-    "io5_compressed_to_cells": _m("SELECT i, g, v FROM counts WHERE sample_id = 'N'", "i:i g:i v:i"),
     "io5_compressed_to_all_cells": _m("SELECT sample_id, i, g, v FROM counts", "sample_id:s i:i g:i v:i"),
     "io8_compressed_rows": _m("SELECT sp.sample_id, sp.i, sum(count(c.v)) OVER w - count(c.v) AS ptr_lo, sum(count(c.v)) OVER w AS ptr_hi, coalesce(string_agg(CAST(c.g AS VARCHAR), ',' ORDER BY c.g), '') AS minors, coalesce(string_agg(CAST(c.v AS VARCHAR), ',' ORDER BY c.g), '') AS vals FROM spots sp LEFT JOIN counts c ON c.sample_id = sp.sample_id AND c.i = sp.i GROUP BY 1, 2 WINDOW w AS (PARTITION BY sp.sample_id ORDER BY sp.i)", "sample_id:s i:i ptr_lo:i ptr_hi:i minors:s vals:s"),
     "io2_label_decode": "SELECT CAST(c_custkey AS BIGINT) AS pos, n_name AS label, n_name IS NULL AS fault FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END",
@@ -289,9 +296,10 @@ ORACLE: dict[str, str] = {
     "a23_group_diagnostics": _m("SELECT sample_id, grp, count(*) AS genes, sum(n) AS events FROM prof GROUP BY 1, 2", "sample_id:s grp:i genes:i events:i", _profiles(32)),
     "a24_sample_profile": _m("SELECT c.sample_id, count(*) AS nnz, count(*) / CAST(any_value(n.n) * (SELECT count(*) FROM gn) AS DOUBLE) AS density, avg(CASE WHEN v = 1 THEN 1 ELSE 0 END) AS ones, avg(CASE WHEN v <= 3 THEN 1 ELSE 0 END) AS upto3, max(v) AS most FROM counts c JOIN nrow n USING (sample_id) GROUP BY 1", "sample_id:s nnz:i density:d ones:d upto3:d most:i"),
     "m10_code_length_k32": _w(QUANTITY + SUPPORT + _value_model(32), _out(TOTALS.format(s="sbits"), TOTAL_SPEC)),
-    "m15_context_arms": " UNION ALL ".join(_arm(f"S{s}V{v}", QUANTITY + (SUPPORT if s else GRAPH + MARG + PLAIN_BITS) + _value_model(8, bool(v)), "sbits" if s else "pbits") for s in (0, 1) for v in (0, 1)),
+    "m15_context_arms": " UNION ALL ".join(_arm(f"S{s}V{v}", QUANTITY + (SUPPORT if s else GRAPH + MARG + PLAIN_BITS) + _value_model(32, bool(v)), "sbits" if s else "pbits") for s in (0, 1) for v in (0, 1)),
     "m16_bucket_arms": " UNION ALL ".join(_bucket_arm(n, e) for n, e in EDGES.items()),
-    "j2_width_arms": " UNION ALL ".join(_width_arm(n) for n in (0, 2, 4, 6, 8)),
+    "m16_joint_arms": " UNION ALL ".join(_joint_arm(n, w) for n in (16, 32) for w in (4, 6, 8)),
+    "j2_width_arms": " UNION ALL ".join(_width_arm(n) for n in (0, 2, 4, 6, 8, 12, 16)),
     "m19_module_arms": " UNION ALL ".join(
         [
             _arm("full", QUANTITY + SUPPORT + _value_model(32), "sbits"), _arm("no_support", QUANTITY + GRAPH + MARG + PLAIN_BITS + _value_model(32), "pbits"),
@@ -349,7 +357,7 @@ def _start(width: int) -> str:
 
 
 def _narrow(n: int) -> str:
-    model = _profiles() + (NSUM if n else PLAIN_SUM) + (_events(_start(n)) if n else _events("7")) + VSTAT + VODDS + _pooled() + BASE + _centres() + _tails() + VCDF + VBITS
+    model = _profiles(32) + (NSUM if n else PLAIN_SUM) + (_events(_start(n)) if n else _events("7")) + VSTAT + VODDS + _pooled(32) + BASE + _centres(32) + _tails(32) + VCDF + VBITS
     body = _w(QUANTITY + (_graph(n) if n else "") + model, _out("vbits", "sample_id:s bits=singleton_bits+magnitude_bits+raw_bits:d"))
     return f"SELECT *, CAST({n} AS BIGINT) AS neighbours FROM ({body})"
 
@@ -361,20 +369,33 @@ ord AS (SELECT sample_id, i, row_number() OVER (PARTITION BY sample_id ORDER BY
 counts AS (SELECT c.sample_id, o.place AS i, c.g, c.v FROM counts0 c JOIN ord o ON o.sample_id = c.sample_id AND o.i = c.i),
 spots AS (SELECT s0.sample_id, o.place AS i, spot_id, x, y FROM spots0 s0 JOIN ord o ON o.sample_id = s0.sample_id AND o.i = s0.i)"""
 MOVED = MOVED.replace("FROM spots GROUP BY 1)", "FROM spots0 GROUP BY 1)")
+GENE_CONTEXT_BITS = """,
+gctx AS (SELECT x.sample_id, x.seen, x.ones, greatest(1, least(4095, floor((x.ones + CAST(8 AS DOUBLE) * ((m.ones + CAST(0.5 AS DOUBLE)) / (m.n + CAST(1 AS DOUBLE)))) / (x.seen + CAST(8 AS DOUBLE)) * 4096 + CAST(0.5 AS DOUBLE)))) AS q
+  FROM (SELECT sample_id, g, least(i, 6) * 7 + k AS ctx, count(*) AS seen, sum(y) AS ones FROM cells GROUP BY 1, 2, 3) x JOIN marg m ON m.sample_id = x.sample_id AND m.g = x.g),
+gbits AS (SELECT sample_id, ones * (12 - log2(q)) + (seen - ones) * (12 - log2(4096 - q)) AS bits FROM gctx)"""
+EXCEPTION_BITS = f""",
+own AS (SELECT p.sample_id, p.g, p.n, p.a, CAST(CASE WHEN t.c = 7 THEN p.q ELSE {_q_of('p.q', 'coalesce(o.odds, 65536)')} END AS DOUBLE) AS old, CAST(CASE WHEN t.c = 7 THEN ce.s ELSE {_q_of('ce.s', 'coalesce(o.odds, 65536)')} END AS DOUBLE) AS new
+  FROM prof p JOIN cent ce ON ce.sample_id = p.sample_id AND ce.b = p.grp CROSS JOIN range(8) t(c) LEFT JOIN vodds o ON o.sample_id = p.sample_id AND o.b = p.grp AND o.c = t.c),
+exc AS (SELECT sample_id, g, CASE WHEN max(CASE WHEN old <> new THEN 1 ELSE 0 END) = 1 THEN a * max(log2(old / new)) + (n - a) * max(log2((4096 - old) / (4096 - new))) + CAST(1e-10 AS DOUBLE) * n ELSE 0 END > 12 AS exception FROM own GROUP BY sample_id, g, n, a),
+ev2 AS (SELECT ev.sample_id, ev.v, ev.b, ev.c, CASE WHEN x.exception THEN ev.q ELSE ce.s END AS q FROM ev JOIN exc x ON x.sample_id = ev.sample_id AND x.g = ev.g JOIN cent ce ON ce.sample_id = ev.sample_id AND ce.b = ev.b)"""
+EXCEPTION_BITS += OWN_BITS.replace("ev.", "ev2.").replace("FROM ev ", "FROM ev2 ")
 SUM_BITS = "(SELECT sample_id, sum(bits) AS bits FROM {s} GROUP BY 1)"
 
 ORACLE |= {
-    "m13_graph_arms": " UNION ALL ".join(
+    "m13_gene_context_arms": " UNION ALL ".join(
+        f"SELECT *, '{name}' AS arm FROM ({_w(QUANTITY + body, _out(SUM_BITS.format(s=s), 'sample_id:s bits:d'))})"
+        for name, body, s in (("S0_gene", MARG + PLAIN_BITS, "pbits"), ("S1_prefix", PREFIX + MARG + KK + CELLS + GENE_CONTEXT_BITS, "gbits"), ("S2_spatial", GRAPH + MARG + KK + CELLS + GENE_CONTEXT_BITS, "gbits"))
+    ),
+    "m14_shared_graph_arms": " UNION ALL ".join(
         f"SELECT *, '{name}' AS arm FROM ({_w(QUANTITY + body, _out(SUM_BITS.format(s=s), 'sample_id:s bits:d'))})"
-        for name, body, s in (("gene", MARG + PLAIN_BITS, "pbits"), ("prefix", PREFIX + MARG + KK + CELLS + SUPPORT_ODDS + SBITS, "sbits"), ("spatial", SUPPORT, "sbits"))
+        for name, body, s in (("gene", MARG + PLAIN_BITS, "pbits"), ("P1_shared_prefix", PREFIX + MARG + KK + CELLS + SUPPORT_ODDS + SBITS, "sbits"), ("P2_shared_spatial", SUPPORT, "sbits"))
     ),
-    "m17_value_width_arms": " UNION ALL ".join(_narrow(n) for n in (0, 2, 4, 6)),
+    "m12_code_length": _w(QUANTITY + SUPPORT + _profiles() + NSUM + EV + VSTAT + VODDS + _pooled() + BASE + _centres() + _tails() + EXCEPTION_BITS, _out(TOTALS.format(s="sbits"), TOTAL_SPEC)),
+    "m17_value_width_arms": " UNION ALL ".join(_narrow(n) for n in (0, 2, 4, 6, 8, 12)),
     "m18_order_arms": " UNION ALL ".join(
         f"SELECT sample_id, '{name}' AS arm, bits, CAST({paid} * (SELECT count(*) FROM supplier) AS BIGINT) AS order_bits FROM ({_w(body + SUPPORT, _out(SUM_BITS.format(s='sbits'), 'sample_id:s bits:d'))})" for name, body, paid in (("original", QUANTITY, 0), ("canonical", MOVED, 32))
     ),
     "m12_exceptions": f"SELECT sample_id, count(*) FILTER (WHERE exception) AS exceptions, count(*) AS genes FROM ({ORACLE['a11_exception_bound']}) GROUP BY 1",
-    "c6_ledger_variants": MEMBERS + "SELECT scheme, category, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT archive_id) AS archives FROM (SELECT *, 'coarse' AS scheme, CASE member WHEN 'm1' THEN 'payload' WHEN 'm2' THEN 'payload' WHEN 'm3' THEN 'model' WHEN 'm4' THEN 'model' ELSE 'other' END AS category FROM a UNION ALL SELECT *, 'fine', CASE WHEN member = 'm7' THEN 'other' ELSE replace(member, 'm', 'c') END FROM a UNION ALL SELECT *, 'two', CASE WHEN member IN ('m2', 'm4', 'm6') THEN 'even' ELSE 'odd' END FROM a) GROUP BY 1, 2",
     "c7_fees": RESULTS + "SELECT arm, CAST(sum(total_bytes) AS BIGINT) AS total, CAST(sum(model) + sum(framing) AS BIGINT) AS fees FROM ok GROUP BY 1",
-    "c14_fixed_members": MEMBERS + "SELECT DISTINCT archive_id FROM j WHERE x IS NULL OR y IS NULL OR x <> y",
     "u1_union": RESULTS + "SELECT sample_id, arm, CAST(total_bytes AS BIGINT) AS total_bytes, CAST(NULL AS BIGINT) AS n_lines FROM r WHERE arm = 'L1' UNION ALL SELECT sample_id, arm, NULL, n_lines FROM r WHERE arm = 'L2'",
 }

@@ -9,24 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import cohort, graph, layout, support, values
+from ..operators.study import Study
 from ..sources import matrix
 from ..sources.matrix import CountMatrix, from_tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Integers as bigint, doubles to 6 places."""
-    out = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
-        elif kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6)
-        out.append(c.alias(name))
-    return df.select(*out)
-
+from . import audits, oracles, storage
+from .inputs import Query, members, people, results, tidy
 
 def _matrix(f: Callable[[CountMatrix], DataFrame], measure: str = "quantity") -> Query:
     return lambda spark, d: tidy(f(from_tables(spark, d, measure)))
@@ -40,158 +27,133 @@ def _graph(f: Callable[[CountMatrix, DataFrame], DataFrame], measure: str = "qua
     return run
 
 
-def _values(f: Callable[[CountMatrix, DataFrame, DataFrame], DataFrame], k: int = 8) -> Query:
-    """f(matrix, profiles, events)."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        m = from_tables(spark, d)
-        prof = values.profiles(m, k)
-        return tidy(f(m, prof, values.value_events(m, graph.causal_neighbours(m.spots), prof)))
-
-    return run
-
-
-def results(spark: SparkSession, d: str) -> DataFrame:
-    """A cohort of runs measured from the line items: samples are orders modulo 40, arms are line numbers."""
-    line = spark.read.parquet(f"{d}/lineitem.parquet")
-    s = (F.col("l_orderkey") % 40).cast("bigint")
-    per = line.groupBy(s.alias("s"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("arm")).agg(F.count("*").alias("n_lines"), F.sum("l_quantity").cast("bigint").alias("n_counts"), F.sum("l_linenumber").cast("bigint").alias("model"))
-    ok = F.col("n_counts") % 11 != 0
-    sized = lambda c: F.when(ok, c)
-    payload, framing = F.col("n_counts") * 3, F.col("n_lines") * 2
-    return per.select(
-        F.concat(F.lit("s"), F.lpad(F.col("s").cast("string"), 2, "0")).alias("sample_id"), "arm", F.when(ok, "success").otherwise("failed").alias("status"),
-        F.element_at(F.array(*[F.lit(x) for x in ("ST", "Visium", "Xenium")]), (F.col("s") % 3 + 1).cast("int")).alias("platform"),
-        F.when(F.col("s") % 2 == 0, "human").otherwise("mouse").alias("species"), F.concat(F.lit("o"), (F.col("s") % 5).cast("string")).alias("organ"),
-        sized(payload + F.col("model") + framing).alias("total_bytes"), sized(payload).alias("payload"), sized(F.col("model")).alias("model"), sized(framing).alias("framing"),
-        "n_counts", "n_lines", (F.col("s") % 7).alias("identity"),
-    )
+def _study(f: Callable[[Study], DataFrame], measure: str = "quantity", **sizes) -> Query:
+    return lambda spark, d: tidy(f(Study(from_tables(spark, d, measure), **sizes)))
 
 
 def _results(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: tidy(f(results(spark, d)))
 
 
-def members(spark: SparkSession, d: str, salt: str) -> DataFrame:
-    """Archives are orders modulo 25, members are line numbers; ``salt`` marks what differs between generations."""
-    line = spark.read.parquet(f"{d}/lineitem.parquet")
-    a = (F.col("l_orderkey") % 25).cast("bigint")
-    per = line.groupBy(a.alias("archive_id"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("member")).agg(F.count("*").alias("bytes"), F.sum("l_quantity").cast("bigint").alias("q"))
-    digest = F.sha2(F.concat_ws(":", "member", F.col("q").cast("string"), F.when(F.col("q") % 5 == 0, salt).otherwise("")), 256)
-    kept = F.lit(True) if salt == "a" else F.col("q") % 7 != 0
-    return per.where(kept).select("archive_id", "member", "bytes", digest.alias("sha256"))
+def _by_sample(bits: DataFrame) -> DataFrame:
+    return bits.groupBy("sample_id").agg(F.sum("bits").alias("bits"))
 
 
-def people(spark: SparkSession, d: str) -> DataFrame:
-    """The customers as a cohort to select from."""
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("species"), (F.col("c_nationkey") % 5).cast("bigint").alias("organ"), F.col("c_acctbal").cast("double").alias("balance"))
+def _value_sum(v: DataFrame) -> DataFrame:
+    return v.groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("bits"))
 
 
-def _total_bits(m: CountMatrix, g: DataFrame | None, k: int = 32, width: int = 6, edges: tuple[int, ...] = fixed.BUCKET_EDGES, value_graph: DataFrame | None | bool = True, shared: bool = True) -> DataFrame:
-    s = support.support_bits(m, g, width, edges).groupBy("sample_id").agg(F.sum("bits").alias("support_bits"))
-    v = values.value_bits(m, g if value_graph is True else value_graph, k, width, shared).groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("value_bits"))
-    return s.join(v, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))
+def _arms_of(arms: dict, name: str) -> DataFrame:
+    """One table of tables by arm."""
+    out = None
+    for key, x in arms.items():
+        y = x.withColumn(name, F.lit(key))
+        out = y if out is None else out.unionByName(y)
+    return out
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Code length by sample: 8 support buckets, 32 value groups."""
-    return _graph(lambda m, g: _total_bits(m, g))(spark, d)
+    return _study(lambda st: st.total_bits(32))(spark, d)
 
 
-def context_arms(spark: SparkSession, d: str) -> DataFrame:
+def context_arms(st: Study) -> DataFrame:
     """Support and value contexts with and without neighbours."""
-    m = from_tables(spark, d)
-    g = graph.causal_neighbours(m.spots)
-    arms = [(f"S{s}V{v}", _total_bits(m, g if s else None, 8, value_graph=g if v else None)) for s in (0, 1) for v in (0, 1)]
-    out = arms[0][1].withColumn("arm", F.lit(arms[0][0]))
-    for name, x in arms[1:]:
-        out = out.unionByName(x.withColumn("arm", F.lit(name)))
-    return tidy(out)
+    return _arms_of({f"S{s}V{v}": st.total_bits(32, width=6 * s, value_width=6 * v) for s in (0, 1) for v in (0, 1)}, "arm")
 
 
-def bucket_arms(spark: SparkSession, d: str) -> DataFrame:
+def bucket_arms(st: Study) -> DataFrame:
     """Support code length with 1, 2, 4, 8, 16 and 32 buckets."""
-    m = from_tables(spark, d)
-    g = graph.causal_neighbours(m.spots)
-    out = None
-    late = support.gene_context_counts(m, g).persist()  # the same for all numbers of buckets
-    for n, edges in fixed.BUCKET_FAMILY.items():
-        x = support.support_bits(m, g, 6, edges, late).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("buckets", F.lit(n))
-        out = x if out is None else out.unionByName(x)
-    return tidy(out)
+    return _arms_of({n: _by_sample(st.support_bits(edges)) for n, edges in fixed.BUCKET_FAMILY.items()}, "buckets")
 
 
-def width_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Support code length with 0, 2, 4, 6 and 8 neighbours."""
-    m = from_tables(spark, d)
-    out = None
-    wide = graph.causal_neighbours(m.spots, 8)
-    for n in (0, 2, 4, 6, 8):
-        x = support.support_bits(m, wide.where(F.col("r") <= n) if n else None, n).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("neighbours", F.lit(n))
-        out = x if out is None else out.unionByName(x)
-    return tidy(out)
+def joint_arms(st: Study) -> DataFrame:
+    """Support code length with 16 and 32 buckets and 4, 6 and 8 neighbours."""
+    return _arms_of({f"B{n}_M{w}": _by_sample(st.support_bits(fixed.BUCKET_FAMILY[n], w)) for n in (16, 32) for w in (4, 6, 8)}, "arm")
+
 
+def width_arms(st: Study) -> DataFrame:
+    """Support code length with 0 to 16 neighbours."""
+    return _arms_of({n: _by_sample(st.support_bits(width=n)) for n in (0, 2, 4, 6, 8, 12, 16)}, "neighbours")
 
-def module_arms(spark: SparkSession, d: str) -> DataFrame:
+
+def module_arms(st: Study) -> DataFrame:
     """The full model and four without a part of it."""
-    m = from_tables(spark, d)
-    g = graph.causal_neighbours(m.spots)
-    raw = m.counts.groupBy("sample_id").agg((F.count("*") * 32.0).alias("value_bits"))
-    full = _total_bits(m, g)
+    raw = st.m.counts.groupBy("sample_id").agg((F.count("*") * 32.0).alias("value_bits"))
+    full = st.total_bits(32)
     arms = {
         "full": full,
-        "no_support": _total_bits(m, None, value_graph=g),
+        "no_support": st.total_bits(32, width=0),
         "no_value": full.drop("value_bits", "total_bits").join(raw, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits")),
-        "no_spatial": _total_bits(m, None, value_graph=None),
-        "no_sharing": _total_bits(m, g, shared=False),
+        "no_spatial": st.total_bits(32, width=0, value_width=0),
+        "no_sharing": st.total_bits(32, shared=False),
     }
-    out = None
-    for name, x in arms.items():
-        x = x.select("sample_id", "support_bits", "value_bits", "total_bits", F.lit(name).alias("arm"))
-        out = x if out is None else out.unionByName(x)
-    return tidy(out)
+    return _arms_of({k: x.select("sample_id", "support_bits", "value_bits", "total_bits") for k, x in arms.items()}, "arm")
 
 
-def value_width_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Value code length with 0, 2, 4 and 6 neighbours in the sum; support is left alone.
+def value_width_arms(st: Study) -> DataFrame:
+    """Value code length with 0 to 12 neighbours in the sum; support is left alone.
 
     A row counts as started once it has that many neighbours, so that narrower sums
     are not charged for a longer start.
     """
-    m = from_tables(spark, d)
-    wide = graph.causal_neighbours(m.spots)
-    out = None
-    for n in (0, 2, 4, 6):
-        v = values.value_bits(m, wide.where(F.col("r") <= n) if n else None, 8, n)
-        x = v.groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("bits")).withColumn("neighbours", F.lit(n))
-        out = x if out is None else out.unionByName(x)
-    return tidy(out)
+    return _arms_of({n: _value_sum(st.value_bits(32, n)) for n in (0, 2, 4, 6, 8, 12)}, "neighbours")
+
+
+def _ordered(m: CountMatrix, order: DataFrame) -> CountMatrix:
+    """Rows in another order: (sample_id, place, i)."""
+    move = lambda df: df.join(order, ["sample_id", "i"]).drop("i").withColumnRenamed("place", "i")
+    return CountMatrix(move(m.counts), move(m.spots), m.genes)
+
+
+def _order_arms(m: CountMatrix, orders: dict[str, DataFrame | None]) -> DataFrame:
+    """Support code length by order of rows; an order that is not the given one costs 32 bits a row."""
+    arms = {}
+    for name, order in orders.items():
+        st = Study(m if order is None else _ordered(m, order))
+        paid = F.lit(0 if order is None else 32)
+        arms[name] = _by_sample(st.support_bits()).join(support.rows_per_sample(st.m), "sample_id").select("sample_id", "bits", (F.col("n") * paid).alias("order_bits"))
+    return _arms_of(arms, "arm")
 
 
 def order_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Support code length in the given row order and in canonical order, where the order itself costs 32 bits a row."""
+    """The given row order and the canonical one."""
     m = from_tables(spark, d)
-    order = layout.canonical_order(m)
-    move = lambda df: df.join(order, ["sample_id", "i"]).drop("i").withColumnRenamed("place", "i")
-    moved = CountMatrix(move(m.counts), move(m.spots), m.genes)
-    out = None
-    for name, x, paid in (("original", m, 0), ("canonical", moved, 32)):
-        bits = support.support_bits(x, graph.causal_neighbours(x.spots)).groupBy("sample_id").agg(F.sum("bits").alias("bits"))
-        rows = support.rows_per_sample(x)
-        y = bits.join(rows, "sample_id").select("sample_id", F.lit(name).alias("arm"), "bits", (F.col("n") * paid).alias("order_bits"))
-        out = y if out is None else out.unionByName(y)
-    return tidy(out)
+    return tidy(_order_arms(m, {"original": None, "canonical": layout.canonical_order(m)}))
 
 
-def graph_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Support code length by kind of graph: none, previous rows, nearest rows."""
+def seeded_order_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Row orders permuted by NumPy's generator, seeds parsed out of the arms' names."""
     m = from_tables(spark, d)
-    out = None
-    for name, g in (("gene", None), ("prefix", graph.previous_rows(m.spots)), ("spatial", graph.causal_neighbours(m.spots))):
-        x = support.support_bits(m, g).groupBy("sample_id").agg(F.sum("bits").alias("bits")).withColumn("arm", F.lit(name))
-        out = x if out is None else out.unionByName(x)
-    return tidy(out)
+    return tidy(_order_arms(m, {a: layout.permuted_order(m.spots, cohort.seed_of(a)) for a in ("RANDOM_SEED_11", "RANDOM_SEED_23", "RANDOM_SEED_37")}))
+
+
+def _gene_context_bits(st: Study) -> DataFrame:
+    return support.gene_context_bits(support.gene_context_table(st.m, st.graph, st.late()))
+
+
+def gene_context_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Support code length of per-gene context tables: no neighbours, previous rows, nearest rows."""
+    st = Study(from_tables(spark, d))
+    return tidy(_arms_of({"S0_gene": _by_sample(st.support_bits(width=0)), "S1_prefix": _gene_context_bits(st.of_graph(graph.previous_rows(st.m.spots))), "S2_spatial": _gene_context_bits(st)}, "arm"))
+
+
+def shared_graph_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Support code length of the shared model by kind of graph: previous rows, nearest rows."""
+    st = Study(from_tables(spark, d))
+    return tidy(_arms_of({"gene": _by_sample(st.support_bits(width=0)), "P1_shared_prefix": _by_sample(st.of_graph(graph.previous_rows(st.m.spots)).support_bits()), "P2_shared_spatial": _by_sample(st.support_bits())}, "arm"))
+
+
+def shuffled_graph_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Controls: both models on graphs of permuted coordinates."""
+    st = Study(from_tables(spark, d))
+    arms = {}
+    for seed in (11, 29, 47):
+        x = st.of_graph(graph.causal_neighbours(graph.shuffled_coordinates(st.m.spots, seed)))
+        arms[f"S2_shuffle_{seed}"] = _gene_context_bits(x)
+        if seed == 11:
+            arms["P2_shared_shuffle11"] = _by_sample(x.support_bits())
+    return tidy(_arms_of(arms, "arm"))
 
 
 def shuffled_neighbours(m: CountMatrix) -> DataFrame:
@@ -204,30 +166,13 @@ def shuffled_neighbours(m: CountMatrix) -> DataFrame:
 
 
 def shuffled_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Control: value code length with genes' groups permuted (NumPy's generator, seed 11)."""
-    import numpy as np
-    import pandas as pd
-
-    m = from_tables(spark, d)
-    prof = values.profiles(m)
-    n = m.genes.count()  # at most the cap on columns
-    if n > matrix.MAX_DIM:
-        raise ValueError("too many columns")
-    moves = spark.createDataFrame(pd.DataFrame({"g": np.arange(n), "source": np.random.default_rng(11).permutation(n)}))
+    """Control: value code length with genes' groups as they are and permuted (NumPy's generator, seed 11), tables made anew."""
+    st = Study(from_tables(spark, d))
+    prof = st.profiles(32)
+    order = layout.permutation(st.m.genes.select(F.lit("").alias("sample_id"), F.col("g").alias("i")), 11).select(F.col("place").alias("g"), F.col("i").alias("source"))
     groups = prof.select("sample_id", F.col("g").alias("source"), F.col("grp").alias("moved"))
-    mixed = prof.join(moves, "g").join(groups, ["sample_id", "source"]).select("sample_id", "g", "n", "a", "tail_sum", F.col("moved").alias("grp"), "q")
-    return tidy(values.pooled(m, mixed).groupBy("sample_id", "b").agg(F.sum("c").alias("tails")))
-
-
-def ledger_variants(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger under three schemes of categories, from one table of members."""
-    m = members(spark, d, "a")
-    schemes = {"coarse": {"m1": "payload", "m2": "payload", "m3": "model", "m4": "model"}, "fine": {f"m{i}": f"c{i}" for i in range(1, 7)}, "two": {f"m{i}": "even" if i % 2 == 0 else "odd" for i in range(1, 8)}}
-    rows = [(s, k, v) for s, x in schemes.items() for k, v in x.items()]
-    cats = spark.createDataFrame(rows, "scheme string, member string, category string")
-    names = spark.createDataFrame([(s,) for s in schemes], "scheme string")
-    each = m.crossJoin(F.broadcast(names)).join(F.broadcast(cats), ["scheme", "member"], "left")
-    return tidy(each.groupBy("scheme", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("bytes").alias("bytes"), F.countDistinct("archive_id").alias("archives")))
+    mixed = prof.join(order, "g").join(groups, ["sample_id", "source"]).select("sample_id", "g", "n", "a", "tail_sum", F.col("moved").alias("grp"), "q")
+    return tidy(_arms_of({"K32": _value_sum(st.value_bits(32)), "K32_shuffled": _value_sum(st.of_profiles(32, mixed).value_bits(32))}, "arm"))
 
 
 def _pair(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -256,7 +201,6 @@ def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 QUERIES: dict[str, Query] = {
     # sources, canonical form and validation
-    "io5_compressed_to_cells": lambda s, d: tidy(layout.round_trip_compressed(from_tables(s, d)).where("sample_id = 'N'").drop("sample_id")),
     "io5_compressed_to_all_cells": lambda s, d: tidy(layout.round_trip_compressed(from_tables(s, d))),
     "io8_compressed_rows": _matrix(lambda m: layout.compressed_text(matrix.to_compressed(m.counts, m.spots))),
     "io2_label_decode": lambda s, d: tidy(layout.decode_labels(s, d)),
@@ -281,11 +225,11 @@ QUERIES: dict[str, Query] = {
     # support
     "j5_neighbour_support": _graph(support.neighbour_support, "count"),
     "a1_gene_marginals": _matrix(lambda m: support.gene_marginals(m).select("sample_id", "g", "ones", "q0", "b"), "count"),
-    "a2_gene_contexts": _graph(support.gene_context_table, "count"),
-    "a8_sufficient_statistics": _graph(support.sufficient_statistics, "count"),
-    "m1_support_odds": _graph(support.support_odds, "count"),
-    "m2_support_cdf": _graph(lambda m, g: support.support_cdf(m, support.support_odds(m, g)), "count"),
-    "m7_support_bits": _graph(lambda m, g: support.support_bits(m, g).groupBy("sample_id").agg(F.sum("bits").alias("bits")), "count"),
+    "a2_gene_contexts": _study(lambda st: support.gene_context_table(st.m, st.graph, st.late()), "count"),
+    "a8_sufficient_statistics": _study(lambda st: support.sufficient_statistics(st.marginals(), st.late()), "count"),
+    "m1_support_odds": _study(lambda st: st.support_odds(), "count"),
+    "m2_support_cdf": _study(lambda st: support.support_cdf(st.marginals(), st.support_odds()), "count"),
+    "m7_support_bits": _study(lambda st: _by_sample(st.support_bits()), "count"),
     # values
     "a3_value_profiles": _matrix(lambda m: values.profiles(m)),
     "a3_value_histograms": _matrix(values.histograms),
@@ -294,27 +238,32 @@ QUERIES: dict[str, Query] = {
     "w2_quantised_tails": _matrix(lambda m: values.base_tail(m, values.profiles(m))),
     "w3_cumulative": _matrix(lambda m: values.cumulative(values.base_tail(m, values.profiles(m)), ["sample_id", "b"])),
     "j6_neighbour_sums": _graph(values.neighbour_sums),
-    "j7_cell_gene_lookup": _values(lambda m, p, e: e),
-    "a9_value_statistics": _values(lambda m, p, e: values.value_statistics(e)),
-    "a9_tail_statistics": _values(lambda m, p, e: values.tail_statistics(e)),
-    "m1_value_odds": _values(lambda m, p, e: values.value_odds(e)),
+    "j7_cell_gene_lookup": _study(lambda st: st.events()),
+    "a9_value_statistics": _study(lambda st: values.value_statistics(st.events())),
+    "a9_tail_statistics": _study(lambda st: values.tail_statistics(st.events())),
+    "m1_value_odds": _study(lambda st: st.value_odds()),
     "a10_centres": _matrix(lambda m: values.centres(values.profiles(m))),
-    "m4_tail_tables": _values(lambda m, p, e: values.tail_tables(m, p, e)),
-    "m2_value_cdf": _values(lambda m, p, e: values.context_cdf(values.centres(p), values.value_odds(e))),
-    "a11_exception_bound": _values(lambda m, p, e: values.exception_bound(p, values.centres(p), values.value_odds(e))),
-    "m7_value_bits": _graph(lambda m, g: values.value_bits(m, g).groupBy("sample_id").agg(F.sum("singleton_bits").alias("singleton_bits"), F.sum("magnitude_bits").alias("magnitude_bits"), F.sum("raw_bits").alias("raw_bits"))),
+    "m4_tail_tables": _study(lambda st: st.tails()),
+    "m2_value_cdf": _study(lambda st: values.context_cdf(values.centres(st.profiles()), st.value_odds())),
+    "a11_exception_bound": _study(lambda st: st.exceptions()),
+    "m7_value_bits": _study(lambda st: st.value_bits().groupBy("sample_id").agg(F.sum("singleton_bits").alias("singleton_bits"), F.sum("magnitude_bits").alias("magnitude_bits"), F.sum("raw_bits").alias("raw_bits"))),
     "a23_group_diagnostics": _matrix(lambda m: values.profiles(m, 32).groupBy("sample_id", "grp").agg(F.count("*").alias("genes"), F.sum("n").alias("events"))),
     "a24_sample_profile": _matrix(layout.sample_profile),
     "m10_code_length_k32": flagship,
-    "m15_context_arms": context_arms,
-    "m16_bucket_arms": bucket_arms,
-    "j2_width_arms": width_arms,
-    "m19_module_arms": module_arms,
-    "m13_graph_arms": graph_arms,
-    "m17_value_width_arms": value_width_arms,
+    "m15_context_arms": _study(context_arms),
+    "m16_bucket_arms": _study(bucket_arms),
+    "m16_joint_arms": _study(joint_arms, width=8, widths=(4, 6)),
+    "j2_width_arms": _study(width_arms, width=16, widths=(2, 4, 6, 8, 12)),
+    "m19_module_arms": _study(module_arms),
+    "m13_gene_context_arms": gene_context_arms,
+    "m14_shared_graph_arms": shared_graph_arms,
+    "m13_m14_shuffled_graph_arms": shuffled_graph_arms,
+    "m17_value_width_arms": _study(value_width_arms, width=12, widths=(2, 4, 6, 8)),
     "m18_order_arms": order_arms,
+    "m18_seeded_order_arms": seeded_order_arms,
     "m20_shuffled_groups": shuffled_groups,
-    "m12_exceptions": _values(lambda m, p, e: values.exception_bound(p, values.centres(p), values.value_odds(e)).groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes"))),
+    "m12_exceptions": _study(lambda st: st.exceptions().groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes"))),
+    "m12_code_length": _study(lambda st: st.total_bits(8, exceptions=True)),
     "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"), (1, 2, 4, 8, 16, 32))),
     "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),
     "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
@@ -352,9 +301,7 @@ QUERIES: dict[str, Query] = {
     "j16_outstanding": lambda s, d: tidy(cohort.outstanding((r := results(s, d)).select("sample_id", "arm"), cohort.good(r))),
     "u2_member_sets": _pair(layout.member_sets),
     "c5_ledger": lambda s, d: tidy(_ledger(s, d)[0]),
-    "c6_ledger_variants": ledger_variants,
     "c7_fees": _results(lambda r: cohort.good(r).groupBy("arm").agg(F.sum("total_bytes").alias("total"), (F.sum("model") + F.sum("framing")).alias("fees"))),
-    "c14_fixed_members": _pair(lambda a, b: cohort.member_difference(a, b).where("added + removed + changed > 0").select("archive_id")),
     "u1_union": _results(lambda r: r.where("arm = 'L1'").select("sample_id", "arm", "total_bytes").unionByName(r.where("arm = 'L2'").select("sample_id", "arm", "n_lines"), allowMissingColumns=True)),
     "c22_conservation": lambda s, d: tidy(cohort.conservation_faults((x := _ledger(s, d))[0].where("not (category = 'graph' and archive_id % 6 = 0)"), x[1])),
     "c12_coverage_audit": _results(lambda r: cohort.coverage_audit(r.where("n_lines % 3 <> 0"), 7)),
@@ -370,3 +317,8 @@ QUERIES: dict[str, Query] = {
     "f_scalars": lambda s, d: tidy(layout.scalars(s, d)),
     "f_code_inverse": lambda s, d: tidy(layout.code_inverse(s, d)),
 }
+
+QUERIES |= storage.QUERIES | audits.QUERIES
+
+#: DuckDB twins.
+ORACLE: dict[str, str] = oracles.ORACLE | storage.ORACLE | audits.ORACLE

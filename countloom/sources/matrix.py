@@ -63,8 +63,10 @@ def bad_value(v: Column) -> Column:
     return v.isNull() | F.isnan(d) | (d < 0) | (d > F.lit(float(U32))) | (d != F.floor(d))
 
 
-def canonicalise(entries: DataFrame, by: tuple[str, ...] = ("sample_id", "i", "g")) -> DataFrame:
-    """Sums repeated cells, drops zeros, and fails on values out of range before or after summing."""
+def canonicalise(entries: DataFrame, by: tuple[str, ...] = ("sample_id", "i", "g"), distinct: bool = False) -> DataFrame:
+    """Sums repeated cells, drops zeros, and fails on values out of range before or after summing. distinct: no cell repeats."""
+    if distinct:
+        return entries.select(*by, F.when(bad_value(F.col("v")), F.raise_error(F.lit("count values")).cast("bigint")).otherwise(F.col("v").cast("bigint")).alias("v")).where("v > 0")
     checked = entries.withColumn("v", F.when(bad_value(F.col("v")), F.raise_error(F.lit("count values"))).otherwise(F.col("v").cast("bigint")))
     summed = checked.groupBy(*by).agg(F.sum("v").alias("v")).where("v > 0")
     return summed.withColumn("v", F.when(F.col("v") > U32, F.raise_error(F.lit("summed count values")).cast("bigint")).otherwise(F.col("v")))
@@ -87,8 +89,9 @@ def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", m
     are exploded to positions and joined by equality, so no range join is needed.
     Both tables may hold many matrices, told apart by the columns ``within``.
     """
-    w = W.partitionBy(*within).orderBy(major)
-    ranges = pointers.select(*within, F.col(major), F.col("ptr").alias("lo"), F.lead("ptr").over(w).alias("hi")).where("hi > lo")
+    # The end of a range is the next major's pointer, found by equality: no task orders all pointers.
+    ends = pointers.select(*within, (F.col(major) - 1).alias(major), F.col("ptr").alias("hi"))
+    ranges = pointers.select(*within, major, F.col("ptr").alias("lo")).join(ends, [*within, major]).where("hi > lo")
     places = ranges.select(*within, major, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
     return places.join(entries, [*within, "pos"]).select(*within, major, minor, "v")
 
@@ -131,9 +134,10 @@ def from_tables(spark: SparkSession, sf_dir: str, measure: str = "quantity") ->
     s = ordinals(read("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", "i")
     g = ordinals(read("part").select("p_partkey", "p_name"), "p_partkey", "g")
     value = {"count": F.lit(1), "quantity": F.col("l_quantity"), "tens": F.floor(F.col("l_quantity") / 10)}[measure]
-    # Lines are combined by cell before they meet the axes.
+    # Lines are combined by cell before they meet the axes, and read once.
     cells = read("lineitem").groupBy(F.col("l_returnflag").alias("sample_id"), "l_suppkey", "l_partkey").agg(F.sum(value.cast("bigint")).alias("v"))
     entries = cells.join(s.select("s_suppkey", "i"), F.col("l_suppkey") == F.col("s_suppkey")).join(g.select("p_partkey", "g"), F.col("l_partkey") == F.col("p_partkey"))
-    samples = read("lineitem").select(F.col("l_returnflag").alias("sample_id")).distinct()
+    entries = materialise(entries.select("sample_id", "i", "g", "v"), "entries")
     spots = s.select("i", F.col("s_suppkey").cast("string").alias("spot_id"), F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"))
-    return CountMatrix(canonicalise(entries.select("sample_id", "i", "g", "v")), spots.join(F.broadcast(samples)), g.select("g", F.col("p_name").alias("gene_id")))
+    samples = entries.select("sample_id").distinct()
+    return CountMatrix(canonicalise(entries, distinct=True), spots.join(per_sample(samples)), g.select("g", F.col("p_name").alias("gene_id")))

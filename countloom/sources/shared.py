@@ -12,6 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_tables: list[str] = []
+
+
+@atexit.register
+def _leave() -> None:
+    """Intermediate tables on this machine go with the process; elsewhere ``discard_all`` is the way."""
+    for path in _tables:
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+    if not local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -45,6 +58,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     plan does not decide alike each time (range partitions) is decided once.
     """
     path = fresh_path(df.sparkSession, tag)
+    if local(df.sparkSession) and ("://" not in path or path.startswith("file://")):
+        _tables.append(path.removeprefix("file://"))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._countloom_path = path

@@ -24,3 +24,9 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def small():
     return SMALL
+
+
+@pytest.fixture(scope="session")
+def medium():
+    """Large enough for range partitions to differ from run to run where they may."""
+    return "/root/testdata/sf0.01"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from countloom.operators import graph, sharing
-from countloom.sources import tables
+from countloom.sources import matrix, reader, shared, tables
 from countloom.streaming import coverage
 
 
@@ -32,6 +32,114 @@ def test_exclusive_sink(spark, tmp_path):
         tables.write_exclusive(df, str(tmp_path / "p"))
 
 
+@pytest.mark.parametrize("parts", ["4", "211"])
+def test_ordinals_of_many_keys(spark, parts):
+    """Positions are 0 to n - 1 in key order, alike in every evaluation and on every partitioning."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        keys = spark.range(50_000).select((F.col("id") * 7919 % 1_000_003).alias("key"))
+        got = matrix.ordinals(keys, "key", "n")
+        first, again = ({r["key"]: r["n"] for r in got.collect()} for _ in range(2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first == again and [first[k] for k in sorted(first)] == list(range(50_000))
+    assert matrix.ordinals(keys.limit(0), "key", "n").count() == 0
+
+
+def test_shared_folder(spark, tmp_path):
+    own = shared.shared_dir(spark)
+    df = shared.materialise(spark.range(5), "x")
+    assert own == shared.shared_dir(spark) and df.count() == 5 and df.inputFiles()[0].removeprefix("file://").startswith(own.removeprefix("file://"))
+    shared.discard(df, None, spark.range(1))
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found"):
+        spark.read.parquet(df._countloom_path).count()
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, other=None: other)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-unset"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Unset)
+    Unset.sparkContext.master = "local[2]"
+    assert shared.shared_dir(Unset) == shared.shared_dir(Unset) != own
+
+
+DENSE = np.array([[0, 2, 0, 9], [3, 0, 1, 0], [0, 0, 0, 0]])
+
+
+def bundle(spark, path, encoding, shape=(3, 4), change=None):
+    import json
+    import os
+
+    parts = {
+        "spots": spark.createDataFrame([(i, f"s{i}", float(i), 0.5) for i in range(3)], "i bigint, spot_id string, x double, y double"),
+        "genes": spark.createDataFrame([(g, "same") for g in range(4)], "g bigint, gene_id string"),
+    }
+    if encoding == "dense_array":
+        parts["dense"] = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(DENSE)], "i bigint, values array<bigint>")
+    else:
+        a = DENSE if encoding == "csr_matrix" else DENSE.T
+        major, minor = np.nonzero(a)
+        parts["pointers"] = spark.createDataFrame([(i, int(p)) for i, p in enumerate(np.searchsorted(major, np.arange(len(a) + 1)))], "pos bigint, ptr bigint")
+        parts["entries"] = spark.createDataFrame([(p, int(m), float(a[i, m])) for p, (i, m) in enumerate(zip(major, minor, strict=True))], "pos bigint, minor bigint, v double")
+    parts |= {k: f(parts[k]) for k, f in (change or {}).items()}
+    os.makedirs(path)
+    (path / "header.json").write_text(json.dumps({"encoding": encoding, "shape": shape}))
+    for name, df in parts.items():
+        df.write.parquet(str(path / name))
+    return str(path)
+
+
+@pytest.mark.parametrize("encoding", reader.ENCODINGS)
+def test_bundles_of_all_encodings(spark, tmp_path, encoding):
+    m = reader.read_bundle(spark, bundle(spark, tmp_path / "b", encoding), "s")
+    assert {(r["i"], r["g"]): r["v"] for r in m.counts.collect()} == {(0, 1): 2, (0, 3): 9, (1, 0): 3, (1, 2): 1}
+    assert m.spots.count() == 3 and m.genes.count() == 4
+
+
+BROKEN = {
+    "shape": ("csr_matrix", {"shape": (0, 4)}), "pointer_count": ("csr_matrix", {"change": {"pointers": lambda d: d.where("pos < 3")}}), "first_pointer": ("csr_matrix", {"change": {"pointers": lambda d: d.selectExpr("pos", "if(pos = 0, 1, ptr) ptr")}}),
+    "last_pointer": ("csc_matrix", {"change": {"pointers": lambda d: d.selectExpr("pos", "if(pos = 4, 9, ptr) ptr")}}), "falling_pointer": ("csc_matrix", {"change": {"pointers": lambda d: d.selectExpr("pos", "if(pos = 1, 3, ptr) ptr")}}),
+    "minor_range": ("csr_matrix", {"change": {"entries": lambda d: d.selectExpr("pos", "minor + 2 minor", "v")}}), "value": ("csr_matrix", {"change": {"entries": lambda d: d.selectExpr("pos", "minor", "v + 0.5 v")}}),
+    "spot_count": ("dense_array", {"change": {"spots": lambda d: d.where("i > 0")}}), "gene_label": ("dense_array", {"change": {"genes": lambda d: d.selectExpr("g", "if(g = 1, null, gene_id) gene_id")}}),
+    "coordinates": ("dense_array", {"change": {"spots": lambda d: d.selectExpr("i", "spot_id", "x", "double('nan') y")}}), "unknown encoding": ("other", {}), "not a bundle": ("dense_array", {"change": {"dense": lambda d: d.selectExpr("i")}}),
+}
+
+
+@pytest.mark.parametrize("fault", BROKEN)
+def test_broken_bundles_are_refused(spark, tmp_path, fault):
+    encoding, more = BROKEN[fault]
+    with pytest.raises(ValueError, match=fault):
+        reader.read_bundle(spark, bundle(spark, tmp_path / "b", encoding, **more)).counts.collect()
+
+
+def test_cells_that_a_decoder_must_not_repair(spark):
+    cells = spark.createDataFrame([("s", 0, 0, 1), ("s", 0, 0, 2), ("s", 1, 0, 0), ("t", 0, 0, 4)], "sample_id string, i bigint, g bigint, v bigint")
+    assert sorted(map(tuple, reader.noncanonical(cells).collect())) == [("s", "repeated", 1), ("s", "zero", 1)]
+
+
+def test_packed_integers(spark):
+    from countloom.functions import numbers
+
+    rng = np.random.default_rng(8)
+    rows = [(n, rng.integers(0, 4096, n).tolist()) for n in (0, 1, 2, 3, 10, 33)]
+    df = spark.createDataFrame(rows, "n int, v array<bigint>").select("n", "v", numbers.pack12(F.col("v")).alias("hex")).withColumn("back", numbers.unpack12(F.col("hex"), F.size("v")))
+    for r in df.collect():
+        assert bytes.fromhex(r["hex"]) == sharing.pack12(np.array(r["v"], np.int64)) and r["back"] == r["v"]
+
+
+def test_compensated_sum(spark):
+    from countloom.functions import numbers
+
+    values = [1.0] + [1e-16] * 10_000
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(numbers.compensated_sum(F.col("v")).alias("s")).first()["s"]
+    assert got == pytest.approx(1 + 1e-12, abs=2e-16)
+
+
 @pytest.mark.parametrize("genes", [1, 7, 8, 9, 100])
 def test_shared_rates(genes):
     rng = np.random.default_rng(genes)
