@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONTEXT_ENDS, Q12, STARTUP, U32
-from ..sources.matrix import CountMatrix
+from ..sources.matrix import CountMatrix, few
 from . import sharing, support
 from .study import Study
 
@@ -426,7 +426,7 @@ def tagged(m: CountMatrix, study: Study | None = None, k: int = 8, exceptions: b
         from . import values
 
         out += [
-            row(m.spots, "spot", "i", x="x", y="y", t="spot_id"), row(m.genes.join(F.broadcast(rows)), "label", "g", t="gene_id"), row(study.graph.where(F.col("r") <= WIDTH), "edge", "i", "r", "j"),
+            row(m.spots, "spot", "i", x="x", y="y", t="spot_id"), row(m.genes.join(few(rows)), "label", "g", t="gene_id"), row(study.graph.where(F.col("r") <= WIDTH), "edge", "i", "r", "j"),
             row(study.marginals(), "gene", "g", "q0", "b"), row(study.support_odds(), "support", "b", "k", "odds"), row(prof, "group", "g", "grp", "q"), row(values.centres(prof, k), "centre", "b", "s"),
             row(study.value_odds(k), "value", "b", "c", "odds"), row(study.tails(k).withColumn("k", F.col("c") * 32 + F.col("k")), "tail", "b", "k", "freq"),
         ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.matrix import few
 from ..sources.shared import materialise
 
 STRATA = ("platform", "species", "organ")
@@ -21,7 +22,7 @@ def good(results: DataFrame) -> DataFrame:
 
 def coverage(samples: DataFrame, arms: DataFrame, results: DataFrame) -> DataFrame:
     """Every planned pair with its status, ``not_run`` where there is none. arms are few."""
-    plan = samples.select("sample_id").crossJoin(F.broadcast(arms.select("arm")))
+    plan = samples.select("sample_id").crossJoin(few(arms.select("arm")))
     return plan.join(results.select("sample_id", "arm", "status"), ["sample_id", "arm"], "left").withColumn("status", F.coalesce("status", F.lit("not_run")))
 
 
@@ -131,7 +132,7 @@ def hash_ranked(cohort: DataFrame, salt: str, n: int) -> DataFrame:
 
 
 def queue(cohort: DataFrame, arms: DataFrame, gate: str) -> DataFrame:
-    return cohort.select("id").crossJoin(F.broadcast(arms.select("arm"))).withColumn("state", F.when(F.lit(gate) == "passed", "ready").otherwise("held"))
+    return cohort.select("id").crossJoin(few(arms.select("arm"))).withColumn("state", F.when(F.lit(gate) == "passed", "ready").otherwise("held"))
 
 
 def reconcile(cohort: DataFrame, prior: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def outstanding(plan: DataFrame, reusable: DataFrame) -> DataFrame:
 
 def ledger(members: DataFrame, categories: DataFrame, totals: DataFrame) -> DataFrame:
     """(archive_id, category, bytes): bytes by category; framing is what a file has beyond its members."""
-    c = members.join(F.broadcast(categories), "member", "left").groupBy("archive_id", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("bytes").alias("bytes"))
+    c = members.join(few(categories), "member", "left").groupBy("archive_id", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("bytes").alias("bytes"))
     inside = members.groupBy("archive_id").agg(F.sum("bytes").alias("inside"))
     framing = totals.join(inside, "archive_id").select("archive_id", F.lit("framing").alias("category"), (F.col("total") - F.col("inside")).alias("bytes"))
     return c.unionByName(framing)
@@ -220,7 +221,7 @@ def gates(results: DataFrame, base: str, least_percent: float) -> DataFrame:
 def stage_audit(results: DataFrame, stages: DataFrame, retry: DataFrame) -> DataFrame:
     """(stage, expected, main, retried, complete): successes of each stage's arms, in the main run or the retry, against samples times arms."""
     sizes = F.broadcast(results.agg(F.countDistinct("sample_id").alias("_samples")))
-    own = F.broadcast(stages)
+    own = few(stages)
     first = effective(results.select("sample_id", "arm", "status"), retry.select("sample_id", "arm", "status")).join(own, "arm")
     good_ = F.col("status") == "success"
     got = first.groupBy("stage").agg(F.count(F.when(good_ & (F.col("origin") == "main"), 1)).alias("main"), F.count(F.when(good_ & (F.col("origin") == "retry"), 1)).alias("retried"))

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources import archive
-from ..sources.matrix import CountMatrix, from_compressed, to_compressed
+from ..sources.matrix import CountMatrix, few, from_compressed, to_compressed
 
 
 def compressed_parts(m: CountMatrix, by_row: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pointers(sample_id, major, ptr), one more than there are majors; entries(sample_id, pos, minor, v))."""
     major, minor = ("i", "g") if by_row else ("g", "i")
     samples = m.spots.select("sample_id").distinct()
-    rows = m.spots.select("sample_id", "i") if by_row else m.genes.select("g").join(F.broadcast(samples)).select("sample_id", "g")
+    rows = m.spots.select("sample_id", "i") if by_row else m.genes.select("g").join(few(samples)).select("sample_id", "g")
     packed = to_compressed(m.counts, rows, major, minor)
     size = packed.groupBy("sample_id").agg(F.max("ptr_hi").alias("ptr"), F.max(major).alias(major))
     pointers = packed.select("sample_id", major, F.col("ptr_lo").alias("ptr")).unionByName(size.select("sample_id", (F.col(major) + 1).alias(major), "ptr"))

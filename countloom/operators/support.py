@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BUCKET_EDGES, Q12, bucket, clamp_q, half_up, odds_to_q
-from ..sources.matrix import CountMatrix, per_sample
+from ..sources.matrix import CountMatrix, few
 
 
 def rows_per_sample(m: CountMatrix) -> DataFrame:
@@ -21,7 +21,7 @@ def rows_per_sample(m: CountMatrix) -> DataFrame:
 def gene_marginals(m: CountMatrix, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
     """(sample_id, g, ones, q0, b) for every gene of every sample, absent ones too."""
     ones = m.counts.groupBy("sample_id", "g").agg(F.count("*").alias("ones"))
-    all_ = m.genes.select("g").join(per_sample(rows_per_sample(m))).join(ones, ["sample_id", "g"], "left").withColumn("ones", F.coalesce("ones", F.lit(0)))
+    all_ = m.genes.select("g").join(few(rows_per_sample(m))).join(ones, ["sample_id", "g"], "left").withColumn("ones", F.coalesce("ones", F.lit(0)))
     p = (F.col("ones") + F.lit(0.5)) / (F.col("n") + F.lit(1.0))
     q0 = clamp_q(half_up(p * Q12))
     return all_.select("sample_id", "g", "n", "ones", q0.alias("q0")).withColumn("b", bucket(F.col("q0"), edges))
@@ -52,7 +52,7 @@ def gene_context_counts(m: CountMatrix, cells: DataFrame, width: int = 6) -> Dat
     """(sample_id, g, k, n, y): cells past the start by gene and positive neighbours, k = 0 as the complement."""
     cells = cells.where(F.col("i") >= width).groupBy("sample_id", "g", F.col(f"k{width}").alias("k")).agg(F.count("*").alias("n"), F.count("v").alias("y"))
     late = rows_per_sample(m).select("sample_id", F.greatest(F.col("n") - width, F.lit(0)).alias("late"))
-    whole = m.genes.select("g").join(per_sample(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
+    whole = m.genes.select("g").join(few(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
     # Cells enumerated elsewhere leave the complement.
     less = cells.select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), (-F.col("n")).alias("n"), F.lit(0).cast("bigint").alias("y"))
     return whole.unionByName(less).unionByName(cells).groupBy("sample_id", "g", "k").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")

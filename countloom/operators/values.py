@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import Q12, clamp_q, div, half_up, magnitude, odds_to_q, tail_group, value_context
-from ..sources.matrix import CountMatrix, per_sample
+from ..sources.matrix import CountMatrix, few
 from .support import bits, fit_odds
 
 BINS = 32
@@ -19,7 +19,7 @@ def profiles(m: CountMatrix, k: int = 8) -> DataFrame:
     v = F.col("v")
     per = m.counts.groupBy("sample_id", "g").agg(F.count("*").alias("n"), F.count(F.when(v == 1, 1)).alias("a"), F.sum(F.when(v > 1, v - 1).otherwise(0)).alias("tail_sum"))
     samples = m.spots.select("sample_id").distinct()
-    all_ = m.genes.select("g").join(per_sample(samples)).join(per, ["sample_id", "g"], "left").na.fill(0, ["n", "a", "tail_sum"])
+    all_ = m.genes.select("g").join(few(samples)).join(per, ["sample_id", "g"], "left").na.fill(0, ["n", "a", "tail_sum"])
     total = per.groupBy("sample_id").agg(F.sum("a").alias("sa"), F.sum("n").alias("sn"))
     one = (F.coalesce("sa", F.lit(0)) + F.lit(0.5)) / (F.coalesce("sn", F.lit(0)) + F.lit(1))
     q = clamp_q(half_up(F.lit(4096.0) * (F.col("a") + F.lit(0.5) + F.lit(16.0) * one) / (F.col("n") + F.lit(17))))
@@ -162,7 +162,7 @@ def mean_sort(m: CountMatrix) -> DataFrame:
     """(sample_id, g, place): genes by mean count, ties by number."""
     n = m.spots.groupBy("sample_id").agg(F.count("*").alias("n"))
     s = m.counts.groupBy("sample_id", "g").agg(F.sum("v").alias("s"))
-    all_ = m.genes.select("g").join(per_sample(n)).join(s, ["sample_id", "g"], "left").na.fill(0, ["s"])
+    all_ = m.genes.select("g").join(few(n)).join(s, ["sample_id", "g"], "left").na.fill(0, ["s"])
     return all_.withColumn("place", F.row_number().over(W.partitionBy("sample_id").orderBy("s", "g")) - 1).select("sample_id", "g", "place")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..sources import archive, matrix, reader, tables
-from ..sources.matrix import CountMatrix, from_tables
+from ..sources.matrix import CountMatrix, few, from_tables
 from ..sources.shared import fresh_path
 from . import oracles
 from .inputs import Query, members, tidy
@@ -28,17 +28,17 @@ def broken_parts(m: CountMatrix) -> DataFrame:
     """Compressed rows with something wrong in every sample: columns outside, falling pointers, values and a missing pointer."""
     pointers, entries = layout.compressed_parts(m)
     shape, of = _shape(m), lambda s: F.col("sample_id") == s
-    bad = entries.join(F.broadcast(shape), "sample_id").select(
+    bad = entries.join(few(shape), "sample_id").select(
         "sample_id", "pos", F.when(of("A") & (F.col("pos") % 1000 == 0), F.col("columns")).otherwise(F.col("g")).alias("minor"), F.when(of("R") & (F.col("pos") % 500 == 0), F.lit(-1).cast("bigint")).otherwise(F.col("v")).alias("v")
     )
     fallen = F.when(of("N") & (F.col("i") % 7 == 0) & (F.col("i") > 0), F.col("ptr") - 1000).otherwise(F.col("ptr"))
     last = shape.select("sample_id", "rows")
-    ptr = pointers.join(F.broadcast(last), "sample_id").where(~of("R") | (F.col("i") < F.col("rows"))).select("sample_id", F.col("i").alias("pos"), fallen.alias("ptr"))
+    ptr = pointers.join(few(last), "sample_id").where(~of("R") | (F.col("i") < F.col("rows"))).select("sample_id", F.col("i").alias("pos"), fallen.alias("ptr"))
     return reader.structural_faults(shape, ptr, bad)
 
 
 def strict_parts(m: CountMatrix) -> DataFrame:
-    c = m.counts.join(F.broadcast(_shape(m)), "sample_id")
+    c = m.counts.join(few(_shape(m)), "sample_id")
     v = F.when((F.col("i") + F.col("g")) % 97 == 0, F.lit(0).cast("bigint")).otherwise(F.col("v"))
     g = F.when((F.col("i") * 7 + F.col("g")) % 101 == 0, F.col("g") + F.col("columns")).otherwise(F.col("g"))
     once = c.select("sample_id", "i", g.alias("g"), v.alias("v"))
@@ -51,7 +51,7 @@ def broken_metadata(m: CountMatrix) -> DataFrame:
     spots = m.spots.where((F.col("sample_id") != "N") | (k != 5)).select(
         "sample_id", "i", F.when(k != 4, F.col("spot_id")).alias("spot_id"), F.when(k == 3, F.lit(float("nan"))).otherwise(F.col("x")).alias("x"), "y"
     )
-    own = m.genes.join(F.broadcast(m.spots.select("sample_id").distinct()))
+    own = m.genes.join(few(m.spots.select("sample_id").distinct()))
     genes = own.where((F.col("sample_id") != "R") | (F.col("g") % 50 != 7)).select("sample_id", "g", F.when(F.col("g") % 100 != 9, F.col("gene_id")).alias("gene_id"))
     return reader.metadata_faults(spots, genes, _shape(m))
 

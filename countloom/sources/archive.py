@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .matrix import MAX_DIM, CountMatrix, canonicalise
+from .matrix import MAX_DIM, CountMatrix, canonicalise, few
 
 MAGIC = b"CLF1"
 SCHEMA = "countloom-v1"
@@ -225,7 +225,7 @@ def verify(cells: DataFrame, axes: DataFrame, m: CountMatrix) -> DataFrame:
     samples = m.spots.select("sample_id").distinct()
     counts = compare(cells, m.counts).select("sample_id", F.col("identical").alias("counts"))
     spots = m.spots.select("sample_id", F.lit("spot").alias("axis"), F.col("i").alias("pos"), F.col("spot_id").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    genes = m.genes.join(F.broadcast(samples)).select("sample_id", F.lit("gene").alias("axis"), F.col("g").alias("pos"), F.col("gene_id").alias("_t"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"))
+    genes = m.genes.join(few(samples)).select("sample_id", F.lit("gene").alias("axis"), F.col("g").alias("pos"), F.col("gene_id").alias("_t"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"))
     both = axes.join(spots.unionByName(genes), ["sample_id", "axis", "pos"], "full_outer")
     same = F.coalesce(F.col("label") == F.col("_t"), F.lit(False))
     near = F.coalesce((F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), F.lit(False))

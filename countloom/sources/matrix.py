@@ -26,16 +26,16 @@ class CountMatrix:
     genes: DataFrame
 
 
-MAX_SAMPLES = 1_000_000
+MAX_FEW = 1_000_000
 
 
-def per_sample(df: DataFrame) -> DataFrame:
-    """A table of one row a sample, to be combined with every gene: broadcast, behind a check of its size.
+def few(df: DataFrame) -> DataFrame:
+    """A table of a row each for samples, arms or the like, to be combined with many: broadcast, behind a check of its size.
 
     A row is under 50 bytes, so what is sent is under 50 MB.
     """
     n = F.count("*").over(W.partitionBy(F.lit(0)))
-    guarded = df.limit(MAX_SAMPLES + 1).withColumn("_n", n).where(F.when(F.col("_n") > MAX_SAMPLES, F.raise_error(F.lit("more samples than can be sent to every task")).cast("boolean")).otherwise(True))
+    guarded = df.limit(MAX_FEW + 1).withColumn("_n", n).where(F.when(F.col("_n") > MAX_FEW, F.raise_error(F.lit("more rows than can be sent to every task")).cast("boolean")).otherwise(True))
     return F.broadcast(guarded.drop("_n"))
 
 
@@ -140,4 +140,4 @@ def from_tables(spark: SparkSession, sf_dir: str, measure: str = "quantity") ->
     entries = materialise(entries.select("sample_id", "i", "g", "v"), "entries")
     spots = s.select("i", F.col("s_suppkey").cast("string").alias("spot_id"), F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"))
     samples = entries.select("sample_id").distinct()
-    return CountMatrix(canonicalise(entries, distinct=True), spots.join(per_sample(samples)), g.select("g", F.col("p_name").alias("gene_id")))
+    return CountMatrix(canonicalise(entries, distinct=True), spots.join(few(samples)), g.select("g", F.col("p_name").alias("gene_id")))

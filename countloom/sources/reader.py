@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .matrix import MAX_DIM, CountMatrix, bad_value, canonicalise, from_compressed, from_dense
+from .matrix import MAX_DIM, CountMatrix, bad_value, canonicalise, few, from_compressed, from_dense
 
 MAX_ENTRIES = 100_000_000
 ENCODINGS = ("dense_array", "csr_matrix", "csc_matrix")
@@ -29,7 +29,7 @@ def structural_faults(shape: DataFrame, pointers: DataFrame, entries: DataFrame,
     p = pointers.groupBy("sample_id").agg(F.count("*").alias("pointers"), F.min_by("ptr", "pos").alias("first"), F.max_by("ptr", "pos").alias("last"))
     after = pointers.select("sample_id", (F.col("pos") - 1).alias("pos"), F.col("ptr").alias("next"))
     falls = pointers.join(after, ["sample_id", "pos"]).where("next < ptr or ptr < 0").groupBy("sample_id").agg(F.count("*").alias("falls"))
-    wide = F.broadcast(shape.select("sample_id", F.col(minor).alias("_minors")))
+    wide = few(shape.select("sample_id", F.col(minor).alias("_minors")))
     e = entries.join(wide, "sample_id").groupBy("sample_id").agg(
         F.count("*").alias("entries"), F.count(F.when((F.col("minor") < 0) | (F.col("minor") >= F.col("_minors")), 1)).alias("outside"), F.count(F.when(bad_value(F.col("v")), 1)).alias("bad")
     )
@@ -59,7 +59,7 @@ def noncanonical(entries: DataFrame, by: tuple[str, ...] = ("sample_id", "i", "g
 
 def strict_faults(counts: DataFrame, shape: DataFrame) -> DataFrame:
     """(sample_id, fault, n) of cells that are to be canonical already: value, outside, repeated."""
-    x = counts.join(F.broadcast(shape), "sample_id")
+    x = counts.join(few(shape), "sample_id")
     per = x.groupBy("sample_id", "i", "g").agg(
         F.count("*").alias("n"), F.count(F.when(bad_value(F.col("v")) | (F.col("v") == 0), 1)).alias("value"),
         F.count(F.when(~F.col("i").between(0, F.col("rows") - 1) | ~F.col("g").between(0, F.col("columns") - 1), 1)).alias("outside"),

@@ -15,6 +15,12 @@ def test_without_optional_parts(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120).returncode == 0
 
 
+def test_without_tokenizer_files(tmp_path):
+    """The rest works where the package of vocabularies is missing."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'm10_code_length_k32' in e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": REPO}, timeout=120).returncode == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
