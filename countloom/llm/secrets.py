@@ -73,7 +73,7 @@ def _crc62(body: str) -> str:
 def _json_header(part: str) -> bool:
     try:
         x = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(x, dict) and "alg" in x
 

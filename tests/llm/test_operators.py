@@ -88,6 +88,25 @@ def test_checksums_decide():
     assert [s[2] for s in secrets.find_secrets("-----BEGIN PRIVATE KEY-----\nMAMCAQU=\n-----END PRIVATE KEY-----")] == ["pem"]
 
 
+def test_tokens_of_fixed_forms():
+    body = "Zz19" * 7 + "q0"
+    npm = "npm_" + body + secrets._crc62(body)
+    good = {"npm": npm, "slack": "xoxb-" + "1234567890-abc", "stripe": "sk_live_" + "a1B2" * 4, "google": "AIza" + "S" * 35}
+    bad = ["npm_" + body + ("000000" if not npm.endswith("000000") else "000001"), npm + "x", "xoxb-short", "xoxq-" + "1" * 12, "pk_live_" + "a" * 20, "sk_live_" + "a" * 15, "AIza" + "S" * 34, "AIza" + "S" * 36]
+    for kind, t in good.items():
+        assert secrets.find_secrets(f"a {t} b") == [(2, 2 + len(t), kind)]
+    for t in bad:
+        assert secrets.find_secrets(f"a {t} b") == []
+
+
+def test_odd_headers_are_not_tokens():
+    import base64
+
+    for header in (b"[" * 200_000, b'{"alg"', b'"alg"', b"\xff\xfe", b'{"typ":1}'):
+        part = base64.urlsafe_b64encode(b'{"a":' + header).decode().rstrip("=")
+        assert not [s for s in secrets.find_secrets(f"x {part}.abc.def y") if s[2] == "jwt"]
+
+
 def test_secret_rows(make, odd):
     rows = secrets.scan_secrets(make(odd, extra=True)).collect()
     assert len(rows) == len(odd)
@@ -562,6 +581,14 @@ def test_token_counts_against_loops(make, odd, corpus, rule):
         assert not raw or r["section_ends"][-1] == len(raw.decode())
 
 
+def test_token_counts_of_no_documents(make):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    got = token_counts.attribute_lines(make([], extra=True), path, pattern)
+    assert got.count() == 0 and got.columns[0] == "doc_id"
+    rows = token_counts.attribute_lines(make([(1, None, "s"), (1, None, "s"), (2, "", "s")]), path, pattern).collect()
+    assert len(rows) == 3 and {r["n_tokens"] for r in rows} == {0}
+
+
 def test_token_counts_by_field(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     df = spark.createDataFrame([(1, "A title", "Body text here"), (2, None, "x"), (3, None, None)], "doc_id bigint, title string, body string")
