@@ -314,6 +314,29 @@ def gate(doors: DataFrame) -> DataFrame:
     return doors.groupBy("release").agg(F.when(~ok(DOORS[0]), "pending").when(~others, "blocked").otherwise("passed").alias("status"))
 
 
+STATES = ("pending", "passed", "failed")
+
+
+def evidence_faults(doors: DataFrame) -> DataFrame:
+    """(release, door, fault) of doors(release, door, state, evidence, sha256) that are not what they say.
+
+    Faults, the first that applies: door and state that are not known, a passed door
+    without evidence, a digest that is not one, and evidence of another digest.
+    """
+    passed = F.col("state") == "passed"
+    fault = (
+        F.when(F.col("door").isNull() | ~F.col("door").isin(*DOORS), "door").when(F.col("state").isNull() | ~F.col("state").isin(*STATES), "state").when(passed & F.col("evidence").isNull(), "evidence")
+        .when(passed & ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest").when(passed & (F.sha2("evidence", 256) != F.col("sha256")), "mismatch")
+    )
+    return doors.select("release", "door", fault.alias("fault")).where("fault is not null")
+
+
+def evidenced_gate(doors: DataFrame) -> DataFrame:
+    """(release, status): as ``gate``, but only doors without faults count."""
+    bad = evidence_faults(doors).select("release", "door").distinct()
+    return gate(doors.select("release", "door").distinct().join(doors.join(bad, ["release", "door"], "left_anti").select("release", "door", "state"), ["release", "door"], "left").withColumn("state", F.coalesce("state", F.lit("failed"))))
+
+
 # Patterns of messages in order; the first that matches names the outcome.
 OUTCOMES = (
     (r"(?i)access violation|Fatal Python error: Aborted|returncode.*3221225477", "native_runtime_crash"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import cohort
+from ..operators import cohort, layout
 from . import oracles
 from .inputs import NAMES, Query, members, named_members, results, tidy
 
@@ -84,6 +84,8 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p10_evidence_faults": lambda s, d: tidy(cohort.evidence_faults(layout.evidence(s, d))),
+    "p10_evidenced_gate": lambda s, d: tidy(cohort.evidenced_gate(layout.evidence(s, d))),
     "c6_ledger_variants": ledgers,
     "c13_stage_audit": stage_audit,
     "c14_fixed_members": fixed_members,
@@ -111,9 +113,14 @@ def _ledger(kind: str) -> str:
 _ATTEMPTS = """WITH t AS (SELECT o_orderkey % 60 AS sample_id, (o_orderkey // 60) % 4 AS arm, o_orderkey AS attempt, CASE o_orderkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'EXACT_MISMATCH' ELSE 'ENCODE_FAILED' END AS status, o_orderkey % 3 = 0 AS crash FROM orders),
 l AS (SELECT sample_id, arm, count(*) AS n, bool_or(status = 'success') AS ok, bool_or(status = 'EXACT_MISMATCH') AS bad, arg_max(status = 'ENCODE_FAILED' AND crash, attempt) AS last_crash FROM t GROUP BY 1, 2)
 """
+_DOORS = """WITH g AS (SELECT o_orderkey % 37 AS release, o_orderkey % 4 AS n, min(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+e AS (SELECT release, n, ['data', 'code', 'environment', 'preregistration'][n + 1] AS door, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 17 = 0 THEN 'evidence' WHEN k % 13 = 0 THEN 'digest' WHEN k % 11 = 0 THEN 'mismatch' END AS fault, k % 5 <> 0 AS passed FROM g)
+"""
 _SIZES = "SELECT arm, CAST(sum(total_bytes) AS BIGINT) AS total FROM ok GROUP BY 1"
 
 ORACLE: dict[str, str] = {
+    "p10_evidence_faults": _DOORS + "SELECT CAST(release AS BIGINT) AS release, door, fault FROM e WHERE fault IS NOT NULL",
+    "p10_evidenced_gate": _DOORS + "SELECT CAST(release AS BIGINT) AS release, CASE WHEN count(*) FILTER (WHERE n = 0 AND passed AND fault IS NULL) = 0 THEN 'pending' WHEN count(*) FILTER (WHERE passed AND fault IS NULL) < 4 THEN 'blocked' ELSE 'passed' END AS status FROM e GROUP BY 1",
     "c6_ledger_variants": _NAMED + "SELECT kind, category, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT archive_id) AS archives FROM (" + " UNION ALL ".join(_ledger(k) for k in LEDGERS) + ") GROUP BY 1, 2",
     "c13_stage_audit": oracles.RESULTS + ", st AS (SELECT r.*, CASE WHEN arm IN ('L1', 'L2') THEN 'order' WHEN arm IN ('L3', 'L4') THEN 'context' ELSE 'bucket' END AS stage FROM r)"
     " SELECT stage, CAST((SELECT count(DISTINCT sample_id) FROM r) * CASE stage WHEN 'bucket' THEN 3 ELSE 2 END AS BIGINT) AS expected, count(*) FILTER (WHERE status = 'success') AS main, count(*) FILTER (WHERE status <> 'success' AND n_lines % 4 = 0) AS retried,"
