@@ -28,6 +28,10 @@ def _cell(c: str, step: Column) -> Column:
     return F.floor((F.col(c) - F.col(f"{c}0")) / step).cast("bigint")
 
 
+#: Pairs of rows up to which all of them are compared, in one step.
+FEW_PAIRS = 20_000_000
+
+
 def causal_neighbours(spots: DataFrame, width: int = 6, per_cell: int = 16) -> DataFrame:
     """The ``width`` nearest earlier rows (squared Euclidean, ties to the smaller row), with d2.
 
@@ -37,10 +41,16 @@ def causal_neighbours(spots: DataFrame, width: int = 6, per_cell: int = 16) -> D
     hold enough rows, all nearer than the border of the nine, they are the nearest;
     rows that this does not settle try again with cells three times as wide, until
     the nine hold all there is. Of rows at one place only the first ``width`` can be
-    neighbours of any, so places that many rows share cost no more.
+    neighbours of any, so places that many rows share cost no more. Where there are
+    no more than FEW_PAIRS pairs in all, each row is compared with all before it.
     """
     if width < 1:
         return spots.select("sample_id", "i", F.lit(1).alias("r"), F.col("i").alias("j"), F.lit(0.0).alias("d2")).where(F.lit(False))
+    pairs = spots.groupBy("sample_id").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0.0
+    if pairs <= FEW_PAIRS:
+        a, b = (spots.select("sample_id", F.col("i").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for n in ("i", "j"))
+        d2 = (F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))
+        return _top(a.join(b, "sample_id").where("j < i").select("sample_id", "i", "j", d2.alias("d2")), width).select("sample_id", "i", "r", "j", "d2")
     # A row of this table is 50 bytes, and samples are few against rows.
     box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("i").alias("last"))
     placed = spots.select("sample_id", "i", "x", "y").join(box, "sample_id")

@@ -21,8 +21,12 @@ from . import support, values
 
 
 class Study:
-    def __init__(self, m: CountMatrix, graph: DataFrame | None = None, width: int = 6, widths: tuple[int, ...] = ()):
-        """graph: of at least ``width`` neighbours, and as many as ``widths`` ask for; the nearest earlier rows by default."""
+    def __init__(self, m: CountMatrix, graph: DataFrame | None = None, width: int = 6, widths: tuple[int, ...] = (), once: bool = False):
+        """graph: of at least ``width`` neighbours, and as many as ``widths`` ask for; the nearest earlier rows by default.
+
+        once: cells are asked for by one aggregate only, so they need not be written.
+        """
+        self.once = once
         self.width, self.widths = width, tuple(sorted({width, *widths}))
         self.m = CountMatrix(m.counts, materialise(m.spots, "spots"), materialise(m.genes, "genes"))
         self.graph = materialise(graph if graph is not None else graphs.causal_neighbours(self.m.spots, max(self.widths)), "graph")
@@ -46,7 +50,8 @@ class Study:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return materialise(support.neighbour_cells(self.m, self.graph, self.widths), "cells")
+        cells = support.neighbour_cells(self.m, self.graph, self.widths)
+        return cells if self.once else materialise(cells, "cells")
 
     @cached_property
     def _marginals(self) -> DataFrame:

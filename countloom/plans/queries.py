@@ -225,11 +225,11 @@ QUERIES: dict[str, Query] = {
     # support
     "j5_neighbour_support": _graph(support.neighbour_support, "count"),
     "a1_gene_marginals": _matrix(lambda m: support.gene_marginals(m).select("sample_id", "g", "ones", "q0", "b"), "count"),
-    "a2_gene_contexts": _study(lambda st: support.gene_context_table(st.m, st.graph, st.late()), "count"),
-    "a8_sufficient_statistics": _study(lambda st: support.sufficient_statistics(st.marginals(), st.late()), "count"),
-    "m1_support_odds": _study(lambda st: st.support_odds(), "count"),
-    "m2_support_cdf": _study(lambda st: support.support_cdf(st.marginals(), st.support_odds()), "count"),
-    "m7_support_bits": _study(lambda st: _by_sample(st.support_bits()), "count"),
+    "a2_gene_contexts": _study(lambda st: support.gene_context_table(st.m, st.graph, st.late()), "count", once=True),
+    "a8_sufficient_statistics": _study(lambda st: support.sufficient_statistics(st.marginals(), st.late()), "count", once=True),
+    "m1_support_odds": _study(lambda st: st.support_odds(), "count", once=True),
+    "m2_support_cdf": _study(lambda st: support.support_cdf(st.marginals(), st.support_odds()), "count", once=True),
+    "m7_support_bits": _study(lambda st: _by_sample(st.support_bits()), "count", once=True),
     # values
     "a3_value_profiles": _matrix(lambda m: values.profiles(m)),
     "a3_value_histograms": _matrix(values.histograms),
@@ -238,20 +238,20 @@ QUERIES: dict[str, Query] = {
     "w2_quantised_tails": _matrix(lambda m: values.base_tail(m, values.profiles(m))),
     "w3_cumulative": _matrix(lambda m: values.cumulative(values.base_tail(m, values.profiles(m)), ["sample_id", "b"])),
     "j6_neighbour_sums": _graph(values.neighbour_sums),
-    "j7_cell_gene_lookup": _study(lambda st: st.events()),
-    "a9_value_statistics": _study(lambda st: values.value_statistics(st.events())),
-    "a9_tail_statistics": _study(lambda st: values.tail_statistics(st.events())),
-    "m1_value_odds": _study(lambda st: st.value_odds()),
+    "j7_cell_gene_lookup": _study(lambda st: st.events(), once=True),
+    "a9_value_statistics": _study(lambda st: values.value_statistics(st.events()), once=True),
+    "a9_tail_statistics": _study(lambda st: values.tail_statistics(st.events()), once=True),
+    "m1_value_odds": _study(lambda st: st.value_odds(), once=True),
     "a10_centres": _matrix(lambda m: values.centres(values.profiles(m))),
-    "m4_tail_tables": _study(lambda st: st.tails()),
-    "m2_value_cdf": _study(lambda st: values.context_cdf(values.centres(st.profiles()), st.value_odds())),
-    "a11_exception_bound": _study(lambda st: st.exceptions()),
-    "m7_value_bits": _study(lambda st: st.value_bits().groupBy("sample_id").agg(F.sum("singleton_bits").alias("singleton_bits"), F.sum("magnitude_bits").alias("magnitude_bits"), F.sum("raw_bits").alias("raw_bits"))),
+    "m4_tail_tables": _study(lambda st: st.tails(), once=True),
+    "m2_value_cdf": _study(lambda st: values.context_cdf(values.centres(st.profiles()), st.value_odds()), once=True),
+    "a11_exception_bound": _study(lambda st: st.exceptions(), once=True),
+    "m7_value_bits": _study(lambda st: st.value_bits().groupBy("sample_id").agg(F.sum("singleton_bits").alias("singleton_bits"), F.sum("magnitude_bits").alias("magnitude_bits"), F.sum("raw_bits").alias("raw_bits")), once=True),
     "a23_group_diagnostics": _matrix(lambda m: values.profiles(m, 32).groupBy("sample_id", "grp").agg(F.count("*").alias("genes"), F.sum("n").alias("events"))),
     "a24_sample_profile": _matrix(layout.sample_profile),
     "m10_code_length_k32": flagship,
     "m15_context_arms": _study(context_arms),
-    "m16_bucket_arms": _study(bucket_arms),
+    "m16_bucket_arms": _study(bucket_arms, once=True),
     "m16_joint_arms": _study(joint_arms, width=8, widths=(4, 6)),
     "j2_width_arms": _study(width_arms, width=16, widths=(2, 4, 6, 8, 12)),
     "m19_module_arms": _study(module_arms),
@@ -262,7 +262,7 @@ QUERIES: dict[str, Query] = {
     "m18_order_arms": order_arms,
     "m18_seeded_order_arms": seeded_order_arms,
     "m20_shuffled_groups": shuffled_groups,
-    "m12_exceptions": _study(lambda st: st.exceptions().groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes"))),
+    "m12_exceptions": _study(lambda st: st.exceptions().groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes")), once=True),
     "m12_code_length": _study(lambda st: st.total_bits(8, exceptions=True)),
     "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"), (1, 2, 4, 8, 16, 32))),
     "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),

@@ -71,8 +71,10 @@ def test_odds_to_q_is_exact(spark):
         assert row["p"] == min(4095, max(1, (4096 * num + den // 2) // den))
 
 
-@pytest.mark.parametrize("width", [0, 1, 2, 6, 12])
-def test_neighbours_against_brute_force(spark, width):
+@pytest.mark.parametrize("few", [0, 20_000_000], ids=["grid", "all pairs"])
+@pytest.mark.parametrize("width", [0, 1, 6, 12])
+def test_neighbours_against_brute_force(spark, monkeypatch, width, few):
+    monkeypatch.setattr(graph, "FEW_PAIRS", few)
     rng = np.random.default_rng(width)
     xy = rng.integers(0, 12, (120, 2)).astype(float)  # many ties
     m = build(spark, np.eye(120, 2, dtype=np.int64), xy)
@@ -86,8 +88,9 @@ def test_neighbours_against_brute_force(spark, width):
     assert graph.graph_faults(graph.causal_neighbours(m.spots, width), m.spots, width).count() == 0
 
 
-def test_neighbours_where_many_rows_share_a_place(spark):
+def test_neighbours_where_many_rows_share_a_place(spark, monkeypatch):
     """Places with hundreds of rows, far-off rows and rows in a line: all settled by few candidates."""
+    monkeypatch.setattr(graph, "FEW_PAIRS", 0)
     rng = np.random.default_rng(4)
     xy = np.concatenate([np.full((150, 2), 3.0), rng.normal(size=(100, 2)) * 1e-3, rng.normal(size=(60, 2)) * 1e4, np.stack([np.arange(50.0), np.zeros(50)], 1)])[rng.permutation(360)]
     m = build(spark, np.eye(360, 2, dtype=np.int64), xy)
