@@ -46,7 +46,7 @@ def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, frequent), one row per document row."""
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), digest().alias("digest")), "digests")
-    winners = materialise(frequent(rows, support), "winners")
+    winners = materialise(frequent(rows, support).coalesce(1), "winners")
     # At most 1 / support rows, as many as the summary has room for.
     met = rows.join(F.broadcast(winners), "digest", "left")
     heavy = met.where("n is not null").withColumn("frequent", F.lit(True))

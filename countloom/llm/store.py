@@ -10,13 +10,15 @@ from ..sources.shared import discard, fresh_path, materialise, shared_dir
 
 __all__ = ["attempt_name", "discard", "fresh_path", "materialise", "open_fs", "read_bytes", "shared_dir", "small_batches", "write_bytes"]
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH, _ROWS = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bounds the bytes of the Arrow batches that go to Python workers, where texts may be long. A lower bound that is set stays."""
+def small_batches(spark: SparkSession, mb: int = 8, rows: int = 512) -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers and the rows of a reader's batch, where texts may be long. A lower bound that is set stays."""
     if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > mb << 20:
         spark.conf.set(_BATCH, str(mb << 20))
+    if int(spark.conf.get(_ROWS)) > rows:
+        spark.conf.set(_ROWS, str(rows))
 
 
 def open_fs(uri: str):
