@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources import archive
-from ..sources.matrix import CountMatrix, few, from_compressed, to_compressed
+from ..sources.matrix import CountMatrix, few, from_compressed, row_pointers, to_compressed
+from .scan import scan
 
 
 def compressed_parts(m: CountMatrix, by_row: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def content_addressed(rows: DataFrame) -> DataFrame:
 
 def broken_pointers(m: CountMatrix) -> DataFrame:
     """Row pointers, every seventh pulled down: something to find."""
-    p = to_compressed(m.counts, m.spots).select("sample_id", "i", F.col("ptr_lo").alias("ptr"))
+    p = row_pointers(m.counts, m.spots).select("sample_id", "i", F.col("ptr_lo").alias("ptr"))
     return p.withColumn("ptr", F.when((F.col("i") % 7 == 0) & (F.col("i") > 0), F.col("ptr") - 1000).otherwise(F.col("ptr")))
 
 
@@ -155,14 +156,13 @@ def ungap(g: DataFrame) -> DataFrame:
 def rank_labels(prof: DataFrame, k: int) -> DataFrame:
     """floor(rank * k / genes) in order of rate, then gene."""
     rate = F.when(F.col("n") > 0, F.col("a") / F.col("n")).otherwise(0.0)
-    w = W.partitionBy("sample_id")
-    rank = F.row_number().over(w.orderBy(rate, "g")) - 1
-    return prof.select("sample_id", "g", F.floor(rank * k / F.count("*").over(w)).alias("label"))
+    rated = scan(prof.select("sample_id", rate.alias("rate"), "g"), ["sample_id"], ["rate", "g"], rank="place", size="genes")
+    return rated.select("sample_id", "g", F.floor(F.col("place") * k / F.col("genes")).alias("label"))
 
 
 def canonical_order(m: CountMatrix) -> DataFrame:
     """(sample_id, place, i): rows by x, y, label, number."""
-    return m.spots.select("sample_id", (F.row_number().over(W.partitionBy("sample_id").orderBy("x", "y", "spot_id", "i")) - 1).alias("place"), "i")
+    return scan(m.spots.select("sample_id", "x", "y", "spot_id", "i"), ["sample_id"], ["x", "y", "spot_id", "i"], rank="place").select("sample_id", "place", "i")
 
 
 def permutation(rows: DataFrame, seed: int, most: int = 2_000_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import Q12, clamp_q, div, half_up, magnitude, odds_to_q, tail_group, value_context
 from ..sources.matrix import CountMatrix, few
+from .scan import scan
 from .support import bits, fit_odds
 
 BINS = 32
@@ -163,6 +164,6 @@ def mean_sort(m: CountMatrix) -> DataFrame:
     n = m.spots.groupBy("sample_id").agg(F.count("*").alias("n"))
     s = m.counts.groupBy("sample_id", "g").agg(F.sum("v").alias("s"))
     all_ = m.genes.select("g").join(few(n)).join(s, ["sample_id", "g"], "left").na.fill(0, ["s"])
-    return all_.withColumn("place", F.row_number().over(W.partitionBy("sample_id").orderBy("s", "g")) - 1).select("sample_id", "g", "place")
+    return scan(all_.select("sample_id", "s", "g"), ["sample_id"], ["s", "g"], rank="place").select("sample_id", "g", "place")
 
 

@@ -269,7 +269,7 @@ QUERIES: dict[str, Query] = {
     "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
     "c8_comparators": lambda s, d: tidy(layout.comparators(from_tables(s, d))),
     # layout and order
-    "w4_row_pointers": _matrix(lambda m: matrix.to_compressed(m.counts, m.spots).select("sample_id", "i", "ptr_lo", "ptr_hi")),
+    "w4_row_pointers": _matrix(lambda m: matrix.row_pointers(m.counts, m.spots)),
     "w5_gaps": _matrix(lambda m: layout.gaps(m.counts)),
     "w5_gaps_decoded": _matrix(lambda m: layout.ungap(layout.gaps(m.counts))),
     "w6_rank_labels": _matrix(lambda m: layout.rank_labels(values.profiles(m), 8)),

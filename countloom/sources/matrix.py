@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import U32
+from ..operators.scan import scan
 from .shared import materialise
 
 MAX_DIM, MAX_CELLS = 2_000_000, 500_000_000
@@ -96,19 +97,24 @@ def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", m
     return places.join(entries, [*within, "pos"]).select(*within, major, minor, "v")
 
 
+def row_pointers(counts: DataFrame, rows: DataFrame, major: str = "i") -> DataFrame:
+    """(sample_id, major, ptr_lo, ptr_hi): every row of ``rows``, empty ones too."""
+    per = counts.groupBy("sample_id", major).agg(F.count("*").alias("n"))
+    sized = rows.select("sample_id", major).join(per, ["sample_id", major], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return scan(sized, ["sample_id"], [major], sums={"ptr_hi": "n"}).select("sample_id", major, (F.col("ptr_hi") - F.col("n")).alias("ptr_lo"), "ptr_hi")
+
+
 def to_compressed(counts: DataFrame, rows: DataFrame, major: str = "i", minor: str = "g") -> DataFrame:
-    """(sample_id, major, ptr_lo, ptr_hi, minors array, values array): every row of ``rows``, empty ones too."""
-    per = counts.groupBy("sample_id", major).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(minor, "v"))).alias("e"))
-    all_ = rows.select("sample_id", major).join(per, ["sample_id", major], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    hi = F.sum("n").over(W.partitionBy("sample_id").orderBy(major))
-    return all_.select("sample_id", major, (hi - F.col("n")).alias("ptr_lo"), hi.alias("ptr_hi"), F.coalesce(F.col(f"e.{minor}"), F.array().cast("array<bigint>")).alias("minors"), F.coalesce(F.col("e.v"), F.array().cast("array<bigint>")).alias("vals"))
+    """(sample_id, major, ptr_lo, ptr_hi, minors array, values array): every row of ``rows``, empty ones too. Arrays meet pointers after the scan."""
+    per = counts.groupBy("sample_id", major).agg(F.array_sort(F.collect_list(F.struct(minor, "v"))).alias("e"))
+    none = F.array().cast("array<bigint>")
+    return row_pointers(counts, rows, major).join(per, ["sample_id", major], "left").select("sample_id", major, "ptr_lo", "ptr_hi", F.coalesce(F.col(f"e.{minor}"), none).alias("minors"), F.coalesce(F.col("e.v"), none).alias("vals"))
 
 
 def pointer_faults(pointers: DataFrame) -> DataFrame:
     """Rows whose pointer falls, and a first pointer that is not zero."""
-    w = W.partitionBy("sample_id").orderBy("i")
-    before = F.lag("ptr").over(w)
-    return pointers.withColumn("before", before).where(F.col("before").isNull() & (F.col("ptr") != 0) | (F.col("ptr") < F.col("before")))
+    x = scan(pointers, ["sample_id"], ["i"], rank="_at", lags={"before": "ptr"})
+    return x.where((F.col("_at") == 0) & (F.col("ptr") != 0) | (F.col("ptr") < F.col("before"))).drop("_at")
 
 
 def budget(matrix: CountMatrix) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,6 +85,19 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, [path])
 
 
+@contextmanager
+def scoped_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when the block ends, well or not. For work whose result is written elsewhere."""
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(own)
+    try:
+        yield
+    finally:
+        gone = [p for p in own if p not in before]
+        own[:] = [p for p in own if p in before]
+        _delete(spark, gone)
+
+
 def discard_all(spark: SparkSession) -> None:
     """Deletes all that this application has written here; results that are still to be read go with it."""
     _delete(spark, _written.pop(spark.sparkContext.applicationId, []))

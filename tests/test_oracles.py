@@ -9,8 +9,10 @@ import pyarrow as pa
 import pytest
 
 from countloom.plans import queries
+from jobs import catalog as jobs
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
+QUERIES, ORACLE = queries.QUERIES | jobs.QUERIES, queries.ORACLE | jobs.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +38,9 @@ def rows(table: pa.Table) -> list[tuple]:
     return sorted((tuple(fix(r[c]) for c in cols) for r in table.to_pylist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same(spark, duck, medium, name):
-    got, want = queries.QUERIES[name](spark, medium).toArrow(), duck.sql(queries.ORACLE[name]).to_arrow_table()
+    got, want = QUERIES[name](spark, medium).toArrow(), duck.sql(ORACLE[name]).to_arrow_table()
     assert {f.name: kind(f.type) for f in got.schema} == {f.name: kind(f.type) for f in want.schema}
     assert rows(got) == rows(want)
 
@@ -54,5 +56,5 @@ def test_same_over_many_partitions(spark, duck, medium, name):
 
 
 def test_every_twin_has_a_query():
-    assert set(queries.ORACLE) <= set(queries.QUERIES)
+    assert set(ORACLE) <= set(QUERIES)
     assert not glob.glob("countloom-*")
