@@ -10,11 +10,14 @@ Base kinds (leftmost, not overlapping, per kind): ``assign``, ``access``, ``hex`
 Added kinds: ``github`` and ``npm`` (30 base-62 characters, then their CRC-32 in
 six), ``jwt`` (three parts; the first decodes to a JSON object with "alg"),
 ``pem`` (a private key block whose base64 decodes to a DER sequence of its own
-length), ``slack``, ``stripe`` and ``google`` (fixed prefix and length).
+length), ``slack``, ``stripe`` and ``google`` (a fixed prefix and form; these tokens embed
+no checksum, so their form is all there is to test).
 
 A match never starts but at a keyword, and keywords of a kind never start at the
 same place, so trying keywords from left to right, each from the last match's
-end, gives what a search of the whole text gives.
+end, gives what a search of the whole text gives. No text takes more than linear
+time: a pattern's runs are bounded, or end before the next place where it could
+start, but for ``jwt``, whose failure rules out all starts in the same run.
 
 Defined cases: a null text is empty; an empty text has no spans and the digest
 of the empty string; repeated rows each get their row; an empty table gives no
@@ -57,6 +60,7 @@ PATTERNS = {
     "stripe": re.compile(r"[sr]k_live_[0-9A-Za-z]{16,}"),
     "google": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
 }
+PART = re.compile(r"[A-Za-z0-9_-]*")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = (*BASE, "github", "npm", "jwt", "pem", "slack", "stripe", "google")
 HEX_LEAST = 32
@@ -163,13 +167,32 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     found = [(a, b, "hex") for a, b in _hex_runs(text, raw)]
     for end, (n, kind) in _automaton().iter(low):
         start = end - n + 1
-        if start >= upto[kind] and (m := PATTERNS[kind].match(text, start)):
+        if start < upto[kind]:
+            continue
+        if kind == "jwt" and text.startswith("eyJ", start) and (dead := _dead_end(text, start)):
+            upto[kind] = dead
+        elif m := PATTERNS[kind].match(text, start):
             upto[kind] = m.end()
             if kind not in CHECKS or CHECKS[kind](m):
                 found.append((start, m.end(), kind))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _dead_end(text: str, start: int) -> int:
+    """Where the run ends that makes all starts of a jwt in it fail, or 0 if a jwt starts here.
+
+    All starts in a run of its characters have the same first dot behind them, and what
+    follows that dot: so one failure is the failure of all.
+    """
+    first = PART.match(text, start).end()
+    if text[first : first + 1] != ".":
+        return first
+    second = PART.match(text, first + 1).end()
+    if second == first + 1:
+        return first
+    return 0 if text[second : second + 1] == "." else second
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
