@@ -4,7 +4,9 @@ Every window of an item (13 consecutive words, or the whole of a shorter item)
 is a set to be contained exactly, so its prefix is one word: its rarest. A
 document is looked up by its words among those prefixes only; a candidate must
 leave room for the words before and after (positional and length bounds), and is
-then compared word by word, first as hashes and at last as bytes.
+then compared as a whole, first by hash and at last as bytes. Windows that share a
+prefix word cost no more than the places that it has in them, so neither a
+common prefix nor a long text takes more memory or time than its words do.
 
 The index is made by tasks, in blocks of about ``block_words`` window words each, in
 the shared folder; the driver sees their names and sizes. A task keeps blocks of
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import attempt_name, fresh_path, read_bytes, write_bytes
-from .words import ALNUM, pieces, words
+from .words import ALNUM, mix, pieces, powers, words
 
 WINDOW = 13
 #: Bytes of blocks that a task keeps, and of texts that it holds against blocks it cannot keep.
 CACHE, CHUNK = 256 << 20, 32 << 20
+#: Places looked at in one step.
+STEP = 1 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -54,12 +58,14 @@ def _block(items: list[tuple[str | None, list[bytes]]], window: int) -> bytes:
     sizes = np.array([len(k) for k in keys], np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     rare = np.array([min(range(len(k)), key=lambda j: (seen[k[j]], -len(k[j]), k[j])) for k in keys], np.int64)
-    table = np.zeros((len(keys), window), np.uint64)
+    p, _ = powers(window)
+    total = np.zeros(len(keys), np.uint64)
     for d in range(window):
         has = sizes > d
-        table[has, d] = hashes[at[:-1][has] + d]
-    prefix = table[np.arange(len(keys)), rare] if len(keys) else np.empty(0, np.uint64)
-    order = np.argsort(prefix, kind="stable")
+        total[has] += hashes[at[:-1][has] + d] * p[d]
+    key = _finish(total, sizes)
+    places = np.unique(np.rec.fromarrays([hashes[at[:-1] + rare], rare, sizes], names="prefix,rare,long")) if len(keys) else np.rec.fromarrays([np.empty(0, np.uint64), rare, sizes], names="prefix,rare,long")
+    order = np.argsort(key, kind="stable")
     names = sorted({n for v in wins.values() for n in v})
     number = {n: i for i, n in enumerate(names)}
     members = [sorted(number[n] for n in wins[keys[i]]) for i in order]
@@ -67,12 +73,17 @@ def _block(items: list[tuple[str | None, list[bytes]]], window: int) -> bytes:
     named = [n.encode("utf-8", "surrogateescape") for n in names]
     out = io.BytesIO()
     np.savez(
-        out, prefix=prefix[order], table=table[order], size=sizes[order], rare=rare[order], **_strings("text", texts), **_strings("name", named),
+        out, prefix=places["prefix"], rare=places["rare"], long=places["long"], key=key[order], size=sizes[order], **_strings("text", texts), **_strings("name", named),
         members=np.array([m for x in members for m in x], np.int64), first=np.concatenate([[0], np.cumsum([len(x) for x in members])]).astype(np.int64),
     )
     return out.getvalue()
 
 
+def _finish(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Key of a stretch from the sum of its words' hashes by position, and its length."""
+    return mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _strings(name: str, values: list[bytes]) -> dict[str, np.ndarray]:
     return {name: np.frombuffer(b"".join(values), np.uint8), f"{name}_at": np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)}
 
@@ -130,28 +141,39 @@ def _load(uri: str) -> dict:
 
 
 def _occurrences(w, x: dict) -> tuple[np.ndarray, np.ndarray]:
-    """First words and window numbers of all occurrences of a block's windows."""
-    lo = np.searchsorted(x["prefix"], w.hash, "left")
-    hit = np.flatnonzero((lo < len(x["prefix"])) & (x["prefix"][np.minimum(lo, len(x["prefix"]) - 1)] == w.hash))
-    n = np.searchsorted(x["prefix"], w.hash[hit], "right") - lo[hit]
-    found_s, found_v = [], []
-    for a in range(0, len(hit), 1 << 16):
-        h, m = hit[a : a + (1 << 16)], n[a : a + (1 << 16)]
-        win = np.repeat(lo[h] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-        at = np.repeat(h, m)
-        s, size = at - x["rare"][win], x["size"][win]
-        row = w.row[at]
+    """First words and window numbers of all occurrences of a block's windows.
+
+    A prefix word stands for its places (position in the window, window's size), of
+    which there are at most window * (window + 1) / 2, however many windows share it. A place
+    leaves one stretch of the document, whose hash finds the windows it can be.
+    """
+    lo, hi = np.searchsorted(x["prefix"], w.hash, "left"), np.searchsorted(x["prefix"], w.hash, "right")
+    hit = np.flatnonzero(hi > lo)
+    n = (hi - lo)[hit]
+    upto = np.cumsum(n)
+    p, q = powers(len(w.hash) + 1)
+    sums = np.zeros(len(w.hash) + 1, np.uint64)
+    np.cumsum(w.hash * p[: len(w.hash)], out=sums[1:])
+    found_s, found_v, a = [], [], 0
+    while a < len(hit):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, "right")))
+        m = n[a:b]
+        place = np.repeat(lo[hit[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        at = np.repeat(hit[a:b], m)
+        s, size, row = at - x["rare"][place], x["long"][place], w.row[at]
         ok = (s >= w.first[row]) & (s + size <= w.first[row + 1])
-        s, win, size = s[ok], win[ok], size[ok]
-        for d in range(x["table"].shape[1]):
-            inside = size > d
-            ok = ~inside | (w.hash[np.minimum(s + d, len(w.hash) - 1)] == x["table"][win, d])
-            s, win, size = s[ok], win[ok], size[ok]
-        text, at = x["text"], x["text_at"]
-        same = [b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(p, p + k)) == text[at[v] : at[v + 1]].tobytes() for p, k, v in zip(s, size, win, strict=True)]
+        s, size = s[ok], size[ok]
+        key = _finish((sums[s + size] - sums[s]) * q[s], size)
+        first, last = np.searchsorted(x["key"], key, "left"), np.searchsorted(x["key"], key, "right")
+        # Windows of a block differ, so more than one of a key is a clash of hashes.
+        m = last - first
+        s, win = np.repeat(s, m), np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        text, ends = x["text"], x["text_at"]
+        same = [b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(i, i + k)) == text[ends[v] : ends[v + 1]].tobytes() for i, k, v in zip(s, x["size"][win], win, strict=True)]
         same = np.array(same, bool)
         found_s.append(s[same])
         found_v.append(win[same])
+        a = b
     return (np.concatenate(found_s), np.concatenate(found_v)) if found_s else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 

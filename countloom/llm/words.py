@@ -52,7 +52,7 @@ _PINV = pow(_P, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if len(_tables.get("p", ())) < n:
         m = max(n, _CHUNK * 2)
@@ -106,7 +106,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, "right")))
         s0, e1 = int(start[i]), int(end[j - 1])
-        p, q = _powers(e1 - s0 + 1)
+        p, q = powers(e1 - s0 + 1)
         c = np.zeros(e1 - s0 + 1, np.uint64)
         np.cumsum(_BYTE[data[s0:e1]] * p[: e1 - s0], out=c[1:])
         out[i:j] = (c[end[i:j] - s0] - c[start[i:j] - s0]) * q[start[i:j] - s0]
