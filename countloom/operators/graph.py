@@ -5,13 +5,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.matrix import few
 from ..sources.shared import materialise
 from .layout import permutation
+from .scan import scan
 
 
 def _top(pairs: DataFrame, width: int) -> DataFrame:
@@ -20,69 +25,152 @@ def _top(pairs: DataFrame, width: int) -> DataFrame:
 
 
 def _epoch(row: Column) -> Column:
-    """floor(log4(row)), 0 for row 0; by binary digits, so exact."""
-    return F.floor((F.length(F.bin(F.greatest(row, F.lit(1)))) - 1) / 2).cast("int")
+    """floor(log4(row)) by binary digits, so exact; EPOCH at least."""
+    return F.greatest(F.floor((F.length(F.bin(F.greatest(row, F.lit(1)))) - 1) / 2), F.lit(EPOCH)).cast("int")
+
+
+def _spread(v: Column) -> Column:
+    """The 31 bits of a number at every second place."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
 
 
-def _cell(c: str, step: Column) -> Column:
-    return F.floor((F.col(c) - F.col(f"{c}0")) / step).cast("bigint")
+def morton(x: Column, y: Column) -> Column:
+    """Code of a place whose coordinates are scaled to 0..1."""
+    whole = lambda c: F.floor(c * F.lit(float((1 << 31) - 1))).cast("bigint")
+    return _spread(whole(x)).bitwiseOR(F.shiftleft(_spread(whole(y)), 1))
 
 
-#: Pairs of rows up to which all of them are compared, in one step.
-FEW_PAIRS = 20_000_000
+#: Rows of a tile; half are candidates, half ask. Rows before 4 ** (EPOCH + 1) make one tile.
+TILE, EPOCH = 2048, 4
+#: A tile's box is 56 bytes, and those of a sample and epoch go along with a tile.
+MOST_TILES = 1 << 16
+#: Tiles that share a copy of the boxes.
+SHARE = 64
 
 
-def causal_neighbours(spots: DataFrame, width: int = 6, per_cell: int = 16) -> DataFrame:
-    """The ``width`` nearest earlier rows (squared Euclidean, ties to the smaller row), with d2.
+def _tiles(spots: DataFrame, width: int, tile: int) -> DataFrame:
+    """(sample_id, e, tile, rows, x0, x1, y0, y1, least, enough): runs of ``tile`` rows along a Morton curve.
 
-    A row in 4**e .. 4**(e + 1) - 1 looks among the rows before 4**(e + 1), in a grid with
-    about ``per_cell`` of these to a cell, so early rows meet no more rows than late
-    ones. It is joined, by equality of cells, to the nine cells around it. Where these
-    hold enough rows, all nearer than the border of the nine, they are the nearest;
-    rows that this does not settle try again with cells three times as wide, until
-    the nine hold all there is. Of rows at one place only the first ``width`` can be
-    neighbours of any, so places that many rows share cost no more. Where there are
-    no more than FEW_PAIRS pairs in all, each row is compared with all before it.
+    rows: struct<asks, i, x, y>; the box and the rest are of its candidates: the least row, and
+    the ``width``-th one.
+    """
+    box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("i").alias("last"))
+    at = lambda c, side: F.when(F.col(side) > 0, (F.col(c) - F.col(f"{c}0")) / F.col(side)).otherwise(0.0)
+    placed = spots.select("sample_id", "i", "x", "y").join(few(box), "sample_id").withColumn("code", morton(at("x", "w"), at("y", "h")))
+    # The first rows of a place are found on the map side before they are shuffled (a group limit).
+    first = F.row_number().over(W.partitionBy("sample_id", "x", "y").orderBy("i"))
+    seen = placed.withColumn("_first", first).where(F.col("_first") <= width).withColumn("e", F.explode(F.sequence(_epoch(F.col("i")), _epoch(F.col("last")))))
+    both = seen.select("sample_id", "e", "code", "x", "y", "i", F.lit(False).alias("asks")).unionByName(placed.where("i > 0").select("sample_id", _epoch(F.col("i")).alias("e"), "code", "x", "y", "i", F.lit(True).alias("asks")))
+    ranked = scan(both, ["sample_id", "e"], ["code", "x", "y", "i", "asks"], rank="at").withColumn("tile", F.floor(F.col("at") / tile))
+    own = lambda c: F.when(~F.col("asks"), F.col(c))
+    out = ranked.groupBy("sample_id", "e", "tile").agg(
+        F.collect_list(F.struct("asks", "i", "x", "y")).alias("rows"), F.min(own("x")).alias("x0"), F.max(own("x")).alias("x1"), F.min(own("y")).alias("y0"), F.max(own("y")).alias("y1"), F.min(own("i")).alias("least")
+    )
+    inside = F.array_sort(F.transform(F.filter("rows", lambda r: ~r["asks"]), lambda r: r["i"]))
+    return out.withColumn("enough", F.try_element_at(inside, F.lit(width)))
+
+
+def _columns(rows: pa.Array, *names: str) -> list[np.ndarray]:
+    flat = rows.flatten()
+    return [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _squares(qx: np.ndarray, qy: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    dx, dy = qx[:, None] - x, qy[:, None] - y
+    return dx * dx + dy * dy
+
+
+def _bounds(ask: tuple[np.ndarray, ...], have: tuple[np.ndarray, ...], boxes: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """A squared distance for each asking row within which its nearest ones are."""
+    qi, qx, qy = ask
+    out = np.full(len(qi), np.inf)
+    if len(have[0]) >= width:
+        d = _squares(qx, qy, have[1], have[2])
+        d[have[0] >= qi[:, None]] = np.inf
+        out = np.partition(d, width - 1, axis=1)[:, width - 1]
+    _, x0, x1, y0, y1, _, enough = boxes
+    far = np.flatnonzero(np.isinf(out))
+    if len(far):
+        # A box with enough earlier rows has them no farther off than its farthest corner.
+        dx, dy = (np.maximum(np.abs(q[far, None] - lo), np.abs(q[far, None] - hi)) for q, lo, hi in ((qx, x0, x1), (qy, y0, y1)))
+        corner = np.where(enough < qi[far, None], (dx * dx + dy * dy) * (1 + 1e-9), np.inf)
+        out[far] = corner.min(1, initial=np.inf)
+    return out
+
+
+def _routes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each tile and each box that its asking rows may have neighbours in: those rows, with their bounds."""
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1)
+            asks, i, x, y = _columns(row.column("rows"), "asks", "i", "x", "y")
+            asks = asks.astype(bool)
+            ask = qi, qx, qy = i[asks], x[asks], y[asks]
+            if not len(qi):
+                continue
+            boxes = _columns(row.column("boxes"), "tile", "x0", "x1", "y0", "y1", "least", "enough")
+            boxes[-1] = np.nan_to_num(boxes[-1].astype(np.float64), nan=np.inf)
+            bound = _bounds(ask, (i[~asks], x[~asks], y[~asks]), boxes, width)
+            number, x0, x1, y0, y1, least, _ = boxes
+            dx, dy = (np.maximum(0.0, np.maximum(lo - q[:, None], q[:, None] - hi)) for q, lo, hi in ((qx, x0, x1), (qy, y0, y1)))
+            # A margin keeps rounding on the safe side.
+            near = ((dx * dx + dy * dy) * (1 - 1e-9) <= bound[:, None]) & (least < qi[:, None])
+            to = np.flatnonzero(near.any(0))
+            who = [np.flatnonzero(near[:, t]) for t in to]
+            if len(to):
+                flat, ends = np.concatenate(who), np.cumsum([0, *map(len, who)])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[flat])) for v in (qi, qx, qy, bound)]
+                same = [pa.concat_arrays([row.column(c)] * len(to)) for c in ("sample_id", "e")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(number[to]), *lists], ["sample_id", "e", "tile", "qi", "qx", "qy", "bound"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(sample_id, i, j, d2): of each asking row, a tile's candidates within its bound, the nearest ``width`` at most."""
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1)
+            asks, i, x, y = _columns(row.column("rows"), "asks", "i", "x", "y")
+            mine = ~asks.astype(bool)
+            j, x, y = i[mine], x[mine], y[mine]
+            qi, qx, qy, bound = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("qi", "qx", "qy", "bound"))
+            d = _squares(qx, qy, x, y)
+            q, c = np.nonzero((d <= bound[:, None]) & (j < qi[:, None]))
+            order = np.lexsort((j[c], d[q, c], q))
+            q, c = q[order], c[order]
+            starts = np.searchsorted(q, np.arange(len(qi)))
+            kept = np.arange(len(q)) - starts[q] < width
+            q, c = q[kept], c[kept]
+            sample = pa.concat_arrays([row.column("sample_id")]).take(pa.array(np.zeros(len(q), np.int64)))
+            yield pa.RecordBatch.from_arrays([sample, pa.array(qi[q]), pa.array(j[c]), pa.array(d[q, c])], ["sample_id", "i", "j", "d2"])
+
+
+def causal_neighbours(spots: DataFrame, width: int = 6, tile: int = TILE) -> DataFrame:
+    """The ``width`` nearest earlier rows (squared Euclidean, ties to the smaller row), with d2. Coordinates are finite.
+
+    A row in 4**e .. 4**(e + 1) - 1 looks among the rows before 4**(e + 1), so early rows
+    meet no more rows than late ones. The rows of a sample and epoch, ordered along a
+    Morton curve, are cut into tiles of as many rows each: a crowded region is many small
+    tiles, an empty one is part of a large one. What a row finds in its own tile
+    bounds how far its neighbours can be (or the nearest box that has enough earlier rows
+    does); it is then sent to the tiles whose boxes lie within that bound, and only to these.
+    Of rows at one place only the first ``width`` can be neighbours of any. One plan
+    serves all sizes; no task holds more than two tiles and the boxes of a sample.
     """
     if width < 1:
         return spots.select("sample_id", "i", F.lit(1).alias("r"), F.col("i").alias("j"), F.lit(0.0).alias("d2")).where(F.lit(False))
-    pairs = spots.groupBy("sample_id").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0.0
-    if pairs <= FEW_PAIRS:
-        a, b = (spots.select("sample_id", F.col("i").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for n in ("i", "j"))
-        d2 = (F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))
-        return _top(a.join(b, "sample_id").where("j < i").select("sample_id", "i", "j", d2.alias("d2")), width).select("sample_id", "i", "r", "j", "d2")
-    # A row of this table is 50 bytes, and samples are few against rows.
-    box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("i").alias("last"))
-    placed = spots.select("sample_id", "i", "x", "y").join(box, "sample_id")
-    few = F.lit(float(per_cell)) / F.least(F.pow(F.lit(4.0), F.col("e") + 1), F.col("last") + 1.0)
-    step = F.greatest(F.sqrt(F.col("w") * F.col("h") * few), F.greatest("w", "h") * few, F.lit(1e-300))
-    first = F.row_number().over(W.partitionBy("sample_id", "x", "y").orderBy("i")) <= width
-    seen = placed.withColumn("_first", first).where("_first").withColumn("e", F.explode(F.sequence(_epoch(F.col("i")), _epoch(F.col("last"))))).withColumn("step", step)
-    seen = materialise(seen.select("sample_id", "e", "step", F.col("i").alias("j"), "x", "y", "x0", "y0"), "seen")
-    todo = placed.where("i > 0").withColumn("e", _epoch(F.col("i"))).withColumn("step", step)
-    out, wide = None, 1.0
-    while True:
-        s = F.col("step") * wide
-        b = seen.select("sample_id", "e", _cell("x", s).alias("cx"), _cell("y", s).alias("cy"), "j", F.col("x").alias("bx"), F.col("y").alias("by"))
-        own = todo.withColumn("cx", _cell("x", s)).withColumn("cy", _cell("y", s))
-        border = []
-        for c, side in (("x", "w"), ("y", "h")):
-            # Beyond the box there is nothing, so a border out there does not count.
-            low, high = F.col(f"{c}0") + (F.col(f"c{c}") - 1) * s, F.col(f"{c}0") + (F.col(f"c{c}") + 2) * s
-            border += [F.when(low > F.col(f"{c}0"), F.col(c) - low).otherwise(float("inf")), F.when(high <= F.col(f"{c}0") + F.col(side), high - F.col(c)).otherwise(float("inf"))]
-        around = F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-        asks = own.select("sample_id", "i", "x", "y", "e", F.least(*border).alias("edge"), F.explode(around).alias("c")).select("sample_id", "i", "x", "y", "e", "edge", "c.cx", "c.cy")
-        d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-        near = materialise(_top(asks.join(b, ["sample_id", "e", "cx", "cy"]).where("j < i").select("sample_id", "i", "j", "edge", d2.alias("d2")), width), "near")
-        # A margin keeps rounding of cell borders on the safe side.
-        full = F.col("edge") == float("inf")
-        sure = near.groupBy("sample_id", "i").agg(F.count("*").alias("k"), F.max("d2").alias("most"), F.first("edge").alias("edge")).where(full | (F.col("k") == width) & (F.col("most") < F.col("edge") * F.col("edge") * 0.999999) & (F.col("edge") > 0)).select("sample_id", "i")
-        good = near.join(sure, ["sample_id", "i"], "left_semi").select("sample_id", "i", "r", "j", "d2")
-        out = good if out is None else out.unionByName(good)
-        rest = materialise(todo.join(sure, ["sample_id", "i"], "left_anti"), "todo")
-        if rest.isEmpty():
-            return out
-        todo, wide = rest, wide * 3
+    tiles = materialise(_tiles(spots.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double")), width, tile), "tiles")
+    key = ["sample_id", "e", "block"]
+    block = F.floor(F.col("tile") / SHARE)
+    full = F.col("least").isNotNull()
+    boxes = tiles.groupBy("sample_id", "e").agg(F.collect_list(F.when(full, F.struct("tile", "x0", "x1", "y0", "y1", "least", "enough"))).alias("boxes"), F.max(block).alias("last"))
+    boxes = boxes.withColumn("boxes", F.when(F.size("boxes") > MOST_TILES, F.raise_error(F.lit("too many rows in one sample")).cast(boxes.schema["boxes"].dataType)).otherwise(F.col("boxes")))
+    asking = tiles.select("sample_id", "e", block.alias("block"), "rows").join(boxes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last"), key)
+    kind = spots.schema["sample_id"].dataType.simpleString()
+    routes = asking.mapInArrow(lambda it: _routes(it, width), f"sample_id {kind}, e int, tile bigint, qi array<bigint>, qx array<double>, qy array<double>, bound array<double>")
+    met = routes.join(tiles.select("sample_id", "e", "tile", "rows"), ["sample_id", "e", "tile"]).select("sample_id", "qi", "qx", "qy", "bound", "rows")
+    return _top(met.mapInArrow(lambda it: _nearest(it, width), f"sample_id {kind}, i bigint, j bigint, d2 double"), width).select("sample_id", "i", "r", "j", "d2")
 
 
 def previous_rows(spots: DataFrame, width: int = 6) -> DataFrame:

@@ -71,14 +71,14 @@ def test_odds_to_q_is_exact(spark):
         assert row["p"] == min(4095, max(1, (4096 * num + den // 2) // den))
 
 
-@pytest.mark.parametrize("few", [0, 20_000_000], ids=["grid", "all pairs"])
+@pytest.mark.parametrize("tile", [7, 64, graph.TILE])
 @pytest.mark.parametrize("width", [0, 1, 6, 12])
-def test_neighbours_against_brute_force(spark, monkeypatch, width, few):
-    monkeypatch.setattr(graph, "FEW_PAIRS", few)
+def test_neighbours_against_brute_force(spark, monkeypatch, width, tile):
+    monkeypatch.setattr(graph, "EPOCH", 1)
     rng = np.random.default_rng(width)
     xy = rng.integers(0, 12, (120, 2)).astype(float)  # many ties
     m = build(spark, np.eye(120, 2, dtype=np.int64), xy)
-    got = {(r["i"], r["r"]): r["j"] for r in graph.causal_neighbours(m.spots, width, per_cell=4).collect()}
+    got = {(r["i"], r["r"]): r["j"] for r in graph.causal_neighbours(m.spots, width, tile).collect()}
     want = {}
     for i in range(120):
         d = ((xy[:i] - xy[i]) ** 2).sum(1)
@@ -88,16 +88,53 @@ def test_neighbours_against_brute_force(spark, monkeypatch, width, few):
     assert graph.graph_faults(graph.causal_neighbours(m.spots, width), m.spots, width).count() == 0
 
 
-def test_neighbours_where_many_rows_share_a_place(spark, monkeypatch):
-    """Places with hundreds of rows, far-off rows and rows in a line: all settled by few candidates."""
-    monkeypatch.setattr(graph, "FEW_PAIRS", 0)
+def _layouts():
     rng = np.random.default_rng(4)
-    xy = np.concatenate([np.full((150, 2), 3.0), rng.normal(size=(100, 2)) * 1e-3, rng.normal(size=(60, 2)) * 1e4, np.stack([np.arange(50.0), np.zeros(50)], 1)])[rng.permutation(360)]
-    m = build(spark, np.eye(360, 2, dtype=np.int64), xy)
-    got = {(r["i"], r["r"]): r["j"] for r in graph.causal_neighbours(m.spots, 6).collect()}
-    for i in range(360):
+    grid = np.stack(np.meshgrid(np.arange(20.0), np.arange(18.0)), -1).reshape(-1, 2)
+    return {
+        # Places with hundreds of rows, far-off rows and rows in a line.
+        "mixed": np.concatenate([np.full((150, 2), 3.0), rng.normal(size=(100, 2)) * 1e-3, rng.normal(size=(60, 2)) * 1e4, np.stack([np.arange(50.0), np.zeros(50)], 1)])[rng.permutation(360)],
+        "one place": np.full((300, 2), -1.5), "line": np.stack([np.zeros(300), rng.random(300)], 1), "raster": grid, "raster backwards": grid[::-1], "far": np.concatenate([rng.random((300, 2)), [[1e12, -1e12]]]),
+        # Late rows are far from all early ones.
+        "apart": np.concatenate([rng.random((80, 2)), rng.random((240, 2)) + 1000]), "two": np.array([[0.0, 0.0], [1.0, 1.0]]), "one": np.array([[2.0, 2.0]]),
+    }
+
+
+@pytest.mark.parametrize("tile", [16, 100])
+def test_neighbours_of_odd_layouts(spark, monkeypatch, tile):
+    """All layouts as samples of one table, in small tiles."""
+    monkeypatch.setattr(graph, "EPOCH", 1)
+    layouts = _layouts()
+    rows = [(name, i, float(x), float(y)) for name, xy in layouts.items() for i, (x, y) in enumerate(xy)]
+    spots = spark.createDataFrame(rows, "sample_id string, i bigint, x double, y double").repartition(5)
+    got = {(r["sample_id"], r["i"], r["r"]): (r["j"], r["d2"]) for r in graph.causal_neighbours(spots, 6, tile).collect()}
+    n = 0
+    for name, xy in layouts.items():
+        for i in range(len(xy)):
+            d = ((xy[:i] - xy[i]) ** 2)[:, 0] + ((xy[:i] - xy[i]) ** 2)[:, 1]
+            want = np.lexsort((np.arange(i), d))[:6]
+            assert [got[name, i, r + 1] for r in range(min(i, 6))] == [(j, d[j]) for j in want.tolist()], (name, i)
+            n += len(want)
+    assert n == len(got)
+
+
+def test_crowded_tiles_are_split(spark):
+    """A third of all rows at one place, most others in a spot a millionth as wide as the sample: tiles stay small, and so do lists of tiles."""
+    rng = np.random.default_rng(9)
+    n = 60_000
+    xy = np.concatenate([np.full((n // 3, 2), 0.5), 0.5 + rng.normal(size=(n // 2, 2)) * 1e-6, rng.random((n - n // 3 - n // 2, 2))])[rng.permutation(n)]
+    spots = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample_id string, i bigint, x double, y double")
+    tiles = graph._tiles(spots, 6, graph.TILE)
+    sizes = tiles.select(F.size("rows").alias("n")).toPandas().n
+    assert sizes.max() <= graph.TILE and len(sizes) > 25
+    got = graph.causal_neighbours(spots, 6)
+    assert got.count() == sum(min(i, 6) for i in range(n))
+    some = {i: [] for i in range(100, n, 1999)}
+    for r in got.where(F.col("i").isin(list(some))).orderBy("i", "r").collect():
+        some[r["i"]].append(r["j"])
+    for i, js in some.items():
         d = ((xy[:i] - xy[i]) ** 2)[:, 0] + ((xy[:i] - xy[i]) ** 2)[:, 1]
-        assert [got[i, r + 1] for r in range(min(i, 6))] == np.lexsort((np.arange(i), d))[:6].tolist()
+        assert js == np.lexsort((np.arange(i), d))[:6].tolist()
 
 
 def test_sufficient_statistics_against_dense(spark):
