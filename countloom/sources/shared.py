@@ -30,14 +30,19 @@ def local(spark: SparkSession) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
+    """The folder that ``spark.checkpoint.dir`` names, as a URI: a path without a scheme is on Hadoop's default file system.
 
+    So tables, which Spark writes, and files, which tasks write, are in one place. A
+    folder of a local scheme is taken as it is, as it may be mounted on every machine.
     Where it is unset and Spark runs in one process, a folder of our own that goes
     with it; on a cluster that would be on one machine only, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+        # Hadoop writes a local path with one slash, others expect three.
+        return re.sub(r"^file:/+", "file:///", whole)
     if not local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
