@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,7 +28,8 @@ def open_fs(uri: str):
 
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    # Hadoop's names of one store.
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def attempt_name(shard: int) -> str:
