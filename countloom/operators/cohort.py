@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.matrix import few
 from ..sources.shared import materialise
+from .quantiles import quantiles
 
 STRATA = ("platform", "species", "organ")
 
@@ -45,14 +46,14 @@ def paired_summary(results: DataFrame, base: str) -> DataFrame:
     first = p.groupBy("arm").agg(
         F.count("*").alias("n"), F.sum("base_bytes").alias("base_total"), F.sum("bytes").alias("total"),
         F.count(F.when(F.col("delta") > 0, 1)).alias("wins"), F.count(F.when(F.col("delta") < 0, 1)).alias("losses"), F.count(F.when(F.col("delta") == 0, 1)).alias("ties"),
-        F.percentile("percent", 0.25).alias("q1"), F.percentile("percent", 0.5).alias("median"), F.percentile("percent", 0.75).alias("q3"), F.min("percent").alias("low"), F.max("percent").alias("high"),
+        F.min("percent").alias("low"), F.max("percent").alias("high"),
         F.min_by("sample_id", F.struct("delta", "sample_id")).alias("best"),
     )
     # An arm has one row in ``first``: leave-one-out subtracts a sample from its sums.
     without = p.select("arm", F.col("bytes").alias("x"), F.col("base_bytes").alias("y")).join(first.select("arm", "n", "base_total", "total"), "arm").where("n > 1")
     rest = F.lit(100.0) * ((F.col("total") - F.col("x")) - (F.col("base_total") - F.col("y"))) / (F.col("base_total") - F.col("y"))
     loo = without.groupBy("arm").agg(F.min(rest).alias("loo_low"), F.max(rest).alias("loo_high"))
-    return first.withColumn("pooled", F.lit(100.0) * (F.col("total") - F.col("base_total")) / F.col("base_total")).join(loo, "arm", "left")
+    return first.withColumn("pooled", F.lit(100.0) * (F.col("total") - F.col("base_total")) / F.col("base_total")).join(loo, "arm", "left").join(quantiles(p, ["arm"], "percent", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "arm", "left")
 
 
 def stratified(results: DataFrame, base: str) -> DataFrame:
@@ -73,17 +74,16 @@ def pooled_summary(results: DataFrame) -> DataFrame:
 
 def complete_summary(results: DataFrame) -> DataFrame:
     """With coverage: a mean and a median only say something next to how many of the expected runs there are."""
-    return results.groupBy("arm").agg(
-        F.count("*").alias("n_expected"), F.count(F.when(F.col("status") == "success", 1)).alias("n_success"), F.sum("total_bytes").alias("total"), F.percentile("total_bytes", 0.5).alias("median")
-    ).withColumn("complete", F.col("n_success") == F.col("n_expected"))
+    per = results.groupBy("arm").agg(F.count("*").alias("n_expected"), F.count(F.when(F.col("status") == "success", 1)).alias("n_success"), F.sum("total_bytes").alias("total"))
+    return per.join(quantiles(results, ["arm"], "total_bytes", {"median": 0.5}), "arm", "left").withColumn("complete", F.col("n_success") == F.col("n_expected"))
 
 
 def module_summary(results: DataFrame, base: str) -> DataFrame:
     """By arm: mean and median change against the base, how many samples grow, and the payload's share."""
     p = pairs(results, base)
-    change = p.groupBy("arm").agg(F.avg("percent").alias("mean_change"), F.percentile("percent", 0.5).alias("median_change"), F.count(F.when(F.col("delta") > 0, 1)).alias("n_increase"), F.min("percent").alias("least"), F.max("percent").alias("most"))
+    change = p.groupBy("arm").agg(F.avg("percent").alias("mean_change"), F.count(F.when(F.col("delta") > 0, 1)).alias("n_increase"), F.min("percent").alias("least"), F.max("percent").alias("most"))
     share = good(results).groupBy("arm").agg((F.sum("payload") / F.sum("total_bytes")).alias("payload_share"))
-    return share.join(change, "arm", "left")
+    return share.join(change, "arm", "left").join(quantiles(p, ["arm"], "percent", {"median_change": 0.5}), "arm", "left")
 
 
 def pivoted(results: DataFrame, arms: list[str]) -> DataFrame:

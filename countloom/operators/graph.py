@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.matrix import few
 from ..sources.shared import materialise
 from .layout import permutation
+from .quantiles import quantiles
 from .scan import scan
 
 
@@ -196,8 +197,9 @@ def graph_faults(graph: DataFrame, spots: DataFrame, width: int = 6) -> DataFram
 
 def edge_statistics(graph: DataFrame) -> DataFrame:
     """(sample_id, edges, mean, median and longest edge)."""
-    d = F.sqrt("d2")
-    return graph.groupBy("sample_id").agg(F.count("*").alias("edges"), F.round(F.avg(d), 6).alias("mean_edge"), F.round(F.percentile(d, 0.5), 6).alias("median_edge"), F.round(F.max(d), 6).alias("longest_edge"))
+    edges = graph.select("sample_id", F.sqrt("d2").alias("d"))
+    per = edges.groupBy("sample_id").agg(F.count("*").alias("edges"), F.round(F.avg("d"), 6).alias("mean_edge"), F.round(F.max("d"), 6).alias("longest_edge"))
+    return per.join(quantiles(edges, ["sample_id"], "d", {"median_edge": 0.5}), "sample_id").select("sample_id", "edges", "mean_edge", F.round("median_edge", 6).alias("median_edge"), "longest_edge")
 
 
 def neighbour_histogram(graph: DataFrame, spots: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 """Tables, blobs and streams."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countloom.functions import numbers
 from countloom.operators import graph, sharing
+from countloom.operators.quantiles import quantiles
 from countloom.sources import matrix, reader, shared, tables
 from countloom.streaming import coverage
 
@@ -132,12 +137,54 @@ def test_packed_integers(spark):
         assert bytes.fromhex(r["hex"]) == sharing.pack12(np.array(r["v"], np.int64)) and r["back"] == r["v"]
 
 
-def test_compensated_sum(spark):
-    from countloom.functions import numbers
-
-    values = [1.0] + [1e-16] * 10_000
-    got = spark.createDataFrame([(v,) for v in values], "v double").agg(numbers.compensated_sum(F.col("v")).alias("s")).first()["s"]
-    assert got == pytest.approx(1 + 1e-12, abs=2e-16)
+def _plain(values):
+    """What a plain sum says of infinities and NaNs, math.fsum of the rest, None without any."""
+    some = [v for v in values if v is not None]
+    odd = [v for v in some if not math.isfinite(v)]
+    if odd:
+        return sum(odd)
+    if not some:
+        return None
+    try:
+        return math.fsum(some)
+    except OverflowError:
+        return math.inf if sum(map(Fraction, some)) > 0 else -math.inf
+
+
+def test_exact_sum(spark):
+    """Cancellation, subnormals, the largest doubles, ties of rounding, signs, nulls, infinities: equal to the last bit, however rows are dealt."""
+    rng = np.random.default_rng(17)
+    inf, nan = math.inf, math.nan
+    groups = {
+        "cancel": [1e16, 1.0, -1e16, 1e-9, 3e300, -3e300] * 50 + [1e-300], "small": [5e-324, 2.2e-308, -1e-310, 2.0**-1022, 2.0**-960, 2.0**-961] * 3, "large": [1.7976931348623157e308, -1.7976931348623157e308, 1e292],
+        "beyond": [1.7976931348623157e308] * 3, "below": [-1.7976931348623157e308] * 3, "tie": [1.0, 2.0**-53], "over tie": [1.0, 2.0**-53, 2.0**-200], "powers": [2.0**k for k in range(-1074, 1023, 7)], "near": [np.nextafter(2.0**k, 0) for k in range(-1000, 1000, 37)],
+        "zero": [0.0, -0.0], "null": [None, None], "some": [None, 0.1, 0.2, None, 0.3], "inf": [inf, 1.0], "both": [inf, -inf], "nan": [nan, 1.0], "one": [-0.1],
+        "bits": rng.integers(0, 2**63, 600).view(np.float64)[np.isfinite(rng.integers(0, 2**63, 600).view(np.float64))].tolist(), "many": (rng.normal(size=20_000) * 10.0 ** rng.integers(-20, 20, 20_000)).tolist(),
+    }
+    groups["bits"] = [v for v in groups["bits"] if math.isfinite(v)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    same = lambda a, b: a is b is None or a is not None and b is not None and (a == b or a != a and b != b)
+    for parts in (1, 7):
+        got = {r["g"]: r["s"] for r in numbers.exact_sum(df.repartition(parts), ["g"], F.col("v"), "s").collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert same(got[g], _plain(vs)), (g, got[g], _plain(vs))
+    plan = numbers.exact_sum(df, ["g"], F.col("v"), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and numbers.exact_sum(df.where("false"), ["g"], F.col("v"), "s").count() == 0
+
+
+def test_quantiles(spark):
+    """Against NumPy: ties, a value that most rows share, one row, nulls, a null group."""
+    rng = np.random.default_rng(23)
+    groups = {"spread": rng.normal(size=3001).tolist(), "ties": rng.integers(0, 4, 1000).astype(float).tolist(), "hot": [0.0] * 2000 + rng.random(10).tolist(), "one": [4.5], "two": [1.0, 2.0], "signs": [-0.0, 0.0, -3.0], "none": [None], None: [1.0, 5.0, None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    ps = {"lo": 0.0, "q": 0.25, "m": 0.5, "t": 0.9, "hi": 1.0}
+    got = {r["g"]: r for r in quantiles(df, ["g"], "v", ps).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for g, r in got.items():
+        for name, p in ps.items():
+            assert r[name] == pytest.approx(np.quantile([v for v in groups[g] if v is not None], p), abs=1e-12)
+    assert quantiles(df.where("false"), ["g"], "v", ps).count() == 0
 
 
 @pytest.mark.parametrize("genes", [1, 7, 8, 9, 100])
