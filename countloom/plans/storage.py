@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import hashtree, layout, resume
 from ..sources import archive, matrix, reader, tables
 from ..sources.matrix import CountMatrix, few, from_tables
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, materialise
 from . import oracles
-from .inputs import Query, members, tidy
+from .inputs import Query, members, results, tidy
 
 
 def _matrix(f: Callable[[CountMatrix], DataFrame]) -> Query:
@@ -56,18 +56,19 @@ def broken_metadata(m: CountMatrix) -> DataFrame:
     return reader.metadata_faults(spots, genes, _shape(m))
 
 
-def bundles(spark: SparkSession, d: str) -> DataFrame:
-    """Each sample through a bundle on disk, in turn as compressed rows, compressed columns and dense rows."""
+def _store_bundles(spark: SparkSession, d: str, spots: Callable[[DataFrame], DataFrame] = lambda x: x) -> str:
+    """A folder with a bundle for each sample, in turn as compressed rows, compressed columns and dense rows."""
     import json
 
     m = from_tables(spark, d)
+    m = CountMatrix(materialise(m.counts, "cells"), m.spots, m.genes)
     shape = {r["sample_id"]: (r["rows"], r["columns"]) for r in _shape(m).collect()}
-    out = None
+    folder = fresh_path(spark, "bundles")
     for at, s in enumerate(sorted(shape)):
-        path, encoding = fresh_path(spark, "bundle"), ("csr_matrix", "csc_matrix", "dense_array")[at % 3]
+        path, encoding = f"{folder}/{s}", ("csr_matrix", "csc_matrix", "dense_array")[at % 3]
         own = CountMatrix(m.counts.where(F.col("sample_id") == s), m.spots.where(F.col("sample_id") == s), m.genes)
         spark.createDataFrame([(json.dumps({"encoding": encoding, "shape": shape[s]}),)], "value string").coalesce(1).write.text(f"{path}/header.json")
-        own.spots.drop("sample_id").write.parquet(f"{path}/spots")
+        spots(own.spots).drop("sample_id").write.parquet(f"{path}/spots")
         own.genes.write.parquet(f"{path}/genes")
         if encoding == "dense_array":
             layout.dense_rows(own, shape[s][1]).select("i", "values").write.parquet(f"{path}/dense")
@@ -76,9 +77,54 @@ def bundles(spark: SparkSession, d: str) -> DataFrame:
             major, minor = ("i", "g") if encoding == "csr_matrix" else ("g", "i")
             pointers.select(F.col(major).alias("pos"), "ptr").write.parquet(f"{path}/pointers")
             entries.select("pos", F.col(minor).alias("minor"), "v").write.parquet(f"{path}/entries")
-        cells = reader.read_bundle(spark, path, s).counts.select("sample_id", "i", "g", "v")
-        out = cells if out is None else out.unionByName(cells)
-    return tidy(out)
+    return folder
+
+
+def bundles(spark: SparkSession, d: str) -> DataFrame:
+    """All samples through bundles on disk, read back in one plan."""
+    return tidy(reader.read_bundles(spark, _store_bundles(spark, d))[0])
+
+
+def bundle_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with bundles, as rows: a row too few, labels that are not there, coordinates that are not finite."""
+
+    def spoil(spots: DataFrame) -> DataFrame:
+        of = lambda s: F.col("sample_id") == s
+        kept = spots.where(~of("A") | (F.col("i") != 4))
+        return kept.withColumn("spot_id", F.when(~of("N") | (F.col("i") % 10 != 4), F.col("spot_id"))).withColumn("x", F.when(of("R") & (F.col("i") % 7 == 3), F.lit(float("nan"))).otherwise(F.col("x")))
+
+    return tidy(reader.read_bundles(spark, _store_bundles(spark, d, spoil))[3])
+
+
+def _later(m: CountMatrix) -> DataFrame:
+    """The cells of a later version: a row of A is one more each, one of N is gone, R is as it was."""
+    row = lambda s, i: (F.col("sample_id") == s) & (F.col("i") == i)
+    return m.counts.where(~row("N", 70)).withColumn("v", F.col("v") + row("A", 5).cast("bigint"))
+
+
+def hash_tree(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(hashtree.tree(hashtree.leaves(from_tables(spark, d).counts)))
+
+
+def block_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions compared by their stored trees."""
+    m = from_tables(spark, d)
+    a, b = materialise(m.counts, "cells"), materialise(_later(m), "cells")
+    return tidy(hashtree.compare(a, b, *(materialise(hashtree.tree(hashtree.leaves(x)), "tree") for x in (a, b))))
+
+
+def resumed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of a cohort that fail at first, or always, taken up until each is done or out of attempts."""
+    r = results(spark, d).select("sample_id", "arm", "n_lines", "n_counts")
+
+    def work(due: DataFrame) -> DataFrame:
+        failed = (F.col("n_lines") % 7 == 0) | (F.col("attempt") == 1) & (F.col("n_lines") % 3 == 0)
+        return due.join(r, ["sample_id", "arm"]).select("sample_id", "arm", "attempt", F.when(failed, "failed").otherwise("success").alias("status"), F.when(~failed, F.col("n_counts") * 3).alias("bytes"))
+
+    folder, keys = fresh_path(spark, "runs"), ["sample_id", "arm"]
+    ledger = resume.run_all(r, keys, work, folder)
+    per = ledger.groupBy(*keys).agg(F.count("*").alias("attempts"), F.max_by("status", "attempt").alias("status"))
+    return tidy(per.join(resume.results(spark, folder, keys).select(*keys, "bytes"), keys, "left"))
 
 
 def packages(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +149,10 @@ def gzip_sink(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "io1_bundles": bundles,
+    "io1_bundle_faults": bundle_faults,
+    "a22_hash_tree": hash_tree,
+    "p7_block_compare": block_compare,
+    "c23_resumed_runs": resumed_runs,
     "io5_structural_faults": _matrix(broken_parts),
     "p4_strict_faults": _matrix(strict_parts),
     "p6_metadata_faults": _matrix(broken_metadata),
@@ -129,7 +179,31 @@ nn AS (SELECT sample_id, CAST(sum(n) AS BIGINT) AS nnz, max(i) + 1 AS rows FROM
 _PLACES = """,
 pl AS (SELECT *, (i + g) % 97 = 0 AS z, (i * 7 + g) % 101 = 0 AS o, (i + g) % 89 = 0 AS w FROM counts)"""
 
+#: A hash tree from ``leafs(sample_id, i, n, h)``: ``_levels(x)`` adds x1 to x4.
+def _levels(x: str, cells: str) -> str:
+    out = f""",
+{x}0 AS (SELECT sample_id, i AS node, count(*) AS cells, sha256(i || '|' || string_agg(g || ':' || v, ',' ORDER BY g)) AS h FROM {cells} GROUP BY 1, 2)"""
+    for n in range(1, 5):
+        out += f""",
+{x}{n} AS (SELECT sample_id, node // 64 AS node, sum(cells) AS cells, sha256(string_agg(node || '=' || h, ',' ORDER BY node)) AS h FROM {x}{n - 1} GROUP BY 1, 2)"""
+    return out
+
+
+_LATER = """,
+later AS (SELECT sample_id, i, g, v + CASE WHEN sample_id = 'A' AND i = 5 THEN 1 ELSE 0 END AS v FROM counts WHERE NOT (sample_id = 'N' AND i = 70)),
+per AS (SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, count(*) FILTER (a.v = b.v) AS equal, count(*) FILTER (a.v <> b.v) AS changed, count(*) FILTER (b.v IS NULL) AS only_a, count(*) FILTER (a.v IS NULL) AS only_b
+        FROM counts a FULL JOIN later b ON a.sample_id = b.sample_id AND a.i = b.i AND a.g = b.g GROUP BY 1)"""
+
+
+
 ORACLE: dict[str, str] = {
+    "io1_bundle_faults": oracles.of_matrix("SELECT 'A' AS sample_id, 'spot_count' AS fault, 1 AS n UNION ALL SELECT 'N', 'spot_label', count(*) FROM s WHERE i % 10 = 4 UNION ALL SELECT 'R', 'coordinates', count(*) FROM s WHERE i % 7 = 3", "sample_id:s fault:s n:i"),
+    "a22_hash_tree": oracles.of_matrix(" UNION ALL ".join(f"SELECT sample_id, {n} AS level, node, cells, h AS sha256 FROM t{n}" for n in range(1, 5)), "sample_id:s level:i node:i cells:i sha256:s", _levels("t", "counts")),
+    "p7_block_compare": oracles.of_matrix(
+        "SELECT per.*, changed + only_a + only_b = 0 AS identical, nodes, differing FROM per JOIN (SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, greatest(count(a.h), count(b.h)) AS nodes, count(*) FILTER (a.h IS DISTINCT FROM b.h) AS differing FROM t1 a FULL JOIN u1 b ON a.sample_id = b.sample_id AND a.node = b.node GROUP BY 1) USING (sample_id)",
+        "sample_id:s equal:i changed:i only_a:i only_b:i identical:b nodes:i differing:i", _LATER, _levels("t", "counts"), _levels("u", "later"),
+    ),
+    "c23_resumed_runs": oracles.RESULTS + "SELECT sample_id, arm, CAST(CASE WHEN n_lines % 7 = 0 OR n_lines % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN n_lines % 7 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n_lines % 7 <> 0 THEN CAST(n_counts * 3 AS BIGINT) END AS bytes FROM r",
     **{n: _CELLS for n in ("io1_bundles", "m11_decoded_cells", "io11_exception_archives", "io13_comparator_cells", "io13_comparator_columns", "io14_external_cells", "io15_exchange_cells", "io20_gzip_cells", "io21_decoded_sink")},
     "io5_structural_faults": oracles.of_matrix(
         "SELECT * FROM (SELECT sample_id, 'minor_range' AS fault, (nnz + 999) // 1000 AS n FROM nn WHERE sample_id = 'A' UNION ALL SELECT sample_id, 'value', (nnz + 499) // 500 FROM nn WHERE sample_id = 'R'"

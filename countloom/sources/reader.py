@@ -8,11 +8,13 @@ and coordinates in ``spots(i, spot_id, x, y)`` and ``genes(g, gene_id)``.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import MAX_DIM, CountMatrix, bad_value, canonicalise, few, from_compressed, from_dense
+from .shared import materialise
 
 MAX_ENTRIES = 100_000_000
 ENCODINGS = ("dense_array", "csr_matrix", "csc_matrix")
@@ -115,3 +117,59 @@ def read_bundle(spark: SparkSession, path: str, sample_id: str = "") -> CountMat
         raise
     except Exception as e:
         raise ValueError(f"not a bundle: {path}") from e
+
+
+_BUNDLE = {
+    "spots": "i bigint, spot_id string, x double, y double", "genes": "g bigint, gene_id string", "dense": "i bigint, values array<bigint>", "pointers": "pos bigint, ptr bigint", "entries": "pos bigint, minor bigint, v bigint",
+}
+
+
+def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, spots, genes, faults) of all bundles in a folder, in one plan however many there are.
+
+    A bundle's sample_id is its folder's name. Headers are a table; each table of all
+    bundles is one scan, and a bundle's encoding decides, by a join, how its rows are
+    read. The driver sees which encodings occur, no more. Faults (sample_id, fault, n)
+    are rows, of all kinds that ``read_bundle`` refuses, and ``encoding`` for one that is
+    unknown or a header that cannot be read; cells and labels are those of bundles without a
+    fault. A file whose columns have other types than a bundle's ends the read.
+    """
+    # The folder that holds the table, itself a folder of files or one file.
+    name = lambda t: F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(t)}(?:/[^/]*)?$", 1).alias("sample_id")
+    raw = spark.read.text(f"{folder}/*/header.json", wholetext=True).select(name("header.json"), F.from_json("value", "encoding string, shape array<bigint>").alias("h"))
+    headers = raw.select("sample_id", F.col("h.encoding").alias("encoding"), F.try_element_at("h.shape", F.lit(1)).alias("rows"), F.try_element_at("h.shape", F.lit(2)).alias("columns"))
+    known = F.col("encoding").isin(*ENCODINGS) & F.col("rows").isNotNull() & F.col("columns").isNotNull()
+    # Names with bundles of an encoding, at most three rows.
+    there = {r["encoding"] for r in headers.where(known).select("encoding").distinct().collect()}
+    shape = headers.where(known).select("sample_id", "encoding", "rows", "columns")
+    faults = headers.where(F.coalesce(~known, F.lit(True))).select("sample_id", F.lit("encoding").alias("fault"), F.lit(1).cast("bigint").alias("n"))
+
+    def table(t: str, *of: str) -> DataFrame:
+        rows = spark.read.schema(_BUNDLE[t]).parquet(f"{folder}/*/{t}") if not of or there & set(of) else spark.createDataFrame([], f"{_BUNDLE[t]}")
+        # The name is taken of the scan itself; a table that is not there has no rows to name.
+        named = rows.select(name(t), "*") if not of or there & set(of) else rows.select(F.lit("").alias("sample_id"), "*")
+        return named.join(few(shape.where(F.col("encoding").isin(*of)).select("sample_id")), "sample_id") if of else named
+
+    spots, genes, dense = table("spots"), table("genes"), table("dense", "dense_array")
+    faults = faults.unionByName(metadata_faults(spots, genes, shape.drop("encoding")))
+    sized = dense.join(few(shape.select("sample_id", "rows", "columns")), "sample_id")
+    wrong = sized.where((F.size("values") != F.col("columns")) | ~F.col("i").between(0, F.col("rows") - 1))
+    faults = faults.unionByName(wrong.groupBy("sample_id").agg(F.count("*").alias("n")).select("sample_id", F.lit("shape").alias("fault"), "n"))
+    cells = dense.select("sample_id", "i", F.posexplode("values").alias("g", "v")).where("v <> 0 or v is null").select("sample_id", "i", F.col("g").cast("bigint").alias("g"), "v")
+    for encoding, major, minor in (("csr_matrix", "i", "g"), ("csc_matrix", "g", "i")):
+        if encoding in there:
+            pointers, entries = table("pointers", encoding), table("entries", encoding)
+            faults = faults.unionByName(structural_faults(shape.where(F.col("encoding") == encoding).drop("encoding"), pointers, entries, encoding == "csr_matrix"))
+            own = from_compressed(pointers.withColumnRenamed("pos", major), entries.withColumnRenamed("minor", minor), major, minor, ("sample_id",))
+            cells = cells.unionByName(own.select("sample_id", "i", "g", "v"))
+    faults = faults.unionByName(invalid_cells(cells))
+    faults = materialise(faults.where("n > 0"), "faults")
+    # A row for each bundle at most.
+    bad = few(faults.select("sample_id").distinct())
+    cells, spots, genes = (t.join(bad, "sample_id", "left_anti") for t in (cells, spots, genes))
+    return canonicalise(cells), spots, genes, faults
+
+
+def invalid_cells(cells: DataFrame) -> DataFrame:
+    """(sample_id, fault, n) of values out of range."""
+    return cells.groupBy("sample_id").agg(F.count(F.when(bad_value(F.col("v")), 1)).alias("n")).where("n > 0").select("sample_id", F.lit("value").alias("fault"), "n")
