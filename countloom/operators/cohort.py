@@ -366,43 +366,3 @@ def stop_point(attempts: DataFrame, run: int = 4) -> DataFrame:
     w = W.partitionBy("lane").orderBy("attempt").rowsBetween(-(run - 1), 0)
     failed = (F.col("status") != "success").cast("int")
     return attempts.withColumn("_f", F.sum(failed).over(w)).where(F.col("_f") == run).groupBy("lane").agg(F.min("attempt").alias("stop_at"))
-
-
-def cluster_rates(genes: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """(g, label, centre) of the genes of one sample."""
-    return cluster_samples(genes.withColumn("sample_id", F.lit("")), (k,), rounds).select("g", "label", "centre")
-
-
-def cluster_samples(genes: DataFrame, ks: tuple[int, ...], rounds: int = 20) -> DataFrame:
-    """(sample_id, k, g, label, centre): Lloyd's iterations over Bernoulli costs of (n, a) by sample and gene, for each k.
-
-    Labels start by rank of a/n; genes without events have label 0. A round is one
-    aggregation to at most k centres by sample and k, which go back to the genes as
-    a table of a row each.
-    """
-    import math
-
-    spark = genes.sparkSession
-    rate = F.when(F.col("n") > 0, F.col("a") / F.col("n")).otherwise(F.lit(0.0))
-    # A sample's genes are at most the cap on columns.
-    w = W.partitionBy("sample_id")
-    each = genes.select("sample_id", "g", "n", "a", (F.row_number().over(w.orderBy(rate, "g")) - 1).alias("_rank"), F.count("*").over(w).alias("_total")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    start = F.floor(F.col("_rank") * F.col("k") / F.col("_total"))
-    labelled = each.select("sample_id", "k", "g", "n", "a", F.when(F.col("n") == 0, 0).otherwise(start).cast("int").alias("label"))
-    labelled = materialise(labelled, "labelled")
-    centre: dict[tuple[str, int], list[int]] = {}
-    current = labelled
-    for step in range(rounds + 1):
-        for r in current.groupBy("sample_id", "k", "label").agg(F.sum("n").cast("bigint").alias("n"), F.sum("a").cast("bigint").alias("a")).collect():
-            own = centre.setdefault((r["sample_id"], r["k"]), [2048] * r["k"])
-            if r["n"]:
-                own[r["label"]] = min(4095, max(1, (4096 * (2 * r["a"] + 1) + r["n"] + 1) // (2 * (r["n"] + 1))))
-        rows = [(s, k, c, [(math.log(x / 4096), math.log1p(-x / 4096)) for x in c]) for (s, k), c in centre.items()]
-        table = spark.createDataFrame(rows, "sample_id string, k int, centres array<int>, logs array<struct<one: double, more: double>>")
-        if step == rounds:
-            break
-        # The cheapest centre by gene, ties to the smaller label.
-        costs = F.transform("logs", lambda x, i: F.struct((-F.col("a") * x["one"] - (F.col("n") - F.col("a")) * x["more"]).alias("cost"), i.alias("i")))
-        placed = labelled.drop("label").join(table, ["sample_id", "k"])
-        current = placed.select("sample_id", "k", "g", "n", "a", F.when(F.col("n") == 0, 0).otherwise(F.array_min(costs)["i"]).cast("int").alias("label"))
-    return current.join(table, ["sample_id", "k"]).select("sample_id", "k", "g", "label", F.element_at("centres", F.col("label") + 1).alias("centre"))

@@ -150,13 +150,18 @@ def value_bits(prof: DataFrame, events: DataFrame, tails: DataFrame, odds: DataF
 def exception_bound(prof: DataFrame, cent: DataFrame, odds: DataFrame, k: int = 8) -> DataFrame:
     """(sample_id, g, bound, exception): most bits a gene may lose to its group's centre, over all contexts; above 12 it is an exception."""
     own = prof.select("sample_id", "g", "n", "a", F.col("grp").alias("b"), "q").join(cent.select("sample_id", "b", "s"), ["sample_id", "b"])
-    ctx = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c")).join(odds, ["sample_id", "b", "c"], "left")
+    return loss_bound(own, ["sample_id", "g"], odds)
+
+
+def loss_bound(genes: DataFrame, by: list[str], odds: DataFrame) -> DataFrame:
+    """(by, bound, exception) of genes(by, n, a, b, q, s): most bits lost by coding ``a`` ones in ``n`` at rate s instead of q, over all contexts of group b."""
+    ctx = genes.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c")).join(odds, ["sample_id", "b", "c"], "left")
     r = F.coalesce("odds", F.lit(65536)).cast("bigint")
     at = lambda q: F.when(F.col("c") == 7, q).otherwise(odds_to_q(q, r)).cast("double")
     both = ctx.withColumn("old", at(F.col("q"))).withColumn("new", at(F.col("s")))
-    per = both.groupBy("sample_id", "g", "n", "a").agg(F.max(F.log2(F.col("old") / F.col("new"))).alias("up"), F.max(F.log2((F.lit(4096.0) - F.col("old")) / (F.lit(4096.0) - F.col("new")))).alias("down"), F.max((F.col("old") != F.col("new")).cast("int")).alias("differs"))
+    per = both.groupBy(*by, "n", "a").agg(F.max(F.log2(F.col("old") / F.col("new"))).alias("up"), F.max(F.log2((F.lit(4096.0) - F.col("old")) / (F.lit(4096.0) - F.col("new")))).alias("down"), F.max((F.col("old") != F.col("new")).cast("int")).alias("differs"))
     u = F.when(F.col("differs") == 1, F.col("a") * F.col("up") + (F.col("n") - F.col("a")) * F.col("down") + F.lit(1e-10) * F.col("n")).otherwise(0.0)
-    return per.select("sample_id", "g", F.round(u, 6).alias("bound"), (u > 12).alias("exception"))
+    return per.select(*by, F.round(u, 6).alias("bound"), (u > 12).alias("exception"))
 
 
 def mean_sort(m: CountMatrix) -> DataFrame:

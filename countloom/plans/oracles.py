@@ -246,6 +246,24 @@ def _joint_arm(n: int, width: int) -> str:
     return f"SELECT *, 'B{n}_M{width}' AS arm FROM ({_w(body, _out('(SELECT sample_id, sum(bits) AS bits FROM sbits GROUP BY 1)', 'sample_id:s bits:d'))})"
 
 
+#: Groups by rank of rates, and what their description costs.
+RANKS = f""",
+rk AS (SELECT sample_id, g, n, a, grp AS b, q, row_number() OVER (PARTITION BY sample_id ORDER BY (a + CAST(0.5 AS DOUBLE)) / (n + 1), g) - 1 AS place, count(*) OVER (PARTITION BY sample_id) AS total FROM prof),
+lb AS (SELECT rk.*, CAST(kk_ AS BIGINT) AS k, CASE WHEN n = 0 THEN 0 ELSE place * kk_ // total END AS label FROM rk CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16, 32]) AS kk_)),
+ce AS (SELECT sample_id, k, label, CASE WHEN sum(n) = 0 THEN 2048 ELSE greatest(1, least(4095, (4096 * (2 * CAST(sum(a) AS BIGINT) + 1) + CAST(sum(n) AS BIGINT) + 1) // (2 * (CAST(sum(n) AS BIGINT) + 1)))) END AS s FROM lb GROUP BY 1, 2, 3),
+ge AS (SELECT lb.*, ce.s FROM lb JOIN ce USING (sample_id, k, label)),
+gc AS (SELECT ge.sample_id, ge.k, ge.g, ge.n, ge.a, CAST(CASE WHEN cc = 7 THEN ge.q ELSE {_q_of("ge.q", "coalesce(o.odds, 65536)")} END AS DOUBLE) AS o1, CAST(CASE WHEN cc = 7 THEN ge.s ELSE {_q_of("ge.s", "coalesce(o.odds, 65536)")} END AS DOUBLE) AS o2
+  FROM ge CROSS JOIN range(8) t(cc) LEFT JOIN vodds o ON o.sample_id = ge.sample_id AND o.b = ge.b AND o.c = cc),
+bd AS (SELECT sample_id, k, g, CASE WHEN bool_or(o1 <> o2) THEN a * max(log2(o1 / o2)) + (n - a) * max(log2((4096 - o1) / (4096 - o2))) + CAST(1e-10 AS DOUBLE) * n ELSE 0 END > 12 AS exception FROM gc GROUP BY sample_id, k, g, n, a),
+ar AS (SELECT ge.sample_id, ge.k, ge.g, ge.b, f AS exceptions, f AND exception AS kept, CASE WHEN f AND exception THEN ge.q ELSE ge.s END AS q FROM ge JOIN bd USING (sample_id, k, g) CROSS JOIN (SELECT unnest([false, true]) AS f)),
+se AS (SELECT sample_id, g, c, count(*) FILTER (WHERE v = 1) AS ones, count(*) FILTER (WHERE v <> 1) AS more FROM ev GROUP BY 1, 2, 3),
+co AS (SELECT sample_id, k, exceptions, sum(ones * (12 - log2(p)) + more * (12 - log2(4096 - p))) AS bits FROM (
+  SELECT ar.*, se.ones, se.more, CASE WHEN se.c = 7 THEN ar.q ELSE {_q_of("ar.q", "coalesce(o.odds, 65536)")} END AS p FROM ar JOIN se ON se.sample_id = ar.sample_id AND se.g = ar.g LEFT JOIN vodds o ON o.sample_id = ar.sample_id AND o.b = ar.b AND o.c = se.c) GROUP BY 1, 2, 3),
+dl AS (SELECT sample_id, k, exceptions, n_exceptions, genes * log2(k) + 12 * k + CASE WHEN exceptions THEN genes + 12 * n_exceptions ELSE 0 END AS model_bits, bits AS singleton_bits
+  FROM (SELECT sample_id, k, exceptions, count(*) AS genes, count(*) FILTER (WHERE kept) AS n_exceptions FROM ar GROUP BY 1, 2, 3) JOIN co USING (sample_id, k, exceptions)),
+db AS (SELECT *, ceil(round(model_bits + singleton_bits, 5) / 8) AS bytes FROM dl)"""
+
+
 ORACLE: dict[str, str] = {
     "io5_compressed_to_all_cells": _m("SELECT sample_id, i, g, v FROM counts", "sample_id:s i:i g:i v:i"),
     "io8_compressed_rows": _m("SELECT sp.sample_id, sp.i, sum(count(c.v)) OVER w - count(c.v) AS ptr_lo, sum(count(c.v)) OVER w AS ptr_hi, coalesce(string_agg(CAST(c.g AS VARCHAR), ',' ORDER BY c.g), '') AS minors, coalesce(string_agg(CAST(c.v AS VARCHAR), ',' ORDER BY c.g), '') AS vals FROM spots sp LEFT JOIN counts c ON c.sample_id = sp.sample_id AND c.i = sp.i GROUP BY 1, 2 WINDOW w AS (PARTITION BY sp.sample_id ORDER BY sp.i)", "sample_id:s i:i ptr_lo:i ptr_hi:i minors:s vals:s"),
@@ -390,6 +408,9 @@ ORACLE |= {
         f"SELECT *, '{name}' AS arm FROM ({_w(QUANTITY + body, _out(SUM_BITS.format(s=s), 'sample_id:s bits:d'))})"
         for name, body, s in (("gene", MARG + PLAIN_BITS, "pbits"), ("P1_shared_prefix", PREFIX + MARG + KK + CELLS + SUPPORT_ODDS + SBITS, "sbits"), ("P2_shared_spatial", SUPPORT, "sbits"))
     ),
+    "m6_description_of_ranks": _m(
+        "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY bytes, k, exceptions) = 1 AS selected FROM db", "sample_id:s k:i exceptions:b n_exceptions:i model_bits:d singleton_bits:d bytes:i selected:b", GRAPH, _profiles(), NSUM, EV, VSTAT, VODDS, RANKS
+    ),
     "m12_code_length": _w(QUANTITY + SUPPORT + _profiles() + NSUM + EV + VSTAT + VODDS + _pooled() + BASE + _centres() + _tails() + EXCEPTION_BITS, _out(TOTALS.format(s="sbits"), TOTAL_SPEC)),
     "m17_value_width_arms": " UNION ALL ".join(_narrow(n) for n in (0, 2, 4, 6, 8, 12)),
     "m18_order_arms": " UNION ALL ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import cohort, graph, layout, support, values
+from ..operators import cohort, description, graph, layout, support, values
 from ..operators.study import Study
 from ..sources import matrix
 from ..sources.matrix import CountMatrix, from_tables
@@ -100,6 +100,12 @@ def value_width_arms(st: Study) -> DataFrame:
     return _arms_of({n: _value_sum(st.value_bits(32, n)) for n in (0, 2, 4, 6, 8, 12)}, "neighbours")
 
 
+def described(st: Study, rounds: int = 20) -> DataFrame:
+    """Description length by number of groups and with or without exceptions; without rounds, groups are ranks of rates."""
+    labels = description.cluster_samples(st.profiles().select("sample_id", "g", "n", "a"), rounds=rounds)
+    return description.description_lengths(st.profiles(), labels, st.events(), st.value_odds())
+
+
 def _ordered(m: CountMatrix, order: DataFrame) -> CountMatrix:
     """Rows in another order: (sample_id, place, i)."""
     move = lambda df: df.join(order, ["sample_id", "i"]).drop("i").withColumnRenamed("place", "i")
@@ -264,7 +270,9 @@ QUERIES: dict[str, Query] = {
     "m20_shuffled_groups": shuffled_groups,
     "m12_exceptions": _study(lambda st: st.exceptions().groupBy("sample_id").agg(F.count(F.when(F.col("exception"), 1)).alias("exceptions"), F.count("*").alias("genes")), once=True),
     "m12_code_length": _study(lambda st: st.total_bits(8, exceptions=True)),
-    "m6_rate_clusters": lambda s, d: tidy(cohort.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"), (1, 2, 4, 8, 16, 32))),
+    "m6_rate_clusters": lambda s, d: tidy(description.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"))),
+    "m6_description_length": _study(described),
+    "m6_description_of_ranks": _study(lambda st: described(st, 0)),
     "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),
     "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
     "c8_comparators": lambda s, d: tidy(layout.comparators(from_tables(s, d))),

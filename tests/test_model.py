@@ -1,11 +1,13 @@
 """Hand-computed vectors, brute force and round trips."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from countloom.functions import fixed
-from countloom.operators import coder, cohort, graph, layout, sharing, support, values
+from countloom.operators import coder, cohort, description, graph, layout, sharing, support, values
 from countloom.operators.study import Study
 from countloom.sources import archive, matrix
 from countloom.sources.matrix import CountMatrix
@@ -388,8 +390,8 @@ def test_rate_clusters_against_numpy(spark):
     rng = np.random.default_rng(5)
     n = rng.integers(0, 40, 60)
     a = rng.binomial(n, rng.choice([0.1, 0.5, 0.9], 60))
-    got = {r["g"]: (r["label"], r["centre"]) for r in cohort.cluster_rates(spark.createDataFrame([(g, int(x), int(y)) for g, (x, y) in enumerate(zip(n, a, strict=True))], "g bigint, n bigint, a bigint"), 4).collect()}
-    rate = np.where(n > 0, a / np.maximum(n, 1), 0.0)
+    got = {r["g"]: (r["label"], r["centre"]) for r in description.cluster_rates(spark.createDataFrame([(g, int(x), int(y)) for g, (x, y) in enumerate(zip(n, a, strict=True))], "g bigint, n bigint, a bigint"), 4).collect()}
+    rate = (a + 0.5) / (n + 1)
     label = np.empty(60, int)
     label[np.lexsort((np.arange(60), rate))] = np.arange(60) * 4 // 60
     label[n == 0] = 0
@@ -406,6 +408,52 @@ def test_rate_clusters_against_numpy(spark):
     assert got == {g: (int(label[g]), centre[label[g]]) for g in range(60)}
 
 
+def test_description_against_sums(spark, small):
+    """All twelve arms of a sample, by plain loops over its events; the choice is the cheapest arm."""
+    from countloom.plans import queries
+    from countloom.sources.matrix import from_tables
+
+    st = Study(from_tables(spark, small))
+    prof, events = st.profiles().toPandas(), st.events().toPandas()
+    odds = {(r["sample_id"], r["b"], r["c"]): int(r["odds"]) for r in st.value_odds().collect()}
+    labels = description.cluster_samples(st.profiles().select("sample_id", "g", "n", "a"), rounds=3)
+    got = {(r["sample_id"], r["k"], r["exceptions"]): r for r in description.description_lengths(st.profiles(), labels, st.events(), st.value_odds()).collect()}
+    centre = {(r["sample_id"], r["k"], r["g"]): r["centre"] for r in labels.collect()}
+
+    def rate(s, b, c, q):
+        if c == 7:
+            return q
+        num = q * odds.get((s, b, c), 65536)
+        den = num + (4096 - q) * 65536
+        return min(4095, max(1, (4096 * num + den // 2) // den))
+
+    for s in ("A", "N"):
+        own = prof[prof.sample_id == s]
+        seen = events[events.sample_id == s].assign(one=lambda e: e.v == 1).groupby(["g", "c", "one"]).size().to_dict()
+        by_gene = {}
+        for (g, c, one), n in seen.items():
+            by_gene.setdefault(g, []).append((c, one, n))
+        for k in description.KS:
+            for flag in (False, True):
+                bits, kept = 0.0, 0
+                for r in own.itertuples():
+                    new = centre[s, k, r.g]
+                    pairs = [(rate(s, r.grp, c, int(r.q)), rate(s, r.grp, c, new)) for c in range(8)]
+                    loss = r.a * max(math.log2(x / y) for x, y in pairs) + (r.n - r.a) * max(math.log2((4096 - x) / (4096 - y)) for x, y in pairs) + 1e-10 * r.n
+                    keep = flag and any(x != y for x, y in pairs) and loss > 12
+                    kept += keep
+                    for c, one, n in by_gene.get(r.g, []):
+                        p = rate(s, r.grp, c, int(r.q) if keep else new)
+                        bits += n * (12 - math.log2(p if one else 4096 - p))
+                row = got[s, k, flag]
+                model = len(own) * math.log2(k) + 12 * k + (len(own) + 12 * kept if flag else 0)
+                assert row["n_exceptions"] == kept and row["model_bits"] == pytest.approx(model) and row["singleton_bits"] == pytest.approx(bits) and row["bytes"] == math.ceil(round(model + bits, 5) / 8)
+        best = min((r["bytes"], r["k"], r["exceptions"]) for key, r in got.items() if key[0] == s)
+        assert [(r["bytes"], r["k"], r["exceptions"]) for key, r in got.items() if key[0] == s and r["selected"]] == [best]
+    chosen = queries.QUERIES["m6_description_length"](spark, small).where("selected")
+    assert chosen.count() == 3
+
+
 def test_empty_matrix(spark):
     m = build(spark, np.zeros((3, 2), np.int64))
     assert Study(m).value_bits().count() == 0
@@ -422,7 +470,7 @@ def test_rate_clusters_of_all_samples(spark, small):
     assert len(samples) == 3 and sorted(got[["sample_id", "k"]].drop_duplicates().itertuples(index=False, name=None)) == [(s, k) for s in samples for k in (1, 2, 4, 8, 16, 32)]
     assert len(got) == 6 * len(prof)
     for s in samples:
-        own = cohort.cluster_rates(spark.createDataFrame(prof[prof["sample_id"] == s].drop(columns="sample_id")), 4).collect()
+        own = description.cluster_rates(spark.createDataFrame(prof[prof["sample_id"] == s].drop(columns="sample_id")), 4).collect()
         mine = got[(got["sample_id"] == s) & (got["k"] == 4)]
         assert sorted(map(tuple, own)) == sorted(mine[["g", "label", "centre"]].itertuples(index=False, name=None))
 
