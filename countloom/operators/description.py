@@ -75,7 +75,7 @@ def description_lengths(prof: DataFrame, labels: DataFrame, events: DataFrame, o
     each = genes.join(bound, [*arm, "g"]).withColumn("exceptions", F.explode(F.array(F.lit(False), F.lit(True))))
     each = materialise(each.withColumn("kept", F.col("exceptions") & F.col("exception")).withColumn("q", F.when(F.col("kept"), F.col("q")).otherwise(F.col("s"))).select(*arm, "exceptions", "g", "b", "q", "kept"), "arms")
     seen = events.groupBy("sample_id", "g", "c").agg(F.count(F.when(F.col("v") == 1, 1)).alias("ones"), F.count(F.when(F.col("v") != 1, 1)).alias("more"))
-    x = each.join(seen, ["sample_id", "g"]).join(few(odds), ["sample_id", "b", "c"], "left")
+    x = each.join(seen, ["sample_id", "g"]).join(odds, ["sample_id", "b", "c"], "left")
     p = F.when(F.col("c") == 7, F.col("q")).otherwise(odds_to_q(F.col("q"), F.coalesce("odds", F.lit(65536)).cast("bigint")))
     key = [*arm, "exceptions"]
     coded = x.groupBy(*key).agg(F.sum(F.col("ones") * bits(p) + F.col("more") * bits(F.lit(Q12) - p)).alias("singleton_bits"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import BUCKET_EDGES, bucket
 from ..sources.matrix import CountMatrix
 from ..sources.shared import materialise
+from . import arms as many
 from . import graph as graphs
 from . import support, values
 
@@ -104,3 +105,11 @@ class Study:
         s = self.support_bits(edges, width).groupBy("sample_id").agg(F.sum("bits").alias("support_bits"))
         v = self.value_bits(k, value_width, shared, exceptions).groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("value_bits"))
         return s.join(v, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))
+
+    def support_arms(self, arms: dict[str | int, tuple[tuple[int, ...], int]]) -> DataFrame:
+        """(arm, sample_id, bits) of arms by name: (edges, neighbours)."""
+        return many.support_arms(self.m, self._marginals, self.cells if any(w for _, w in arms.values()) else None, arms)
+
+    def value_arms(self, k: int, arms: dict[str | int, tuple[int, bool]]) -> DataFrame:
+        """(arm, sample_id, bits) of arms by name: (neighbours, shared)."""
+        return many.value_arms(self.m, self.cells if any(w for w, _ in arms.values()) else None, self.profiles(k), arms, k)

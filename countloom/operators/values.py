@@ -33,7 +33,7 @@ def histograms(m: CountMatrix) -> DataFrame:
     return m.counts.where("v > 1").groupBy("sample_id", "g", magnitude(F.col("v")).alias("k")).agg(F.count("*").alias("c"))
 
 
-def _grid(samples: DataFrame, **sizes: int) -> DataFrame:
+def grid(samples: DataFrame, **sizes: int) -> DataFrame:
     for name, n in sizes.items():
         samples = samples.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
     return samples
@@ -42,7 +42,7 @@ def _grid(samples: DataFrame, **sizes: int) -> DataFrame:
 def pooled(m: CountMatrix, prof: DataFrame, k: int = 8) -> DataFrame:
     """(sample_id, b, k, c, p): magnitudes by group, dense, with probabilities."""
     got = histograms(m).join(prof.select("sample_id", "g", F.col("grp").alias("b")), ["sample_id", "g"]).groupBy("sample_id", "b", "k").agg(F.sum("c").alias("c"))
-    dense = _grid(m.spots.select("sample_id").distinct(), b=k, k=BINS).join(got, ["sample_id", "b", "k"], "left").na.fill(0, ["c"])
+    dense = grid(m.spots.select("sample_id").distinct(), b=k, k=BINS).join(got, ["sample_id", "b", "k"], "left").na.fill(0, ["c"])
     total = F.sum("c").over(W.partitionBy("sample_id", "b"))
     return dense.withColumn("p", (F.col("c") + F.lit(1 / 32)) / (total + F.lit(1)))
 
@@ -101,7 +101,7 @@ def value_odds(events: DataFrame) -> DataFrame:
 def centres(prof: DataFrame, k: int = 8) -> DataFrame:
     """(sample_id, b, s): shared Q12 rate of ones by group, for every group."""
     per = prof.groupBy("sample_id", F.col("grp").alias("b")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    dense = _grid(prof.select("sample_id").distinct(), b=k).join(per, ["sample_id", "b"], "left").na.fill(0, ["n", "a"])
+    dense = grid(prof.select("sample_id").distinct(), b=k).join(per, ["sample_id", "b"], "left").na.fill(0, ["n", "a"])
     big = lambda x: F.lit(x).cast("bigint")
     s = clamp_q(div(big(Q12) * (big(2) * F.col("a") + 1) + F.col("n") + 1, big(2) * (F.col("n") + 1)))
     return dense.select("sample_id", "b", "n", "a", s.alias("s"))
@@ -110,7 +110,7 @@ def centres(prof: DataFrame, k: int = 8) -> DataFrame:
 def tail_tables(m: CountMatrix, prof: DataFrame, events: DataFrame, k: int = 8) -> DataFrame:
     """(sample_id, b, c, k, freq): conditional tables for contexts 0..6, the base for 7."""
     prior = pooled(m, prof, k).select("sample_id", "b", "k", "p")
-    t = _grid(m.spots.select("sample_id").distinct(), b=k, c=CONTEXTS, k=BINS).join(tail_statistics(events), ["sample_id", "b", "c", "k"], "left").na.fill(0, ["t"])
+    t = grid(m.spots.select("sample_id").distinct(), b=k, c=CONTEXTS, k=BINS).join(tail_statistics(events), ["sample_id", "b", "c", "k"], "left").na.fill(0, ["t"])
     total = F.sum("t").over(W.partitionBy("sample_id", "b", "c"))
     cond = t.join(prior.withColumnRenamed("p", "prior"), ["sample_id", "b", "k"]).withColumn("p", (F.col("t") + F.lit(16.0) * F.col("prior")) / (total + F.lit(16)))
     cond = quantise(cond, ["sample_id", "b", "c"]).select("sample_id", "b", "c", "k", "freq")

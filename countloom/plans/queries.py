@@ -57,38 +57,40 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _study(lambda st: st.total_bits(32))(spark, d)
 
 
+def _totals(support_: DataFrame, value: DataFrame, on: list[str]) -> DataFrame:
+    """Adds up (arm, sample_id, bits) of both models."""
+    x = support_.withColumnRenamed("bits", "support_bits").join(value.withColumnRenamed("bits", "value_bits"), on)
+    return x.withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))
+
+
 def context_arms(st: Study) -> DataFrame:
     """Support and value contexts with and without neighbours."""
-    return _arms_of({f"S{s}V{v}": st.total_bits(32, width=6 * s, value_width=6 * v) for s in (0, 1) for v in (0, 1)}, "arm")
+    s = st.support_arms({f"S{n}": (fixed.BUCKET_EDGES, 6 * n) for n in (0, 1)}).withColumnRenamed("arm", "s")
+    v = st.value_arms(32, {f"V{n}": (6 * n, True) for n in (0, 1)}).withColumnRenamed("arm", "v")
+    return _totals(s, v, ["sample_id"]).select(F.concat("s", "v").alias("arm"), "sample_id", "support_bits", "value_bits", "total_bits")
 
 
 def bucket_arms(st: Study) -> DataFrame:
     """Support code length with 1, 2, 4, 8, 16 and 32 buckets."""
-    return _arms_of({n: _by_sample(st.support_bits(edges)) for n, edges in fixed.BUCKET_FAMILY.items()}, "buckets")
+    return st.support_arms({n: (edges, 6) for n, edges in fixed.BUCKET_FAMILY.items()}).withColumnRenamed("arm", "buckets")
 
 
 def joint_arms(st: Study) -> DataFrame:
     """Support code length with 16 and 32 buckets and 4, 6 and 8 neighbours."""
-    return _arms_of({f"B{n}_M{w}": _by_sample(st.support_bits(fixed.BUCKET_FAMILY[n], w)) for n in (16, 32) for w in (4, 6, 8)}, "arm")
+    return st.support_arms({f"B{n}_M{w}": (fixed.BUCKET_FAMILY[n], w) for n in (16, 32) for w in (4, 6, 8)})
 
 
 def width_arms(st: Study) -> DataFrame:
     """Support code length with 0 to 16 neighbours."""
-    return _arms_of({n: _by_sample(st.support_bits(width=n)) for n in (0, 2, 4, 6, 8, 12, 16)}, "neighbours")
+    return st.support_arms({n: (fixed.BUCKET_EDGES, n) for n in (0, 2, 4, 6, 8, 12, 16)}).withColumnRenamed("arm", "neighbours")
 
 
 def module_arms(st: Study) -> DataFrame:
     """The full model and four without a part of it."""
-    raw = st.m.counts.groupBy("sample_id").agg((F.count("*") * 32.0).alias("value_bits"))
-    full = st.total_bits(32)
-    arms = {
-        "full": full,
-        "no_support": st.total_bits(32, width=0),
-        "no_value": full.drop("value_bits", "total_bits").join(raw, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits")),
-        "no_spatial": st.total_bits(32, width=0, value_width=0),
-        "no_sharing": st.total_bits(32, shared=False),
-    }
-    return _arms_of({k: x.select("sample_id", "support_bits", "value_bits", "total_bits") for k, x in arms.items()}, "arm")
+    s = st.support_arms({a: (fixed.BUCKET_EDGES, w) for a, w in {"full": 6, "no_support": 0, "no_value": 6, "no_spatial": 0, "no_sharing": 6}.items()})
+    v = st.value_arms(32, {"full": (6, True), "no_support": (6, True), "no_spatial": (0, True), "no_sharing": (6, False)})
+    raw = st.m.counts.groupBy("sample_id").agg((F.count("*") * 32.0).alias("bits")).select(F.lit("no_value").alias("arm"), "sample_id", "bits")
+    return _totals(s, v.unionByName(raw), ["arm", "sample_id"])
 
 
 def value_width_arms(st: Study) -> DataFrame:
@@ -97,7 +99,7 @@ def value_width_arms(st: Study) -> DataFrame:
     A row counts as started once it has that many neighbours, so that narrower sums
     are not charged for a longer start.
     """
-    return _arms_of({n: _value_sum(st.value_bits(32, n)) for n in (0, 2, 4, 6, 8, 12)}, "neighbours")
+    return st.value_arms(32, {n: (n, True) for n in (0, 2, 4, 6, 8, 12)}).withColumnRenamed("arm", "neighbours")
 
 
 def described(st: Study, rounds: int = 20) -> DataFrame:
