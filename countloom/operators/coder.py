@@ -3,13 +3,12 @@
 Range-variant asymmetric numeral systems with 12-bit frequencies. Contexts look at
 earlier rows only, so all symbols of a row have known probabilities at once and are
 coded side by side: ``Lanes`` holds many states in one array, which write 16-bit
-words into one stream in a fixed order (Giesen, 2014). ``Writer`` and ``Reader`` are
-the single state of 2**23 and up, byte by byte, for streams of a few symbols.
+words into one stream in a fixed order (Giesen, 2014).
 
 All a sample needs (cells, graph, models, labels) comes as tagged rows of one table,
-so one shuffle by sample brings it together. A sample's size is bounded by the caps of
-``sources.matrix.budget``; memory follows its positives and its genes, never rows
-times genes.
+so one shuffle by sample brings it together. ``sources.matrix.budget`` says which samples
+are within the caps; memory follows a sample's positives and genes, never rows times
+genes.
 """
 
 from __future__ import annotations
@@ -32,53 +31,11 @@ from ..sources.matrix import CountMatrix, few
 from . import sharing, support
 from .study import Study
 
-LOWER, LANE_LOWER = 1 << 23, 1 << 16
+LANE_LOWER = 1 << 16
 WIDTH = 6
 _BITS = 12 - np.log2(np.maximum(np.arange(Q12 + 1), 1))
 
 
-class Writer:
-    """Symbols go in from the last to the first."""
-
-    def __init__(self):
-        self.state, self.out = LOWER, bytearray()
-
-    def put(self, start: int, freq: int) -> None:
-        state, top = self.state, freq << 19
-        while state >= top:
-            self.out.append(state & 255)
-            state >>= 8
-        self.state = ((state // freq) << 12) + state % freq + start
-
-    def bytes(self) -> bytes:
-        return struct.pack("<I", self.state) + bytes(self.out[::-1])
-
-
-class Reader:
-    def __init__(self, blob: bytes):
-        if len(blob) < 4:
-            raise ValueError("truncated stream")
-        self.state, self.blob, self.at = struct.unpack_from("<I", blob)[0], blob, 4
-        if self.state < LOWER:
-            raise ValueError("invalid first state")
-
-    def peek(self) -> int:
-        return self.state & (Q12 - 1)
-
-    def take(self, start: int, freq: int) -> None:
-        state = freq * (self.state >> 12) + (self.state & (Q12 - 1)) - start
-        while state < LOWER:
-            if self.at >= len(self.blob):
-                raise ValueError("truncated stream")
-            state = (state << 8) | self.blob[self.at]
-            self.at += 1
-        self.state = state
-
-    def close(self) -> None:
-        if self.at != len(self.blob) or self.state != LOWER:
-            raise ValueError("stream does not end where it should")
-
-
 class LaneWriter:
     """As many states as lanes; runs of symbols go in from the last to the first."""
 
@@ -261,7 +218,7 @@ class Model:
 MEMBERS = (
     "metadata.bz2", "graph.bz2", "base_probability.bz2", "shared_odds.u32", "support.rans", "value_q1.bz2", "value_group.bz2", "value_base_k.bz2", "value_odds.u32", "value_cond_k.bz2", "values.rans",
 )
-METADATA = "047-exact-metadata-v1"
+METADATA = "countloom-axes-1"
 
 
 def buckets_of(q: np.ndarray, edges: tuple[int, ...]) -> np.ndarray:
@@ -292,8 +249,7 @@ def digest_of(n: int, genes: int, ptr: np.ndarray, g: np.ndarray, v: np.ndarray)
 def metadata_bytes(spot_ids: list, gene_ids: list, xy: np.ndarray) -> bytes:
     """The metadata document, the same bytes for the same contents."""
     meta = {
-        "schema": METADATA, "spot_ids": spot_ids, "gene_ids": gene_ids, "coordinates_shape": list(xy.shape), "coordinates_dtype": xy.dtype.str,
-        "coordinates_base64": base64.b64encode(np.ascontiguousarray(xy).tobytes()).decode(),
+        "form": METADATA, "rows": spot_ids, "columns": gene_ids, "places": {"shape": list(xy.shape), "type": xy.dtype.str, "base64": base64.b64encode(np.ascontiguousarray(xy).tobytes()).decode()},
     }
     return (json.dumps(meta, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n").encode()
 

@@ -198,14 +198,14 @@ def decode_archives(archives: DataFrame) -> DataFrame:
 def _axes(name: str, meta: dict) -> pd.DataFrame:
     import base64
 
-    kind = np.dtype(meta["coordinates_dtype"])
-    if set(meta) != {"schema", "spot_ids", "gene_ids", "coordinates_shape", "coordinates_dtype", "coordinates_base64"} or kind.kind not in "iuf":
+    places = meta.get("places", {})
+    if set(meta) != {"form", "rows", "columns", "places"} or set(places) != {"shape", "type", "base64"} or np.dtype(places["type"]).kind not in "iuf":
         raise ValueError("metadata fields")
-    xy = np.frombuffer(base64.b64decode(meta["coordinates_base64"], validate=True), kind).reshape(meta["coordinates_shape"]).astype(np.float64)
-    if xy.shape != (len(meta["spot_ids"]), 2) or not np.isfinite(xy).all():
+    xy = np.frombuffer(base64.b64decode(places["base64"], validate=True), np.dtype(places["type"])).reshape(places["shape"]).astype(np.float64)
+    if xy.shape != (len(meta["rows"]), 2) or not np.isfinite(xy).all():
         raise ValueError("coordinates")
-    spots = pd.DataFrame({"sample_id": name, "axis": "spot", "pos": np.arange(len(xy)), "label": meta["spot_ids"], "x": xy[:, 0], "y": xy[:, 1]})
-    genes = pd.DataFrame({"sample_id": name, "axis": "gene", "pos": np.arange(len(meta["gene_ids"])), "label": meta["gene_ids"], "x": np.nan, "y": np.nan})
+    spots = pd.DataFrame({"sample_id": name, "axis": "spot", "pos": np.arange(len(xy)), "label": meta["rows"], "x": xy[:, 0], "y": xy[:, 1]})
+    genes = pd.DataFrame({"sample_id": name, "axis": "gene", "pos": np.arange(len(meta["columns"])), "label": meta["columns"], "x": np.nan, "y": np.nan})
     return pd.concat([spots, genes])
 
 

@@ -213,26 +213,19 @@ def test_archives_are_decoded_from_themselves(spark, tmp_path, k, exceptions):
             coder.decode_members({**parts, name: parts[name][:-1]}, info)
 
 
-def test_lanes_and_a_single_state_code_alike():
-    """Both coders spend what the symbols cost, and give the symbols back."""
+def test_lanes_spend_what_symbols_cost():
+    """And give the symbols back; damage is refused."""
     rng = np.random.default_rng(6)
     q = rng.integers(1, 4096, 5000)
     bits = rng.random(5000) < q / 4096
     start, freq = np.where(bits, 4096 - q, 0), np.where(bits, q, 4096 - q)
-    one, many = coder.Writer(), coder.LaneWriter(16)
-    for s, f in zip(start[::-1].tolist(), freq[::-1].tolist(), strict=True):
-        one.put(s, f)
+    many = coder.LaneWriter(16)
     many.put(start, freq)
     cost = float((12 - np.log2(freq)).sum())
-    assert abs(8 * len(one.bytes()) - cost) < 50 and abs(8 * len(many.bytes()) - cost) < 50 + 48 * 16
+    assert abs(8 * len(many.bytes()) - cost) < 50 + 48 * 16
     src = coder.LaneReader(many.bytes())
     assert (src.flags(q) == bits).all()
     src.close()
-    back = coder.Reader(one.bytes())
-    for s, f, p in zip(start.tolist(), freq.tolist(), q.tolist(), strict=True):
-        assert (back.peek() >= 4096 - p) == (s > 0 or f == p and s == 4096 - p)
-        back.take(s, f)
-    back.close()
     for bad in (many.bytes()[:-2], many.bytes() + b"\0\0", b"\1\0\0\0\0\0\0\0", b"ab"):
         with pytest.raises(ValueError):
             r = coder.LaneReader(bad)
@@ -308,20 +301,6 @@ def test_permutations_are_numpys(spark):
     assert [i for _, i in got] == np.random.default_rng(23).permutation(9).tolist()
 
 
-def test_streams_refuse_damage():
-    w = coder.Writer()
-    for s in [(0, 2048), (2048, 2048)] * 50:
-        w.put(*s)
-    blob = w.bytes()
-    for bad in (blob[:-1], blob + b"\0", b"\0" * len(blob), b"ab"):
-        with pytest.raises(ValueError):
-            r = coder.Reader(bad)
-            for _ in range(100):
-                one = r.peek() >= 2048
-                r.take(2048 if one else 0, 2048)
-            r.close()
-
-
 @pytest.mark.parametrize("v", [1.5, -1.0, float("nan"), 4294967296.0, None])
 def test_values_out_of_range(spark, v):
     bad = spark.createDataFrame([("s", 0, 0, v)], "sample_id string, i bigint, g bigint, v double")
