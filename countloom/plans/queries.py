@@ -12,6 +12,7 @@ from ..operators import cohort, description, graph, layout, support, values
 from ..operators.study import Study
 from ..sources import matrix
 from ..sources.matrix import CountMatrix, from_tables
+from ..sources.shared import drop_unread
 from . import audits, oracles, storage
 from .inputs import Query, members, people, results, tidy
 
@@ -330,5 +331,13 @@ QUERIES: dict[str, Query] = {
 
 QUERIES |= storage.QUERIES | audits.QUERIES
 
+
+def _lean(query: Query) -> Query:
+    """The query without the tables that were only steps on the way to its result."""
+    return lambda spark, d: drop_unread(spark, lambda: query(spark, d))
+
+
+QUERIES = {name: _lean(query) for name, query in QUERIES.items()}
+
 #: DuckDB twins.
 ORACLE: dict[str, str] = oracles.ORACLE | storage.ORACLE | audits.ORACLE

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +148,42 @@ def gzip_sink(spark: SparkSession, d: str) -> DataFrame:
     return tidy(spark.read.schema("sample_id string, i bigint, g bigint, v bigint").parquet(path))
 
 
+def csv_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with commas, quotes and nothing in them, through CSV and back."""
+    c, path = spark.read.parquet(f"{d}/customer.parquet"), fresh_path(spark, "csv")
+    label = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    rows = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 9 != 0, label).alias("label"), F.col("c_acctbal").alias("balance"))
+    tables.write_csv(rows, path)
+    return tidy(tables.read_csv(spark, path, "k bigint, label string, balance double"))
+
+
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of results are good, torn, and of keys that occur twice."""
+    r, path = results(spark, d), fresh_path(spark, "jsonl")
+    line = F.to_json(F.struct("sample_id", "arm", "status", "total_bytes", "n_lines"))
+    torn = F.when(F.col("n_lines") % 13 == 0, F.substring(line, 1, 20)).otherwise(line)
+    r.select(torn.alias("value")).unionByName(r.where("n_lines % 4 = 0").select(torn.alias("value"))).write.text(path)
+    good, bad, twice = tables.read_jsonl(spark, path, r.select("sample_id", "arm", "status", "total_bytes", "n_lines").schema, ["sample_id", "arm"])
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return tidy(count(good, "good").unionByName(count(bad, "bad")).unionByName(count(twice, "twice")))
+
+
+def exclusive_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Results written where nothing is yet, by platform; a second write is refused and changes nothing."""
+    r, path = results(spark, d).select("sample_id", "arm", "platform", "n_lines"), fresh_path(spark, "exclusive")
+    tables.write_exclusive(r, path, ["platform"])
+    try:
+        tables.write_exclusive(r.limit(1), path, ["platform"])
+        refused = False
+    except AnalysisException as e:
+        refused = e.getCondition() == "PATH_ALREADY_EXISTS"
+    return tidy(spark.read.parquet(path).select("sample_id", "arm", F.col("platform").cast("string").alias("platform"), "n_lines", F.lit(refused).alias("refused")))
+
+
 QUERIES: dict[str, Query] = {
+    "io16_csv_labels": csv_labels,
+    "io17_json_lines": json_lines,
+    "io18_exclusive_sink": exclusive_sink,
     "io1_bundles": bundles,
     "io1_bundle_faults": bundle_faults,
     "a22_hash_tree": hash_tree,
@@ -197,6 +233,9 @@ per AS (SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, count(*) FILTER
 
 
 ORACLE: dict[str, str] = {
+    "io16_csv_labels": "SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 9 <> 0 THEN c_name || ', \"' || c_mktsegment || '\"' END AS label, round(c_acctbal, 6) AS balance FROM customer",
+    "io17_json_lines": oracles.RESULTS + ", l AS (SELECT n_lines FROM r UNION ALL SELECT n_lines FROM r WHERE n_lines % 4 = 0) SELECT 'good' AS kind, count(*) FILTER (WHERE n_lines % 13 <> 0) AS n FROM l UNION ALL SELECT 'bad', count(*) FILTER (WHERE n_lines % 13 = 0) FROM l UNION ALL SELECT 'twice', count(*) FILTER (WHERE n_lines % 4 = 0 AND n_lines % 13 <> 0) FROM r",
+    "io18_exclusive_sink": oracles.RESULTS + "SELECT sample_id, arm, platform, CAST(n_lines AS BIGINT) AS n_lines, true AS refused FROM r",
     "io1_bundle_faults": oracles.of_matrix("SELECT 'A' AS sample_id, 'spot_count' AS fault, 1 AS n UNION ALL SELECT 'N', 'spot_label', count(*) FROM s WHERE i % 10 = 4 UNION ALL SELECT 'R', 'coordinates', count(*) FROM s WHERE i % 7 = 3", "sample_id:s fault:s n:i"),
     "a22_hash_tree": oracles.of_matrix(" UNION ALL ".join(f"SELECT sample_id, {n} AS level, node, cells, h AS sha256 FROM t{n}" for n in range(1, 5)), "sample_id:s level:i node:i cells:i sha256:s", _levels("t", "counts")),
     "p7_block_compare": oracles.of_matrix(

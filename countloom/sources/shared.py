@@ -7,13 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_materialised: set[str] = set()
 _tables: list[str] = []
 
 
@@ -68,6 +69,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     if local(df.sparkSession) and ("://" not in path or path.startswith("file://")):
         _tables.append(path.removeprefix("file://"))
     df.write.parquet(path)
+    _materialised.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._countloom_path = path
     return out
@@ -103,6 +105,18 @@ def scoped_tables(spark: SparkSession) -> Iterator[None]:
         _delete(spark, gone)
 
 
+def drop_unread(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives; of the tables that ``materialise`` wrote meanwhile, those that its plan does not read go."""
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(own)
+    result = build()
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in result.inputFiles()}
+    gone = [p for p in own if p not in before and p in _materialised and p.rsplit("/", 1)[1] not in read]
+    own[:] = [p for p in own if p not in gone]
+    _delete(spark, gone)
+    return result
+
+
 def discard_all(spark: SparkSession) -> None:
     """Deletes all that this application has written here; results that are still to be read go with it."""
     _delete(spark, _written.pop(spark.sparkContext.applicationId, []))

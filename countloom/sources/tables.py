@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Headed CSV of a given schema; a byte order mark is no part of the first name."""
-    return spark.read.option("enforceSchema", "false").csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """Headed CSV of a given schema; a byte order mark is no part of the first name, and an empty value is null. Values with line breaks need ``multi_line``, and then a file is one task."""
+    return spark.read.option("enforceSchema", "false").csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=multi_line)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

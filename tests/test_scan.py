@@ -83,6 +83,18 @@ def test_scoped_tables(spark):
     assert set(os.listdir(folder)) == before and kept.count() == 3
 
 
+@pytest.mark.parametrize("name, most", [("m10_code_length_k32", 12), ("a8_sufficient_statistics", 4), ("w4_row_pointers", 3), ("canonical_counts", 1)])
+def test_queries_leave_what_their_results_read(spark, small, name, most):
+    from countloom.plans.queries import QUERIES
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = QUERIES[name](spark, small)
+    left = set(os.listdir(folder)) - before
+    read = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert left <= read and len(left) <= most and got.count() > 0
+
+
 @pytest.mark.parametrize("given, known", [("/ck", "viewfs://cluster/ck"), ("file:{tmp}/", "file://{tmp}"), ("file://{tmp}", "file://{tmp}")])
 def test_folder_is_named_with_its_file_system(tmp_path, given, known):
     """A checkpoint folder without a scheme is where Spark writes it, not where the machine would."""
