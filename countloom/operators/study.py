@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import BUCKET_EDGES, bucket
 from ..sources.matrix import CountMatrix
-from ..sources.shared import materialise
+from ..sources.shared import materialise, together
 from . import arms as many
 from . import graph as graphs
 from . import support, values
@@ -29,8 +29,8 @@ class Study:
         """
         self.once = once
         self.width, self.widths = width, tuple(sorted({width, *widths}))
-        self.m = CountMatrix(m.counts, materialise(m.spots, "spots"), materialise(m.genes, "genes"))
-        self.graph = materialise(graph if graph is not None else graphs.causal_neighbours(self.m.spots, max(self.widths)), "graph")
+        self.m = CountMatrix(m.counts, *together(lambda: materialise(m.spots, "spots"), lambda: materialise(m.genes, "genes")))
+        self._given = graph
         self._profiles: dict[int, DataFrame] = {}
         self._late: dict[int, DataFrame] = {}
         self._events: dict[tuple[int, int], DataFrame] = {}
@@ -38,8 +38,8 @@ class Study:
     def of_graph(self, graph: DataFrame) -> Study:
         """The same matrix with another graph."""
         other = object.__new__(Study)
-        other.__dict__ = {k: v for k, v in self.__dict__.items() if k != "cells"}
-        other.graph, other._late, other._events = materialise(graph, "graph"), {}, {}
+        other.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("cells", "graph")}
+        other._given, other._late, other._events = graph, {}, {}
         return other
 
     def of_profiles(self, k: int, profiles: DataFrame) -> Study:
@@ -49,6 +49,10 @@ class Study:
         other._profiles, other._events = {k: materialise(profiles, "profiles")}, {}
         return other
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        return materialise(self._given if self._given is not None else graphs.causal_neighbours(self.m.spots, max(self.widths)), "graph")
+
     @cached_property
     def cells(self) -> DataFrame:
         cells = support.neighbour_cells(self.m, self.graph, self.widths)
@@ -102,6 +106,9 @@ class Study:
 
     def total_bits(self, k: int = 32, edges: tuple[int, ...] = BUCKET_EDGES, width: int | None = None, value_width: int | None = None, shared: bool = True, exceptions: bool = False) -> DataFrame:
         """(sample_id, support_bits, value_bits, total_bits)."""
+        own, other = (self.width if w is None else w for w in (width, value_width))
+        together(lambda: self.cells if own or other else None, lambda: self._marginals, lambda: self.profiles(k))
+        together(lambda: self.late(own) if own else None, lambda: self.events(k, other))
         s = self.support_bits(edges, width).groupBy("sample_id").agg(F.sum("bits").alias("support_bits"))
         v = self.value_bits(k, value_width, shared, exceptions).groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("value_bits"))
         return s.join(v, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import U32
 from ..operators.scan import scan
-from .shared import materialise
+from .shared import materialise, together
 
 MAX_DIM, MAX_CELLS = 2_000_000, 500_000_000
 
@@ -137,8 +137,7 @@ def from_tables(spark: SparkSession, sf_dir: str, measure: str = "quantity") ->
     tens, which has explicit zeros).
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    s = ordinals(read("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", "i")
-    g = ordinals(read("part").select("p_partkey", "p_name"), "p_partkey", "g")
+    s, g = together(lambda: ordinals(read("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", "i"), lambda: ordinals(read("part").select("p_partkey", "p_name"), "p_partkey", "g"))
     value = {"count": F.lit(1), "quantity": F.col("l_quantity"), "tens": F.floor(F.col("l_quantity") / 10)}[measure]
     # Lines are combined by cell before they meet the axes, and read once.
     cells = read("lineitem").groupBy(F.col("l_returnflag").alias("sample_id"), "l_suppkey", "l_partkey").agg(F.sum(value.cast("bigint")).alias("v"))

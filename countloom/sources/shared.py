@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def together(*steps: Callable[[], object]) -> list:
+    """What the steps give, run side by side: Spark fills the gaps that one small job leaves with another's tasks."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
