@@ -14,8 +14,12 @@ log = logging.getLogger("jobs")
 
 
 def load_config(spark: SparkSession, path: str, defaults: dict[str, Any]) -> dict[str, Any]:
-    """A JSON object over ``defaults``; unknown names are an error. The path may be remote."""
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    """A JSON object over ``defaults``; unknown names are an error. A path is on the driver's machine, a URI anywhere that Spark reads."""
+    if "://" in path:
+        text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     given = json.loads(text)
     if unknown := set(given) - set(defaults):
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
@@ -24,7 +28,7 @@ def load_config(spark: SparkSession, path: str, defaults: dict[str, Any]) -> dic
 
 def own_config(module_file: str) -> str:
     """The configuration file beside a job."""
-    return "file://" + os.path.abspath(module_file.removesuffix(".py") + ".json")
+    return os.path.abspath(module_file.removesuffix(".py") + ".json")
 
 
 def run_alone(name: str, work: Callable[[SparkSession], None]) -> None:

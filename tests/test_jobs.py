@@ -30,6 +30,20 @@ def test_config(spark, tmp_path):
         assert set(common.load_config(spark, common.own_config(module.__file__), module.DEFAULTS)) == set(module.DEFAULTS)
 
 
+def test_command_lines(spark, small, tmp_path):
+    """Both jobs from the command line, the second one twice."""
+    base = [sys.executable, "-m"]
+    run = lambda *a: subprocess.run([*base, *a], cwd=re.sub(r"/tests/[^/]*$", "", __file__), timeout=300, capture_output=True, text=True)
+    (tmp_path / "c.json").write_text(json.dumps({"least_documents": 3}))
+    done = run("jobs.count_matrix", "--documents", f"{small}/documents.parquet", "--output", f"{tmp_path}/matrix", "--config", f"{tmp_path}/c.json")
+    assert done.returncode == 0 and "count_matrix: wrote" in done.stderr, done.stderr[-2000:]
+    assert spark.read.parquet(f"{tmp_path}/matrix/terms").selectExpr("min(documents)").first()[0] == 3
+    for want in ("batch 0 read", "'batches': 0"):
+        done = run("jobs.cohort_snapshot", "--attempts", f"{small}/events.parquet", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/mark")
+        assert done.returncode == 0 and want in done.stderr, done.stderr[-2000:]
+    assert cohort_snapshot.read(spark, f"{tmp_path}/out").count() > 0
+
+
 # -- count_matrix ------------------------------------------------------------------
 
 
