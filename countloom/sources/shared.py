@@ -10,12 +10,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
-_materialised: set[str] = set()
+#: Tables of the block of work that is going on in this thread.
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 _tables: list[str] = []
 
 
@@ -69,8 +71,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     if local(df.sparkSession) and ("://" not in path or path.startswith("file://")):
         _tables.append(path.removeprefix("file://"))
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     df.write.parquet(path)
-    _materialised.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._countloom_path = path
     return out
@@ -79,7 +82,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def together(*steps: Callable[[], object]) -> list:
     """What the steps give, run side by side: Spark fills the gaps that one small job leaves with another's tasks."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [f.result() for f in [pool.submit(s) for s in steps]]
+        return [f.result() for f in [pool.submit(copy_context().run, s) for s in steps]]
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
@@ -99,28 +102,34 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, [path])
 
 
+def _forget(spark: SparkSession, paths: list[str]) -> None:
+    own = _written.get(spark.sparkContext.applicationId, [])
+    own[:] = [p for p in own if p not in paths]
+    _delete(spark, paths)
+
+
 @contextmanager
 def scoped_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside go when the block ends, well or not. For work whose result is written elsewhere."""
-    own = _written.setdefault(spark.sparkContext.applicationId, [])
-    before = set(own)
+    """Tables that ``materialise`` writes inside go when the block ends, well or not. For work whose result is written elsewhere."""
+    token = _scope.set([])
     try:
         yield
     finally:
-        gone = [p for p in own if p not in before]
-        own[:] = [p for p in own if p in before]
-        _delete(spark, gone)
+        made = _scope.get()
+        _scope.reset(token)
+        _forget(spark, made)
 
 
 def drop_unread(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` gives; of the tables that ``materialise`` wrote meanwhile, those that its plan does not read go."""
-    own = _written.setdefault(spark.sparkContext.applicationId, [])
-    before = set(own)
-    result = build()
+    token = _scope.set([])
+    try:
+        result = build()
+        made = _scope.get()
+    finally:
+        _scope.reset(token)
     read = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in result.inputFiles()}
-    gone = [p for p in own if p not in before and p in _materialised and p.rsplit("/", 1)[1] not in read]
-    own[:] = [p for p in own if p not in gone]
-    _delete(spark, gone)
+    _forget(spark, [p for p in made if p.rsplit("/", 1)[1] not in read])
     return result
 
 

@@ -10,10 +10,24 @@ from pyspark.sql import functions as F
 
 from countloom.operators.scan import ranges, scan
 from countloom.operators.skew import join_by_frequency
-from countloom.sources import matrix
+from countloom.sources import matrix, shared
 from countloom.sources.shared import materialise, scoped_tables, shared_dir
 
 
+_fresh: list[str] = []
+
+
+@pytest.fixture(autouse=True)
+def note_paths(monkeypatch):
+    real = shared.fresh_path
+
+    def fresh(spark, tag):
+        _fresh.append(real(spark, tag))
+        return _fresh[-1]
+
+    monkeypatch.setattr(shared, "fresh_path", fresh)
+
+
 @pytest.fixture(params=[4, 211])
 def partitions(spark, request):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -72,25 +86,39 @@ def test_join_by_frequency(spark):
     assert join_by_frequency(rows, keys.where("false"), "k", "n").count() == 0
 
 
-def test_scoped_tables(spark):
+def own_tables(spark):
+    """Names in the shared folder that this process wrote; another one may use the folder as well."""
     folder = shared_dir(spark).removeprefix("file://")
+    return {p.rsplit("/", 1)[1] for p in _fresh} & set(os.listdir(folder))
+
+
+def test_scoped_tables(spark):
     kept = materialise(spark.range(3), "kept")
-    before = set(os.listdir(folder))
+    before = own_tables(spark)
     with pytest.raises(ZeroDivisionError), scoped_tables(spark):
         materialise(spark.range(5), "gone")
-        assert set(os.listdir(folder)) > before
+        assert own_tables(spark) > before
         raise ZeroDivisionError
-    assert set(os.listdir(folder)) == before and kept.count() == 3
+    assert own_tables(spark) == before and kept.count() == 3
+
+
+def test_queries_side_by_side(spark, small):
+    """What one drops is never another's."""
+    from countloom.plans.queries import QUERIES
+    from countloom.sources.shared import together
+
+    names = ("w4_row_pointers", "a1_gene_marginals", "w7_canonical_order")
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, small).collect()))
+    assert together(*[lambda n=n: rows(n) for n in names * 2]) == [rows(n) for n in names * 2]
 
 
 @pytest.mark.parametrize("name, most", [("m10_code_length_k32", 12), ("a8_sufficient_statistics", 4), ("w4_row_pointers", 3), ("canonical_counts", 1)])
 def test_queries_leave_what_their_results_read(spark, small, name, most):
     from countloom.plans.queries import QUERIES
 
-    folder = shared_dir(spark).removeprefix("file://")
-    before = set(os.listdir(folder))
+    before = own_tables(spark)
     got = QUERIES[name](spark, small)
-    left = set(os.listdir(folder)) - before
+    left = own_tables(spark) - before
     read = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
     assert left <= read and len(left) <= most and got.count() > 0
 
