@@ -40,7 +40,7 @@ QUERIES = {"job1_count_matrix": job1_count_matrix, "job2_cohort_snapshot": job2_
 
 ORACLE: dict[str, str] = {
     "job1_count_matrix": """
-WITH d AS (SELECT coalesce(source, 'unknown') AS sample_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+WITH d AS (SELECT coalesce(nullif(source, ''), 'unknown') AS sample_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 r AS (SELECT sample_id, doc_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY doc_id NULLS FIRST) - 1 AS BIGINT) AS i FROM (SELECT DISTINCT sample_id, doc_id FROM d)),
 c AS (SELECT sample_id, doc_id, term, CAST(count(*) AS BIGINT) AS v FROM (SELECT sample_id, doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM d) GROUP BY ALL),
 g AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS g FROM (SELECT term FROM c GROUP BY term HAVING count(*) >= 2)),
@@ -50,7 +50,7 @@ p AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sample_id ORDER BY i) AS BIGINT)
 SELECT p.sample_id, p.i, p.doc_id, CAST(ptr_hi - n AS BIGINT) AS ptr_lo, ptr_hi, x.g, x.term, x.v FROM p LEFT JOIN x USING (sample_id, i)
 """,
     "job2_cohort_snapshot": """
-WITH a AS (SELECT concat('s', user_id) AS sample_id, event_type AS arm, event_id AS attempt, ts, CASE WHEN value >= 5 THEN 'success' ELSE 'failed' END AS status, CAST(round(value * 100) AS BIGINT) AS bytes
+WITH a AS (SELECT concat('s', user_id) AS sample_id, event_type AS arm, event_id AS attempt, ts, CASE WHEN value >= 5 THEN 'success' ELSE 'failed' END AS status, TRY_CAST(round(value * 100) AS BIGINT) AS bytes
            FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND event_id IS NOT NULL),
 o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY sample_id, arm, attempt ORDER BY ts DESC NULLS LAST, status DESC, bytes DESC NULLS LAST) = 1),
 f AS (SELECT *, sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, arm ORDER BY attempt ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS failed FROM o),

@@ -15,7 +15,7 @@ A rerun gives the same files' contents: positions follow from ids and terms alon
 With --samples only these samples' partitions are written anew, by dynamic partition
 overwrite (terms still come from all documents, and must be those that are there).
 
-Null samples get a name of their own; a null doc_id is the least id; rows that repeat a
+Null and empty samples get one name; a null doc_id is the least id; rows that repeat a
 doc_id within a sample are one row, and their counts add up; null texts have no terms.
 """
 
@@ -48,7 +48,8 @@ def build(spark: SparkSession, documents: str, output: str, config: dict[str, An
     """Writes the matrices; returns how many rows were read and written."""
     config = DEFAULTS | (config or {})
     table = spark.read.parquet(documents)
-    docs = table.select(F.coalesce(F.col(f"`{config['sample']}`").cast("string"), F.lit(config["unnamed"])).alias("sample_id"), "doc_id", "text")
+    sample = F.col(f"`{config['sample']}`").cast("string")
+    docs = table.select(F.coalesce(F.nullif(sample, F.lit("")), F.lit(config["unnamed"])).alias("sample_id"), "doc_id", "text")
     with scoped_tables(spark):
         counted = materialise(term_counts(docs, config["word"]), "terms")
         seen = counted.groupBy("term").agg(F.count("*").alias("documents")).where(F.col("documents") >= config["least_documents"])

@@ -48,7 +48,7 @@ def test_command_lines(spark, small, tmp_path):
 
 
 DOCS = [
-    (1, "a b a", "s1"), (2, "", "s1"), (3, None, "s1"), (5, "B c!", "s1"), (5, "b b", "s1"), (None, "a", "s1"), (7, "a only", None), (8, "zz", "unknown"), (9, "c a é", "007"), (1, "é", "2024-01-01"),
+    (1, "a b a", "s1"), (2, "", "s1"), (3, None, "s1"), (5, "B c!", "s1"), (5, "b b", "s1"), (None, "a", "s1"), (7, "a only", None), (8, "zz", "unknown"), (9, "c a é", "007"), (1, "é", "2024-01-01"), (11, "a b", ""), (12, "a", "x/y=z %"),
 ]
 
 
@@ -82,7 +82,7 @@ def test_count_matrix(spark, tmp_path):
     t = count_matrix.read(spark, out)
     assert {(r["sample_id"], r["doc_id"]): r["i"] for r in t["rows"].collect()} == order
     assert all(r["within"] and r["genes"] == t["terms"].count() for r in t["report"].collect())
-    assert {p.name for p in (tmp_path / "out" / "cells").glob("sample_id=*")} == {"sample_id=s1", "sample_id=unknown", "sample_id=007"}
+    assert {p.name for p in (tmp_path / "out" / "cells").glob("sample_id=*")} == {"sample_id=s1", "sample_id=unknown", "sample_id=007", "sample_id=x%2Fy%3Dz %25"}
     assert count_matrix.build(spark, docs, out) == first and cells(spark, out) == want
     assert first["documents_read"] == len(DOCS) and first["cells_written"] == len(want)
 
