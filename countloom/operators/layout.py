@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources import archive
 from ..sources.matrix import CountMatrix, few, from_compressed, row_pointers, to_compressed
+from . import cohort
 from .scan import scan
 
 
@@ -195,36 +195,10 @@ def value_runs(counts: DataFrame) -> DataFrame:
     return counts.groupBy("sample_id", "g", "v").agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("i")).cast("array<string>")).alias("is_text"))
 
 
-def digests(m: CountMatrix) -> DataFrame:
-    """(sample_id, digest) of the canonical compressed rows, as SHA-256 of little-endian 64-bit integers."""
-    from . import coder
-
-    return coder.digest(m)
-
-
-def entropy_round_trip(m: CountMatrix) -> DataFrame:
-    """(sample_id, support_bytes, value_bytes, support_bits, value_bits, exact): both streams coded and decoded."""
-    from . import coder
-
-    return coder.round_trip(m)
-
-
-def archive_round_trip(m: CountMatrix) -> DataFrame:
-    return archive.round_trip(m)
-
-
-def comparators(m: CountMatrix) -> DataFrame:
-    from . import coder
-
-    return coder.comparators(m)
-
-
 def pin_bridge(a: DataFrame, b: DataFrame) -> DataFrame:
-    from .cohort import pin_bridge as bridge
-
     path = F.concat(F.col("archive_id").cast("string"), F.lit("/"), F.col("member")).alias("path")
     rows = lambda x: x.select(path, "sha256")
-    return bridge(rows(a), rows(b), rows(a.where("archive_id % 2 = 0")))
+    return cohort.pin_bridge(rows(a), rows(b), rows(a.where("archive_id % 2 = 0")))
 
 
 def member_sets(a: DataFrame, b: DataFrame) -> DataFrame:

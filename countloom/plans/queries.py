@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import cohort, description, graph, layout, support, values
+from ..operators import coder, cohort, description, graph, layout, support, values
 from ..operators.study import Study
-from ..sources import matrix
+from ..sources import archive, matrix
 from ..sources.matrix import CountMatrix, from_tables
 from ..sources.shared import drop_unread
 from . import audits, oracles, storage
@@ -276,9 +276,9 @@ QUERIES: dict[str, Query] = {
     "m6_rate_clusters": lambda s, d: tidy(description.cluster_samples(values.profiles(from_tables(s, d)).select("sample_id", "g", "n", "a"))),
     "m6_description_length": _study(described),
     "m6_description_of_ranks": _study(lambda st: described(st, 0)),
-    "m8_m9_entropy_round_trip": lambda s, d: tidy(layout.entropy_round_trip(from_tables(s, d))),
-    "io9_archive_round_trip": lambda s, d: tidy(layout.archive_round_trip(from_tables(s, d))),
-    "c8_comparators": lambda s, d: tidy(layout.comparators(from_tables(s, d))),
+    "m8_m9_entropy_round_trip": lambda s, d: tidy(coder.round_trip(from_tables(s, d))),
+    "io9_archive_round_trip": lambda s, d: tidy(archive.round_trip(from_tables(s, d))),
+    "c8_comparators": lambda s, d: tidy(coder.comparators(from_tables(s, d))),
     # layout and order
     "w4_row_pointers": _matrix(lambda m: matrix.row_pointers(m.counts, m.spots)),
     "w5_gaps": _matrix(lambda m: layout.gaps(m.counts)),
@@ -288,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "w8_inverse_order": _matrix(lambda m: layout.inverse_order(layout.canonical_order(m))),
     "w9_mean_sort": _matrix(values.mean_sort),
     "c11_value_runs": _matrix(lambda m: layout.value_runs(m.counts), "count"),
-    "a22_digest": lambda s, d: tidy(layout.digests(from_tables(s, d))),
+    "a22_digest": lambda s, d: tidy(coder.digest(from_tables(s, d))),
     # cohorts
     "j9_coverage": lambda s, d: tidy(cohort.coverage((r := results(s, d)).select("sample_id").distinct(), _arms(r), r.where("n_lines % 3 <> 0"))),
     "a20_status_counts": lambda s, d: tidy(cohort.status_counts(cohort.coverage((r := results(s, d)).select("sample_id").distinct(), _arms(r), r.where("n_lines % 3 <> 0")))),
