@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.matrix import few
-from ..sources.shared import materialise
 from .quantiles import quantiles
 
 STRATA = ("platform", "species", "organ")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashtree, layout, resume
-from ..sources import archive, matrix, reader, tables
+from ..sources import archive, reader, tables
 from ..sources.matrix import CountMatrix, few, from_tables
 from ..sources.shared import fresh_path, materialise
 from . import oracles
