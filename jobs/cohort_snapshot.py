@@ -19,6 +19,9 @@ buckets. The snapshot depends on the attempts alone, not on how they were cut in
 batches; if a run is killed between the two writes, its batch runs again and both come out
 the same.
 
+Every batch adds a folder to each bucket that it touches; ``files_per_batch`` says how much one
+takes, and ``buckets`` how finely work is cut (it must stay the same for an output).
+
 Attempts whose sample, arm or attempt is null cannot be placed; they are logged and kept
 under bucket=-1, out of the snapshot. Null statuses count as failed, null bytes are never best.
 """

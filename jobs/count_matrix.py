@@ -34,7 +34,7 @@ from countloom.sources.shared import materialise, scoped_tables
 
 from .common import load_config, log, own_config, run_alone
 
-DEFAULTS: dict[str, Any] = {"sample": "source", "unnamed": "unknown", "word": "[a-z0-9]+", "least_documents": 2, "rows_per_file": 5_000_000}
+DEFAULTS: dict[str, Any] = {"sample": "source", "unnamed": "unknown", "word": "[a-z0-9]+", "least_documents": 2, "rows_per_task": 50_000, "records_per_file": 5_000_000}
 
 
 def term_counts(docs: DataFrame, word: str) -> DataFrame:
@@ -66,9 +66,9 @@ def build(spark: SparkSession, documents: str, output: str, config: dict[str, An
         # Whole tables are replaced, single samples by their partitions only.
         how = "static" if samples is None else "dynamic"
         for name, part, key in (("cells", cells.select("sample_id", "i", "g", "v"), ["i", "g"]), ("rows", pointers.select("sample_id", "i", "doc_id", "ptr_lo", "ptr_hi"), ["i"])):
-            # A sample of many rows is several tasks and files.
-            spread = part.where(wanted).repartition("sample_id", F.floor(F.col("i") / F.lit(config["rows_per_file"]))).sortWithinPartitions("sample_id", *key)
-            spread.write.mode("overwrite").option("partitionOverwriteMode", how).option("maxRecordsPerFile", config["rows_per_file"]).partitionBy("sample_id").parquet(f"{output}/{name}")
+            # A sample of many rows is several tasks and files: a task sorts and writes the cells of so many rows.
+            spread = part.where(wanted).repartition("sample_id", F.floor(F.col("i") / F.lit(config["rows_per_task"]))).sortWithinPartitions("sample_id", *key)
+            spread.write.mode("overwrite").option("partitionOverwriteMode", how).option("maxRecordsPerFile", config["records_per_file"]).partitionBy("sample_id").parquet(f"{output}/{name}")
         terms.select("g", "term", "documents").write.mode("overwrite").parquet(f"{output}/terms")
         sizes.write.mode("overwrite").parquet(f"{output}/report")
         done = {"documents_read": table.count()}
