@@ -162,8 +162,9 @@ def frequent_shingles(docs: DataFrame, floor: float = FLOOR) -> tuple[np.ndarray
 
     if not some.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64), total
-    rows = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    # At most (shingles a document) / floor rows of 16 bytes, as columns.
+    rows = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order], total
 
