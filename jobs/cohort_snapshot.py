@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import argparse
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def arriving(spark: SparkSession, attempts: str) -> DataStreamReader:
     """A stream of a folder's files, or of a single file, for which its folder is watched."""
     now = spark.read.parquet(attempts)
     folder, name = attempts.rstrip("/").rsplit("/", 1)
-    one = [f.rsplit("/", 1)[1] for f in now.inputFiles()] == [name]
+    one = [unquote(f.rsplit("/", 1)[1]) for f in now.inputFiles()] == [name]
     stream = spark.readStream.format("parquet").schema(now.schema)
     return stream.option("path", folder).option("pathGlobFilter", name) if one else stream.option("path", attempts)
 

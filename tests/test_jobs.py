@@ -177,6 +177,20 @@ def test_many_small_batches(spark, tmp_path):
     assert standing(spark, out) == brute(rows)
 
 
+def test_single_file(spark, tmp_path):
+    """One file among others, of a name that URIs encode: taken once, and again only if another of its name comes."""
+    rows = attempts(40)
+    table(spark, rows).coalesce(1).write.parquet(f"file://{tmp_path}/w")
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    next((tmp_path / "w").glob("*.parquet")).rename(folder / "at tempts.parquet")
+    table(spark, attempts(90)).coalesce(1).write.parquet(str(folder / "other.parquet"))
+    out, mark = (f"file://{tmp_path}/{n}" for n in ("out", "mark"))
+    for n in (len(rows), 0):
+        assert cohort_snapshot.update(spark, f"{folder}/at tempts.parquet", out, mark, CONFIG)["attempts_read"] == n
+        assert standing(spark, out) == brute(rows)
+
+
 @pytest.mark.parametrize("when", ["before", "after"])
 def test_killed_run(spark, tmp_path, monkeypatch, when):
     """A run that ends between its two writes, or before its batch is marked, runs the batch again without loss or repeat."""
