@@ -12,7 +12,7 @@ from .decontaminate import find_contamination
 from .exact_dups import exact_duplicates
 from .mix import mix_sources
 from .secrets import scan_secrets
-from .store import small_batches
+from .store import drop_unread, small_batches
 from .token_counts import attribute_lines
 from .token_files import read_token_files, write_token_files
 from .whitening import whiten
@@ -36,7 +36,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _read(spark, sf_dir, "documents")
+    return drop_unread(spark, lambda: mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

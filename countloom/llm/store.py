@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from ..sources.shared import discard, fresh_path, materialise, shared_dir
+from ..sources.shared import discard, drop_unread, fresh_path, materialise, shared_dir
 
-__all__ = ["attempt_name", "discard", "fresh_path", "materialise", "open_fs", "read_bytes", "shared_dir", "small_batches", "write_bytes"]
+__all__ = ["attempt_name", "discard", "drop_unread", "fresh_path", "materialise", "open_fs", "read_bytes", "shared_dir", "small_batches", "write_bytes"]
 
 _BATCH, _ROWS = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 
