@@ -1,8 +1,8 @@
 """Code lengths of many arms at once.
 
 An arm differs from another in its buckets, in how many neighbours it looks at, or in whether
-genes share rates. All of that is decided by gene and context: so cells are read
-once, combined by gene, width and context for all widths in one aggregation, and an arm is a
+genes share rates. All of that is decided by a gene's rate and the context: so cells are read
+once, combined by rate, width and context for all widths in one aggregation, and an arm is a
 key from there on. Tables written do not depend on the number of arms.
 """
 
@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import Q12, bucket, magnitude, odds_to_q, value_context
-from ..sources.matrix import CountMatrix, few
+from ..sources.matrix import CountMatrix
 from ..sources.shared import materialise
-from .support import bits, fit_odds, rows_per_sample
+from .support import bits, fit_odds
 from .values import BINS, CONTEXTS, base_tail, centres, grid, pooled, quantise
 
 
@@ -27,37 +27,28 @@ def _odds(odds: Column) -> Column:
     return F.coalesce(odds, F.lit(65536)).cast("bigint")
 
 
-def contexts_by_width(m: CountMatrix, cells: DataFrame | None, widths: list[int]) -> DataFrame:
-    """(sample_id, w, g, k, n, y): cells past the first w rows by gene and positive neighbours among w, for all widths; k = 0 as the complement."""
-    found = cells.select("sample_id", "g", "i", "v", _each([F.struct(F.lit(w).alias("w"), F.col(f"k{w}").alias("k")) for w in widths]).alias("x")).where(F.col("i") >= F.col("x.w"))
-    found = found.groupBy("sample_id", "x.w", "g", "x.k").agg(F.count("*").alias("n"), F.count("v").alias("y"))
-    zero = F.lit(0).cast("bigint")
-    late = rows_per_sample(m).select("sample_id", _each([F.struct(F.lit(w).alias("w"), F.greatest(F.col("n") - w, zero).alias("n")) for w in widths]).alias("x")).select("sample_id", "x.w", "x.n")
-    whole = m.genes.select("g").join(few(late)).select("sample_id", "w", "g", zero.alias("k"), "n", zero.alias("y"))
-    # Cells enumerated elsewhere leave the complement.
-    less = found.select("sample_id", "w", "g", zero.alias("k"), (-F.col("n")).alias("n"), zero.alias("y"))
-    return whole.unionByName(less).unionByName(found).groupBy("sample_id", "w", "g", "k").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")
+def support_arms(m: CountMatrix, marginals: DataFrame, contexts: DataFrame | None, arms: dict[str | int, tuple[tuple[int, ...], int]]) -> DataFrame:
+    """(arm, sample_id, bits) of arms by name: edges of buckets, and neighbours (0: none, so contexts are not looked at).
 
-
-def support_arms(m: CountMatrix, marginals: DataFrame, cells: DataFrame | None, arms: dict[str | int, tuple[tuple[int, ...], int]]) -> DataFrame:
-    """(arm, sample_id, bits) of arms by name: edges of buckets, and neighbours (0: none, so cells are not looked at)."""
+    Genes of one rate cost alike in one context, so they are added up before there are arms.
+    """
     widths = sorted({w for _, w in arms.values() if w})
-    named = [F.struct(F.lit(a).alias("arm"), F.lit(w).alias("w"), bucket(F.col("q0"), edges).alias("b")) for a, (edges, w) in arms.items()]
-    genes = marginals.select("sample_id", "g", "n", "ones", "q0", _each(named).alias("x")).select("sample_id", "g", "n", "ones", "q0", "x.*")
+    named = lambda df: df.withColumn("x", _each([F.struct(F.lit(a).alias("arm"), F.lit(w).cast("bigint").alias("of"), bucket(F.col("q0"), edges).alias("b")) for a, (edges, w) in arms.items()])).where("w = x.of").select("*", "x.arm", "x.b").drop("x")
     cost = lambda q, y, n: y * bits(q) + (n - y) * bits(F.lit(Q12) - q)
-    early = genes.withColumn("y", F.lit(None).cast("bigint"))
+    added = [F.sum("n").alias("n"), F.sum("y").alias("y")]
+    early = marginals.select("sample_id", F.lit(0).cast("bigint").alias("w"), "q0", "n", F.col("ones").alias("y")).groupBy("sample_id", "w", "q0").agg(*added)
     if widths:
-        first = m.counts.where(F.col("i") < max(widths)).select("sample_id", "g", "i", _each([F.lit(w) for w in widths]).alias("w")).where("i < w").groupBy("sample_id", "w", "g").agg(F.count("*").alias("y"))
-        early = genes.join(first, ["sample_id", "w", "g"], "left")
-    none = F.col("w") == 0
-    start = cost(F.col("q0"), F.when(none, F.col("ones")).otherwise(F.coalesce("y", F.lit(0))), F.when(none, F.col("n")).otherwise(F.least("n", "w")))
-    out = early.select("arm", "sample_id", start.alias("bits"))
+        each = _each([F.lit(w).cast("bigint") for w in widths])
+        first = m.counts.where(F.col("i") < max(widths)).select("sample_id", "g", "i", each.alias("w")).where("i < w").groupBy("sample_id", "w", "g").agg(F.count("*").alias("y"))
+        ones = first.join(marginals.select("sample_id", "g", "q0"), ["sample_id", "g"]).select("sample_id", "w", "q0", F.lit(0).cast("bigint").alias("n"), "y")
+        start = marginals.groupBy("sample_id", "q0", "n").agg(F.count("*").alias("genes")).select("sample_id", "q0", "n", "genes", each.alias("w")).select("sample_id", "w", "q0", (F.least("n", "w") * F.col("genes")).alias("n"), F.lit(0).cast("bigint").alias("y"))
+        early = early.unionByName(ones.unionByName(start).groupBy("sample_id", "w", "q0").agg(*added))
+    out = named(early).select("arm", "sample_id", cost(F.col("q0"), F.col("y"), F.col("n")).alias("bits"))
     if widths:
-        late = materialise(contexts_by_width(m, cells, widths), "contexts")
-        coded = late.select("sample_id", "w", "g", "k", F.col("n").alias("cells"), "y").join(genes.drop("n", "ones"), ["sample_id", "w", "g"])
-        key = ["sample_id", "arm", "b", "k"]
-        odds = fit_odds(coded.groupBy(*key, F.col("q0").alias("q")).agg(F.sum("cells").alias("n"), F.sum("y").alias("y")), key)
-        past = coded.join(odds, key, "left").select("arm", "sample_id", cost(odds_to_q(F.col("q0"), _odds(F.col("odds"))), F.col("y"), F.col("cells")).alias("bits"))
+        late = materialise(contexts.where(F.col("w").isin(widths)).join(marginals.select("sample_id", "g", "q0"), ["sample_id", "g"]).groupBy("sample_id", "w", "q0", "k").agg(*added), "contexts")
+        coded, key = named(late), ["sample_id", "arm", "b", "k"]
+        odds = fit_odds(coded.select(*key, F.col("q0").alias("q"), "n", "y"), key)
+        past = coded.join(odds, key, "left").select("arm", "sample_id", cost(odds_to_q(F.col("q0"), _odds(F.col("odds"))), F.col("y"), F.col("n")).alias("bits"))
         out = out.unionByName(past)
     return out.groupBy("arm", "sample_id").agg(F.sum("bits").alias("bits"))
 
@@ -69,8 +60,9 @@ def value_arms(m: CountMatrix, cells: DataFrame | None, prof: DataFrame, arms: d
     positive = m.counts if cells is None else cells.where("v is not null")
     size = F.when(F.col("v") > 1, magnitude(F.col("v"))).otherwise(-1).cast("int")
     each = _each([F.struct(F.lit(w).alias("w"), c.cast("int").alias("c")) for w, c in own.items()])
-    seen = positive.select("sample_id", "g", size.alias("k"), each.alias("x")).groupBy("sample_id", "x.w", "g", "x.c", "k").agg(F.count("*").alias("n"))
-    seen = materialise(seen.join(prof.select("sample_id", "g", F.col("grp").alias("b"), "q"), ["sample_id", "g"]), "seen")
+    # Genes of one group and rate cost alike, so cells are added up by these and not by gene.
+    graded = positive.join(prof.select("sample_id", "g", F.col("grp").alias("b"), "q"), ["sample_id", "g"])
+    seen = materialise(graded.select("sample_id", "b", "q", size.alias("k"), each.alias("x")).groupBy("sample_id", "x.w", "b", "q", "x.c", "k").agg(F.count("*").alias("n")), "seen")
     past, key = seen.where("c < 7"), ["sample_id", "w", "b", "c"]
     odds = fit_odds(past.groupBy(*key, "q").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") < 0, F.col("n")).otherwise(0)).alias("y")), key)
     counts = past.where("k >= 0").groupBy(*key, "k").agg(F.sum("n").alias("t"))

@@ -1,7 +1,7 @@
 """A matrix, a graph of its rows, and what the models share: each made once and kept in the shared folder.
 
-Models, ablations and coders all start from the same few aggregates (cells with
-their neighbours, contexts by gene, value profiles, value events). A study writes
+Models, ablations and coders all start from the same few aggregates (positive cells
+with their neighbours' sums, contexts by gene, value profiles, value events). A study writes
 each of them when it is first asked for and reads it from then on, so a plan scans
 the sources once however many arms it has.
 """
@@ -25,21 +25,20 @@ class Study:
     def __init__(self, m: CountMatrix, graph: DataFrame | None = None, width: int = 6, widths: tuple[int, ...] = (), once: bool = False):
         """graph: of at least ``width`` neighbours, and as many as ``widths`` ask for; the nearest earlier rows by default.
 
-        once: cells are asked for by one aggregate only, so they need not be written.
+        once: positive cells are asked for by one aggregate only, so they need not be written.
         """
         self.once = once
         self.width, self.widths = width, tuple(sorted({width, *widths}))
         self.m = CountMatrix(m.counts, *together(lambda: materialise(m.spots, "spots"), lambda: materialise(m.genes, "genes")))
         self._given = graph
         self._profiles: dict[int, DataFrame] = {}
-        self._late: dict[int, DataFrame] = {}
         self._events: dict[tuple[int, int], DataFrame] = {}
 
     def of_graph(self, graph: DataFrame) -> Study:
         """The same matrix with another graph."""
         other = object.__new__(Study)
-        other.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("cells", "graph")}
-        other._given, other._late, other._events = graph, {}, {}
+        other.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("sums", "contexts", "graph")}
+        other._given, other._events = graph, {}
         return other
 
     def of_profiles(self, k: int, profiles: DataFrame) -> Study:
@@ -54,10 +53,16 @@ class Study:
         return materialise(self._given if self._given is not None else graphs.causal_neighbours(self.m.spots, max(self.widths)), "graph")
 
     @cached_property
-    def cells(self) -> DataFrame:
-        cells = support.neighbour_cells(self.m, self.graph, self.widths)
+    def sums(self) -> DataFrame:
+        """Positive cells with the sums of their neighbours."""
+        cells = support.neighbour_cells(self.m, self.graph, self.widths, positive=True)
         return cells if self.once else materialise(cells, "cells")
 
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """Cells by gene and positive neighbours, for all widths."""
+        return materialise(support.contexts_by_width(self.m, self.graph, self.widths), "contexts")
+
     @cached_property
     def _marginals(self) -> DataFrame:
         return materialise(support.gene_marginals(self.m).drop("b"), "marginals")
@@ -67,9 +72,7 @@ class Study:
 
     def late(self, width: int | None = None) -> DataFrame:
         width = self.width if width is None else width
-        if width not in self._late:
-            self._late[width] = materialise(support.gene_context_counts(self.m, self.cells, width), "late")
-        return self._late[width]
+        return self.contexts.where(F.col("w") == width).drop("w")
 
     def profiles(self, k: int = 8) -> DataFrame:
         if k not in self._profiles:
@@ -80,7 +83,7 @@ class Study:
         """Value events; a width of 0 stands for no neighbours at all."""
         width = self.width if width is None else width
         if (k, width) not in self._events:
-            self._events[k, width] = materialise(values.value_events(self.m, self.cells if width else None, self.profiles(k), width), "events")
+            self._events[k, width] = materialise(values.value_events(self.m, self.sums if width else None, self.profiles(k), width), "events")
         return self._events[k, width]
 
     def support_odds(self, edges: tuple[int, ...] = BUCKET_EDGES, width: int | None = None) -> DataFrame:
@@ -107,16 +110,16 @@ class Study:
     def total_bits(self, k: int = 32, edges: tuple[int, ...] = BUCKET_EDGES, width: int | None = None, value_width: int | None = None, shared: bool = True, exceptions: bool = False) -> DataFrame:
         """(sample_id, support_bits, value_bits, total_bits)."""
         own, other = (self.width if w is None else w for w in (width, value_width))
-        together(lambda: self.cells if own or other else None, lambda: self._marginals, lambda: self.profiles(k))
-        together(lambda: self.late(own) if own else None, lambda: self.events(k, other))
+        together(lambda: self.graph if own or other else None, lambda: self._marginals, lambda: self.profiles(k))
+        together(lambda: self.contexts if own else None, lambda: self.events(k, other))
         s = self.support_bits(edges, width).groupBy("sample_id").agg(F.sum("bits").alias("support_bits"))
         v = self.value_bits(k, value_width, shared, exceptions).groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("value_bits"))
         return s.join(v, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))
 
     def support_arms(self, arms: dict[str | int, tuple[tuple[int, ...], int]]) -> DataFrame:
         """(arm, sample_id, bits) of arms by name: (edges, neighbours)."""
-        return many.support_arms(self.m, self._marginals, self.cells if any(w for _, w in arms.values()) else None, arms)
+        return many.support_arms(self.m, self._marginals, self.contexts if any(w for _, w in arms.values()) else None, arms)
 
     def value_arms(self, k: int, arms: dict[str | int, tuple[int, bool]]) -> DataFrame:
         """(arm, sample_id, bits) of arms by name: (neighbours, shared)."""
-        return many.value_arms(self.m, self.cells if any(w for w, _ in arms.values()) else None, self.profiles(k), arms, k)
+        return many.value_arms(self.m, self.sums if any(w for w, _ in arms.values()) else None, self.profiles(k), arms, k)

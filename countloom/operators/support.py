@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import BUCKET_EDGES, Q12, bucket, clamp_q, half_up, odds_to_q
 from ..sources.matrix import CountMatrix, few
+from .blocks import context_counts, neighbour_cells  # noqa: F401
 
 
 def rows_per_sample(m: CountMatrix) -> DataFrame:
@@ -33,33 +34,26 @@ def neighbour_support(m: CountMatrix, graph: DataFrame) -> DataFrame:
     return graph.select("sample_id", "i", "j").join(c, ["sample_id", "j"]).groupBy("sample_id", "i", "g").agg(F.count("*").alias("k"))
 
 
-def neighbour_cells(m: CountMatrix, graph: DataFrame, widths: tuple[int, ...] = (6,)) -> DataFrame:
-    """(sample_id, i, g, v, k<w> and s<w> for each width w) of all cells that are positive or have a positive neighbour.
-
-    k counts a cell's positive neighbours among the first w, s sums them; v is null
-    where the cell itself is zero. Cells and neighbours are tagged rows of one
-    aggregation, so there is no outer join, and all widths come from one pass.
-    """
-    c = m.counts.select("sample_id", F.col("i").alias("j"), "g", F.col("v").alias("_s"))
-    near = graph.select("sample_id", "i", "r", "j").join(c, ["sample_id", "j"]).select("sample_id", "i", "g", "r", "_s", F.lit(None).cast("bigint").alias("v"))
-    own = m.counts.select("sample_id", "i", "g", F.lit(None).cast("int").alias("r"), F.lit(None).cast("bigint").alias("_s"), "v")
-    inside = lambda w: F.col("r") <= w
-    sums = [x for w in widths for x in (F.count(F.when(inside(w), 1)).alias(f"k{w}"), F.sum(F.when(inside(w), F.col("_s")).otherwise(0)).alias(f"s{w}"))]
-    return near.unionByName(own).groupBy("sample_id", "i", "g").agg(F.max("v").alias("v"), *sums)
-
-
-def gene_context_counts(m: CountMatrix, cells: DataFrame, width: int = 6) -> DataFrame:
-    """(sample_id, g, k, n, y): cells past the start by gene and positive neighbours, k = 0 as the complement."""
-    cells = cells.where(F.col("i") >= width).groupBy("sample_id", "g", F.col(f"k{width}").alias("k")).agg(F.count("*").alias("n"), F.count("v").alias("y"))
-    late = rows_per_sample(m).select("sample_id", F.greatest(F.col("n") - width, F.lit(0)).alias("late"))
-    whole = m.genes.select("g").join(few(late)).select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), F.col("late").alias("n"), F.lit(0).cast("bigint").alias("y"))
+def contexts_by_width(m: CountMatrix, graph: DataFrame, widths: tuple[int, ...] = (6,)) -> DataFrame:
+    """(sample_id, w, g, k, n, y): cells past the first w rows by gene and positive neighbours among w, for all widths; k = 0 as the complement."""
+    found = context_counts(m, graph, widths)
+    zero = F.lit(0).cast("bigint")
+    each = F.explode(F.array(*[F.struct(F.lit(w).cast("bigint").alias("w"), F.greatest(F.col("n") - w, zero).alias("n")) for w in widths]))
+    late = rows_per_sample(m).select("sample_id", each.alias("x")).select("sample_id", "x.w", "x.n")
     # Cells enumerated elsewhere leave the complement.
-    less = cells.select("sample_id", "g", F.lit(0).cast("bigint").alias("k"), (-F.col("n")).alias("n"), F.lit(0).cast("bigint").alias("y"))
-    return whole.unionByName(less).unionByName(cells).groupBy("sample_id", "g", "k").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")
+    per = found.groupBy("sample_id", "w", "g").agg(F.collect_list(F.struct("k", "n", "y")).alias("found"), F.sum("n").alias("less"))
+    every = m.genes.select("g").join(few(late)).join(per, ["sample_id", "w", "g"], "left")
+    rest = F.struct(zero.alias("k"), (F.col("n") - F.coalesce("less", zero)).alias("n"), zero.alias("y"))
+    got = F.coalesce(F.col("found"), F.array().cast("array<struct<k:bigint,n:bigint,y:bigint>>"))
+    # Positives without positive neighbours are found too, so k = 0 may come twice.
+    at = lambda x: x["k"] == 0
+    zeros = F.aggregate(F.filter(got, at), rest, lambda t, x: F.struct(zero.alias("k"), (t["n"] + x["n"]).alias("n"), (t["y"] + x["y"]).alias("y")))
+    both = every.select("sample_id", "w", "g", F.explode(F.concat(F.array(zeros), F.filter(got, lambda x: ~at(x)))).alias("x"))
+    return both.select("sample_id", "w", "g", "x.k", "x.n", "x.y").where("n > 0")
 
 
 def sufficient_statistics(genes: DataFrame, late: DataFrame) -> DataFrame:
-    """(sample_id, b, k, q, n, y), of gene_marginals and gene_context_counts."""
+    """(sample_id, b, k, q, n, y), of gene_marginals and contexts of one width."""
     own = genes.select("sample_id", "g", "b", F.col("q0").alias("q"))
     return late.join(own, ["sample_id", "g"]).groupBy("sample_id", "b", "k", "q").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
 
