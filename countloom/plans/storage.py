@@ -58,7 +58,7 @@ def broken_metadata(m: CountMatrix) -> DataFrame:
 
 
 def _store_bundles(spark: SparkSession, d: str, spots: Callable[[DataFrame], DataFrame] = lambda x: x) -> str:
-    """A folder with a bundle for each sample, in turn as compressed rows, compressed columns and dense rows."""
+    """A folder with a bundle for each sample, in turn as compressed rows, compressed columns and dense rows in tiles."""
     import json
 
     m = from_tables(spark, d)
@@ -72,7 +72,7 @@ def _store_bundles(spark: SparkSession, d: str, spots: Callable[[DataFrame], Dat
         spots(own.spots).drop("sample_id").write.parquet(f"{path}/spots")
         own.genes.write.parquet(f"{path}/genes")
         if encoding == "dense_array":
-            layout.dense_rows(own, shape[s][1]).select("i", "values").write.parquet(f"{path}/dense")
+            layout.dense_tiles(own, shape[s][1]).select("i", "at", "values").write.parquet(f"{path}/dense")
         else:
             pointers, entries = layout.compressed_parts(own, by_row=encoding == "csr_matrix")
             major, minor = ("i", "g") if encoding == "csr_matrix" else ("g", "i")

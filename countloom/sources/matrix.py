@@ -79,8 +79,9 @@ def invalid_entries(entries: DataFrame) -> DataFrame:
 
 
 def from_dense(rows: DataFrame) -> DataFrame:
-    """(i, values array) to cells, zeros left out."""
-    return rows.select("i", F.posexplode("values").alias("g", "v")).where("v <> 0")
+    """(i, values array) to cells, zeros left out. Rows may be in tiles: ``at`` is the column that a tile begins with, null for a whole row."""
+    at = F.coalesce(F.col("at"), F.lit(0)) if "at" in rows.columns else F.lit(0)
+    return rows.select("i", at.alias("_at"), F.posexplode("values").alias("g", "v")).where("v <> 0").select("i", (F.col("_at") + F.col("g")).alias("g"), "v")
 
 
 def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", minor: str = "g", within: tuple[str, ...] = ()) -> DataFrame:

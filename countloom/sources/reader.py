@@ -1,7 +1,7 @@
 """Matrices out of storage: dense rows, compressed rows or compressed columns, behind structural checks.
 
 A bundle is a folder with ``header.json`` (encoding and shape) and Parquet tables:
-``dense(i, values)``, or ``pointers(pos, ptr)`` and ``entries(pos, minor, v)``; labels
+``dense(i, values)`` or, in tiles, ``dense(i, at, values)`` (zeros where there is no tile), or ``pointers(pos, ptr)`` and ``entries(pos, minor, v)``; labels
 and coordinates in ``spots(i, spot_id, x, y)`` and ``genes(g, gene_id)``.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import MAX_DIM, CountMatrix, bad_value, canonicalise, few, from_compressed, from_dense
@@ -88,6 +88,14 @@ def metadata_faults(spots: DataFrame, genes: DataFrame, shape: DataFrame) -> Dat
     return x.select("sample_id", each.alias("f")).select("sample_id", "f.fault", "f.n").where("n > 0")
 
 
+def _misshapen(dense: DataFrame, columns: Column, rows: Column) -> Column:
+    """Rows that are not as long as there are columns, tiles that reach beyond them, and rows that are not there."""
+    size, whole = F.size("values"), F.size("values") != columns
+    if "at" in dense.columns:
+        whole = F.when(F.col("at").isNull(), whole).otherwise((F.col("at") < 0) | (F.col("at") + size > columns) | (size < 1))
+    return F.coalesce(whole, F.lit(True)) | ~F.col("i").between(0, rows - 1)
+
+
 def read_bundle(spark: SparkSession, path: str, sample_id: str = "") -> CountMatrix:
     """The matrix of a bundle; whatever is wrong with it is a ValueError that says what."""
     try:
@@ -102,7 +110,7 @@ def read_bundle(spark: SparkSession, path: str, sample_id: str = "") -> CountMat
         if encoding == "dense_array":
             dense = own("dense")
             cells = from_dense(dense).withColumn("sample_id", F.lit(sample_id))
-            wrong = dense.where((F.size("values") != genes) | ~F.col("i").between(0, n - 1)).select("sample_id", F.lit("shape").alias("fault"), F.lit(1).cast("bigint").alias("n"))
+            wrong = dense.where(_misshapen(dense, F.lit(genes), F.lit(n))).select("sample_id", F.lit("shape").alias("fault"), F.lit(1).cast("bigint").alias("n"))
             faults = faults.unionByName(wrong)
         else:
             by_row = encoding == "csr_matrix"
@@ -120,7 +128,7 @@ def read_bundle(spark: SparkSession, path: str, sample_id: str = "") -> CountMat
 
 
 _BUNDLE = {
-    "spots": "i bigint, spot_id string, x double, y double", "genes": "g bigint, gene_id string", "dense": "i bigint, values array<bigint>", "pointers": "pos bigint, ptr bigint", "entries": "pos bigint, minor bigint, v bigint",
+    "spots": "i bigint, spot_id string, x double, y double", "genes": "g bigint, gene_id string", "dense": "i bigint, at bigint, values array<bigint>", "pointers": "pos bigint, ptr bigint", "entries": "pos bigint, minor bigint, v bigint",
 }
 
 
@@ -153,9 +161,9 @@ def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     spots, genes, dense = table("spots"), table("genes"), table("dense", "dense_array")
     faults = faults.unionByName(metadata_faults(spots, genes, shape.drop("encoding")))
     sized = dense.join(few(shape.select("sample_id", "rows", "columns")), "sample_id")
-    wrong = sized.where((F.size("values") != F.col("columns")) | ~F.col("i").between(0, F.col("rows") - 1))
+    wrong = sized.where(_misshapen(sized, F.col("columns"), F.col("rows")))
     faults = faults.unionByName(wrong.groupBy("sample_id").agg(F.count("*").alias("n")).select("sample_id", F.lit("shape").alias("fault"), "n"))
-    cells = dense.select("sample_id", "i", F.posexplode("values").alias("g", "v")).where("v <> 0 or v is null").select("sample_id", "i", F.col("g").cast("bigint").alias("g"), "v")
+    cells = dense.select("sample_id", "i", F.coalesce("at", F.lit(0)).alias("at"), F.posexplode("values").alias("g", "v")).where("v <> 0 or v is null").select("sample_id", "i", (F.col("at") + F.col("g")).alias("g"), "v")
     for encoding, major, minor in (("csr_matrix", "i", "g"), ("csc_matrix", "g", "i")):
         if encoding in there:
             pointers, entries = table("pointers", encoding), table("entries", encoding)
