@@ -37,11 +37,14 @@ from .common import load_config, log, own_config, run_alone
 DEFAULTS: dict[str, Any] = {"sample": "source", "unnamed": "unknown", "word": "[a-z0-9]+", "least_documents": 2, "rows_per_task": 50_000, "records_per_file": 5_000_000}
 
 
-def term_counts(docs: DataFrame, word: str) -> DataFrame:
-    """(sample_id, doc_id, term, v). A document's words are all in one task, so they are combined before the shuffle."""
+def term_counts(docs: DataFrame, rows: DataFrame, word: str) -> DataFrame:
+    """(sample_id, i, term, v). Texts meet their rows by one shuffle, and a row's words are then all in one task: they are counted there, and rows are not looked up for every cell."""
+    # A null id is the least, and a key like others inside a struct.
+    keyed = rows.select("sample_id", F.struct("doc_id").alias("_id"), "i")
+    texts = docs.select("sample_id", F.struct("doc_id").alias("_id"), "text").hint("shuffle_merge").join(keyed, ["sample_id", "_id"])
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select("sample_id", "doc_id", F.explode(F.regexp_extract_all(lower, F.lit(word), F.lit(0))).alias("term"))
-    return words.groupBy("sample_id", "doc_id", "term").agg(F.count("*").alias("v"))
+    words = texts.select("sample_id", "_id", "i", F.explode(F.regexp_extract_all(lower, F.lit(word), F.lit(0))).alias("term"))
+    return words.groupBy("sample_id", "_id", "i", "term").agg(F.count("*").alias("v")).drop("_id")
 
 
 def build(spark: SparkSession, documents: str, output: str, config: dict[str, Any] | None = None, samples: list[str] | None = None) -> dict[str, int]:
@@ -51,24 +54,31 @@ def build(spark: SparkSession, documents: str, output: str, config: dict[str, An
     sample = F.col(f"`{config['sample']}`").cast("string")
     docs = table.select(F.coalesce(F.nullif(sample, F.lit("")), F.lit(config["unnamed"])).alias("sample_id"), "doc_id", "text")
     with scoped_tables(spark):
-        counted = materialise(term_counts(docs, config["word"]), "terms")
-        seen = counted.groupBy("term").agg(F.count("*").alias("documents")).where(F.col("documents") >= config["least_documents"])
-        terms = materialise(ordinals(seen, "term", "g"), "axis")
         axis = scan(docs.select("sample_id", "doc_id").distinct(), ["sample_id"], ["doc_id"], rank="i")
         rows = materialise(axis.select("sample_id", "doc_id", "i"), "rows")
-        placed = join_by_frequency(counted, terms, "term", "documents").select(F.col("sample_id").alias("s"), F.col("doc_id").alias("d"), "g", "v")
-        here = placed.join(rows, (F.col("s") == F.col("sample_id")) & F.col("d").eqNullSafe(F.col("doc_id")))
-        cells = materialise(canonicalise(here.select("sample_id", "i", "g", "v"), distinct=True), "cells")
-        pointers = row_pointers(cells, rows).join(rows, ["sample_id", "i"])
-        sizes = budget(CountMatrix(cells, rows, terms.select("g")))
+        counted = materialise(term_counts(docs, rows, config["word"]), "terms")
+        seen = counted.groupBy("term").agg(F.count("*").alias("documents")).where(F.col("documents") >= config["least_documents"])
+        terms = materialise(ordinals(seen, "term", "g"), "axis")
+        placed = join_by_frequency(counted, terms, "term", "documents").select("sample_id", "i", "g", "v")
+        cells = canonicalise(placed, distinct=True)
 
         wanted = F.lit(True) if samples is None else F.col("sample_id").isin(samples)
         # Whole tables are replaced, single samples by their partitions only.
         how = "static" if samples is None else "dynamic"
-        for name, part, key in (("cells", cells.select("sample_id", "i", "g", "v"), ["i", "g"]), ("rows", pointers.select("sample_id", "i", "doc_id", "ptr_lo", "ptr_hi"), ["i"])):
+
+        def put(name: str, part: DataFrame, key: list[str]) -> None:
             # A sample of many rows is several tasks and files: a task sorts and writes the cells of so many rows.
             spread = part.where(wanted).repartition("sample_id", F.floor(F.col("i") / F.lit(config["rows_per_task"]))).sortWithinPartitions("sample_id", *key)
             spread.write.mode("overwrite").option("partitionOverwriteMode", how).option("maxRecordsPerFile", config["records_per_file"]).partitionBy("sample_id").parquet(f"{output}/{name}")
+
+        # All cells are read back from where they are written; where only some samples are written, sizes of the others are needed too.
+        if samples is not None:
+            cells = materialise(cells, "cells")
+        put("cells", cells.select("sample_id", "i", "g", "v"), ["i", "g"])
+        if samples is None:
+            cells = spark.read.schema(SCHEMAS["cells"]).parquet(f"{output}/cells")
+        put("rows", row_pointers(cells, rows).join(rows, ["sample_id", "i"]).select("sample_id", "i", "doc_id", "ptr_lo", "ptr_hi"), ["i"])
+        sizes = budget(CountMatrix(cells, rows, terms.select("g")))
         terms.select("g", "term", "documents").write.mode("overwrite").parquet(f"{output}/terms")
         sizes.write.mode("overwrite").parquet(f"{output}/report")
         done = {"documents_read": table.count()}

@@ -221,3 +221,14 @@ def test_registered(spark, small):
         assert query(spark, small).count() > 0, name
     assert spark.sql("SET").collect() == before
     assert not spark.streams.active
+
+
+def test_terms_are_counted_where_texts_meet_their_rows(spark):
+    """Repeated and null ids are one row; words are shuffled neither before nor after they are counted."""
+    docs = spark.createDataFrame([("a", 1, "x y x"), ("a", 1, "x"), ("a", None, "y"), ("a", None, None), ("b", 1, "X")], "sample_id string, doc_id bigint, text string")
+    rows = spark.createDataFrame([("a", None, 0), ("a", 1, 1), ("b", 1, 0)], "sample_id string, doc_id bigint, i bigint")
+    found = count_matrix.term_counts(docs, rows, "[a-z]+")
+    assert {(r["sample_id"], r["i"], r["term"]): r["v"] for r in found.collect()} == {("a", 1, "x"): 3, ("a", 1, "y"): 1, ("a", 0, "y"): 1, ("b", 0, "x"): 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0 and found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
