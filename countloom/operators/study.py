@@ -60,12 +60,12 @@ class Study:
 
     @cached_property
     def contexts(self) -> DataFrame:
-        """Cells by gene and positive neighbours, for all widths."""
-        return materialise(support.contexts_by_width(self.m, self.graph, self.widths), "contexts")
+        """Cells by gene and positive neighbours, for all widths, and for none (the marginals)."""
+        return materialise(support.contexts_by_width(self.m, self.graph, (0, *self.widths)), "contexts")
 
     @cached_property
     def _marginals(self) -> DataFrame:
-        return materialise(support.gene_marginals(self.m).drop("b"), "marginals")
+        return support.marginals_of(self.contexts)
 
     def marginals(self, edges: tuple[int, ...] = BUCKET_EDGES) -> DataFrame:
         return self._marginals.withColumn("b", bucket(F.col("q0"), edges))
@@ -110,8 +110,8 @@ class Study:
     def total_bits(self, k: int = 32, edges: tuple[int, ...] = BUCKET_EDGES, width: int | None = None, value_width: int | None = None, shared: bool = True, exceptions: bool = False) -> DataFrame:
         """(sample_id, support_bits, value_bits, total_bits)."""
         own, other = (self.width if w is None else w for w in (width, value_width))
-        together(lambda: self.graph if own or other else None, lambda: self._marginals, lambda: self.profiles(k))
-        together(lambda: self.contexts if own else None, lambda: self.events(k, other))
+        together(lambda: self.graph, lambda: self.profiles(k))
+        together(lambda: self.contexts, lambda: self.events(k, other))
         s = self.support_bits(edges, width).groupBy("sample_id").agg(F.sum("bits").alias("support_bits"))
         v = self.value_bits(k, value_width, shared, exceptions).groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("value_bits"))
         return s.join(v, "sample_id").withColumn("total_bits", F.col("support_bits") + F.col("value_bits"))

@@ -23,9 +23,16 @@ def gene_marginals(m: CountMatrix, edges: tuple[int, ...] = BUCKET_EDGES) -> Dat
     """(sample_id, g, ones, q0, b) for every gene of every sample, absent ones too."""
     ones = m.counts.groupBy("sample_id", "g").agg(F.count("*").alias("ones"))
     all_ = m.genes.select("g").join(few(rows_per_sample(m))).join(ones, ["sample_id", "g"], "left").withColumn("ones", F.coalesce("ones", F.lit(0)))
-    p = (F.col("ones") + F.lit(0.5)) / (F.col("n") + F.lit(1.0))
-    q0 = clamp_q(half_up(p * Q12))
-    return all_.select("sample_id", "g", "n", "ones", q0.alias("q0")).withColumn("b", bucket(F.col("q0"), edges))
+    return all_.select("sample_id", "g", "n", "ones", _marginal().alias("q0")).withColumn("b", bucket(F.col("q0"), edges))
+
+
+def _marginal() -> Column:
+    return clamp_q(half_up((F.col("ones") + F.lit(0.5)) / (F.col("n") + F.lit(1.0)) * Q12))
+
+
+def marginals_of(contexts: DataFrame) -> DataFrame:
+    """(sample_id, g, n, ones, q0) of contexts_by_width, with 0 among the widths: what ``gene_marginals`` gives, without another pass over the cells."""
+    return contexts.where("w = 0").select("sample_id", "g", "n", F.col("y").alias("ones")).withColumn("q0", _marginal())
 
 
 def neighbour_support(m: CountMatrix, graph: DataFrame) -> DataFrame:
@@ -35,21 +42,11 @@ def neighbour_support(m: CountMatrix, graph: DataFrame) -> DataFrame:
 
 
 def contexts_by_width(m: CountMatrix, graph: DataFrame, widths: tuple[int, ...] = (6,)) -> DataFrame:
-    """(sample_id, w, g, k, n, y): cells past the first w rows by gene and positive neighbours among w, for all widths; k = 0 as the complement."""
-    found = context_counts(m, graph, widths)
-    zero = F.lit(0).cast("bigint")
-    each = F.explode(F.array(*[F.struct(F.lit(w).cast("bigint").alias("w"), F.greatest(F.col("n") - w, zero).alias("n")) for w in widths]))
-    late = rows_per_sample(m).select("sample_id", each.alias("x")).select("sample_id", "x.w", "x.n")
-    # Cells enumerated elsewhere leave the complement.
-    per = found.groupBy("sample_id", "w", "g").agg(F.collect_list(F.struct("k", "n", "y")).alias("found"), F.sum("n").alias("less"))
-    every = m.genes.select("g").join(few(late)).join(per, ["sample_id", "w", "g"], "left")
-    rest = F.struct(zero.alias("k"), (F.col("n") - F.coalesce("less", zero)).alias("n"), zero.alias("y"))
-    got = F.coalesce(F.col("found"), F.array().cast("array<struct<k:bigint,n:bigint,y:bigint>>"))
-    # Positives without positive neighbours are found too, so k = 0 may come twice.
-    at = lambda x: x["k"] == 0
-    zeros = F.aggregate(F.filter(got, at), rest, lambda t, x: F.struct(zero.alias("k"), (t["n"] + x["n"]).alias("n"), (t["y"] + x["y"]).alias("y")))
-    both = every.select("sample_id", "w", "g", F.explode(F.concat(F.array(zeros), F.filter(got, lambda x: ~at(x)))).alias("x"))
-    return both.select("sample_id", "w", "g", "x.k", "x.n", "x.y").where("n > 0")
+    """(sample_id, w, g, k, n, y): cells past the first w rows by gene and positive neighbours among w, for all widths; k = 0 as the complement.
+
+    A width of 0 has one row a gene: its cells, and how many are positive.
+    """
+    return context_counts(m, graph, widths, whole=True)
 
 
 def sufficient_statistics(genes: DataFrame, late: DataFrame) -> DataFrame:
