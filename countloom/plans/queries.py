@@ -40,10 +40,6 @@ def _by_sample(bits: DataFrame) -> DataFrame:
     return bits.groupBy("sample_id").agg(F.sum("bits").alias("bits"))
 
 
-def _value_sum(v: DataFrame) -> DataFrame:
-    return v.groupBy("sample_id").agg(F.sum(F.col("singleton_bits") + F.col("magnitude_bits") + F.col("raw_bits")).alias("bits"))
-
-
 def _arms_of(arms: dict, name: str) -> DataFrame:
     """One table of tables by arm."""
     out = None
@@ -181,7 +177,8 @@ def shuffled_groups(spark: SparkSession, d: str) -> DataFrame:
     order = layout.permutation(st.m.genes.select(F.lit("").alias("sample_id"), F.col("g").alias("i")), 11).select(F.col("place").alias("g"), F.col("i").alias("source"))
     groups = prof.select("sample_id", F.col("g").alias("source"), F.col("grp").alias("moved"))
     mixed = prof.join(order, "g").join(groups, ["sample_id", "source"]).select("sample_id", "g", "n", "a", "tail_sum", F.col("moved").alias("grp"), "q")
-    return tidy(_arms_of({"K32": _value_sum(st.value_bits(32)), "K32_shuffled": _value_sum(st.of_profiles(32, mixed).value_bits(32))}, "arm"))
+    arms = [x.value_arms(32, {name: (6, True)}) for name, x in (("K32", st), ("K32_shuffled", st.of_profiles(32, mixed)))]
+    return tidy(arms[0].unionByName(arms[1]).select("sample_id", "bits", "arm"))
 
 
 def _pair(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
