@@ -98,9 +98,13 @@ def from_compressed(pointers: DataFrame, entries: DataFrame, major: str = "i", m
     return places.join(entries, [*within, "pos"]).select(*within, major, minor, "v")
 
 
-def row_pointers(counts: DataFrame, rows: DataFrame, major: str = "i") -> DataFrame:
-    """(sample_id, major, ptr_lo, ptr_hi): every row of ``rows``, empty ones too."""
-    per = counts.groupBy("sample_id", major).agg(F.count("*").alias("n"))
+def _cells(size: Column | None) -> Column:
+    return F.count("*") if size is None else F.sum(size.cast("bigint"))
+
+
+def row_pointers(counts: DataFrame, rows: DataFrame, major: str = "i", size: Column | None = None) -> DataFrame:
+    """(sample_id, major, ptr_lo, ptr_hi): every row of ``rows``, empty ones too. size: how many cells a row of ``counts`` stands for, if not one."""
+    per = counts.groupBy("sample_id", major).agg(_cells(size).alias("n"))
     sized = rows.select("sample_id", major).join(per, ["sample_id", major], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return scan(sized, ["sample_id"], [major], sums={"ptr_hi": "n"}).select("sample_id", major, (F.col("ptr_hi") - F.col("n")).alias("ptr_lo"), "ptr_hi")
 
@@ -118,11 +122,11 @@ def pointer_faults(pointers: DataFrame) -> DataFrame:
     return x.where((F.col("_at") == 0) & (F.col("ptr") != 0) | (F.col("ptr") < F.col("before"))).drop("_at")
 
 
-def budget(matrix: CountMatrix) -> DataFrame:
-    """(sample_id, n, genes, nnz, cells, within): sizes against the caps of one sample."""
+def budget(matrix: CountMatrix, size: Column | None = None) -> DataFrame:
+    """(sample_id, n, genes, nnz, cells, within): sizes against the caps of one sample. size: as of ``row_pointers``."""
     genes = matrix.genes.agg(F.count("*").alias("genes"))
     n = matrix.spots.groupBy("sample_id").agg(F.count("*").alias("n"))
-    nnz = matrix.counts.groupBy("sample_id").agg(F.count("*").alias("nnz"))
+    nnz = matrix.counts.groupBy("sample_id").agg(_cells(size).alias("nnz"))
     sized = n.join(F.broadcast(genes)).join(nnz, "sample_id", "left").withColumn("nnz", F.coalesce("nnz", F.lit(0)))
     cells = F.col("n") * F.col("genes")
     return sized.select("sample_id", "n", "genes", "nnz", cells.alias("cells"), ((F.col("n").between(1, MAX_DIM)) & F.col("genes").between(1, MAX_DIM) & (cells <= MAX_CELLS)).alias("within"))

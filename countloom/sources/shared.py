@@ -62,18 +62,19 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, most: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, never a re-run. What a
     plan does not decide alike each time (range partitions) is decided once.
+    most: rows of a file, if they are so large that no more should be read at once.
     """
     path = fresh_path(df.sparkSession, tag)
     if local(df.sparkSession) and ("://" not in path or path.startswith("file://")):
         _tables.append(path.removeprefix("file://"))
     if (scope := _scope.get()) is not None:
         scope.append(path)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._countloom_path = path
     return out
