@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import hashtree, layout, resume
 from ..sources import archive, reader, tables
 from ..sources.matrix import CountMatrix, few, from_tables
-from ..sources.shared import fresh_path, materialise
+from ..sources.shared import fresh_path, materialise, together
 from . import oracles
 from .inputs import Query, members, results, tidy
 
@@ -62,28 +63,37 @@ def _store_bundles(spark: SparkSession, d: str, spots: Callable[[DataFrame], Dat
     import json
 
     m = from_tables(spark, d)
-    m = CountMatrix(materialise(m.counts, "cells"), m.spots, m.genes)
     shape = {r["sample_id"]: (r["rows"], r["columns"]) for r in _shape(m).collect()}
     folder = fresh_path(spark, "bundles")
-    for at, s in enumerate(sorted(shape)):
+
+    def store(at: int, s: str) -> None:
         path, encoding = f"{folder}/{s}", ("csr_matrix", "csc_matrix", "dense_array")[at % 3]
         own = CountMatrix(m.counts.where(F.col("sample_id") == s), m.spots.where(F.col("sample_id") == s), m.genes)
         spark.createDataFrame([(json.dumps({"encoding": encoding, "shape": shape[s]}),)], "value string").coalesce(1).write.text(f"{path}/header.json")
         spots(own.spots).drop("sample_id").write.parquet(f"{path}/spots")
         own.genes.write.parquet(f"{path}/genes")
         if encoding == "dense_array":
-            layout.dense_tiles(own, shape[s][1]).select("i", "at", "values").write.parquet(f"{path}/dense")
+            layout.dense_tiles(own, shape[s][1], gap=layout.DENSE_GAP).select("i", "at", "values").write.parquet(f"{path}/dense")
         else:
             pointers, entries = layout.compressed_parts(own, by_row=encoding == "csr_matrix")
             major, minor = ("i", "g") if encoding == "csr_matrix" else ("g", "i")
             pointers.select(F.col(major).alias("pos"), "ptr").write.parquet(f"{path}/pointers")
             entries.select("pos", F.col(minor).alias("minor"), "v").write.parquet(f"{path}/entries")
+
+    todo = [partial(store, at, s) for at, s in enumerate(sorted(shape))]
+    for k in range(0, len(todo), 3):
+        together(*todo[k : k + 3])
     return folder
 
 
+def _read_own(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    """The tables' own matrices may be larger than what is accepted from elsewhere."""
+    return reader.read_bundles(spark, folder, most=2**62, dims=2**62)
+
+
 def bundles(spark: SparkSession, d: str) -> DataFrame:
     """All samples through bundles on disk, read back in one plan."""
-    return tidy(reader.read_bundles(spark, _store_bundles(spark, d))[0])
+    return tidy(_read_own(spark, _store_bundles(spark, d))[0])
 
 
 def bundle_faults(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +104,7 @@ def bundle_faults(spark: SparkSession, d: str) -> DataFrame:
         kept = spots.where(~of("A") | (F.col("i") != 4))
         return kept.withColumn("spot_id", F.when(~of("N") | (F.col("i") % 10 != 4), F.col("spot_id"))).withColumn("x", F.when(of("R") & (F.col("i") % 7 == 3), F.lit(float("nan"))).otherwise(F.col("x")))
 
-    return tidy(reader.read_bundles(spark, _store_bundles(spark, d, spoil))[3])
+    return tidy(_read_own(spark, _store_bundles(spark, d, spoil))[3])
 
 
 def _later(m: CountMatrix) -> DataFrame:

@@ -8,7 +8,7 @@ and coordinates in ``spots(i, spot_id, x, y)`` and ``genes(g, gene_id)``.
 from __future__ import annotations
 
 import json
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ MAX_ENTRIES = 100_000_000
 ENCODINGS = ("dense_array", "csr_matrix", "csc_matrix")
 
 
-def structural_faults(shape: DataFrame, pointers: DataFrame, entries: DataFrame, by_row: bool = True, most: int = MAX_ENTRIES) -> DataFrame:
+def structural_faults(shape: DataFrame, pointers: DataFrame, entries: DataFrame, by_row: bool = True, most: int = MAX_ENTRIES, dims: int = MAX_DIM) -> DataFrame:
     """(sample_id, fault, n) of compressed matrices: shape(sample_id, rows, columns), pointers(sample_id, pos, ptr), entries(sample_id, pos, minor, v).
 
     Faults: shape, pointer_count, entry_budget, first_pointer, last_pointer,
@@ -38,7 +38,7 @@ def structural_faults(shape: DataFrame, pointers: DataFrame, entries: DataFrame,
     x = shape.join(p, "sample_id", "left").join(falls, "sample_id", "left").join(e, "sample_id", "left").na.fill(0, ["pointers", "falls", "entries", "outside", "bad"])
     one = lambda c: F.coalesce(c, F.lit(True)).cast("bigint")
     found = {
-        "shape": (~F.col("rows").between(1, MAX_DIM)).cast("bigint") + (~F.col("columns").between(1, MAX_DIM)).cast("bigint"),
+        "shape": (~F.col("rows").between(1, dims)).cast("bigint") + (~F.col("columns").between(1, dims)).cast("bigint"),
         "pointer_count": one(F.col("pointers") != F.col(major) + 1),
         "entry_budget": one(F.col("entries") > most),
         "first_pointer": one(F.col("first") != 0),
@@ -132,7 +132,15 @@ _BUNDLE = {
 }
 
 
-def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _bundle_of(table: str) -> Column:
+    """The folder that holds the table, itself a folder of files or one file. No expression is matched: a name is found for every row."""
+    path = F.col("_metadata.file_path")
+    last = F.substring_index(path, "/", -2)
+    inside = F.when(F.startswith(last, F.lit(f"{table}/")), F.substring_index(F.substring_index(path, "/", -3), "/", 1))
+    return inside.when(F.endswith(last, F.lit(f"/{table}")), F.substring_index(last, "/", 1)).otherwise("").alias("sample_id")
+
+
+def read_bundles(spark: SparkSession, folder: str, most: int = MAX_ENTRIES, dims: int = MAX_DIM) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cells, spots, genes, faults) of all bundles in a folder, in one plan however many there are.
 
     A bundle's sample_id is its folder's name. Headers are a table; each table of all
@@ -140,10 +148,10 @@ def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     read. The driver sees which encodings occur, no more. Faults (sample_id, fault, n)
     are rows, of all kinds that ``read_bundle`` refuses, and ``encoding`` for one that is
     unknown or a header that cannot be read; cells and labels are those of bundles without a
-    fault. A file whose columns have other types than a bundle's ends the read.
+    fault. A file whose columns have other types than a bundle's ends the read. most, dims: entries, and rows or
+    columns, that a compressed bundle may have; for one's own bundles there need be no limit.
     """
-    # The folder that holds the table, itself a folder of files or one file.
-    name = lambda t: F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(t)}(?:/[^/]*)?$", 1).alias("sample_id")
+    name = _bundle_of
     raw = spark.read.text(f"{folder}/*/header.json", wholetext=True).select(name("header.json"), F.from_json("value", "encoding string, shape array<bigint>").alias("h"))
     headers = raw.select("sample_id", F.col("h.encoding").alias("encoding"), F.try_element_at("h.shape", F.lit(1)).alias("rows"), F.try_element_at("h.shape", F.lit(2)).alias("columns"))
     known = F.col("encoding").isin(*ENCODINGS) & F.col("rows").isNotNull() & F.col("columns").isNotNull()
@@ -164,14 +172,19 @@ def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     wrong = sized.where(_misshapen(sized, F.col("columns"), F.col("rows")))
     faults = faults.unionByName(wrong.groupBy("sample_id").agg(F.count("*").alias("n")).select("sample_id", F.lit("shape").alias("fault"), "n"))
     cells = dense.select("sample_id", "i", F.coalesce("at", F.lit(0)).alias("at"), F.posexplode("values").alias("g", "v")).where("v <> 0 or v is null").select("sample_id", "i", (F.col("at") + F.col("g")).alias("g"), "v")
+    faults, packed = faults.unionByName(invalid_cells(cells)), []
     for encoding, major, minor in (("csr_matrix", "i", "g"), ("csc_matrix", "g", "i")):
         if encoding in there:
             pointers, entries = table("pointers", encoding), table("entries", encoding)
-            faults = faults.unionByName(structural_faults(shape.where(F.col("encoding") == encoding).drop("encoding"), pointers, entries, encoding == "csr_matrix"))
+            faults = faults.unionByName(structural_faults(shape.where(F.col("encoding") == encoding).drop("encoding"), pointers, entries, encoding == "csr_matrix", most, dims))
             own = from_compressed(pointers.withColumnRenamed("pos", major), entries.withColumnRenamed("minor", minor), major, minor, ("sample_id",))
-            cells = cells.unionByName(own.select("sample_id", "i", "g", "v"))
-    faults = faults.unionByName(invalid_cells(cells))
+            packed.append(own.select("sample_id", "i", "g", "v"))
+            cells = cells.unionByName(packed[-1])
     faults = materialise(faults.where("n > 0"), "faults")
+    # Entries have been looked at; the cells they make are looked at where one of them is out of range.
+    out = faults.where("fault = 'value'").select("sample_id").distinct()
+    if packed and not out.isEmpty():
+        faults = materialise(reduce(DataFrame.unionByName, [faults, *(invalid_cells(c.join(few(out), "sample_id")) for c in packed)]), "faults")
     # A row for each bundle at most.
     bad = few(faults.select("sample_id").distinct())
     cells, spots, genes = (t.join(bad, "sample_id", "left_anti") for t in (cells, spots, genes))
