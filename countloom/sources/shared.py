@@ -74,7 +74,7 @@ def materialise(df: DataFrame, tag: str, most: int = 0) -> DataFrame:
         _tables.append(path.removeprefix("file://"))
     if (scope := _scope.get()) is not None:
         scope.append(path)
-    df.write.option("maxRecordsPerFile", most).parquet(path)
+    (df.write.option("maxRecordsPerFile", most) if most else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._countloom_path = path
     return out
